@@ -196,7 +196,7 @@ def with_next(docs: DataFrame, partitions: int | None = None, text: str = "text"
     def to_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([(f.name, {"long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32()}.get(f.dataType.simpleString(), pa.string())) for f in arrow])
         for table in run(batches):
-            yield pa.RecordBatch.from_pandas(table.reindex(columns=kinds.names), kinds, preserve_index=False)
+            yield from pa.Table.from_pandas(table.reindex(columns=kinds.names), kinds, preserve_index=False).combine_chunks().to_batches()
 
     all_rows = staged(rows.mapInArrow(to_arrow, arrow), "fingerprints")
     # two rows of each partition at most

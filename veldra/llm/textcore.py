@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -50,7 +51,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     """Slices of at most about ``limit`` bytes of text, so that a task's memory has a bound; a longer text comes alone."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False), np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
@@ -62,7 +63,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts (null as empty) and the offsets of each."""
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     _, offsets, data = texts.buffers()
@@ -111,3 +112,10 @@ def span(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of the word runs a to b (exclusive)."""
     _, down = powers(_WORD_BASE, len(prefix))
     return mix((prefix[b] - prefix[a]) * down[a] + (b - a).astype(U64))
+
+
+def distinct_words(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Places of one occurrence of each (text, hash), in ascending order."""
+    _, at = np.unique(mix(hashes + owner.astype(U64) * U64(_BYTE_BASE)), return_index=True)
+    at.sort()
+    return at
