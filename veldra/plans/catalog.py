@@ -1,4 +1,268 @@
 """All queries of the library and the SQL that they are held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from veldra.functions import domain, text
+from veldra.operators import beliefs as B, games as G, monitor as M, splits as S
+from veldra.plans import adapters as A
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+_BELIEFS = """b AS (
+  SELECT c_custkey AS report_id, c_custkey % 7 + 1 AS observer, CASE WHEN c_custkey % 5 = 0 THEN (c_custkey + 2) % 7 + 1 END AS wolf, c_nationkey AS bits FROM customer
+), p AS (SELECT i AS a, j AS b FROM range(1, 8) x(i), range(1, 8) y(j) WHERE i < j
+), s AS (
+  SELECT report_id, observer, a, b, wolf, a <> coalesce(wolf, 0) AND (bits >> CAST(a - 1 AS INT)) & 1 = 1 AS sa, b <> coalesce(wolf, 0) AND (bits >> CAST(b - 1 AS INT)) & 1 = 1 AS sb
+  FROM b, p WHERE a <> observer AND b <> observer AND (wolf IS NULL OR a = wolf OR b = wolf)
+), t AS (
+  SELECT *, power(2, CAST(sa AS INT) + CAST(sb AS INT)) / sum(power(2, CAST(sa AS INT) + CAST(sb AS INT))) OVER (PARTITION BY report_id) AS p FROM s
+)"""
+
+
+@query(f"WITH {_BELIEFS}, m AS (SELECT report_id, unnest([a, b]) AS player, p FROM t) SELECT report_id, CAST(player AS INT) AS player, round(sum(p), 9) AS marginal FROM m GROUP BY 1, 2")
+def pair_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = B.projected(B.legal_pairs(A.beliefs(spark, sf_dir)), ["report_id"])
+    return B.marginals(targets, ["report_id"]).withColumn("marginal", F.round("marginal", 9))
+
+
+@query(f"WITH {_BELIEFS} SELECT report_id, CAST(a AS INT) AS a, CAST(b AS INT) AS b, round(p, 9) AS p FROM t")
+def pair_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.projected(B.legal_pairs(A.beliefs(spark, sf_dir)), ["report_id"]).select("report_id", "a", "b", F.round("p", 9).alias("p"))
+
+
+@query(f"""WITH {_BELIEFS}, n AS (SELECT report_id, any_value(wolf) AS wolf, any_value(observer) AS observer, count(*) AS n_legal FROM t GROUP BY 1)
+SELECT report_id, coalesce(CAST(wolf AS VARCHAR), '') AS known, CAST(observer AS VARCHAR) AS cleared, CAST(n_legal AS INT) AS n_legal FROM n""")
+def knowledge_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = B.closed(B.legal_pairs(A.beliefs(spark, sf_dir)), ["report_id"])
+    return out.select("report_id", F.array_join(F.col("known").cast("array<string>"), ",").alias("known"), F.array_join(F.col("cleared").cast("array<string>"), ",").alias("cleared"), "n_legal")
+
+
+@query(f"""WITH {_BELIEFS}, m AS (SELECT report_id, unnest([a, b]) AS player, p FROM t), g AS (SELECT report_id, player, sum(p) AS marginal FROM m GROUP BY 1, 2
+), x AS (SELECT *, max(marginal) OVER (PARTITION BY report_id) AS top FROM g) SELECT CAST(player AS INT) AS player, count(*) AS n FROM x WHERE abs(marginal - top) <= 1e-8 + 1e-5 * abs(top) GROUP BY 1""")
+def most_suspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = B.marginals(B.projected(B.legal_pairs(A.beliefs(spark, sf_dir)), ["report_id"]), ["report_id"])
+    return B.argmax_ties(m, ["report_id"], "marginal").groupBy("player").agg(F.count("*").alias("n"))
+
+
+_P = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+), p AS (SELECT vec_id, vec_id // 4 AS snapshot, vec_id % 4 + 1 AS observer, unnest(range(1, 22)) AS i, v FROM v
+), l AS (SELECT vec_id, snapshot, observer, i, v[i] AS z, abs(v[i + 21]) AS w FROM p
+), t AS (SELECT *, w / sum(w) OVER (PARTITION BY vec_id) AS t, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS q FROM l)"""
+
+
+@query(f"""WITH {_P}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY q DESC) AS k FROM t)
+SELECT vec_id, round(-sum(t * ln(q)), 6) AS cross_entropy, round(sum(CASE WHEN t > 0 THEN t * ln(t / q) ELSE 0 END), 6) AS kl, round(0.5 * sum(abs(t - q)), 6) AS tv,
+  round(-sum(q * ln(q)), 6) AS entropy, round(max(q) FILTER (k = 1) - max(q) FILTER (k = 2), 6) AS margin FROM r GROUP BY 1""")
+def prediction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.row_metrics(A.predictions(spark, sf_dir)).select("vec_id", *[F.round(c, 6).alias(c) for c in ("cross_entropy", "kl", "tv", "entropy", "margin")])
+
+
+@query(f"""WITH {_P} SELECT a.snapshot, round(sum(0.5 * abs(a.q - b.q)) / count(DISTINCT (a.observer, b.observer)), 6) AS pairwise_tv
+FROM t a JOIN t b ON a.snapshot = b.snapshot AND a.observer < b.observer AND a.i = b.i GROUP BY 1""")
+def observer_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.observer_tv(B.row_metrics(A.predictions(spark, sf_dir)), "snapshot", "observer").withColumn("pairwise_tv", F.round("pairwise_tv", 6))
+
+
+@query(f"""WITH {_P}, r AS (SELECT vec_id, observer, sum(CASE WHEN t > 0 THEN t * ln(t / q) ELSE 0 END) AS kl FROM t GROUP BY 1, 2)
+SELECT round(coalesce(avg(CASE WHEN observer <> 2 THEN kl END), 0), 6) AS effective_kl, round(coalesce(avg(CASE WHEN observer > 9 THEN kl END), 0), 6) AS empty_kl, count_if(observer <> 2) AS effective_rows FROM r""")
+def masked_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.row_metrics(A.predictions(spark, sf_dir))
+    effective = F.col("observer") != 2
+    return rows.agg(F.round(B.masked_mean(F.col("kl"), effective), 6).alias("effective_kl"), F.round(B.masked_mean(F.col("kl"), F.col("observer") > 9), 6).alias("empty_kl"), F.count_if(effective).alias("effective_rows"))
+
+
+_R = """r AS (SELECT event_id AS seq, user_id % 50 AS game, user_id % 7 + 1 AS observer,
+  CASE event_type WHEN 'error' THEN 'parse_error' WHEN 'signup' THEN 'semantic_error' ELSE 'ok' END AS status FROM events)"""
+
+
+@query(f"WITH {_R} SELECT game, observer, status, count(*) AS n, CAST(grouping(game, observer, status) AS BIGINT) AS level FROM r GROUP BY GROUPING SETS ((), (status), (observer, status), (game, status))")
+def report_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.counters(A.reports(spark, sf_dir))
+
+
+_STREAK = """i AS (SELECT *, row_number() OVER (PARTITION BY observer ORDER BY seq) - row_number() OVER (PARTITION BY observer, status ORDER BY seq) AS island FROM r
+), k AS (SELECT seq, observer, status, CASE WHEN status = 'ok' THEN 0 ELSE row_number() OVER (PARTITION BY observer, status, island ORDER BY seq) END AS streak FROM i)"""
+
+
+@query(f"WITH {_R}, {_STREAK} SELECT seq, observer, status, CAST(streak AS INT) AS streak FROM k")
+def error_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.streaks(A.reports(spark, sf_dir)).select("seq", "observer", "status", F.col("streak").cast("int").alias("streak"))
+
+
+_RATES = """o AS (SELECT seq, count(*) OVER w AS seen, sum(CASE WHEN status <> 'ok' THEN 1 ELSE 0 END) OVER w / count(*) OVER w AS invalid_rate FROM r WINDOW w AS (PARTITION BY observer ORDER BY seq)
+), g AS (SELECT seq, count(*) OVER w AS total, sum(CASE WHEN status <> 'ok' THEN 1 ELSE 0 END) OVER w / count(*) OVER w AS tir, sum(CASE WHEN status = 'parse_error' THEN 1 ELSE 0 END) OVER w / count(*) OVER w AS tpr FROM r WINDOW w AS (ORDER BY seq))"""
+
+
+@query(f"WITH {_R}, {_RATES} SELECT seq, seen, round(invalid_rate, 9) AS invalid_rate, total, round(tir, 9) AS total_invalid_rate, round(tpr, 9) AS total_parse_rate FROM o JOIN g USING (seq)")
+def running_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = M.total_rates(M.observer_rates(A.reports(spark, sf_dir)))
+    return rows.select("seq", "seen", F.round("invalid_rate", 9).alias("invalid_rate"), "total", F.round("total_invalid_rate", 9).alias("total_invalid_rate"), F.round("total_parse_rate", 9).alias("total_parse_rate"))
+
+
+@query(f"""WITH {_R}, {_STREAK}, {_RATES}, x AS (SELECT seq, CASE WHEN streak >= 3 THEN '1_streak' WHEN seen >= 10 AND invalid_rate > 0.2 THEN '2_observer_rate'
+  WHEN total >= 100 AND tir > 0.05 THEN '3_total_rate' WHEN total >= 100 AND tpr > 0.01 THEN '4_parse_rate' END AS rule FROM k JOIN o USING (seq) JOIN g USING (seq))
+SELECT seq, rule FROM x WHERE rule IS NOT NULL ORDER BY seq LIMIT 1""")
+def first_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.first_stop(A.reports(spark, sf_dir))
+
+
+_C = """c AS (SELECT event_id AS call_id, user_id % 50 AS game, CASE WHEN event_type IN ('click', 'view') THEN 'gameplay' ELSE 'belief' END AS category, event_type = 'error' AS failed, value AS latency_ms FROM events)"""
+
+
+@query(f"""WITH {_C}, k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY latency_ms, call_id) AS k, count(*) OVER (PARTITION BY category) AS n FROM c)
+SELECT category, count(*) AS calls, count_if(failed) AS errors, round(avg(latency_ms), 6) AS mean_ms, round(median(latency_ms), 6) AS median_ms, max(CASE WHEN k = ceil(0.95 * n) THEN latency_ms END) AS p95_ms, max(latency_ms) AS max_ms FROM k GROUP BY 1""")
+def call_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.call_audit(A.calls(spark, sf_dir)).withColumn("mean_ms", F.round("mean_ms", 6)).withColumn("median_ms", F.round("median_ms", 6))
+
+
+@query(f"WITH {_C}, k AS (SELECT game, call_id AS seq, row_number() OVER (PARTITION BY game ORDER BY call_id) AS n FROM c) SELECT game, seq, CAST(n AS INT) AS n FROM k WHERE n = 193")
+def refused_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.refused(A.calls(spark, sf_dir), 192)
+
+
+@query("""WITH v AS (SELECT l_orderkey AS round, l_partkey % 8 AS target, count(*) AS n FROM lineitem GROUP BY 1, 2
+), r AS (SELECT *, rank() OVER (PARTITION BY round ORDER BY n DESC) AS k FROM v WHERE target <> 0
+), t AS (SELECT round, count(*) AS n_leaders, min(target) AS leader FROM r WHERE k = 1 GROUP BY 1)
+SELECT v.round, CAST(any_value(CASE WHEN n_leaders = 1 THEN leader END) AS INT) AS exiled, CAST(coalesce(any_value(n_leaders), 0) AS INT) AS n_leaders, CAST(sum(CASE WHEN target = 0 THEN n ELSE 0 END) AS BIGINT) AS abstained
+FROM v LEFT JOIN t ON t.round = v.round GROUP BY v.round""")
+def exile_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.exile(A.ballots(spark, sf_dir))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS round, l_linenumber AS voter, l_partkey % 8 AS target, l_partkey * 100000 + l_suppkey AS ballot FROM lineitem WHERE l_partkey % 8 <> 0
+), v AS (SELECT round, target, count(*) AS n FROM b GROUP BY 1, 2
+), r AS (SELECT *, rank() OVER (PARTITION BY round ORDER BY n DESC) AS k FROM v
+), t AS (SELECT round, count(*) AS ties, min(target) AS leader FROM r WHERE k = 1 GROUP BY 1
+), l AS (SELECT round, target, row_number() OVER (PARTITION BY round ORDER BY voter DESC, ballot DESC) AS k FROM b)
+SELECT t.round, CAST(CASE WHEN ties = 1 THEN leader ELSE l.target END AS INT) AS killed FROM t JOIN l ON l.round = t.round AND l.k = 1""")
+def kill_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.kill(A.ballots(spark, sf_dir))
+
+
+@query("""WITH n AS (SELECT c_custkey AS game, c_custkey % 7 + 1 AS k, c_nationkey % 7 + 1 AS g, c_custkey % 3 = 0 AS h, CASE WHEN c_custkey % 4 = 0 THEN c_nationkey % 5 + 1 END AS p FROM customer)
+SELECT game, array_to_string(list_sort(list_distinct(list_filter([CASE WHEN (k = g) = h THEN k END, p], lambda x: x IS NOT NULL))), ',') AS deaths FROM n""")
+def night_deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    died = G.night((c % 7 + 1).cast("int"), (F.col("c_nationkey") % 7 + 1).cast("int"), c % 3 == 0, F.when(c % 4 == 0, (F.col("c_nationkey") % 5 + 1).cast("int")))
+    return A.table(spark, sf_dir, "customer").select(c.alias("game"), F.array_join(died.cast("array<string>"), ",").alias("deaths"))
+
+
+@query("""WITH a AS (SELECT o_custkey % 500 AS game, CASE o_orderstatus WHEN 'F' THEN 'wolf' WHEN 'O' THEN 'villager' ELSE 'god' END AS camp FROM orders)
+SELECT game, CASE WHEN count_if(camp = 'wolf') = 0 THEN -1 WHEN count_if(camp = 'villager') = 0 OR count_if(camp = 'god') = 0 THEN 1 ELSE 0 END AS outcome FROM a GROUP BY 1""")
+def game_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    camp = F.when(F.col("o_orderstatus") == "F", "wolf").when(F.col("o_orderstatus") == "O", "villager").otherwise("god")
+    return G.outcome(A.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 500).alias("game"), camp.alias("camp")))
+
+
+@query("""WITH l AS (SELECT user_id AS game, CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END AS outcome, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)
+SELECT count_if(outcome = 1) AS wolf, count_if(outcome <> 1) AS villager FROM l WHERE k = 1""")
+def win_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = A.table(spark, sf_dir, "events")
+    return G.wins(e.select(F.col("user_id").alias("game"), F.col("event_id").alias("log_idx"), F.when(F.col("event_type") == "purchase", 1).otherwise(-1).alias("outcome")))
+
+
+_E = "e AS (SELECT conv_id AS game, turn AS event_idx, CASE WHEN turn % 3 = 0 THEN (turn + 1) || '_day_speech' END AS phase, length(text) AS n_tokens FROM conversations)"
+
+
+@query(f"WITH {_E}, p AS (SELECT game, event_idx, row_number() OVER (PARTITION BY game ORDER BY event_idx) - 1 AS place FROM e) SELECT game, event_idx, CAST(place AS INT) AS place FROM p WHERE place <> event_idx")
+def event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.discontinuities(A.events(spark, sf_dir))
+
+
+@query(f"WITH {_E} SELECT game, event_idx, last_value(phase IGNORE NULLS) OVER (PARTITION BY game ORDER BY event_idx ROWS UNBOUNDED PRECEDING) AS current_phase FROM e")
+def current_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.latest_phase(A.events(spark, sf_dir)).select("game", "event_idx", "current_phase")
+
+
+@query(f"""WITH {_E}, b AS (SELECT *, sum(n_tokens) OVER w AS up_to, row_number() OVER w AS age FROM e WINDOW w AS (PARTITION BY game ORDER BY event_idx DESC ROWS UNBOUNDED PRECEDING))
+SELECT game, event_idx, CAST(CASE WHEN up_to <= 2000 THEN n_tokens ELSE 2000 END AS BIGINT) AS kept_tokens FROM b WHERE up_to <= 2000 OR age = 1""")
+def newest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.newest_groups(A.events(spark, sf_dir), 2000)
+
+
+@query("""WITH s AS (SELECT conv_id AS game, turn AS row_idx, list_transform(range(0, CASE WHEN turn % 4 = 3 THEN turn ELSE turn + 1 END), lambda i: i) AS events FROM conversations
+), l AS (SELECT *, lag(events) OVER (PARTITION BY game ORDER BY row_idx) AS former FROM s)
+SELECT game, row_idx FROM l WHERE former IS NOT NULL AND NOT (len(events) > len(former) AND events[1:len(former)] = former)""")
+def broken_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.when(F.col("turn") % 4 == 3, F.col("turn")).otherwise(F.col("turn") + 1)
+    rows = A.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("game"), F.col("turn").alias("row_idx"), F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>")).alias("events"))
+    return G.broken_prefixes(rows)
+
+
+@query("""WITH e AS (SELECT event_id, props FROM events) SELECT event_id, sha256(props) = sha256(props) AS stable, length(sha256(props)) AS digest_length FROM e WHERE json_valid(props)""")
+def event_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = domain.digest(F.col("props"))
+    return A.table(spark, sf_dir, "events").where(F.try_parse_json("props").isNotNull()).select("event_id", (d == domain.digest(domain.canonical_json(F.col("props")))).alias("stable"), F.length(d).cast("long").alias("digest_length"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 7 THEN 'player' || p_size END AS from_number, CASE WHEN p_size BETWEEN 1 AND 7 THEN 'player' || p_size END AS from_text,
+  CAST((p_size % 7 - 1 - p_partkey % 7 + 14) % 7 AS BIGINT) AS relative FROM part""")
+def player_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    relative = domain.relative_index((F.col("p_partkey") % 7), (F.col("p_size") % 7 + 7).cast("long"))
+    return A.table(spark, sf_dir, "part").select("p_partkey", domain.player(F.col("p_size")).alias("from_number"), domain.player(F.concat(F.lit(" Player_ "), size)).alias("from_text"), relative.alias("relative"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, least(greatest(o_totalprice / 500000, 1e-5), 1 - 1e-5) AS r FROM orders), c AS (SELECT o_orderkey, r, 1.0 * (1 - r) AS p, 0.4 * r + 0.3 * (1 - r) AS b, 1.0 * r AS n FROM o)
+SELECT o_orderkey, CASE WHEN p <= b AND p <= n THEN 'P' WHEN b <= n THEN 'B' ELSE 'N' END AS choice, round(p, 9) AS risk_p, round(b, 9) AS risk_b, round(n, 9) AS risk_n FROM c""")
+def three_way_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = domain.decision(F.col("o_totalprice") / 500000)
+    return A.table(spark, sf_dir, "orders").withColumn("d", d).select("o_orderkey", "d.choice", *[F.round(f"d.risk_{n}", 9).alias(f"risk_{n.lower()}") for n in "PBN"])
+
+
+@query("""WITH s AS (SELECT user_id % 100 AS game, CASE WHEN user_id % 100 < 70 THEN 'train' WHEN user_id % 100 < 85 THEN 'validation' ELSE 'test' END AS split FROM events)
+SELECT split, count(*) AS rows, count(DISTINCT game) AS games FROM s GROUP BY 1""")
+def seed_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    game = F.concat(F.lit("run_seed_"), (F.col("user_id") % 100).cast("string"))
+    rows = A.table(spark, sf_dir, "events").select(game.alias("game"), domain.seed_of(game).alias("seed"))
+    return S.seed_split(rows, {"train": (0, 69), "validation": (70, 84), "test": (85, 99)}).groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("game").alias("games"))
+
+
+@query("""WITH a AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right
+FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type WHERE a.n IS DISTINCT FROM b.n""")
+def misaligned_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = A.table(spark, sf_dir, "events")
+    return S.misaligned(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type"])
+
+
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def unused_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.unused(A.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), A.table(spark, sf_dir, "customer"), "c_custkey")
+
+
+@query("SELECT user_id AS game_id, count(DISTINCT event_type) AS n_splits FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
+def leaking_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.leaking(A.table(spark, sf_dir, "events").select(F.col("user_id").alias("game_id"), F.col("event_type").alias("split")))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'reporter_error' WHEN turn % 5 = 1 THEN 'parse_error' WHEN turn % 5 = 2 THEN 'semantic_error' ELSE 'ok' END AS status,
+  CASE WHEN turn % 5 > 2 THEN 'player2,player4' END AS suspected FROM conversations""")
+def report_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("turn") % 5
+    response = F.when(k == 1, '{"suspected": ["4"], "more": 1}').when(k == 2, '{"suspected": ["player 1"]}').otherwise('{"suspected": ["4", "Player_2"]}')
+    r = text.report(response, k == 0, F.array(F.lit("player2")), F.array(F.lit("player1")))
+    return A.table(spark, sf_dir, "conversations").withColumn("r", r).select("conv_id", "turn", "r.status", F.array_join("r.suspected", ",").alias("suspected"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 7 THEN 'player1:check_as_wolf:player' || p_size ELSE '' END AS acts, CAST(CASE WHEN p_size BETWEEN 1 AND 7 THEN 0 ELSE 2 END AS INT) AS rejected FROM part""")
+def parsed_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    said = F.concat(F.lit("```\n- Player 1 | point_as_wolf | "), size, F.lit("\nplayer1｜CHECK_AS_WOLF｜ player_"), size, F.lit("\n```"))
+    actions = ("point_as_wolf", "check_as_wolf")
+    kept = text.without_superseded(text.triplets(said, actions))
+    return A.table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(kept, lambda t: F.concat_ws(":", t["subject"], t["action"], t["object"])), ",").alias("acts"), F.size(text.rejected_lines(said, actions)).alias("rejected"))
