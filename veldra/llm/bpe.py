@@ -87,47 +87,60 @@ class ByteBPE:
         self.library = Tokenizer.from_file(path).pre_tokenizer
         self.cache: dict[str, bytes] = {}
 
-    def merge_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word, all words merged together round by round."""
-        lengths = np.array([len(w) for w in words], np.int64)
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (the number of pairs: none) and its place among the sorted keys."""
+        keys = (left << 32) | right
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, self.ranks[at], len(self.keys)), at
+
+    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one array, merged together round by round, and where each word's ids begin (and the last ones end)."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), lengths)
         done_ids, done_owner = [], []
-        none = np.int64(len(self.keys))
+        none = len(self.keys)
+        rank, at = np.full(len(symbols), none, np.int64), np.zeros(len(symbols), np.int64)
+        fresh = np.flatnonzero(owner[:-1] == owner[1:])  # places whose pair is not looked up yet
         while len(symbols):
-            inside = owner[:-1] == owner[1:]
-            keys = (symbols[:-1] << 32) | symbols[1:]
-            at = np.searchsorted(self.keys, keys)
-            at[at == len(self.keys)] = 0
-            rank = np.where(inside & (self.keys[at] == keys), self.ranks[at], none)
+            rank[fresh], at[fresh] = self._ranks(symbols[fresh], symbols[fresh + 1])
             firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            best = np.minimum.reduceat(np.r_[rank, none], firsts)
-            n_symbols = np.diff(np.r_[firsts, len(symbols)])
-            best = np.repeat(best, n_symbols)
+            best = np.repeat(np.minimum.reduceat(rank, firsts), np.diff(np.r_[firsts, len(symbols)]))
             over = best == none
             if over.any():  # words without a pair left
                 done_ids.append(symbols[over])
                 done_owner.append(owner[over])
-            hit = np.flatnonzero((rank == best[:-1]) & ~over[:-1])
-            if len(hit):
-                # in a run of overlapping hits (a a a) every second one merges, from the left
-                run = np.r_[True, np.diff(hit) != 1]
-                place = np.arange(len(hit)) - np.repeat(np.flatnonzero(run), np.diff(np.r_[np.flatnonzero(run), len(hit)]))
-                hit = hit[place % 2 == 0]
-                symbols = symbols.copy()
-                symbols[hit] = self.merged[at[hit]]
-                keep = ~over
-                keep[hit + 1] = False
-            else:
-                keep = ~over
-            symbols, owner = symbols[keep], owner[keep]
+            keep = ~over
+            hit = np.flatnonzero((rank == best) & keep)
+            if not len(hit):
+                break
+            # in a run of overlapping hits (a a a) every second one merges, from the left
+            run = np.flatnonzero(np.r_[True, np.diff(hit) != 1])
+            place = np.arange(len(hit)) - np.repeat(run, np.diff(np.r_[run, len(hit)]))
+            hit = hit[place % 2 == 0]
+            symbols[hit] = self.merged[at[hit]]
+            keep[hit + 1] = False
+            rank[hit] = none
+            hit = np.cumsum(keep)[hit] - 1
+            symbols, owner, rank, at = symbols[keep], owner[keep], rank[keep], at[keep]
+            # a merged symbol has new pairs on both sides
+            near = np.zeros(len(symbols) + 1, bool)
+            near[hit] = near[hit - 1] = True
+            near = near[: len(symbols)]
+            near[-1] = False
+            near[:-1] &= owner[:-1] == owner[1:]
+            fresh = np.flatnonzero(near)
         if not done_ids:
-            return [np.empty(0, np.int64) for _ in words]
+            return np.empty(0, np.int64), np.zeros(len(words) + 1, np.int64)
         ids, of = np.concatenate(done_ids), np.concatenate(done_owner)
         order = np.argsort(of, kind="stable")
-        return np.split(ids[order], np.cumsum(np.bincount(of, minlength=len(words)))[:-1])
+        return ids[order], np.r_[0, np.cumsum(np.bincount(of, minlength=len(words)))]
 
     def _words(self, run: str) -> list[str]:
+        bare = run[1:] if run[0] == " " else run
+        if bare.isalpha() and max(bare) < "\u0530":  # letters alone are one word
+            return [run]
         if _LATE.search(run) is None:
             return self.split.findall(run)
         return [run[a:b] for _, (a, b) in self.library.pre_tokenize_str(run)]
@@ -139,9 +152,11 @@ class ByteBPE:
         """Little-endian 32-bit ids of each run."""
         words = [[r] if r in self.special else self._words(r) for r in runs]
         plain = list({w for ws in words for w in ws if w not in self.special})
-        ids = dict(zip(plain, (x.astype("<i4").tobytes() for x in self.merge_words([w.encode() for w in plain]))))
-        ids.update((s, np.array([i], "<i4").tobytes()) for s, i in self.special.items())
-        return [b"".join(map(ids.__getitem__, ws)) for ws in words]
+        ids, starts = self.merge_words([w.encode() for w in plain])
+        raw, cuts = ids.astype("<i4").tobytes(), (starts * 4).tolist()
+        known = {w: raw[a:b] for w, a, b in zip(plain, cuts, cuts[1:])}
+        known.update((s, np.array([i], "<i4").tobytes()) for s, i in self.special.items())
+        return [known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws)) for ws in words]
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
