@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import ast
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from veldra.functions.domain import player
 
@@ -55,3 +61,60 @@ def report(response: Column, reporter_failed: Column, known: Column, cleared: Co
     sound = (F.size(F.array_except(known, names)) == 0) & ~F.arrays_overlap(names, cleared)
     status = F.when(reporter_failed, "reporter_error").when(~shape, "parse_error").when(~sound, "semantic_error").otherwise("ok")
     return F.struct(status.alias("status"), F.when(status == "ok", F.array_sort(names)).alias("suspected"))
+
+
+def _load(text: str, kind: type | None = None):
+    """(value,) of a JSON text, of ``kind`` if given; None if it is not."""
+    try:
+        value = json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+    return (value,) if kind is None or isinstance(value, kind) else None
+
+
+def _canonical(value: object) -> str:
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+#: A fenced block, with or without its language.
+_FENCED = re.compile(r"```(?:json)?\s*([\s\S]*?)\s*```", re.IGNORECASE)
+
+
+@F.pandas_udf(StringType())
+def first_json_array(texts: pd.Series) -> pd.Series:
+    """The first JSON array as canonical JSON: the whole text, else a fenced block, else from the first ``[`` that begins one; null if none does."""
+    scan = json.JSONDecoder().raw_decode
+
+    def of(text: str | None) -> str | None:
+        if text is None:
+            return None
+        text = text.strip()
+        for part in (text, *_FENCED.findall(text)):
+            if found := _load(part, list):
+                return _canonical(found[0])
+        at = text.find("[")
+        while at >= 0:
+            try:
+                return _canonical(scan(text, at)[0])
+            except (ValueError, RecursionError):
+                at = text.find("[", at + 1)
+        return None
+
+    return texts.map(of, na_action="ignore").astype(object)
+
+
+@F.pandas_udf(StringType())
+def json_like(texts: pd.Series) -> pd.Series:
+    """JSON in a fence or bare, else a literal of Python, as canonical JSON; null for anything else."""
+
+    def of(text: str | None) -> str | None:
+        block = _FENCED.search(text)
+        text = (block.group(1) if block else text).strip()
+        if found := _load(text):
+            return _canonical(found[0])
+        try:
+            return _canonical(ast.literal_eval(text))
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+
+    return texts.map(of, na_action="ignore").astype(object)

@@ -52,3 +52,28 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """game, event_idx, speaker, phase (on every third event) and n_tokens from conversations."""
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("game"), F.col("turn").alias("event_idx"), (F.col("turn") % 7 + 1).alias("speaker"), F.when(F.col("turn") % 3 == 0, F.concat((F.col("turn") + 1).cast("string"), F.lit("_day_speech"))).alias("phase"), F.length("text").cast("long").alias("n_tokens"), "text")
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """snapshot, observer, speaker, public_only, status, error, known, cleared, suspected from customer: seven observers each."""
+    key = F.col("c_custkey")
+    o = (key % N_PLAYERS + 1).cast("int")
+    snapshot = F.floor(key / N_PLAYERS)
+    status = F.when(F.col("c_nationkey") % 4 == 2, "semantic_error").when(F.col("c_nationkey") % 4 == 3, "parse_error").otherwise("ok")
+    seat = lambda k: ((o + k) % N_PLAYERS + 1).cast("int")
+    none = F.array().cast("array<int>")
+    rows = table(spark, sf_dir, "customer").select(snapshot.alias("snapshot"), o.alias("observer"), (snapshot % N_PLAYERS + 1).cast("int").alias("speaker"), (snapshot % 5 == 0).alias("public_only"), status.alias("status"), F.when(key % 3 == 0, F.array(seat(0), seat(2))).otherwise(none).alias("known"), F.array(o).alias("cleared"), seat(3).alias("soft"))
+    suspected = F.when(F.size("known") > 0, F.col("known")).otherwise(F.array("soft"))
+    return rows.withColumn("error", F.when(F.col("status") != "ok", F.col("status"))).withColumn("suspected", F.when(F.col("status") == "ok", suspected)).drop("soft")
+
+
+def game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """game, observer, identity, event, target, checked, team from events; the wolves sit one and three seats on from the observer."""
+    o = (F.col("user_id") % N_PLAYERS + 1).cast("int")
+    first, second = (o % N_PLAYERS + 1).cast("int"), ((o + 2) % N_PLAYERS + 1).cast("int")
+    t = (F.col("event_id") % (N_PLAYERS + 1)).cast("int")
+    identity = F.element_at(F.array(*map(F.lit, ("Werewolf", "Seer", "Witch", "Villager"))), (F.col("user_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("game"), o.alias("observer"), identity.alias("identity"), F.col("event_type").alias("type"), t.alias("target"), t.isin(first, second).alias("hit"), F.array(o, first).alias("team"))
+    event = F.when(F.col("identity") == "Werewolf", "werewolf_team_info").when(F.col("type") == "click", "skill_seer").when(F.col("type") == "view", "kill_decision").otherwise("vote")
+    checked = F.when(F.col("target") > 0, F.when(F.col("hit"), "bad").otherwise("good"))
+    return rows.withColumn("event", event).withColumn("checked", checked).withColumn("target", F.when((F.col("event") == "kill_decision") & F.col("hit"), 0).otherwise(F.col("target"))).drop("type", "hit")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veldra.functions import domain, text
-from veldra.operators import beliefs as B, games as G, monitor as M, splits as S
+from veldra.operators import beliefs as B, games as G, monitor as M, snapshots as N, splits as S
 from veldra.plans import adapters as A
 
 QUERIES: dict = {}
@@ -266,3 +266,82 @@ def parsed_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions = ("point_as_wolf", "check_as_wolf")
     kept = text.without_superseded(text.triplets(said, actions))
     return A.table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(kept, lambda t: F.concat_ws(":", t["subject"], t["action"], t["object"])), ",").alias("acts"), F.size(text.rejected_lines(said, actions)).alias("rejected"))
+
+
+_SNAPSHOTS = """c AS (SELECT c_custkey AS k, c_custkey // 7 AS snapshot, c_custkey % 7 + 1 AS observer, (c_custkey // 7) % 7 + 1 AS speaker, (c_custkey // 7) % 5 = 0 AS public_only,
+  CASE c_nationkey % 4 WHEN 2 THEN 'semantic_error' WHEN 3 THEN 'parse_error' ELSE 'ok' END AS status, c_custkey % 3 = 0 AS sure FROM customer
+), w AS (SELECT *, observer % 7 + 1 AS w1, (observer + 2) % 7 + 1 AS w2, (observer + 3) % 7 + 1 AS soft FROM c
+), d AS (
+  SELECT *, CASE WHEN status = 'semantic_error' AND NOT public_only THEN CASE WHEN sure THEN 1 ELSE 15 END END AS n_compatible,
+    CASE WHEN status = 'ok' THEN 'source' WHEN status = 'semantic_error' AND NOT public_only AND sure THEN 'deterministic_hard_knowledge' ELSE 'unavailable' END AS kind FROM w
+), t AS (
+  SELECT *, CASE WHEN kind = 'source' AND NOT sure THEN CAST(soft AS VARCHAR) WHEN kind = 'source' THEN w1 || '+' || w2 WHEN kind <> 'unavailable' THEN least(w1, w2) || '+' || greatest(w1, w2) END AS target FROM d
+)"""
+
+
+def _joined(c) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), "+")
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT snapshot, CAST(observer AS INT) AS observer, kind, CAST(n_compatible AS INT) AS n_compatible, target FROM t")
+def observer_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.decisions(A.snapshots(spark, sf_dir)).select("snapshot", "observer", "kind", "n_compatible", _joined("target").alias("target"))
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT snapshot, CAST(observer AS INT) AS observer, kind, target FROM t WHERE observer = speaker AND kind <> 'unavailable'")
+def first_order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.first_order(N.decisions(A.snapshots(spark, sf_dir))).select("snapshot", "observer", "kind", _joined("target").alias("target"))
+
+
+@query(f"""WITH {_SNAPSHOTS} SELECT snapshot, string_agg(observer, ',' ORDER BY observer) AS observers, string_agg(observer || '=' || target, ',' ORDER BY observer) AS targets
+FROM t WHERE kind <> 'unavailable' GROUP BY 1""")
+def second_order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = N.second_order(N.decisions(A.snapshots(spark, sf_dir)), ["snapshot"])
+    pairs = F.transform(F.map_entries("target"), lambda e: F.concat_ws("=", e["key"].cast("string"), _joined(e["value"])))
+    return out.select("snapshot", F.array_join(F.col("observers").cast("array<string>"), ",").alias("observers"), F.array_join(pairs, ",").alias("targets"))
+
+
+@query(f"""WITH {_SNAPSHOTS}, r AS (SELECT snapshot, shift, (speaker - 1 + shift) % 7 + 1 AS speaker, observer, (observer - 1 + shift) % 7 + 1 AS seat,
+  list_sort(list_transform(string_split(target, '+'), lambda x: (CAST(x AS INT) - 1 + shift) % 7 + 1)) AS suspects FROM t, (SELECT unnest(range(7)) AS shift) WHERE kind <> 'unavailable')
+SELECT snapshot, CAST(shift AS INT) AS shift, CAST(min(speaker) AS INT) AS speaker, string_agg(seat, ',' ORDER BY observer) AS observers, string_agg(seat || '=' || array_to_string(suspects, '+'), ',' ORDER BY seat) AS targets FROM r GROUP BY 1, 2""")
+def rotated_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = N.orbit(N.second_order(N.decisions(A.snapshots(spark, sf_dir)), ["snapshot", "speaker"]))
+    out = N.rotated_rows(rows, F.col("shift"), players=("speaker",), seats=("observers",), maps=("kind",), list_maps=("target",))
+    pairs = F.transform(F.array_sort(F.map_entries("target")), lambda e: F.concat_ws("=", e["key"].cast("string"), _joined(e["value"])))
+    return out.select("snapshot", "shift", "speaker", F.array_join(F.col("observers").cast("array<string>"), ",").alias("observers"), F.array_join(pairs, ",").alias("targets"))
+
+
+@query(f"""WITH {_BELIEFS}, m AS (SELECT unnest([a, b]) AS player, p FROM t), n AS (SELECT count(DISTINCT report_id) AS n FROM t)
+SELECT CAST((player - 1 + shift) % 7 + 1 AS INT) AS player, round(sum(p) / any_value(n) / 7, 9) AS mean_marginal FROM m, n, (SELECT unnest(range(7)) AS shift) GROUP BY 1""")
+def orbit_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = B.projected(B.legal_pairs(A.beliefs(spark, sf_dir)), ["report_id"])
+    return N.orbit_marginals(B.marginals(targets, ["report_id"]), "report_id").withColumn("mean_marginal", F.round("mean_marginal", 9))
+
+
+@query(f"""WITH {_SNAPSHOTS} SELECT snapshot, CAST(observer AS INT) AS observer, CASE WHEN sure THEN 'not_closed' ELSE '' END AS violations FROM w""")
+def report_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.report_violations(A.snapshots(spark, sf_dir)).select("snapshot", "observer", F.array_join("violations", ",").alias("violations"))
+
+
+@query("""WITH e AS (
+  SELECT user_id AS game, user_id % 7 + 1 AS o, user_id % 4 AS role, event_type, event_id % 8 AS t FROM events
+), x AS (SELECT *, o % 7 + 1 AS w1, (o + 2) % 7 + 1 AS w2 FROM e
+), f AS (
+  SELECT game, unnest(CASE WHEN role = 0 THEN [o, w1] WHEN role = 1 AND event_type = 'click' AND t IN (w1, w2) THEN [t] ELSE [] END) AS player, true AS bad FROM x
+  UNION SELECT game, unnest(CASE WHEN role = 0 THEN list_filter(range(1, 8), lambda i: i <> o AND i <> w1) WHEN role = 1 AND event_type = 'click' AND t > 0 AND t NOT IN (w1, w2) THEN [o, t]
+    WHEN role = 2 AND event_type = 'view' AND t > 0 AND t NOT IN (w1, w2) THEN [o, t] ELSE [o] END), false FROM x
+), p AS (SELECT i AS a, j AS b FROM range(1, 8) r(i), range(1, 8) q(j) WHERE i < j
+), k AS (SELECT game, coalesce(list(DISTINCT player) FILTER (bad), []) AS k, coalesce(list(DISTINCT player) FILTER (NOT bad), []) AS c FROM f GROUP BY 1
+), l AS (SELECT game, a, b FROM k, p WHERE len(list_filter(k, lambda x: x <> a AND x <> b)) = 0 AND NOT list_contains(c, a) AND NOT list_contains(c, b)
+), n AS (SELECT game, count(*) AS n FROM l GROUP BY 1
+), s AS (SELECT n.game, n.n, i AS player, count(l.a) AS hits FROM n, range(1, 8) r(i) LEFT JOIN l ON l.game = n.game AND i IN (l.a, l.b) GROUP BY 1, 2, 3)
+SELECT game, coalesce(string_agg(player, ',' ORDER BY player) FILTER (hits = n), '') AS known, coalesce(string_agg(player, ',' ORDER BY player) FILTER (hits = 0), '') AS cleared, CAST(n AS INT) AS n_compatible FROM s GROUP BY game, n""")
+def hard_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = N.hard_knowledge(A.game_log(spark, sf_dir), ["game"])
+    return out.select("game", F.array_join(F.col("known").cast("array<string>"), ",").alias("known"), F.array_join(F.col("cleared").cast("array<string>"), ",").alias("cleared"), "n_compatible")
+
+
+@query("""SELECT conv_id, turn, '[' || conv_id || ',' || turn || ']' AS found, '{"turn":' || turn || '}' AS literal FROM conversations""")
+def extracted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.first_json_array(F.concat(F.lit("So [sic] it is [ "), id_, F.lit(" , "), turn, F.lit("], not [0]."))).alias("found"), text.json_like(F.concat(F.lit("```json\n{'turn': "), turn, F.lit("}\n```"))).alias("literal"))

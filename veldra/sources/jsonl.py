@@ -60,3 +60,33 @@ def write_audit(df: DataFrame, path: str) -> None:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of each file."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def manifest_violations(spark: SparkSession, path: str, schema_version: str, projection_version: str, splits: tuple[str, ...] = ("train", "validation", "test")) -> list[str]:
+    """What is wrong with a split manifest (a single JSON file that lists games, read as one row); empty if nothing is."""
+    part = "struct<game_ids: array<string>, game_count: long>"
+    shape = f"schema_version string, projection_version string, splits map<string, {part}>, total_game_count long, " + ", ".join(f"{s}_game_count long" for s in splits)
+    row = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("m")).select("m.*")
+    ids = lambda s: F.coalesce(F.col("splits")[s]["game_ids"], F.array().cast("array<string>"))
+    everything = F.flatten(F.array(*[ids(s) for s in splits]))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    rules = {"schema_version": no(F.col("schema_version") == schema_version), "projection_version": no(F.col("projection_version") == projection_version), "split_names": no(F.sort_array(F.map_keys("splits")) == F.sort_array(F.array(*map(F.lit, splits))))}
+    for s in splits:
+        rules[f"{s}:empty"] = F.size(ids(s)) == 0
+        rules[f"{s}:invalid_id"] = F.exists(ids(s), lambda g: no(F.trim(g) != ""))
+        rules[f"{s}:duplicates"] = F.size(F.array_distinct(ids(s))) != F.size(ids(s))
+        rules[f"{s}:game_count"] = no(F.col("splits")[s]["game_count"] == F.size(ids(s)))
+        rules[f"{s}:{s}_game_count"] = no(F.col(f"{s}_game_count") == F.size(ids(s)))
+    each_once = sum((F.size(F.array_distinct(ids(s))) for s in splits), F.lit(0))
+    rules["overlap"] = F.size(F.array_distinct(everything)) != each_once
+    rules["total_game_count"] = no(F.col("total_game_count") == F.size(F.array_distinct(everything)))
+    found = row.select(F.filter(F.array(*[F.when(bad, name) for name, bad in rules.items()]), lambda x: x.isNotNull()).alias("v")).first()
+    return found["v"] if found else ["missing"]
+
+
+def read_manifest(spark: SparkSession, path: str, schema_version: str, projection_version: str) -> DataFrame:
+    """game_id and split of a manifest without violations; any violation is an error."""
+    if wrong := manifest_violations(spark, path, schema_version, projection_version):
+        raise ValueError(f"split manifest {path}: {', '.join(wrong)}")
+    row = spark.read.text(path, wholetext=True).select(F.from_json("value", "splits map<string, struct<game_ids: array<string>>>")["splits"].alias("s"))
+    return row.select(F.explode("s").alias("split", "part")).select(F.explode("part.game_ids").alias("game_id"), "split")
