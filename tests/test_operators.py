@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldra.functions import domain, text
-from veldra.operators import beliefs, games, monitor, splits
+from veldra.operators import beliefs, games, monitor, snapshots, splits
 from veldra.sources import jsonl
 
 ACTIONS = ("point_as_wolf", "check_as_wolf", "vote_intent")
@@ -141,3 +141,93 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = monitor.observer_rates(monitor.streaks(rows))
     want = {(r.seq, "streak" if r.streak >= 3 else "observer_rate") for r in batch.where("streak >= 3 or (seen >= 10 and invalid_rate > 0.2)").collect()}
     assert got == want
+
+
+REPORT = "snapshot long, observer int, speaker int, public_only boolean, status string, error string, known array<int>, cleared array<int>, suspected array<int>"
+
+
+def test_decisions_and_orders(spark):
+    rows = [
+        (1, 1, 1, False, "ok", None, [], [1], [3]),
+        (1, 2, 1, False, "semantic_error", "e", [4, 5], [2], None),
+        (1, 3, 1, False, "semantic_error", "e", [], [3], None),
+        (1, 4, 1, None, "parse_error", "e", [4, 5], None, None),
+        (2, 5, 5, True, "semantic_error", "e", [1, 2], [5], None),
+        (3, 6, 6, False, "semantic_error", "e", [1, 2, 3], [6], None),
+        (3, 7, 6, None, None, None, None, None, None),
+    ]
+    decided = snapshots.decisions(spark.createDataFrame(rows, REPORT))
+    got = {(r.snapshot, r.observer): (r.kind, r.target, r.n_compatible) for r in decided.collect()}
+    assert got[1, 1] == ("source", [3], None)
+    assert got[1, 2] == ("deterministic_hard_knowledge", [4, 5], 1)
+    assert got[1, 3] == ("unavailable", None, 15) and got[1, 4][0] == "unavailable"
+    assert got[2, 5] == ("unavailable", None, None)
+    assert got[3, 6] == ("unavailable", None, 0) and got[3, 7] == ("unavailable", None, None)
+    assert [(r.snapshot, r.observer) for r in snapshots.first_order(decided).collect()] == [(1, 1)]
+    second = snapshots.second_order(decided, ["snapshot"]).collect()
+    assert [(r.snapshot, r.observers, r.target) for r in second] == [(1, [1, 2], {1: [3], 2: [4, 5]})]
+    assert not snapshots.second_order(decided.where("false"), ["snapshot"]).collect()
+
+
+def test_report_violations(spark):
+    rows = [
+        (1, 1, 1, False, "ok", None, [], [1], [3]),
+        (2, 1, 1, False, "ok", "e", [3], [1], [1]),
+        (3, 1, 1, False, "lost", None, [1, 2, 3], [], None),
+        (4, 1, 1, False, "parse_error", "e", [2, 3], [1, 4, 5, 6, 7], None),
+    ]
+    found = snapshots.report_violations(spark.createDataFrame(rows, REPORT)).orderBy("snapshot").collect()
+    assert [r.violations for r in found] == [[], ["error_against_status", "known_not_suspected", "cleared_suspected"], ["unknown_status", "contradiction", "error_against_status"], []]
+    samples = snapshots.raw_samples(spark.createDataFrame(rows, REPORT), ["snapshot"]).orderBy("snapshot").collect()
+    assert samples[0].observers == [1] and samples[0].suspected == {1: [3]} and samples[3].suspected == {1: None}
+
+
+def test_rotation(spark):
+    row = [(6, [6, 1], [7, 2], {7: "x"}, {1: [7, 3], 2: None}, [(6, 7), (7, None)])]
+    df = spark.createDataFrame(row, "speaker int, observers array<int>, dead array<int>, status map<int,string>, suspected map<int,array<int>>, votes array<struct<voter:int,target:int>>")
+    turn = lambda k: snapshots.rotated_rows(df, F.lit(k), ("speaker",), ("observers",), ("dead",), ("status",), ("suspected",), ("votes",)).first()
+    r = turn(2)
+    assert (r.speaker, r.observers, r.dead, r.status, r.suspected) == (1, [1, 3], [2, 4], {2: "x"}, {3: [2, 5], 4: None})
+    assert [tuple(v) for v in r.votes] == [(1, 2), (2, None)]
+    assert turn(7).speaker == 6 and turn(0).votes == turn(7).votes
+    assert snapshots.orbit(df).count() == 7
+
+
+def test_hard_knowledge_cases(spark):
+    log = [
+        (1, 2, "Werewolf", "werewolf_team_info", None, None, [2, 5]), (1, 2, "Werewolf", "vote", 3, None, None),
+        (2, 1, "Seer", "skill_seer", 4, "bad", None), (2, 1, "Seer", "skill_seer", 5, "good", None), (2, 1, "Seer", "skill_seer", 6, None, None), (2, 1, "Seer", "kill_decision", 7, None, None),
+        (3, 1, "Witch", "kill_decision", 3, None, None), (3, 1, "Witch", "kill_decision", 0, None, None), (3, 1, "Witch", "skill_seer", 4, "bad", None),
+        (4, 1, "Villager", None, None, None, None), (5, 1, "Seer", "skill_seer", 1, "bad", None),
+    ]
+    df = spark.createDataFrame(log, "game long, observer int, identity string, event string, target int, checked string, team array<int>")
+    got = {r.game: (r.known, r.cleared, r.n_compatible) for r in snapshots.hard_knowledge(df, ["game"]).collect()}
+    assert got == {1: ([2, 5], [1, 3, 4, 6, 7], 1), 2: ([4], [1, 5], 4), 3: ([], [1, 3], 10), 4: ([], [1], 15), 5: (None, None, 0)}
+
+
+def test_json_in_free_text(spark):
+    cases = {
+        " [1, 2] ": "[1,2]", '{"a": [1]}': "[1]", "x ```json\n[3]\n``` [4]": "[3]", "```\n{}\n``` then [bad] [5, [6]] [7]": "[5,[6]]", "none": None, "": None, "[" * 5000: None, '["é"]': '["é"]',
+    }
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", text.first_json_array("t").alias("r")).collect()
+    assert {r.t: r.r for r in rows} == cases | {None: None}
+    like = {"{'b': (1, 2), 'a': None}": '{"a":null,"b":[1,2]}', '```json\n{"b": 1}\n```': '{"b":1}', "open(1)": None, "": None, "{1, 2}": None}
+    rows = spark.createDataFrame([(k,) for k in like] + [(None,)], "t string").select("t", text.json_like("t").alias("r")).collect()
+    assert {r.t: r.r for r in rows} == like | {None: None}
+
+
+def test_manifest(spark, tmp_path):
+    good = {"schema_version": "s", "projection_version": "p", "total_game_count": 4, "splits": {}}
+    for name, ids in {"train": ["a", "b"], "validation": ["c"], "test": ["d"]}.items():
+        good["splits"][name] = {"game_ids": ids, "game_count": len(ids)}
+        good[f"{name}_game_count"] = len(ids)
+    path = tmp_path / "m.json"
+    path.write_text(json.dumps(good, indent=1))
+    assert sorted(map(tuple, jsonl.read_manifest(spark, str(path), "s", "p").collect())) == [("a", "train"), ("b", "train"), ("c", "validation"), ("d", "test")]
+    good["splits"]["test"]["game_ids"] = ["a", "a", " "]
+    path.write_text(json.dumps(good))
+    assert jsonl.manifest_violations(spark, str(path), "x", "p") == ["schema_version", "test:invalid_id", "test:duplicates", "test:game_count", "test:test_game_count", "overlap"]
+    with pytest.raises(ValueError, match="overlap"):
+        jsonl.read_manifest(spark, str(path), "s", "p")
+    path.write_text("no json")
+    assert "split_names" in jsonl.manifest_violations(spark, str(path), "s", "p")
