@@ -231,3 +231,24 @@ def test_manifest(spark, tmp_path):
         jsonl.read_manifest(spark, str(path), "s", "p")
     path.write_text("no json")
     assert "split_names" in jsonl.manifest_violations(spark, str(path), "s", "p")
+
+
+def test_private_field_names(spark):
+    cases = {'{"a":{"Memory":[{"x":1}]}}': ["a", "memory", "x"], '{"a":"\\"memory\\":1","b\\\\":["memory",":"]}': ["a", "b"], "[]": [], "no json": None, None: None, '{"k":"' + '\\"' * 20000 + '"}': ["k"]}
+    rows = spark.createDataFrame([(k,) for k in cases], "j string").select("j", snapshots.field_names(F.col("j")).alias("r")).collect()
+    assert {r.j: r.r for r in rows} == cases
+
+
+def test_frozen_snapshot(spark):
+    rows = [
+        ("g", 3, "1_day_speech", 2, "t", [(0, "phase_change", "1_day_speech", None, None), (1, "turn_start", None, "player2", None)]),
+        (" ", -1, "0_day_speech", 9, None, []),
+        (None, None, None, None, "t", None),
+        ("g", 0, "1_day_speech", 2, "t", [(0, "phase_change", "1_day_vote", None, None), (2, "public_speech", None, "player2", [["player2", "a", "player3"]])]),
+    ]
+    df = spark.createDataFrame(rows, f"game_id string, step_idx long, phase string, speaker int, report_trigger string, events {snapshots.EVENTS}")
+    good, bare, null, late = snapshots.frozen(df, ("t",)).collect()
+    assert good.violations == [] and good.public_action_count == 0 and good.label_cutoff_step_idx == 3
+    assert bare.violations == ["game_id", "step_idx", "phase", "speaker", "report_trigger", "no_events", "not_at_turn_start", "latest_phase"]
+    assert null.violations == ["game_id", "step_idx", "phase", "speaker", "no_events", "event_idx", "not_at_turn_start", "latest_phase"] and null.public_event_digest is None
+    assert late.violations == ["event_idx", "not_at_turn_start", "latest_phase"] and late.sp_actions == [["player2", "a", "player3"]]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veldra.functions.domain import N_PLAYERS, PAIRS, STATUSES
+from veldra.functions.domain import N_PLAYERS, PAIRS, STATUSES, canonical_json, digest, phase_parts
 
 def _empty() -> Column:
     return F.array().cast("array<int>")
@@ -137,3 +137,46 @@ def hard_knowledge(log: DataFrame, keys: list[str]) -> DataFrame:
     facts = log.groupBy(*keys).agg(flat(F.coalesce(team, known)).alias("k"), flat(F.coalesce(F.when(wolf, F.array_except(F.sequence(F.lit(1), F.lit(N_PLAYERS)), team)), cleared)).alias("c"), flat(own).alias("o"))
     pairs = compatible(F.col("k"), F.array_union("c", "o"))
     return facts.withColumn("pairs", pairs).withColumn("shut", closure(F.col("pairs"))).select(*keys, "shut.known", "shut.cleared", F.size("pairs").alias("n_compatible"))
+
+
+EVENTS = "array<struct<event_idx:long,event_type:string,phase:string,speaker:string,sp_actions:array<array<string>>>>"
+
+
+def frozen(snapshots: DataFrame, triggers: tuple[str, ...]) -> DataFrame:
+    """Snapshots with ``violations``, the digest of their events, their actions in order, the number of these and the label's cutoff.
+
+    A snapshot has game_id, step_idx, phase, speaker (a number), report_trigger
+    and ``events`` (see ``EVENTS``): what all observers saw before the speech,
+    which must end with the speaker's turn.
+    """
+    last = F.try_element_at(F.filter("events", lambda e: e["event_type"] == "phase_change"), F.lit(-1))["phase"]
+    end = F.try_element_at("events", F.lit(-1))
+    numbered = F.forall(F.transform("events", lambda e, i: e["event_idx"] == i), lambda x: F.coalesce(x, F.lit(False)))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    rules = {
+        "game_id": no(F.trim("game_id") != ""),
+        "step_idx": no(F.col("step_idx") >= 0),
+        "phase": phase_parts(F.col("phase")).isNull(),
+        "speaker": no(F.col("speaker").between(1, N_PLAYERS)),
+        "report_trigger": no(F.col("report_trigger").isin(*triggers)),
+        "no_events": no(F.size("events") > 0),
+        "event_idx": no(numbered),
+        "not_at_turn_start": no((end["event_type"] == "turn_start") & (end["speaker"] == F.concat(F.lit("player"), F.col("speaker").cast("string")))),
+        "latest_phase": no(last == F.col("phase")),
+    }
+    acts = F.flatten(F.transform(F.filter("events", lambda e: (e["event_type"] == "public_speech") & e["sp_actions"].isNotNull()), lambda e: e["sp_actions"]))
+    out = snapshots.withColumn("violations", F.filter(F.array(*[F.when(bad, name) for name, bad in rules.items()]), lambda x: x.isNotNull()))
+    return out.withColumns({"public_event_digest": digest(F.to_json("events")), "sp_actions": acts, "public_action_count": F.size(F.coalesce(acts, F.array().cast("array<array<string>>"))), "label_cutoff_step_idx": F.col("step_idx")})
+
+
+def field_names(json: Column) -> Column:
+    """Distinct lower-cased names of the fields of a JSON text, at any depth, sorted; null if it is no JSON."""
+    bare = F.regexp_replace(canonical_json(json), r"\\.", "")  # without escapes a quote ends its string
+    strings = F.regexp_extract_all(bare, F.lit('"[^"]*":?'), F.lit(0))
+    names = F.filter(strings, lambda s: s.endswith(":"))
+    return F.array_sort(F.array_distinct(F.transform(names, lambda s: F.lower(F.substring_index(F.substring(s, 2, 1 << 30), '":', 1)))))
+
+
+def private_fields(json: Column, names: tuple[str, ...]) -> Column:
+    """The private ``names`` (lower case) that stand as a field anywhere in a JSON text."""
+    return F.array_intersect(field_names(json), F.array(*map(F.lit, names)))

@@ -345,3 +345,27 @@ def hard_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extracted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     id_, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
     return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.first_json_array(F.concat(F.lit("So [sic] it is [ "), id_, F.lit(" , "), turn, F.lit("], not [0]."))).alias("found"), text.json_like(F.concat(F.lit("```json\n{'turn': "), turn, F.lit("}\n```"))).alias("literal"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, (turn + 1) || '_day_speech' AS phase, 'player' || (turn % 7 + 1) AS who FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'not_at_turn_start' WHEN turn % 3 = 1 THEN 'report_trigger,latest_phase' ELSE '' END AS violations, CAST(2 AS INT) AS public_action_count,
+  sha256('[{"event_idx":0,"event_type":"phase_change","phase":"' || phase || '"},{"event_idx":1,"event_type":"public_speech","sp_actions":[["player1","point_as_wolf","' || who || '"],["player1","support","player2"]],"speaker":"player1"},{"event_idx":2,"event_type":"turn_start","speaker":"' || who || '"}]') AS digest FROM c""")
+def frozen_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn")
+    phase, who = F.concat((turn + 1).cast("string"), F.lit("_day_speech")), F.concat(F.lit("player"), (turn % 7 + 1).cast("string"))
+    event = lambda i, kind, phase=None, speaker=None, acts=None: F.struct(F.lit(i).alias("event_idx"), F.lit(kind).alias("event_type"), F.lit(phase).alias("phase"), F.lit(speaker).alias("speaker"), F.lit(acts).alias("sp_actions"))
+    said = F.array(F.array(F.lit("player1"), F.lit("point_as_wolf"), who), F.array(F.lit("player1"), F.lit("support"), F.lit("player2")))
+    events = F.array(event(0, "phase_change", phase), event(1, "public_speech", None, "player1", said), event(2, "turn_start", None, who)).cast(N.EVENTS)
+    other = turn % 3 == 1
+    rows = A.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat(F.lit("game-"), F.col("conv_id").cast("string")).alias("game_id"), turn.alias("step_idx"), F.when(other, "1_day_vote").otherwise(phase).alias("phase"),
+        (F.when(turn % 3 == 0, turn + 1).otherwise(turn) % 7 + 1).alias("speaker"), F.when(other, "never").otherwise("pre_speech").alias("report_trigger"), events.alias("events"),
+    )
+    return N.frozen(rows, ("pre_speech",)).select("conv_id", "turn", F.array_join("violations", ",").alias("violations"), "public_action_count", F.col("public_event_digest").alias("digest"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'memory' ELSE '' END AS private FROM conversations""")
+def private_field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    json = F.to_json(F.when(F.col("role") == "user", F.struct(F.array(F.struct(F.col("text").alias("Memory"))).alias("log"))).otherwise(F.lit(None)))
+    shown = F.to_json(F.struct(F.col("text").alias("said"), F.lit('"god_view":1').alias("quoted")))
+    return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(N.private_fields(F.coalesce(json, shown), ("god_view", "memory", "teammate")), ",").alias("private"))
