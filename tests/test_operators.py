@@ -252,3 +252,20 @@ def test_frozen_snapshot(spark):
     assert bare.violations == ["game_id", "step_idx", "phase", "speaker", "report_trigger", "no_events", "not_at_turn_start", "latest_phase"]
     assert null.violations == ["game_id", "step_idx", "phase", "speaker", "no_events", "event_idx", "not_at_turn_start", "latest_phase"] and null.public_event_digest is None
     assert late.violations == ["event_idx", "not_at_turn_start", "latest_phase"] and late.sp_actions == [["player2", "a", "player3"]]
+
+
+def test_tampered_projection(spark):
+    reports = spark.createDataFrame([(1, [], [1], [2]), (2, [2, 3], [1, 4, 5, 6, 7], [2, 3])], "k int, known array<int>, cleared array<int>, suspected array<int>")
+    true = beliefs.projected(beliefs.legal_pairs(reports), ["k"]).select("k", "a", "b", "p")
+    assert not beliefs.tampered(true, reports, ["k"]).collect()
+    extra = spark.createDataFrame([(1, 1, 2, 0.0), (1, 1, 3, 0.5), (2, 2, 3, 1.0)], "k int, a int, b int, p double")
+    found = beliefs.tampered(true.where("not (k = 1 and a = 6)").unionByName(extra), reports, ["k"]).collect()
+    assert sorted((r.k, r.a, r.b, r.n_stored) for r in found) == [(1, 1, 3, 1), (1, 6, 7, 0), (2, 2, 3, 2)]
+
+
+def test_reparsed(spark):
+    a, b = ("player1", "point_as_wolf", "player2"), ("player1", "check_as_wolf", "player2")
+    rows = [(None, [a]), ("N/A", [a]), ("what?", [a]), ("1 | check_as_wolf | 2\n\n", [a]), ("1 | point_as_wolf | 2", [a]), ("1 | check_as_wolf | 2", None)]
+    df = spark.createDataFrame(rows, "t string, old array<struct<subject:string,action:string,object:string>>").select(text.reparsed(F.col("t"), F.col("old"), ACTIONS).alias("r"))
+    got = [(r.r.status, [tuple(x) for x in r.r.actions], [tuple(x) for x in r.r.added], [tuple(x) for x in r.r.removed]) for r in df.collect()]
+    assert got == [("missing", [a], [], []), ("empty", [], [], [a]), ("failed", [a], [], []), ("parsed", [b], [b], [a]), ("parsed", [a], [], []), ("parsed", [b], [b], [])]

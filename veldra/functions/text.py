@@ -118,3 +118,18 @@ def json_like(texts: pd.Series) -> pd.Series:
             return None
 
     return texts.map(of, na_action="ignore").astype(object)
+
+
+def reparsed(response: Column, old: Column, actions: tuple[str, ...]) -> Column:
+    """Outcome of parsing a stored response anew, against its ``old`` actions (array of subject, action, object).
+
+    ``status``: missing (null), empty (a marker that says so), failed (any line
+    that is no valid action) or parsed. A failed or missing response keeps the
+    old actions; ``added`` and ``removed`` are what changed. Null old actions
+    count as none.
+    """
+    kind = "array<struct<subject:string,action:string,object:string>>"
+    before = F.coalesce(old.cast(kind), F.array().cast(kind))
+    status = F.when(response.isNull(), "missing").when(is_empty_marker(unfenced(response)), "empty").when(F.size(rejected_lines(response, actions)) > 0, "failed").otherwise("parsed")
+    now = F.when(status == "empty", F.array().cast(kind)).when(status == "parsed", without_superseded(triplets(response, actions)).cast(kind)).otherwise(before)
+    return F.struct(status.alias("status"), now.alias("actions"), F.array_except(now, before).alias("added"), F.array_except(before, now).alias("removed"))

@@ -71,3 +71,17 @@ def argmax_ties(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows whose value is as good as the largest of its group (relative 1e-5, absolute 1e-8)."""
     top = F.max(value).over(Window.partitionBy(*keys))
     return rows.withColumn("top", top).where(F.abs(F.col(value) - F.col("top")) <= 1e-8 + 1e-5 * F.abs("top")).drop("top")
+
+
+def tampered(stored: DataFrame, reports: DataFrame, keys: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """Pairs whose ``stored`` probability (keys, a, b, p) is not what the report gives: missing, of no legal pair, null, or off by more than ``tolerance``.
+
+    Probability 0 may be stored or left out for a pair that is not legal. Rows
+    stored twice are counted in ``n_stored`` and are wrong even if equal.
+    """
+    due = projected(legal_pairs(reports), keys).select(*keys, "a", "b", F.col("p").alias("due"))
+    have = stored.groupBy(*keys, "a", "b").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.count("*").alias("n_stored"), F.count("p").alias("n_known"))
+    zero = F.coalesce("due", F.lit(0.0))
+    right = (F.col("n_stored") == 1) & (F.col("n_known") == 1) & (F.abs(F.col("low") - zero) <= tolerance)
+    wrong = have.join(due, [*keys, "a", "b"], "full_outer").where(~F.coalesce(right, F.lit(False)))
+    return wrong.select(*keys, "a", "b", "due", "low", "high", F.coalesce("n_stored", F.lit(0)).alias("n_stored"))

@@ -369,3 +369,23 @@ def private_field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     json = F.to_json(F.when(F.col("role") == "user", F.struct(F.array(F.struct(F.col("text").alias("Memory"))).alias("log"))).otherwise(F.lit(None)))
     shown = F.to_json(F.struct(F.col("text").alias("said"), F.lit('"god_view":1').alias("quoted")))
     return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(N.private_fields(F.coalesce(json, shown), ("god_view", "memory", "teammate")), ",").alias("private"))
+
+
+@query(f"""WITH {_BELIEFS}, r AS (SELECT report_id, CAST(a AS INT) AS a, CAST(b AS INT) AS b, p, row_number() OVER (PARTITION BY report_id ORDER BY a, b) AS k FROM t)
+SELECT report_id, a, b, round(p, 9) AS due, CASE report_id % 10 WHEN 0 THEN round(p + 0.25, 9) END AS low, CAST(CASE report_id % 10 WHEN 0 THEN 1 ELSE 0 END AS BIGINT) AS n_stored FROM r WHERE a = 6 AND b = 7 AND report_id % 10 < 2""")
+def tampered_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = A.beliefs(spark, sf_dir)
+    last = (F.col("a") == 6) & (F.col("b") == 7)
+    true = B.projected(B.legal_pairs(reports), ["report_id"]).select("report_id", "a", "b", "p")
+    stored = true.where(~(last & (F.col("report_id") % 10 == 1))).withColumn("p", F.when(last & (F.col("report_id") % 10 == 0), F.col("p") + 0.25).otherwise(F.col("p")))
+    return B.tampered(stored, reports, ["report_id"]).select("report_id", "a", "b", F.round("due", 9).alias("due"), F.round("low", 9).alias("low"), "n_stored")
+
+
+@query("""WITH p AS (SELECT CASE WHEN p_size % 4 = 0 THEN 'empty' WHEN p_size BETWEEN 1 AND 7 THEN 'parsed' ELSE 'failed' END AS status, p_size <> 2 AS differs FROM part)
+SELECT status, count(*) AS n, CAST(sum(CASE WHEN status = 'parsed' AND differs THEN 1 ELSE 0 END) AS BIGINT) AS n_added, CAST(sum(CASE WHEN status = 'empty' OR (status = 'parsed' AND differs) THEN 1 ELSE 0 END) AS BIGINT) AS n_removed FROM p GROUP BY 1""")
+def reparse_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    response = F.when(size % 4 == 0, "NONE").otherwise(F.concat(F.lit("* player1 | point_as_wolf | player"), size.cast("string")))
+    old = F.array(F.struct(F.lit("player1").alias("subject"), F.lit("point_as_wolf").alias("action"), F.lit("player2").alias("object")))
+    r = A.table(spark, sf_dir, "part").select(text.reparsed(response, old, ("point_as_wolf",)).alias("r")).select("r.*")
+    return r.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.size("added")).alias("n_added"), F.sum(F.size("removed")).alias("n_removed"))
