@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import zlib
 from collections import Counter
@@ -268,3 +269,19 @@ def test_pipeline_stages(spark):
         if name == "secret scan":
             assert all(not secrets.spans_of(r.text) for r in docs.collect())
     assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect()}
+
+
+def test_bpe_of_random_strings():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from veldra.llm.bpe import ByteBPE
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(3)
+    parts = ["a", "aa", "aaa", " ", "  ", "\n", "'s", "é", "ж", "漢", "́", "😀", "\x85", "\xa0", "½", "ʰ", "<|endoftext|>", "!", "ԯ", "԰", "ա", "\x00", "the", "ing"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(2000)] + ["a" * n for n in range(40)]
+    ours, theirs = ByteBPE.load(path), Tokenizer.from_file(path)
+    ids = [x.tolist() for x in ours.encode_batch(texts)]
+    assert ids == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+    assert [ours.decode(x) for x in ids] == texts
