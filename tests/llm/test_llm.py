@@ -91,6 +91,29 @@ def test_packing(docs, empty):
     assert not packing.pack(empty, path).collect()
 
 
+@pytest.mark.parametrize("sources,grain", [(300, packing.GRAIN), (2000, packing.GRAIN), (40, 1)])
+def test_packing_of_many_sources(spark, sources, grain):
+    """Every source keeps a queue of its own and gets its share all along, and every token is there once."""
+    path, size, windows = queries.vocabulary("word_bpe_49k.json"), 256, 32
+    rng = np.random.default_rng(7)
+    rows = [(i, "one two three four five six seven " * int(rng.integers(1, 12)), f"host{i % sources}") for i in range(10 * sources)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").orderBy("source").repartitionByRange(4, "source")
+    pieces = packing.pack(frame, path, size=size, windows=windows, with_ids=False).toPandas()
+    assert set(pieces["queue"]) == {f"=host{k}" for k in range(sources)}
+    assert (pieces.groupby("doc_id")["length"].sum() == pieces.groupby("doc_id")["doc_tokens"].first()).all() and pieces["doc_id"].nunique() == len(rows)
+    for _, p in pieces.sort_values(["doc_id", "start"]).groupby("doc_id"):
+        assert (p["start"].to_numpy() == np.r_[0, np.cumsum(p["length"])[:-1]]).all()
+    for _, p in pieces.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert (p["offset"].to_numpy() == np.r_[0, np.cumsum(p["length"])[:-1]]).all() and p["length"].sum() == p["sequence_length"].iloc[0] <= size
+    # after each window every source has had its share of all tokens so far, within some grains
+    order = np.unique(pieces["sequence_id"], return_inverse=True)[1]
+    lane, names = pieces["queue"].factorize()
+    had = np.zeros((order.max() + 1, len(names)))
+    np.add.at(had, (order, lane), pieces["length"].to_numpy())
+    due = np.outer(np.cumsum(had.sum(axis=1)) / had.sum(), had.sum(axis=0))
+    assert np.abs(np.cumsum(had, axis=0) - due).max() <= 2 * grain + 1
+
+
 def brute_groups(texts, size, percent):
     sets = []
     for t in texts:

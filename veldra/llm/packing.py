@@ -2,17 +2,19 @@
 
 Every source is a queue of documents. The corpus is cut into blocks of
 ``windows`` windows; block b takes from queue s the tokens floor(b*T_s/B) to
-floor((b+1)*T_s/B) of its stream, so each block has the target proportions to
-within a token and inherits the rest, the deficit, from the block before.
-Inside a block a deficit round-robin fills window after window: a queue earns
-its share of each window, is served what it has earned in whole tokens, and
-carries the rest on. Only the last window of a block can have padding (half a
-window in ``windows`` on average).
+floor((b+1)*T_s/B) of its stream, so each block has the target proportions (the
+corpus's own) to within a grain and inherits the rest, the deficit, from the
+block before. Inside a block the grains of all queues are served in the order
+in which a perfectly even server would be half through each, so a queue is
+never more than about a grain ahead or behind. A grain is one token for up to
+``FINE_QUEUES`` queues; beyond, ``GRAIN`` tokens, with block bounds in whole
+grains and staggered by queue, so that pieces stay fewer than tokens / ``GRAIN``
+and windows. Only the last window of a block can have padding (half a window
+in ``windows`` on average).
 
 Defined results: a null text counts as empty and still yields its end token;
-a null source is a queue of its own; repeated rows are packed once each;
-sources beyond the ``max_queues`` largest share one queue, so the state of a
-round has a bound; an empty table yields no pieces.
+a null source is a queue of its own; repeated rows are packed once each; every
+source is a queue, however many there are; an empty table yields no pieces.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from veldra.llm.textcore import Words, chunks, flat
 CACHE_WORDS = 1_500_000
 #: Offsets of (partition, queue) are broadcast up to this many rows and joined by shuffle beyond.
 BROADCAST_ROWS = 100_000
+#: Queues up to which tokens are dealt one by one, and tokens dealt at once beyond.
+FINE_QUEUES, GRAIN = 256, 8
 
 class WordIds:
     """Ids of texts by the tokenizers library, one call per distinct run of non-space characters (this vocabulary drops white space)."""
@@ -126,97 +130,88 @@ def tokenised(docs: DataFrame, vocab: str, end_id: int, text: str = "text", sour
     return rows.mapInArrow(run, "doc_id long, queue string, part int, start long, n_tokens long, ids binary")
 
 
-def serve(amounts: np.ndarray, carry: np.ndarray, size: int) -> np.ndarray:
-    """Tokens that each window takes from each queue (windows x queues) by deficit round-robin, until all queues are empty."""
-    total = int(amounts.sum())
-    sizes = [size] * (total // size) + ([total % size] if total % size else [])
-    left, deficit, share = amounts.astype(np.int64).copy(), carry.astype(float) - carry.mean(), amounts / max(total, 1)
-    out = np.zeros((len(sizes), len(amounts)), np.int64)
-    for w, room in enumerate(sizes):
-        deficit += room * share
-        take = np.minimum(np.maximum(np.floor(deficit), 0).astype(np.int64), left)
-        while (rest := room - int(take.sum())) != 0:
-            if rest > 0:
-                order = np.argsort(np.where(left > take, take - deficit, np.inf), kind="stable")
-                open_ = order[: int((left > take).sum())]
-                if rest >= len(open_):
-                    take[open_] += np.minimum(left[open_] - take[open_], max(1, rest // len(open_)))
-                else:
-                    take[open_[:rest]] += 1
-            else:
-                order = np.argsort(np.where(take > 0, deficit - take, np.inf), kind="stable")
-                take[order[: min(-rest, int((take > 0).sum()))]] -= 1
-        deficit -= take
-        left -= take
-        out[w] = take
-    return out
-
-
-def pack(docs: DataFrame, vocab: str, size: int = 2048, windows: int = 512, end_id: int = 1, max_queues: int = 256, text: str = "text", source: str = "source", doc_id: str = "doc_id", with_ids: bool = True) -> DataFrame:
+def serve(amounts: np.ndarray, share: np.ndarray, lag: np.ndarray, size: int, grain: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Flat starts (queues one after the other) and windows of all draws: grains in the order of their even service times.
+
+    ``share`` is what a queue earns in a block and ``lag`` what it is owed from the block before.
+    """
+    first = np.cumsum(amounts) - amounts
+    lane = np.repeat(np.arange(len(amounts)), amounts)
+    k = np.arange(len(lane)) - first[lane]
+    order = np.argsort((k // grain * grain + grain / 2 - lag[lane]) / share[lane], kind="stable")
+    window = np.empty(len(lane), np.int64)
+    window[order] = np.arange(len(lane)) // size
+    starts = np.flatnonzero(np.r_[True, (lane[1:] != lane[:-1]) | (window[1:] != window[:-1])][: len(lane)])
+    return starts, window[starts]
+
+
+def pack(docs: DataFrame, vocab: str, size: int = 2048, windows: int = 512, end_id: int = 1, text: str = "text", source: str = "source", doc_id: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, source queue and, if asked, its ids."""
     narrow = WordIds.load(vocab).tokenizer.get_vocab_size() <= 1 << 16
     width, kind = (2, "<u2") if narrow else (4, "<u4")
     rows = staged(tokenised(docs, vocab, end_id, text, source, doc_id, narrow), "tokens")
     parts = staged(rows.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n")), "parts")
-    # the largest queues stand alone
-    sums = parts.groupBy("queue").agg(F.sum("n").alias("n"))
-    own = sums.orderBy(F.desc("n"), "queue").limit(max_queues - 1).select("queue", F.lit(True).alias("own"))
-    parts = parts.join(F.broadcast(own), "queue", "left")
-    parts = parts.withColumn("lane", F.when(F.col("own"), F.col("queue")).otherwise(F.lit("others")))
-    totals = parts.groupBy("lane").agg(F.sum("n").alias("lane_total"))
-    whole = totals.agg(F.sum("lane_total")).first()[0] or 0
+    totals = staged(parts.groupBy("queue").agg(F.sum("n").alias("queue_total")), "totals")
+    whole, queues = totals.agg(F.coalesce(F.sum("queue_total"), F.lit(0)), F.count("*")).first()
     blocks = max(1, round(whole / (size * windows)))
-    base = F.sum("n").over(Window.partitionBy("lane").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = parts.join(F.broadcast(totals), "lane").select("queue", "part", "lane", "lane_total", F.coalesce(base, F.lit(0)).alias("base"))
+    grain = 1 if queues <= FINE_QUEUES else GRAIN
+    if queues <= BROADCAST_ROWS:
+        totals = F.broadcast(totals)
+    base = F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.join(totals, "queue").select("queue", "part", "queue_total", F.coalesce(base, F.lit(0)).alias("base"), (F.lit(0) if grain == 1 else F.pmod(F.xxhash64("queue"), F.lit(blocks))).cast("long").alias("phase"))
     offsets = staged(offsets, "offsets")
     if offsets.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     placed = rows.join(offsets, ["queue", "part"]).withColumn("at", F.col("base") + F.col("start"))
 
-    total, each, rest = F.col("lane_total"), F.expr(f"lane_total div {blocks}"), F.col("lane_total") % blocks
-    low = lambda b: b * each + F.floor(b * rest / F.lit(blocks)).cast("long")  # noqa: E731  floor(b * total / blocks)
+    total, phase = F.col("queue_total"), F.col("phase")
+    grains = F.expr(f"(queue_total + {grain - 1}) div {grain}")
+    each, rest = F.expr(f"(queue_total + {grain - 1}) div {grain} div {blocks}"), grains % blocks
+    owed = lambda b: (b * rest + phase) % blocks / F.lit(blocks)  # noqa: E731  of the next grain, when block b begins
 
-    def block_of(p):
-        guess = F.least(F.greatest(F.floor(p / total * blocks).cast("long"), F.lit(0)), F.lit(blocks - 1))
-        for _ in range(2):
-            guess = F.when(low(guess + 1) <= p, guess + 1).when(low(guess) > p, guess - 1).otherwise(guess)
-        return guess
+    def low(b):
+        """First token of block b: grain floor((b * grains + phase) / blocks)."""
+        return F.least((b * each + F.floor((b * rest + phase) / F.lit(blocks)).cast("long")) * grain, total)
 
-    cut = placed.withColumn("block", F.explode(F.sequence(block_of(F.col("at")), block_of(F.col("at") + F.col("n_tokens") - 1))))
+    # exact while tokens * blocks < 2**63; an overflow is an error, never a wrong block
+    parts_of = F.expr(f"at div {grain}"), F.expr(f"(at + n_tokens - 1) div {grain}")
+    placed = placed.withColumn("grains", grains).withColumn("first", parts_of[0] * blocks + (blocks - 1) - phase).withColumn("last", parts_of[1] * blocks + (blocks - 1) - phase)
+    spread = F.sequence(F.expr("first div grains"), F.expr("last div grains"))
+    cut = placed.withColumn("block", F.explode(spread if grain == 1 else F.filter(spread, lambda b: low(b + 1) > low(b))))
     a = F.greatest(low(F.col("block")), F.col("at"))
     b = F.least(low(F.col("block") + 1), F.col("at") + F.col("n_tokens"))
     cut = cut.withColumn("a", a).withColumn("b", b).where("b > a").select(
-        "block", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("nameless"), "lane", F.col("n_tokens").alias("doc_tokens"), "a", (F.col("a") - F.col("at")).alias("from"),
-        (F.col("block") * rest % blocks / F.lit(blocks)).cast("double").alias("carry"),
+        "block", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("nameless"), "queue", F.col("n_tokens").alias("doc_tokens"), "a", (F.col("a") - F.col("at")).alias("from"),
+        (grains * grain / F.lit(blocks)).alias("share"), (owed(F.col("block")) * grain - (0 if grain == 1 else grain / 2)).alias("lag"),
         F.expr(f"substring(ids, cast({width} * (a - at) + 1 as int), cast({width} * (b - a) as int))").alias("ids"))
 
     def fill(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["lane", "a"], kind="stable", ignore_index=True)
+        table = table.sort_values(["queue", "a"], kind="stable", ignore_index=True)
         lengths = table["ids"].map(len).to_numpy(np.int64) // width
         ids = np.frombuffer(b"".join(table["ids"]), kind).astype("<u4")
-        lanes, lane = np.unique(table["lane"].to_numpy(str), return_inverse=True)
-        amounts = np.bincount(lane, lengths, len(lanes)).astype(np.int64)
-        carry = np.zeros(len(lanes))
-        carry[lane] = table["carry"]
-        taken = serve(amounts, carry, size)
-        # flat positions: queues one after the other; cuts after each window's draw
-        lane_start = np.r_[0, np.cumsum(amounts)[:-1]]
-        cuts = (lane_start + np.cumsum(taken, axis=0)).T.ravel() if len(taken) else np.empty(0, np.int64)
-        before = np.cumsum(taken, axis=1) - taken  # place of a queue's draw in its window
+        lane, names = pd.factorize(table["queue"])  # in order of names, as the table is
+        amounts = np.bincount(lane, lengths, len(names)).astype(np.int64)
+        head = np.searchsorted(lane, np.arange(len(names)))
+        starts, window = serve(amounts, table["share"].to_numpy(float)[head], table["lag"].to_numpy(float)[head], size, grain)
+        # draws of a window stand one after the other, in order of names
+        drawn = np.diff(np.r_[starts, len(ids)])
+        order = np.argsort(window, kind="stable")
+        filled = np.bincount(window, drawn).astype(np.int64)
+        place = np.empty(len(starts), np.int64)
+        place[order] = np.cumsum(drawn[order]) - drawn[order] - (np.cumsum(filled) - filled)[window[order]]
         doc_start = np.r_[0, np.cumsum(lengths)]
-        edges = np.unique(np.concatenate([doc_start, cuts]))
+        edges = np.union1d(doc_start, starts)
         lo, hi = edges[:-1], edges[1:]
         doc = np.searchsorted(doc_start, lo, "right") - 1
-        draw = np.searchsorted(cuts, lo, "right")
-        of_lane, window = draw // max(len(taken), 1), draw % max(len(taken), 1)
-        begin = lane_start[of_lane] + np.cumsum(taken, axis=0)[window, of_lane] - taken[window, of_lane]
+        draw = np.searchsorted(starts, lo, "right") - 1
+        window = window[draw]
         view = memoryview(ids).cast("B")
         t = table.iloc[doc]
         return pd.DataFrame({
             "doc_id": t["doc_id"].array, "nameless": t["nameless"].array, "start": t["from"].to_numpy() + lo - doc_start[doc], "length": hi - lo,
             "ids_crc32": [zlib.crc32(view[4 * i : 4 * j]) for i, j in zip(lo.tolist(), hi.tolist())], "doc_tokens": t["doc_tokens"].array,
-            "sequence_id": t["block"].to_numpy(np.int64) * (2 * windows + 2) + window, "offset": before[window, of_lane] + lo - begin,
-            "sequence_length": taken.sum(axis=1)[window], "queue": t["lane"].array,
+            "sequence_id": t["block"].to_numpy(np.int64) * (2 * windows + 2) + window, "offset": place[draw] + lo - starts[draw],
+            "sequence_length": filled[window], "queue": t["queue"].array,
             "ids": [ids[i:j].tolist() if with_ids else None for i, j in zip(lo.tolist(), hi.tolist())],
         })
 
