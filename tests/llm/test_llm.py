@@ -308,6 +308,22 @@ def test_substring_index_runs_and_compaction(docs):
     assert [got[i].kept_text for i in range(len(TEXTS))] == [" ".join(k) for k in kept]
 
 
+def test_substrings_of_a_batch_against_history(docs, empty):
+    """Batches fed one by one, each before and after it is appended, against brute force over what has come so far."""
+    split = [[i for i in range(len(TEXTS)) if i * 7 % 3 == k] for k in range(3)]
+    index = substring.FingerprintIndex(docs.sparkSession, 35, fan_in=2)
+    for k, ids in enumerate(split):
+        batch = docs.where(F.col("doc_id").isin(ids))
+        so_far = [i for part in split[: k + 1] for i in part]
+        kept = dict(zip(so_far, brute_kept([TEXTS[i] for i in so_far], 35)[1]))
+        assert {i: r.kept_text for i, r in by_id(substring.without_repeats(batch, index=index)).items()} == {i: " ".join(kept[i]) for i in ids}
+        index.append(batch)
+        assert {i: r.kept_text for i, r in by_id(substring.without_repeats(batch, index=index)).items()} == {i: " ".join(kept[i]) for i in ids}
+    first = by_id(substring.without_repeats(docs.where(F.col("doc_id").isin(split[0])), index=index))
+    assert {i: r.kept_text for i, r in first.items()} == {i: " ".join(kept[i]) for i in split[0]}
+    assert len(index.window_runs) <= 2 and not substring.without_repeats(empty, index=index).collect()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

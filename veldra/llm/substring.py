@@ -4,8 +4,15 @@ The fingerprint of a window of ``window`` words is the least hash among its
 ``GRAM``-word runs; equal windows have equal fingerprints, and neighbouring
 windows mostly share one, so about a twelfth of all positions is indexed. Each
 batch becomes an immutable run of (fingerprint, occurrences), sorted by
-fingerprint. Runs are merge-joined to find the fingerprints that occur more
-than once, and are compacted into one when there are more than ``FAN_IN``.
+fingerprint, and, if the index keeps history, a second one of all its window
+hashes with their count and one place each, sorted by hash. Runs are grouped
+together to find what occurs more than once, and are compacted into one when
+there are more than ``FAN_IN``.
+
+A batch is cleaned against history by its runs alone, whether it has been
+appended already (a second look) or not: the hashes of its windows are joined
+with those of all runs, and earlier texts are not read again. A row whose id
+and text the index has seen is taken as that row, not as a copy of it.
 
 Only windows whose fingerprint repeats are compared: a bit map of fixed size
 (broadcast; false hits cost rows, never results) picks them in a second scan,
@@ -27,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from veldra.llm.store import new_path, staged
@@ -68,10 +75,20 @@ def _second(words: Words) -> np.ndarray:
     return out
 
 
+def _place() -> Column:
+    """Where a window stands: the key of its text and its start."""
+    return F.xxhash64("__key", "start")
+
+
+def _keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns, __id, __key (names id and text), hashes of the text, and __text."""
+    text, doc_id = F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return docs.select(*keep, doc_id.alias("__id"), F.xxhash64(doc_id, text).alias("__key"), F.xxhash64(text).alias("__t"), F.xxhash64(F.lit(7), text).alias("__u"), text.alias("__text"))
+
+
 def _marked(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns, __key (names id and text), __text, and for texts that occur more than once __rep, the least id among their rows."""
-    text, doc_id = F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.select(*keep, doc_id.alias("__id"), F.xxhash64(doc_id, text).alias("__key"), F.xxhash64(text).alias("__t"), F.xxhash64(F.lit(7), text).alias("__u"), text.alias("__text"))
+    rows = _keyed(docs, keep)
     copies = staged(rows.where("length(__text) > 0").groupBy("__t", "__u").agg(F.count("*").alias("__n"), F.min("__id").alias("__rep")).where("__n > 1").drop("__n"), "copies")
     if copies.count() <= BROADCAST_KEYS:
         copies = F.broadcast(copies)
@@ -83,21 +100,30 @@ def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (m & U64(bits - 1)).astype(np.int64), (m >> U64(32)).astype(np.int64) & (bits - 1)
 
 
+def _in_map(hashes: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    x, y = _places(hashes, bits)
+    return ((table[x >> 6] >> (x & 63).astype(U64)) & (table[y >> 6] >> (y & 63).astype(U64)) & U64(1)).astype(bool)
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints; ``append`` a batch, then ask for what repeats."""
+    """Sorted immutable runs of window fingerprints and, with ``history``, of window hashes; ``append`` batches, then ask what repeats in any batch."""
 
-    def __init__(self, spark: SparkSession, window: int = 35, fan_in: int = FAN_IN):
-        self.spark, self.window, self.fan_in = spark, window, fan_in
+    def __init__(self, spark: SparkSession, window: int = 35, fan_in: int = FAN_IN, history: bool = True):
+        self.spark, self.window, self.fan_in, self.history = spark, window, fan_in, history
         self.runs: list[str] = []
+        self.window_runs: list[str] = []
 
-    def _write(self, counts: DataFrame) -> str:
+    def _write(self, counts: DataFrame, by: tuple[str, ...] = ("fingerprint",)) -> str:
         path = new_path(self.spark, "run")
-        counts.sortWithinPartitions("fingerprint").write.option("compression", "zstd").parquet(path)
+        counts.sortWithinPartitions(*by).write.option("compression", "zstd").parquet(path)
         return path
 
     def _read(self) -> DataFrame:
         return self.spark.read.schema("fingerprint long, n long").parquet(*self.runs)
 
+    def _read_windows(self) -> DataFrame:
+        return self.spark.read.schema("h long, g int, n long, place long").parquet(*self.window_runs)
+
     def append(self, docs: DataFrame) -> None:
         """Index a batch as one more run."""
         window = self.window
@@ -110,12 +136,17 @@ class FingerprintIndex:
 
         found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "fingerprint long, n long")
         self.runs.append(self._write(found.groupBy("fingerprint").agg(F.sum("n").alias("n"))))
+        if self.history:
+            windows = self._windows(_keyed(docs).select("__key", "__text")).select("h", "g", _place().alias("place"))
+            self.window_runs.append(self._write(windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("place").alias("place")), ("h", "g")))
         if len(self.runs) > self.fan_in:
             self.compact()
 
     def compact(self) -> None:
         """Merge all runs into one."""
         self.runs = [self._write(self._read().groupBy("fingerprint").agg(F.sum("n").alias("n")))]
+        if self.window_runs:
+            self.window_runs = [self._write(self._read_windows().groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("place").alias("place")), ("h", "g"))]
 
     def repeated(self) -> DataFrame:
         """Fingerprints that occur more than once in all batches together."""
@@ -143,22 +174,18 @@ class FingerprintIndex:
         out[got.column("word").to_numpy()] = got.column("mask").to_numpy().view(U64)
         return out, bits
 
-    def repeats(self, marked: DataFrame) -> DataFrame:
-        """__key and __starts array<int>: the windows of all batches appended so far (as ``_marked`` gives them) that also start in another text or place."""
+    def _windows(self, rows: DataFrame, have: tuple | None = None) -> DataFrame:
+        """h, g, __key, start of all windows of ``rows`` (__key, __text), or of those whose fingerprint is in the bit map ``have``."""
         window = self.window
-        table, bits = self._map_of(staged(self.repeated(), "repeated"))
-        table = self.spark.sparkContext.broadcast(table)
+        table, bits = have or (None, 0)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            have = table.value
             for b in chunks(batches, "__text"):
                 words = Words(*flat(b.column(1)))
                 starts, anchors, grams = _fingerprints(words, window)
                 if not len(starts):
                     continue
-                x, y = _places(grams, bits)
-                hit = ((have[x >> 6] >> (x & 63).astype(U64)) & (have[y >> 6] >> (y & 63).astype(U64)) & U64(1)).astype(bool)
-                s = starts[hit[anchors]]
+                s = starts if table is None else starts[_in_map(grams, table.value, bits)[anchors]]
                 owner = np.searchsorted(words.bounds, s, "right") - 1
                 first, second = span(words.prefix(), s, s + window), span(_second(words), s, s + window)
                 for a in range(0, len(s), 100_000):
@@ -168,16 +195,42 @@ class FingerprintIndex:
                         pa.array(b.column(0).to_numpy()[owner[o]]), pa.array((s[o] - words.bounds[owner[o]]).astype(np.int32)),
                     ], ["h", "g", "__key", "start"])
 
+        return rows.mapInArrow(run, "h long, g int, __key long, start int")
+
+    def repeats(self, marked: DataFrame) -> DataFrame:
+        """__key and __starts array<int>: the windows of ``marked`` (as ``_marked`` gives it) that also start in another text or place, there or in any batch of a kept history."""
         speakers = marked.where("__rep is null or __rep = __id").select("__key", "__text")
-        windows = staged(speakers.mapInArrow(run, "h long, g int, __key long, start int"), "windows")
+        if self.history:
+            return self._repeats_in_history(staged(self._windows(speakers), "windows"))
+        table, bits = self._map_of(staged(self.repeated(), "repeated"))
+        windows = staged(self._windows(speakers, (self.spark.sparkContext.broadcast(table), bits)), "windows")
         twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
         return windows.join(twice, ["h", "g"], "left_semi").groupBy("__key").agg(F.collect_set("start").alias("__starts"))
 
+    def _repeats_in_history(self, windows: DataFrame) -> DataFrame:
+        own = windows.groupBy("h", "g").agg(F.count("*").alias("here"))
+        found = windows.join(own, ["h", "g"])
+        if self.window_runs:
+            # only the hashes that the batch may have are shuffled
+            table, bits = self._map_of(own.select(F.col("h").alias("fingerprint")))
+            table = self.spark.sparkContext.broadcast(table)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    yield b.filter(pa.array(_in_map(b.column(0).to_numpy().view(U64), table.value, bits)))
+
+            past = self._read_windows().mapInArrow(run, "h long, g int, n long, place long")
+            past = past.groupBy("h", "g").agg(F.sum("n").alias("past"), F.min("place").alias("place"))
+            found = found.join(past, ["h", "g"], "left").where((F.col("here") > 1) | (F.col("past") > 1) | ((F.col("past") == 1) & (F.col("place") != _place())))
+        else:
+            found = found.where("here > 1")
+        return found.groupBy("__key").agg(F.collect_set("start").alias("__starts"))
+
 
 def without_repeats(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = ("doc_id",), index: FingerprintIndex | None = None) -> DataFrame:
-    """``keep`` columns, n_words, n_removed and kept_text (the words not covered by a repeated window, joined by one space)."""
+    """``keep`` columns, n_words, n_removed and kept_text (the words not covered by a repeated window, joined by one space); with an ``index``, against all its batches too."""
     if index is None:
-        index = FingerprintIndex(docs.sparkSession, window)
+        index = FingerprintIndex(docs.sparkSession, window, history=False)
         index.append(docs)
     rows = _marked(docs, keep)
     starts = staged(index.repeats(rows), "starts")
