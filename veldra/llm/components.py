@@ -40,9 +40,21 @@ def components(edges: DataFrame) -> DataFrame:
     stars = staged(stars, "edges")
     before = _state(stars)
     while before[0]:
-        stars = staged(_small_star(_large_star(stars)), "stars")
+        stars = staged(_small_star(_large_star(stars)), "stars", instead_of=stars)
         now = _state(stars)
         if now == before:
             break
         before = now
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component as ``components`` gives them, or None) with further ``links`` (a, b) taken in; only the links are worked on again."""
+    if labels is None:
+        return components(links)
+    named = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
+    edges = links.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    found = components(edges.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")))
+    over = found.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    known = labels.join(over, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    return staged(known.unionByName(found), "labels")

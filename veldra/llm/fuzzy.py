@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from veldra.llm.store import staged
-from veldra.llm.textcore import U64, mix, powers
+from veldra.llm.textcore import U64, mix
 
 #: The letters of a signature.
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -39,6 +39,23 @@ COMMON = 5
 _BASE = 0xA24BAED4963EE407
 
 
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, ``n`` at least."""
+    if not _powers or len(_powers[0]) < n:
+        both = []
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(1 << max(16, (n - 1).bit_length()), b, U64)
+            x[0] = 1
+            both.append(np.multiply.accumulate(x))
+        if len(both[0]) > 1 << 22:
+            return both[0], both[1]
+        _powers[:] = both
+    return _powers[0], _powers[1]
+
+
 def _levels(data: np.ndarray) -> np.ndarray:
     """For each byte the number of set low bits of the hash of the seven bytes that end there."""
     padded = np.r_[np.zeros(ROLL - 1, U64), data.astype(U64) + U64(1)]
@@ -58,7 +75,7 @@ def fingerprint(data: bytes) -> str:
     level[-1] = 64  # the text's end closes a chunk at every size
     counts = np.cumsum(np.bincount(np.minimum(level, 40), minlength=41)[::-1])[::-1]  # chunks at each k
     k = int(np.argmax(counts <= MOST))
-    up, down = powers(_BASE, len(raw))
+    up, down = powers(len(raw))
     sums = np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)])
     out = []
     for size in (k, k + 1):

@@ -3,7 +3,9 @@
 Every set of word shingles is sketched by the minima of many universal hash
 functions. Bands of minima name buckets; within a bucket, members are paired
 with one head at a time (never all with all), pairs whose signatures rule out
-the threshold are dropped, and the others are verified on their full sets.
+the threshold are dropped, and the others are verified on their full sets, by
+the words themselves. Components are kept as labels, and each round joins only
+what it has found.
 Heads change from round to round; when stars make no more progress, the pairs
 that are still open inside buckets (different components, never compared) are
 compared exhaustively, so no link between components is lost to the star
@@ -16,8 +18,8 @@ A to Z lower-cased. A document's set holds its distinct ``words``-word
 shingles, or the whole sequence if it is shorter.
 
 Defined results: null, empty and blank texts have empty sets and link with
-nothing; documents with equal sets are collapsed before banding and share a
-component; rows that repeat an id count as one document; a row without an id
+nothing; documents with equal sets (named by 128 bits of two independent hash
+families) are collapsed before banding and share a component; rows that repeat an id count as one document; a row without an id
 links with nothing, its component is null and it is kept; an empty table gives
 no rows; other columns are ignored.
 """
@@ -32,9 +34,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from veldra.llm.components import components
+from veldra.llm.components import merged
 from veldra.llm.store import staged
-from veldra.llm.textcore import U64, Words, chunks, distinct_words, flat, mix, span
+from veldra.llm.textcore import U64, Words, chunks, distinct_words, flat, mix, runs
 
 #: Minima in a band.
 ROWS = 4
@@ -56,12 +58,25 @@ STAR_ROUNDS = 6
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles (in text order) and the text of each."""
-    n = words.counts
+    first, owner = _places(words.counts, words.bounds, size)
+    return _hashed(words.hashes, first, words.counts[owner], size), owner
+
+
+def _places(n: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and text of each shingle; a shorter text has one shingle."""
     per = np.where(n >= size, n - size + 1, (n > 0).astype(n.dtype))
     owner = np.repeat(np.arange(len(n)), per)
-    first = words.bounds[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-    last = np.minimum(first + size, words.bounds[1:][owner])
-    return span(words.prefix(), first, last), owner
+    return bounds[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per), owner
+
+
+def _hashed(hashes: np.ndarray, first: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the shingles that begin at ``first`` in texts of ``n`` words."""
+    out = np.empty(len(first), U64)
+    for k in range(1, size + 1):  # shorter texts are one run of all their words
+        at = np.flatnonzero(n == k if k < size else n >= size)
+        if len(at):
+            out[at] = mix(runs(hashes, k)[first[at]] + U64(k))
+    return out
 
 
 def bands_for(percent: int) -> int:
@@ -77,9 +92,12 @@ def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            hashes, owner = shingles(Words(*flat(b.column(1)), lower=True), words)
+            found = Words(*flat(b.column(1)), lower=True, hashes=2)
+            first, owner = _places(found.counts, found.bounds, words)
+            hashes = _hashed(found.hashes, first, found.counts[owner], words)
             at = distinct_words(hashes, owner)
-            hashes, owner = hashes[at], owner[at]
+            hashes, first, owner = hashes[at], first[at], owner[at]
+            others = _hashed(found.others, first, found.counts[owner], words)
             n = np.bincount(owner, minlength=b.num_rows)
             some = np.flatnonzero(n)
             firsts = (np.cumsum(n) - n)[some]
@@ -89,7 +107,7 @@ def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
                 for i in range(n_hashes):
                     minima[some, i] = np.minimum.reduceat(hashes * mul[i] + add[i], firsts)
                 names[0, some] = np.add.reduceat(mix(hashes ^ U64(0x5851F42D4C957F2D)), firsts)
-                names[1, some] = np.add.reduceat(mix(hashes ^ U64(0x14057B7EF767814F)), firsts)
+                names[1, some] = np.add.reduceat(mix(others ^ U64(0x14057B7EF767814F)), firsts)
             keys = np.zeros((b.num_rows, bands), U64) + np.arange(bands, dtype=U64)
             for r in range(ROWS):
                 keys = mix(keys * U64(0x9E3779B97F4A7C15) + minima[:, r::ROWS])
@@ -179,6 +197,39 @@ def _open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.unionByName(large.groupBy("bucket", "i", "j").applyInPandas(compare, "x long, y long"))
 
 
+class _Numbers(dict):
+    """Words by number, from 1."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self) + 1
+        return number
+
+
+def overlaps(left: pa.Array, right: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersection and of the union of the shingle sets of each pair of texts, by the words themselves (no hashes)."""
+    number = _Numbers()
+    sides = []
+    for texts in (left, right):
+        parts = []
+        for t in texts.to_pylist():
+            w = (t or "").encode().lower().split()
+            parts.append(np.fromiter(map(number.__getitem__, w), np.int64, len(w)))
+        sides += parts
+    n = np.array([len(p) for p in sides], np.int64)
+    flat_words = np.concatenate([*sides, np.zeros(size, np.int64)])
+    first, owner = _places(n, np.r_[0, np.cumsum(n)], size)
+    name = flat_words[first]
+    for k in range(1, size):  # 0 stands for the words that a short text lacks
+        more = np.where(k < n[owner], flat_words[first + k], 0)
+        name = np.unique(name * (len(number) + 1) + more, return_inverse=True)[1]
+    pair = owner % len(left)
+    key = np.unique((name * 2 + owner // len(left)) + pair * (2 * (name.max(initial=0) + 1)))
+    in_pair = key // (2 * (name.max(initial=0) + 1))
+    sizes = np.bincount(in_pair, minlength=len(left))
+    common = np.bincount(in_pair[1:][(key[1:] >> 1 == key[:-1] >> 1)], minlength=len(left))
+    return common, sizes - common
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -188,18 +239,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
-    def sets_of(texts: pa.Array) -> list[np.ndarray]:
-        hashes, owner = shingles(Words(*flat(texts), lower=True), words)
-        at = distinct_words(hashes, owner)
-        return np.split(hashes[at], np.cumsum(np.bincount(owner[at], minlength=len(texts)))[:-1])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in chunks(batches, "text_a", 1_000_000):
-            keep = []
-            for s, t in zip(sets_of(x.column(2)), sets_of(x.column(3))):
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(common > 0 and 100 * common >= percent * (len(s) + len(t) - common))
-            yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for part in chunks(batches, "text_a", 1_000_000):
+            for x in chunks(iter([part]), "text_b", 1_000_000):
+                common, union = overlaps(x.column(2), x.column(3), words)
+                yield x.select([0, 1]).filter(pa.array((common > 0) & (100 * common >= percent * union)))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -218,45 +262,54 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     buckets = staged(buckets.join(shared, "bucket"), "buckets")
     sketch = sets.select("doc_id", "n_shingles", "minima", "parity")
-    found, tried, open_before = None, None, None
+    labels, tried, open_before = None, None, None
     members = buckets.withColumn("component", F.col("doc_id"))
     for turn in range(STAR_ROUNDS + 1):
         if turn:
-            groups = components(found)
-            members = buckets.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            members = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
             mixed = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
             members = staged(members.join(mixed, "bucket", "left_semi"), "open")
         still = members.count()
         if not still:
             break
-        if turn < STAR_ROUNDS and (open_before is None or still < 0.9 * open_before):
+        last = turn == STAR_ROUNDS or open_before is not None and still >= 0.9 * open_before
+        if last:
+            pairs = _open_pairs(members, sets.select("doc_id", "n_shingles", "parity", "buckets"), percent)
+        else:
             # a star around one member of each bucket, another one each round
             rank = F.struct((F.col("doc_id") if not turn else F.xxhash64("doc_id", F.lit(turn))).alias("order"), F.col("doc_id"), F.col("component"))
             center = members.groupBy("bucket").agg(F.min(rank).alias("c"))
             pairs = members.join(center, "bucket").where("component <> c.component").select(F.col("c.doc_id").alias("x"), F.col("doc_id").alias("y"))
-            last = False
-        else:
-            pairs = _open_pairs(members, sets.select("doc_id", "n_shingles", "parity", "buckets"), percent)
-            last = True
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
-        good = staged(_verified(staged(_likely(pairs, sketch, percent, bands * ROWS), "likely"), docs, words, percent), "links")
-        found = good if found is None else found.unionByName(good)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        labels = merged(labels, _verified(staged(_likely(pairs, sketch, percent, bands * ROWS), "likely"), docs, words, percent))
         if last:
             break
+        tried = pairs if tried is None else tried.unionByName(pairs)
         open_before = still
-    if found is not None:
-        links = links.unionByName(found)
-    groups = components(links)
-    out = rows.select("doc_id", "n_shingles").join(groups, F.col("doc_id") == F.col("node"), "left")
+    if same.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        groups = merged(labels, links)  # documents that repeat an id may stand in several sets
+    elif labels is None:
+        groups = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    else:
+        copies = links.join(labels.withColumnRenamed("node", "a"), "a", "left").select(F.col("b").alias("node"), F.coalesce("component", "a").alias("component"))
+        groups = labels.unionByName(copies)
+    groups = groups.withColumnRenamed("node", "doc_id")
+    out = rows.select("doc_id", "n_shingles").join(groups, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are kept: one document of each group."""
+    """The rows of ``docs`` that are kept: one document of each group, and of rows that repeat its id and text one; rows without an id stay."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null").groupBy("__id").agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    ids = staged(ids, "repeated")
+    if ids.count():
+        # no more rows are shuffled whole than repeat an id
+        rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
+        again = rows.join(ids, "__id", "left_semi").withColumn("__h", F.xxhash64("text")).withColumn("__g", F.xxhash64(F.lit(5), F.col("text"))).dropDuplicates(["__id", "__h", "__g"])
+        docs = staged(rows.join(ids, "__id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns)), "rows")
     gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

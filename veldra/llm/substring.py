@@ -5,31 +5,34 @@ The fingerprint of a window of ``window`` words is the least hash among its
 windows mostly share one, so about a twelfth of all positions is indexed. Each
 batch becomes an immutable run of (fingerprint, occurrences), sorted by
 fingerprint, and, if the index keeps history, a second one of all its window
-hashes with their count and one place each, sorted by hash. Runs are grouped
+digests with their count and one place each, sorted by digest. Runs are grouped
 together to find what occurs more than once, and are compacted into one when
 there are more than ``FAN_IN``.
 
 A batch is cleaned against history by its runs alone, whether it has been
-appended already (a second look) or not: the hashes of its windows are joined
+appended already (a second look) or not: the digests of its windows are joined
 with those of all runs, and earlier texts are not read again. A row whose id
 and text the index has seen is taken as that row, not as a copy of it.
 
 Only windows whose fingerprint repeats are compared: a bit map of fixed size
-(broadcast; false hits cost rows, never results) picks them in a second scan,
-and their full 96-bit hashes, counted over the whole corpus, decide. Of equal
-texts one speaks for all: whole copies of a window or more are repeats
-throughout.
+(broadcast; false hits cost rows, never results) picks them in a second scan.
+What they have in common is verified by 96 bits of a cryptographic digest
+(BLAKE2b) of their words, counted over the whole corpus, not by the hashes that
+picked them. Of equal texts one speaks for all: whole copies of a window or
+more are repeats throughout.
 
 Defined results: words are runs of anything but space and the control
 characters 9 to 13, unchanged; null and blank texts have no words; texts
 shorter than a window keep everything; every occurrence of a repeated window
 goes, the first one and those inside one document included; rows that repeat
 an id with the same text count as two documents; an empty table gives no rows;
-columns not named in ``keep`` are left out.
+columns not named in ``keep`` are left out; ``names`` renames the added columns
+where ``keep`` has columns of those names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from veldra.llm.store import new_path, staged
-from veldra.llm.textcore import U64, Words, chunks, flat, mix, powers, span
+from veldra.llm.textcore import U64, Words, chunks, flat, mix, runs
 
 GRAM = 12
 #: Runs that an index holds before they are merged into one.
@@ -49,30 +52,52 @@ BITS_EACH, MOST_BITS = 12, 1 << 26
 BROADCAST_KEYS = 250_000
 
 
+def _sliding(values: np.ndarray, size: int, how: np.ufunc) -> np.ndarray:
+    """``how`` over ``size`` values from each place on, by doubling."""
+    if len(values) < size:
+        return values[:0]
+    have = 1
+    while 2 * have <= size:
+        values = how(values[:-have], values[have:])
+        have *= 2
+    return how(values[: -(size - have)], values[size - have :]) if size > have else values
+
+
 def _fingerprints(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and anchor place of every window, and the hashes of all runs of ``GRAM`` words (or of ``window``, if that is less)."""
+    """Start and fingerprint of every window, and the hashes of all runs of ``GRAM`` words (or of ``window``, if that is less)."""
     gram = min(GRAM, window)
-    n = len(words.hashes)
     full = np.maximum(words.counts - window + 1, 0)
     starts = np.repeat(words.bounds[:-1], full) + np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full)
-    if not len(starts):
-        return starts, starts, np.empty(0, U64)
-    places = np.arange(n - gram + 1)
-    grams = span(words.prefix(), places, places + gram)
-    least = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
-    anchors = np.empty(len(starts), np.int64)
-    for a in range(0, len(starts), 65_536):
-        part = starts[a : a + 65_536]
-        anchors[a : a + 65_536] = part + least[part].argmin(axis=1)
-    return starts, anchors, grams
-
-
-def _second(words: Words) -> np.ndarray:
-    """Prefix sums like ``Words.prefix`` of other hashes of the words."""
-    up, _ = powers(0xD6E8FEB86659FD93, len(words.hashes) + 1)
-    out = np.zeros(len(words.hashes) + 1, U64)
-    np.cumsum(mix(words.hashes ^ U64(0x94D049BB133111EB)) * up[: len(words.hashes)], out=out[1:])
-    return out
+    grams = runs(words.hashes, gram)
+    return starts, _sliding(grams, window - gram + 1, np.minimum)[starts], grams
+
+
+def _anchors(starts: np.ndarray, least: np.ndarray, grams: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of the runs that are the least of some window, one for each place."""
+    width = window - min(GRAM, window) + 1
+    of_window = np.zeros(len(grams) + width - 1, U64)
+    of_window[starts + width - 1] = least
+    # a run is the least of some window if the largest fingerprint of those around it is its own
+    return grams[_sliding(of_window, width, np.maximum) == grams]
+
+
+def _spaced(buf: np.ndarray, words: Words) -> tuple[memoryview, np.ndarray, np.ndarray]:
+    """All words with one space between, and where each begins and ends."""
+    size = words.ends - words.starts
+    first = np.cumsum(size + 1) - size - 1
+    joined = np.full(int((size + 1).sum()), 0x20, np.uint8)
+    inside = np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)
+    joined[inside] = buf[inside - np.repeat(first - words.starts, size)]
+    return memoryview(joined.tobytes()), first, first + size
+
+
+def _digests(spaced: tuple[memoryview, np.ndarray, np.ndarray], starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits (as 64 and 32) of the BLAKE2b digest of the words of each window."""
+    data, first, last = spaced
+    of = hashlib.blake2b
+    raw = b"".join([of(data[a:b], digest_size=12).digest() for a, b in zip(first[starts].tolist(), last[starts + window - 1].tolist())])
+    both = np.frombuffer(raw, np.dtype([("h", "<i8"), ("g", "<i4")]))
+    return np.ascontiguousarray(both["h"]), np.ascontiguousarray(both["g"])
 
 
 def _place() -> Column:
@@ -130,8 +155,7 @@ class FingerprintIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in chunks(batches, "text"):
-                _, anchors, grams = _fingerprints(Words(*flat(b.column(0))), window)
-                hashes, n = np.unique(grams[np.unique(anchors)] if len(anchors) else grams, return_counts=True)
+                hashes, n = np.unique(_anchors(*_fingerprints(Words(*flat(b.column(0))), window), window), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], ["fingerprint", "n"])
 
         found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "fingerprint long, n long")
@@ -181,19 +205,15 @@ class FingerprintIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in chunks(batches, "__text"):
-                words = Words(*flat(b.column(1)))
-                starts, anchors, grams = _fingerprints(words, window)
-                if not len(starts):
-                    continue
-                s = starts if table is None else starts[_in_map(grams, table.value, bits)[anchors]]
+                buf, off = flat(b.column(1))
+                words = Words(buf, off)
+                starts, least, _ = _fingerprints(words, window)
+                s = starts if table is None else starts[_in_map(least, table.value, bits)]
                 owner = np.searchsorted(words.bounds, s, "right") - 1
-                first, second = span(words.prefix(), s, s + window), span(_second(words), s, s + window)
+                spaced = _spaced(buf, words) if len(s) else None
                 for a in range(0, len(s), 100_000):
                     o = slice(a, a + 100_000)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(first[o].view(np.int64)), pa.array((second[o] >> U64(32)).astype(np.uint32).view(np.int32)),
-                        pa.array(b.column(0).to_numpy()[owner[o]]), pa.array((s[o] - words.bounds[owner[o]]).astype(np.int32)),
-                    ], ["h", "g", "__key", "start"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, _digests(spaced, s[o], window)), pa.array(b.column(0).to_numpy()[owner[o]]), pa.array((s[o] - words.bounds[owner[o]]).astype(np.int32))], ["h", "g", "__key", "start"])
 
         return rows.mapInArrow(run, "h long, g int, __key long, start int")
 
@@ -227,8 +247,8 @@ class FingerprintIndex:
         return found.groupBy("__key").agg(F.collect_set("start").alias("__starts"))
 
 
-def without_repeats(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = ("doc_id",), index: FingerprintIndex | None = None) -> DataFrame:
-    """``keep`` columns, n_words, n_removed and kept_text (the words not covered by a repeated window, joined by one space); with an ``index``, against all its batches too."""
+def without_repeats(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = ("doc_id",), index: FingerprintIndex | None = None, names: tuple[str, str, str] = ("n_words", "n_removed", "kept_text")) -> DataFrame:
+    """``keep`` columns, n_words, n_removed and kept_text (or what ``names`` calls them; the words not covered by a repeated window, joined by one space); with an ``index``, against all its batches too."""
     if index is None:
         index = FingerprintIndex(docs.sparkSession, window, history=False)
         index.append(docs)
@@ -240,7 +260,7 @@ def without_repeats(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = (
         keys = F.broadcast(keys)
     untouched = rows.join(keys, "__key", "left_anti").select(*keep, "__copy", F.lit(None).cast("array<int>").alias("__starts"), "__text")
     touched = rows.join(keys, "__key", "left_semi").join(starts, "__key").select(*keep, "__copy", "__starts", "__text")
-    schema = StructType([*(docs.schema[k] for k in keep), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
+    schema = StructType([*(docs.schema[k] for k in keep), *map(StructField, names, (LongType(), LongType(), StringType()))])
     size = index.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +293,8 @@ def without_repeats(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = (
 def deduplicated(docs: DataFrame, window: int = 35) -> DataFrame:
     """``docs`` with repeated passages cut out of the texts; texts without any stay as they are."""
     columns = docs.columns
-    out = without_repeats(docs, window, tuple(columns))
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    out = without_repeats(docs, window, tuple(columns), names=("__words", "__removed", "__kept"))
+    out = out.withColumn("text", F.when(F.col("__removed") > 0, F.col("__kept")).otherwise(F.col("text")))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*columns)

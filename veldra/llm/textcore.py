@@ -1,8 +1,11 @@
 """Vectorised word and n-gram hashing over Arrow batches of texts.
 
-All functions work on one flat UTF-8 byte array of many texts. Hashes are
-polynomials modulo 2**64 with an odd (hence invertible) base, so the hash of
-any run of bytes or words comes from prefix sums, whatever its length.
+All functions work on one flat UTF-8 byte array of many texts. The hash of a
+word is multilinear: every byte counts with a fixed random number for its
+place in the word, so two given words share it with a chance of about 2**-57,
+however they are built. The hash of a run of words is put together by doubling
+from hashes of half its length and mixed at each step; its parts are never
+summed up, so patterns of words have no hash in common either.
 """
 
 from __future__ import annotations
@@ -14,8 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_GOLDEN = U64(0x9E3779B97F4A7C15)
+_coefficients: dict[int, np.ndarray] = {}
 
 #: Word separators: space and the control characters 9 to 13.
 IS_SPACE = np.zeros(256, bool)
@@ -24,22 +27,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n (at least)."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(size, b, U64)
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
-        have = (both[0], both[1])
-        if size <= 1 << 22:
-            _powers[base] = have
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
@@ -47,6 +34,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def coefficients(family: int, n: int) -> np.ndarray:
+    """Random numbers of a hash family for places 0 to n - 1 (at least)."""
+    have = _coefficients.get(family)
+    if have is None or len(have) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        have = mix(mix(np.arange(1, size + 1, dtype=U64) * _GOLDEN + U64(family)) * _GOLDEN)
+        if size <= 1 << 22:
+            _coefficients[family] = have
+    return have
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of at most about ``limit`` bytes of text, so that a task's memory has a bound; a longer text comes alone."""
     for batch in batches:
@@ -73,10 +71,18 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def _runs_of_bytes(values: np.ndarray, lengths: np.ndarray, family: int) -> np.ndarray:
+    """A hash of each of the byte strings that stand one after the other in ``values`` (none is empty)."""
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(values)) - np.repeat(first, lengths)
+    terms = coefficients(family, int(lengths.max()))[place] * values
+    return mix(np.add.reduceat(terms, first))
+
+
 class Words:
-    """Words of many texts: byte starts and ends, text of each, and a 64-bit hash of each."""
+    """Words of many texts: byte starts and ends, text of each, and a 64-bit hash of each (``others``: of a second, independent family)."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False, hashed: bool = True):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False, hashes: int = 1):
         n = len(buf)
         word = ~IS_SPACE[buf]
         first = np.zeros(n + 1, bool)
@@ -89,33 +95,29 @@ class Words:
         #: Words of text i are bounds[i] to bounds[i + 1].
         self.bounds = np.searchsorted(self.starts, off)
         self.counts = np.diff(self.bounds)
-        if hashed:
-            self.hashes = self._hashes(LOWER[buf] if lower else buf, word)
+        if hashes:
+            empty = np.empty(0, U64)
+            values = (LOWER[buf] if lower else buf)[word].astype(U64) + U64(1)
+            self.hashes, self.others = (_runs_of_bytes(values, self.ends - self.starts, k) if k <= hashes and len(values) else empty for k in (1, 2))
 
-    def _hashes(self, buf: np.ndarray, word: np.ndarray) -> np.ndarray:
-        if not len(self.starts):
-            return np.empty(0, U64)
-        up, down = powers(_BYTE_BASE, len(buf))
-        terms = (buf.astype(U64) + U64(1)) * up[: len(buf)]
-        terms[~word] = 0
-        return mix(np.add.reduceat(terms, self.starts) * down[self.starts])
 
-    def prefix(self) -> np.ndarray:
-        """Prefix sums of the word hashes, for ``span``."""
-        up, _ = powers(_WORD_BASE, len(self.hashes) + 1)
-        out = np.zeros(len(self.hashes) + 1, U64)
-        np.cumsum(self.hashes * up[: len(self.hashes)], out=out[1:])
-        return out
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U64(0xD1342543DE82EF97) + (b ^ _GOLDEN))
 
 
-def span(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of the word runs a to b (exclusive)."""
-    _, down = powers(_WORD_BASE, len(prefix))
-    return mix((prefix[b] - prefix[a]) * down[a] + (b - a).astype(U64))
+def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of ``size`` words from each place on that has as many after it (across texts, too)."""
+    have = 1
+    while 2 * have <= size:
+        hashes = _joined(hashes[:-have], hashes[have:]) if len(hashes) > have else hashes[:0]
+        have *= 2
+    if rest := size - have:
+        hashes = _joined(hashes[:-rest], hashes[rest:]) if len(hashes) > rest else hashes[:0]
+    return hashes
 
 
 def distinct_words(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Places of one occurrence of each (text, hash), in ascending order."""
-    _, at = np.unique(mix(hashes + owner.astype(U64) * U64(_BYTE_BASE)), return_index=True)
+    _, at = np.unique(mix(hashes + owner.astype(U64) * _GOLDEN), return_index=True)
     at.sort()
     return at
