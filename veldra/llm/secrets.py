@@ -2,7 +2,7 @@
 
 Three patterns (assignments, access keys, long hexadecimal runs) are always
 reported. Besides, every string of 12 characters or more that follows a
-sensitive word closely is a candidate: a zstandard compressor primed with a
+sensitive word closely (or what such a word inside of it is followed by) is a candidate: a zstandard compressor primed with a
 dictionary of common identifiers compresses the surrounding code with and
 without it, a model of letter pairs and character classes spells it, and
 candidates that neither makes shorter than a random string of their length
@@ -19,7 +19,9 @@ repeats; columns not named in ``keep`` are left out.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -37,6 +39,8 @@ HEX = re.compile(rb"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: Words that make what follows sensitive, in lower case.
 SENSITIVE = (b"passw", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"credential", b"bearer", b"authorization", b"private_key", b"private key", b"access_key", b"client_id", b"akia")
+#: What stands for a secret in a masked text.
+MASK = b"[secret]"
 #: Bytes after a sensitive word in which candidates begin, and bytes of code around a candidate.
 REACH, AROUND = 64, 160
 TOKEN = re.compile(rb"[A-Za-z0-9+/_.=-]{12,}")
@@ -156,8 +160,7 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(data) if len(m[0]) >= LEAST["access"]]
     if b"x" * LEAST["hex"] in data.translate(_RUNS):
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(data) if len(m[0]) >= LEAST["hex"]]
-    fixed = sorted((a, b) for a, _, b in found)
-    low = data.lower()
+    inside = _Cover([(a, b) for a, _, b in found])
     seen, novel = set(), []
 
     def follow(b: int) -> None:
@@ -170,31 +173,64 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
             seen.add(a)
             novel.append((a, b))
 
-    for word in SENSITIVE:
-        at = low.find(word)
-        while at >= 0:
-            for m in TOKEN.finditer(data, at + len(word)):
-                if m.start() > at + len(word) + REACH:
-                    break
-                a, b = m.span()
-                if a not in seen:
-                    seen.add(a)
-                    if any(s <= a and b <= e for s, e in fixed):
-                        follow(b)
-                    elif _random(data, a, b):
-                        novel.append((a, b))
-                        follow(b)
-            at = low.find(word, at + 1)
+    ends = _sensitive_ends(data.lower())
+    for m in TOKEN.finditer(data) if ends else ():
+        a, b = m.span()
+        while b > a and data[b - 1] == 46:  # the end of a sentence
+            b -= 1
+        if b - a < LEAST["assign"]:
+            continue
+        # the string, if a sensitive word comes closely before it, else what follows the last such word inside of it
+        k, last = bisect_right(ends, a) - 1, bisect_right(ends, b - LEAST["assign"]) - 1
+        for a in ([a] if k >= 0 and ends[k] >= a - REACH else []) + ([ends[last]] if last > k else []):
+            if a in seen:
+                break
+            seen.add(a)
+            if inside(a, b):
+                follow(b)
+                break
+            if _random(data, a, b):
+                novel.append((a, b))
+                follow(b)
+                break
     end = -1
     for a, b in sorted(novel, key=lambda x: (x[0], -x[1])):
-        if a >= end and not any(s <= a and b <= e for s, e in fixed):
+        if a >= end and not inside(a, b):
             found.append((a, 3, b))
             end = b
     found.sort()
     if len(data) == len(text):
         return [(KINDS[k], a, b) for a, k, b in found]
-    place = lambda i: len(data[:i].decode())
-    return [(KINDS[k], place(a), place(b)) for a, k, b in found]
+    places, chars, at = {}, 0, 0
+    for i in sorted({x for a, _, b in found for x in (a, b)}):
+        chars += len(data[at:i].decode())
+        places[i], at = chars, i
+    return [(KINDS[k], places[a], places[b]) for a, k, b in found]
+
+
+def _sensitive_ends(low: bytes) -> list[int]:
+    """Where sensitive words end, in order; masks are none."""
+    low = low.replace(MASK, b" " * len(MASK))
+    ends = []
+    for word in SENSITIVE:
+        at = low.find(word)
+        while at >= 0:
+            ends.append(at + len(word))
+            at = low.find(word, at + 1)
+    return sorted(ends)
+
+
+class _Cover:
+    """Tells whether one of some spans holds another span whole."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.reach = list(accumulate((b for _, b in spans), max))
+
+    def __call__(self, a: int, b: int) -> bool:
+        k = bisect_right(self.starts, a)
+        return k > 0 and self.reach[k - 1] >= b
 
 
 SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
@@ -213,7 +249,7 @@ def secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def masked(text: str | None, mask: str = "[secret]") -> str | None:
+def masked(text: str | None, mask: str = MASK.decode()) -> str | None:
     """The text with every secret (overlapping ones as one) replaced."""
     out, at = [], 0
     for _, a, b in spans_of(text):
