@@ -2,12 +2,18 @@
 
 Documents are points in three metadata dimensions: logarithm of size, source
 and language. A node of the tree is split at the weighted median along its
-widest dimension until every leaf holds the target. Medians are exact to a
-small share of a leaf and distributed: rounds of histograms, each one
-aggregation, narrow a 48-bit key (dimension, then a hash that orders ties), so
-neither a hot source nor equal metadata unbalances a split. Equal texts move
-as one unit, unless a group is heavy against a shard; then it is dealt into
-several units. All steps are DataFrame functions.
+widest dimension until every leaf is one shard. Medians are exact to a small
+share of a shard and distributed: rounds of histograms, each one aggregation,
+narrow a 48-bit key (dimension, then a hash that orders ties), so neither a hot
+source nor equal metadata unbalances a split.
+
+Equal texts are one unit. Units that weigh a notable part of a shard are given
+shards first, heaviest first to the emptiest shard, and the tree over all
+others is split in proportion to what is left of each shard, so that equal
+texts stay together as long as any shard has room for them. Only a group that
+no shard can hold is dealt into smaller units. All steps are DataFrame
+functions; what the driver holds is a few numbers for each shard and the heavy
+units, whose number ``HEAVY`` bounds for each shard.
 
 Defined results: a null text has size 1 and the checksum of the empty text;
 null metadata is a value of its own; rows that repeat an id are rows of their
@@ -17,19 +23,24 @@ ignored.
 
 from __future__ import annotations
 
-import functools
+import heapq
+import json
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from veldra.llm.store import staged
 
 #: Bits of a round's histogram; a key has four rounds.
 DIGIT = 12
 ROUNDS = 4
-#: A group of equal texts heavier than this share of a shard is dealt into several units.
-UNIT_SHARE = 1 / 32
+#: Units heavier than this share of a shard are placed before the tree is built: fewer than 1 / HEAVY of them for each shard.
+HEAVY = 1 / 64
+#: A group that no shard can hold is dealt into units of about this share of a shard.
+DEALT = 1 / 512
 #: A median is exact to this share of a shard.
 PRECISION = 1 / 1000
+#: Heavy units are broadcast up to this many rows and joined by shuffle beyond.
+BROADCAST_ROWS = 100_000
 DIMS = ("d_size", "d_source", "d_lang")
 
 
@@ -38,54 +49,73 @@ def _spread(column: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column), 40)
 
 
-def _units(base: DataFrame, cap: float) -> tuple[DataFrame, DataFrame]:
-    """Rows with their unit, and units with weight, dimensions and tie hash."""
-    groups = base.groupBy("name").agg(F.sum("size").alias("w"))
-    heavy = groups.where(F.col("w") > cap).select("name", F.ceil(F.col("w") / cap).cast("long").alias("parts"))  # at most total / cap groups
-    rows = base.join(F.broadcast(heavy), "name", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(F.lit(0)))
+def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    table = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(c.replace(' ', ': ') for c in schema.split(', '))}>>")))
+    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+
+
+def _by_node(values: dict[int, float], count: int, kind: str) -> Column:
+    """The value of a row's ``node``, null for nodes without one: an array that is looked up by place."""
+    return F.get(F.from_json(F.lit(json.dumps([values.get(n) for n in range(count)])), f"array<{kind}>"), F.col("node"))
+
+
+def _placed(weights: list[tuple[int, float]], count: int, room: float) -> tuple[dict[int, int], list[int], list[float]]:
+    """Shard of each heavy unit, heaviest first into the emptiest shard; those that no shard can hold; and what is left of each shard."""
+    load = [(0.0, k) for k in range(count)]
+    shard, rest = {}, []
+    for name, w in sorted(weights, key=lambda x: (-x[1], x[0])):
+        if load[0][0] + w <= room:
+            least, k = load[0]
+            heapq.heapreplace(load, (least + w, k))
+            shard[name] = k
+        else:
+            rest.append(name)
+    left = [0.0] * count
+    for w, k in load:
+        left[k] = room - w
+    return shard, rest, left
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    """Units (name, part) with weight, dimensions and tie hash."""
     units = rows.groupBy("name", "part").agg(F.sum("size").alias("w"), F.min("source").alias("source"), F.min("lang").alias("lang"), F.max("size").alias("one"))
     d_size = F.least(F.log2(F.col("one").cast("double")) / 48 * (1 << 24), F.lit((1 << 24) - 1)).cast("long")
     tie = F.shiftrightunsigned(F.xxhash64("name", "part", F.lit(11)), 40)
-    return rows, units.select("name", "part", "w", d_size.alias("d_size"), _spread(F.col("source")).alias("d_source"), _spread(F.col("lang")).alias("d_lang"), tie.alias("tie"))
-
+    return units.select("name", "part", "w", d_size.alias("d_size"), _spread(F.col("source")).alias("d_source"), _spread(F.col("lang")).alias("d_lang"), tie.alias("tie"))
 
-def _case(node: Column, by_node: dict[int, Column], default: Column) -> Column:
-    return functools.reduce(lambda c, x: c.when(node == x[0], x[1]), by_node.items(), F.when(F.lit(False), default)).otherwise(default)
 
-
-def _cuts(units: DataFrame, node: Column, key: Column, targets: dict[int, float], close: float) -> dict[int, int]:
-    """For each node the key below which about the target's weight lies."""
-    open_ = {n: {"prefix": 0, "below": 0.0, "target": t} for n, t in targets.items()}
+def _cuts(keyed: DataFrame, targets: dict[int, float], close: float, count: int) -> dict[int, int]:
+    """For each node the key below which about the target's weight lies; ``keyed`` has node, key and w."""
+    open_ = {n: (0, 0.0) for n in targets}  # digits so far, and the weight below them
     done: dict[int, int] = {}
     width = DIGIT * ROUNDS
     for r in range(1, ROUNDS + 1):
         shift = width - DIGIT * r
-        prefix = _case(node, {n: F.lit(s["prefix"]).cast("long") for n, s in open_.items()}, F.lit(-1).cast("long"))
-        digit = F.shiftright(key, shift).bitwiseAND((1 << DIGIT) - 1)
-        inside = units.select(node.alias("node"), digit.alias("digit"), "w", (F.shiftright(key, shift + DIGIT) == prefix).alias("hit")).where("hit")
-        hist = inside.groupBy("node", "digit").agg(F.sum("w").alias("w"))
-        up_to = F.sum("w").over(Window.partitionBy("node").orderBy("digit"))
-        need = _case(F.col("node"), {n: F.lit(float(s["target"] - s["below"])) for n, s in open_.items()}, F.lit(0.0))
+        inside = keyed.where(F.shiftright("key", shift + DIGIT) == _by_node({n: p for n, (p, _) in open_.items()}, count, "long"))
+        hist = inside.groupBy("node", F.shiftright("key", shift).bitwiseAND((1 << DIGIT) - 1).alias("digit")).agg(F.sum("w").alias("w"))
+        up_to = F.sum("w").over(Window.partitionBy("node").orderBy("digit"))  # 4096 rows a node at most
+        need = _by_node({n: float(targets[n] - below) for n, (_, below) in open_.items()}, count, "double")
         crossing = hist.withColumn("up_to", up_to).where(F.col("up_to") >= need).groupBy("node").agg(F.min(F.struct("digit", "up_to", "w")).alias("c"))
         for row in crossing.collect():  # one row a node
-            s, c = open_[row["node"]], row["c"]
-            s["prefix"] = (s["prefix"] << DIGIT) | c["digit"]
-            before = s["below"] + c["up_to"] - c["w"]
+            (prefix, below), c = open_[row["node"]], row["c"]
+            prefix = (prefix << DIGIT) | c["digit"]
+            before = below + c["up_to"] - c["w"]
             if c["w"] <= close or r == ROUNDS:
-                nearer = s["target"] - before <= before + c["w"] - s["target"]
-                done[row["node"]] = (s["prefix"] + (0 if nearer else 1)) << shift
+                nearer = targets[row["node"]] - before <= before + c["w"] - targets[row["node"]]
+                done[row["node"]] = (prefix + (0 if nearer else 1)) << shift
                 del open_[row["node"]]
             else:
-                s["below"] = before
-        for n in [n for n in open_ if r == ROUNDS]:
-            done[n] = 1 << width
+                open_[row["node"]] = (prefix, before)
         if not open_:
             break
-    return done
+    return done | {n: 1 << width for n in open_}
 
 
 def shards(docs: DataFrame, count: int | None = 16, target_bytes: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row, in ``count`` shards (or as many as hold ``target_bytes`` each)."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = staged(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
@@ -95,28 +125,35 @@ def shards(docs: DataFrame, count: int | None = 16, target_bytes: int | None = N
     if count is None:
         count = max(1, round(total / target_bytes))
     leaf = max(total / count, 1)
-    rows, units = _units(base, leaf * UNIT_SHARE)
-    units = staged(units, "units")
-    node = F.lit(0)
+    groups = base.groupBy("name").agg(F.sum("size").alias("w"))
+    heavy = [tuple(r) for r in groups.where(F.col("w") > leaf * HEAVY).collect()]  # fewer than count / HEAVY rows
+    first, dealt, left = _placed(heavy, count, leaf)
+    weight = dict(heavy)
+    parts = _small(spark, [(n, int(-(-weight[n] // (leaf * DEALT)))) for n in dealt], "name long, parts long")
+    fixed = _small(spark, list(first.items()), "name long, fixed int")
+    rows = base.join(parts, "name", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(F.lit(0)))
+    rows = rows.join(fixed, "name", "left").select("name", "part", "doc_id", "size", "text_crc32", "source", "lang", "fixed")
+    units = staged(_units(rows.where("fixed is null")).withColumn("node", F.lit(0)), "units")
     leaves = {0: count}  # first shard of a node: its shards
     while max(leaves.values()) > 1:
         split = [n for n, k in leaves.items() if k > 1]
-        seen = units.select(node.alias("node"), "w", *DIMS).where(F.col("node").isin(split)).groupBy("node").agg(F.sum("w").alias("w"), *[(F.max(d) - F.min(d)).alias(d) for d in DIMS])
+        seen = units.where(_by_node(dict.fromkeys(split, 1), count, "int").isNotNull()).groupBy("node").agg(F.sum("w").alias("w"), *[(F.max(d) - F.min(d)).alias(d) for d in DIMS])
         widest, targets = {}, {}
         for row in seen.collect():  # one row a node
-            widest[row["node"]] = max(DIMS, key=lambda d: row[d])  # noqa: B023
-            targets[row["node"]] = row["w"] * (leaves[row["node"]] // 2) / leaves[row["node"]]
-        key = _case(node, {n: F.shiftleft(F.col(d), 24).bitwiseOR(F.col("tie")) for n, d in widest.items()}, F.lit(-1).cast("long"))
-        cuts = _cuts(units, node, key, targets, leaf * PRECISION)
-        upper = {n: F.when(key >= F.lit(c), F.lit(n + leaves[n] // 2)).otherwise(F.lit(n)) for n, c in cuts.items()}
-        units = staged(units.withColumn("node", _case(node, upper, node)), "tree")
-        node = F.col("node")
+            n, half = row["node"], leaves[row["node"]] // 2
+            widest[n] = max(range(len(DIMS)), key=lambda i: row[DIMS[i]])  # noqa: B023
+            room = sum(left[n : n + leaves[n]])
+            targets[n] = row["w"] * (sum(left[n : n + half]) / room if room > 0 else half / leaves[n])
+        key = F.shiftleft(F.get(F.array(*DIMS), _by_node(widest, count, "int")), 24).bitwiseOR(F.col("tie"))
+        cuts = _cuts(units.select("node", key.alias("key"), "w").where("key is not null"), targets, leaf * PRECISION, count)
+        upper = {n: n + leaves[n] // 2 for n in cuts}
+        moved = F.when(key >= _by_node(cuts, count, "long"), _by_node(upper, count, "int")).otherwise(F.col("node"))
+        units = staged(units.withColumn("node", moved), "tree", instead_of=units)
         for n in split:
             half = leaves[n] // 2
             leaves[n + half], leaves[n] = leaves[n] - half, half
-    units = units.select("name", "part", node.cast("int").alias("shard"))
-    placed = rows.join(units, ["name", "part"]).select("doc_id", "size", "text_crc32", "shard")
-    return _slots(placed)
+    placed = rows.join(units.select("name", "part", "node"), ["name", "part"], "left")
+    return _slots(placed.select("doc_id", "size", "text_crc32", F.coalesce("fixed", "node").alias("shard")))
 
 
 def _slots(rows: DataFrame) -> DataFrame:
