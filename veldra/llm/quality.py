@@ -8,7 +8,8 @@ binned scores of rows that were not fitted turns raw scores into rising
 probabilities.
 
 Defined results: null counts as empty, and empty texts get the score of their
-(zero) statistics; labels other than 0 and 1, and null ones, are left out;
+(zero) statistics; labels other than 0 and 1, and null ones, are left out, and
+repeated labels of a document count once each;
 with fewer than two classes to learn from, every score is the share of label 1
 (0.5 without labels); rows are kept one to one; labels, language, source and
 id are never inputs.
@@ -23,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from veldra.llm.store import staged
 from veldra.llm.textcore import IS_SPACE, Words, chunks, distinct_words, flat
@@ -39,9 +40,6 @@ MAX_FIT_ROWS = 500_000
 SUMS = 16
 #: Bins of raw scores for the calibration.
 BINS = 256
-#: Ids of rejected documents are broadcast up to this many and joined by shuffle beyond.
-BROADCAST_IDS = 250_000
-
 _CLASS = np.zeros(256, np.uint8)
 for _i, _set in enumerate([range(97, 123), range(65, 91), range(48, 58), b".,;:'\"-?()", b"!", b"#$%&*@^~+=<>_\\/", b"|[]{}`", range(128, 256)], 1):
     _CLASS[list(_set)] = _i
@@ -139,17 +137,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
 
 
-def fit(rows: DataFrame, max_rows: int = MAX_FIT_ROWS, seed: int = 7) -> Model:
-    """A model from ``stats`` and ``label`` (0 or 1); ``pick`` is a long that names rows for the sample and the calibration part."""
+def fit(rows: DataFrame, seed: int = 7) -> Model:
+    """A model from ``stats`` and ``label`` (0 or 1); ``pick`` is a long that names rows for the calibration part."""
     width = statistics(pa.array(["a"])).shape[1]
-    rows = staged(rows.where("label in (0, 1)").select("stats", F.col("label").cast("double").alias("label"), F.xxhash64("pick").alias("pick")), "labelled")
+    rows = staged(rows.select("stats", F.col("label").cast("double").alias("label"), F.xxhash64("pick").alias("pick")), "labelled")
     n, positives = rows.agg(F.count("*"), F.sum("label")).first()
     rng = np.random.default_rng(seed)
     base = (positives or 0) / n if n else 0.5
     if not n or positives in (0, n):
         return Model(np.zeros(width), np.ones(width), np.zeros((width, FEATURES)), np.zeros(FEATURES), np.zeros(FEATURES + 1), np.array([0.0]), np.array([base]))
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.shiftright("pick", 20), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     moments = rows.select(*[F.col("stats")[i].cast("double").alias(f"s{i}") for i in range(width)]).agg(*[f(F.col(f"s{i}")) for f in (F.avg, F.stddev_pop) for i in range(width)]).first()
     mean, scale = np.array(moments[:width], float), np.array(moments[width:], float)
     scale[~(scale > 1e-9)] = 1.0
@@ -184,36 +180,44 @@ def fit(rows: DataFrame, max_rows: int = MAX_FIT_ROWS, seed: int = 7) -> Model:
     return model
 
 
-def scored(rows: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``rows`` but ``stats``, and ``score``."""
-    keep = [c for c in rows.columns if c != "stats"]
-    schema = StructType([*(rows.schema[k] for k in keep), StructField("score", DoubleType())])
-    width = len(model.mean)
+def held_out(doc_id: Column) -> Column:
+    """Rows that no model learns from: a fifth of all, by the checksum of the id's text."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b.column(b.num_columns - 1), width) if b.num_rows else np.empty((0, width))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.scores(x))], schema.names)
 
-    return rows.select(*keep, "stats").mapInArrow(run, schema)
+def learnt(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Model:
+    """A model from the labels that are not held out; of more than ``max_rows``, a hash of the id picks about as many. Statistics are taken of their texts alone."""
+    known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(~held_out(F.col("doc_id")))
+    n = known.count()
+    if n > max_rows:
+        known = known.where(F.pmod(F.shiftright(F.xxhash64("doc_id"), 20), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # about max_rows labels at most
+    return fit(with_statistics(texts, ("doc_id", "label")).withColumnRenamed("doc_id", "pick"))
 
 
-def held_out(doc_id: Column) -> Column:
-    """Rows that no model learns from: a fifth of all, by the checksum of the id's text."""
-    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+def _scores(model: Model, texts: pa.Array) -> np.ndarray:
+    return model.scores(statistics(texts).astype(np.float32).astype(float)) if len(texts) else np.empty(0)
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
     """doc_id, held_out and score of every document; learns from the labelled rows that are not held out."""
-    rows = staged(with_statistics(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), "statistics")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(~held_out(F.col("doc_id")))
-    model = fit(rows.join(known, "doc_id").withColumnRenamed("doc_id", "pick"))
-    return scored(rows, model).withColumn("held_out", held_out(F.col("doc_id")))
-
-
-def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score is ``least`` or more (rows without an id stay)."""
-    gone = staged(quality(docs, labels).where(F.col("score") < least).select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct(), "rejected")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    model = learnt(docs, labels, max_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(model, b.column(1)))], ["doc_id", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, score double").withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.3, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose own text scores ``least`` or more, whatever rows share their id; nothing is shuffled."""
+    model = learnt(docs, labels, max_rows)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            yield b.filter(pa.array(_scores(model, b.column(at)) >= least))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
