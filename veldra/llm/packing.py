@@ -19,6 +19,8 @@ source is a queue, however many there are; an empty table yields no pieces.
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,17 +31,74 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from veldra.llm.store import staged
-from veldra.llm.textcore import Words, chunks, flat
+from veldra.llm.textcore import chunks
 
-#: Distinct words kept with their ids in each worker.
-CACHE_WORDS = 1_500_000
+#: Distinct words kept with their ids in each worker, and their bytes.
+CACHE_WORDS, CACHE_BYTES = 700_000, 32_000_000
+#: The suffix of ids that end a part of a word, and such parts: letters, single digits, runs of marks (no apostrophes, which may begin endings).
+WORD_END = "</w>"
+PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 #: Offsets of (partition, queue) are broadcast up to this many rows and joined by shuffle beyond.
 BROADCAST_ROWS = 100_000
 #: Queues up to which tokens are dealt one by one, and tokens dealt at once beyond.
 FINE_QUEUES, GRAIN = 256, 8
 
+
+def _grown(array: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for ``n`` at least; twice its size if it has to grow, so all growth together copies each entry a few times."""
+    if n <= len(array):
+        return array
+    out = np.empty(max(n, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
+class _Slots(dict):
+    """Words by their slot; a new word takes the next one."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = slot = len(self)
+        return slot
+
+
+class _Ids:
+    """Strings with their ids, one after the other in a pool."""
+
+    def __init__(self) -> None:
+        self.slots, self.filled = _Slots(), 0
+        self.begin, self.size, self.pool = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), np.empty(1 << 18, np.uint32)
+
+    def look_up(self, strings: list) -> tuple[np.ndarray, list]:
+        """The slot of each string, and those strings that are new; ``add`` has to follow with their ids."""
+        known = len(self.slots)
+        slots = np.fromiter(map(self.slots.__getitem__, strings), np.int64, len(strings))
+        return slots, list(itertools.islice(reversed(self.slots), len(self.slots) - known))[::-1]
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        to, end = len(self.slots), self.filled + len(ids)
+        self.begin, self.size, self.pool = (_grown(x, n) for x, n in ((self.begin, to), (self.size, to), (self.pool, end)))
+        self.size[to - len(size) : to] = size
+        self.begin[to - len(size) : to] = self.filled + np.cumsum(size) - size
+        self.pool[self.filled : end] = ids
+        self.filled = end
+
+    def take(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids behind the slots, one after the other, and how many each has."""
+        size = self.size[slots]
+        ends = np.cumsum(size)
+        return self.pool[np.repeat(self.begin[slots] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+
 class WordIds:
-    """Ids of texts by the tokenizers library, one call per distinct run of non-space characters (this vocabulary drops white space)."""
+    """Ids of texts by the tokenizers library, called once for each distinct part of a word.
+
+    This vocabulary drops white space, so words (runs of anything else) are
+    encoded apart and looked up by their bytes. A word of Latin letters, digits
+    and marks falls into parts that the vocabulary never joins; the library
+    encodes many parts in one call, and the suffix of their last ids tells them
+    apart. All other words go through the library whole. What a slice of texts
+    needs is in the cache; between slices a full cache starts anew.
+    """
 
     _loaded: dict[str, WordIds] = {}
 
@@ -55,55 +114,65 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.names = [str(t.content).encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.mark = max(self.tokenizer.get_added_tokens_decoder(), default=None)
+        self.names = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.is_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.is_end[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.begin, self.size, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
-
-    def _encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word; many words go in one call, a special token between them."""
-        out: list = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if self.mark is not None and not any(n in w for n in self.names)]
-        for a in range(0, len(plain), 500):
-            part = plain[a : a + 500]
-            ids = np.array(self.tokenizer.encode(f" {self.tokenizer.id_to_token(self.mark)} ".join(words[i].decode() for i in part), add_special_tokens=False).ids, np.uint32)
-            for i, x in zip(part, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True):
-                out[i] = x[x != self.mark]
-        for i, x in enumerate(out):
-            if x is None:
-                out[i] = np.array(self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids, np.uint32)
-        return out
+        self.words, self.parts, self.bytes = _Ids(), _Ids(), 0
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, and how many each has."""
+        found, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for a in range(0, len(parts), 500):
+            some = parts[a : a + 500]
+            (encoded,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(encoded.ids, np.uint32)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(some):  # a vocabulary of another kind
+                each = [self._encode(x) for x in some]
+                ids, ends = np.concatenate(each), np.cumsum(list(map(len, each)))
+            found.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        self.bytes += sum(map(len, fresh))
+        texts = [w.decode() for w in fresh]
+        split = [PARTS.findall(t) for t in texts]
+        whole = [i for i, (t, p) in enumerate(zip(texts, split)) if "".join(p) != t or any(n in t for n in self.names)]
+        for i in whole:
+            split[i] = []
+        slots, missing = self.parts.look_up([x.lower() for p in split for x in p])
+        self.parts.add(*self._encode_parts(missing))
+        ids, size = self.parts.take(slots)
+        ends = np.r_[0, np.cumsum(size)][np.cumsum([0, *map(len, split)])]
+        if whole:
+            each = [self._encode(texts[i]) for i in whole]
+            ids = np.insert(ids, np.repeat(ends[whole], list(map(len, each))), np.concatenate(each))
+            size = np.diff(ends)
+            size[whole] = list(map(len, each))
+            self.words.add(ids, size)
+        else:
+            self.words.add(ids, np.diff(ends))
 
     def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has."""
-        buf, off = flat(texts)
-        words = Words(buf, off)
-        if not len(words.starts):
-            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        keys, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        fresh = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if fresh.any():
-            if len(self.keys) + int(fresh.sum()) > CACHE_WORDS:
-                self._clear()
-                fresh[:] = True
-            data = buf.tobytes()
-            ids = self._encode_words([data[a:b] for a, b in zip(words.starts[first[fresh]].tolist(), words.ends[first[fresh]].tolist())])
-            size = np.array([len(x) for x in ids], np.int64)
-            slots = len(self.begin) + np.arange(len(ids))
-            self.begin = np.r_[self.begin, len(self.pool) + np.cumsum(size) - size]
-            self.size, self.pool = np.r_[self.size, size], np.concatenate([self.pool, *ids])
-            put = np.searchsorted(self.keys, keys[fresh])
-            self.keys, self.slots = np.insert(self.keys, put, keys[fresh]), np.insert(self.slots, put, slots)
-            at = np.searchsorted(self.keys, keys)
-        slot = self.slots[at][which]
-        size = self.size[slot]
-        ends = np.cumsum(size)
-        ids = self.pool[np.repeat(self.begin[slot] - (ends - size), size) + np.arange(ends[-1])]
-        return ids, np.diff(np.r_[0, ends][words.bounds])
+        if len(self.words.slots) > CACHE_WORDS or self.bytes > CACHE_BYTES:
+            self._clear()
+        counts, words = [0], []
+        for text in texts.to_pylist():
+            words += (text or "").encode().split()
+            counts.append(len(words))
+        slots, fresh = self.words.look_up(words)
+        if fresh:
+            self._learn(fresh)
+        ids, size = self.words.take(slots)
+        return ids, np.diff(np.r_[0, np.cumsum(size)][counts])
 
 
 def tokenised(docs: DataFrame, vocab: str, end_id: int, text: str = "text", source: str = "source", doc_id: str = "doc_id", narrow: bool = True) -> DataFrame:
