@@ -324,6 +324,205 @@ def test_substrings_of_a_batch_against_history(docs, empty):
     assert len(index.window_runs) <= 2 and not substring.without_repeats(empty, index=index).collect()
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") & 1 else a for i in range(n))
+
+
+#: Words that polynomial hashes modulo a power of two cannot tell apart.
+TWINS = [(thue_morse(n), thue_morse(n, "b", "a")) for n in (1024, 2048, 4096)]
+
+
+def test_twin_words_are_told_apart(spark):
+    from tokenizers import Tokenizer
+
+    words = [w for pair in TWINS for w in pair]
+    path = queries.vocabulary("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    docs = spark.createDataFrame([(i, w, "s") for i, w in enumerate(words)], "doc_id long, text string, source string").coalesce(1)
+    pieces = packing.pack(docs, path, size=8192).collect()
+    ids = {i: [x for p in sorted(pieces, key=lambda p: p.start) if p.doc_id == i for x in p.ids] for i in range(len(words))}
+    assert ids == {i: [*t.encode(w, add_special_tokens=False).ids, 1] for i, w in enumerate(words)}
+    assert {i: r.component_id for i, r in by_id(minhash.near_duplicates(docs, 3, 85)).items()} == {i: i for i in range(len(words))}
+    texts = [" ".join([f"w{i}" for i in range(34)] + [w]) for w in words] + [" ".join(f"{x}x" for x in thue_morse(4096)), " ".join(f"{x}x" for x in thue_morse(4096, "b", "a"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for window in (35, 2048):
+        got = by_id(substring.without_repeats(docs, window))
+        assert [got[i].kept_text for i in range(len(texts))] == [" ".join(k) for k in brute_kept(texts, window)[1]]
+
+
+def test_overlaps_by_words():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    left = [None, "", "a", "a b", "A b c", *(" ".join(rng.choices("abAB", k=rng.randint(0, 12))) for _ in range(300))]
+    right = [rng.choice(left) for _ in left]
+    for size in (1, 3, 5):
+        common, union = minhash.overlaps(pa.array(left), pa.array(right), size)
+        for x, y, c, u in zip(left, right, common, union):
+            s, r = ({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()} for w in ((t or "").lower().split() for t in (x, y)))
+            assert (c, u) == (len(s & r), len(s | r))
+
+
+def test_word_ids_of_any_text():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    rng = random.Random(5)
+    parts = ["the", "Ing", "a", " ", "  ", "\n", "'s", "'", "É", "ß", "e\u0301", "ж", "漢", "İ", "7", "42", "...", "_", "(", "<|endoftext|>", "<|", "\x85", "\xa0", "½", "😀", "$$$"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(1500)]
+    ids, n = packing.WordIds(path).encode_flat(pa.array([None, *texts]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[], *(e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False))]
+
+
+def naive_fingerprint(data):
+    """Letters by a rolling hash computed anew at each place, with Python integers alone."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & full
+        return x ^ (x >> 32)
+
+    if not data:
+        return "1::"
+    level = []
+    for i in range(len(data)):
+        h = 0
+        for j in range(i - 6, i + 1):
+            h = (h * 0x9E3779B97F4A7C15 + (data[j] + 1 if j >= 0 else 0)) & full
+        h = mix(h)
+        level.append(next((k for k in range(64) if not h >> k & 1), 64))
+    level[-1] = 64
+    k = next(k for k in range(64) if sum(x >= k for x in level) <= 64)
+
+    def letters(k):
+        out, chunk = "", []
+        for x, l in zip(data, level):
+            chunk.append(x)
+            if l >= k:
+                h = sum((x + 1) * pow(0xA24BAED4963EE407, i, 1 << 64) for i, x in enumerate(chunk)) & full
+                out += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[mix(h) >> 58]
+                chunk = []
+        return out
+
+    return f"{1 << k}:{letters(k)}:{letters(k + 1)}"
+
+
+def naive_likeness(a, b):
+    """By the plain table of insert and delete distances."""
+    if a == b:
+        return 1.0
+    (s, *p), (t, *q) = ((int(x.split(":")[0]), *x.split(":")[1:]) for x in (a, b))
+    pairs = [(x, y) for i, x in enumerate(p) for j, y in enumerate(q) if s << i == t << j and (x and y or i == 0 and j == 0)]
+
+    def alike(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x):
+            new = [i + 1]
+            for j, d in enumerate(y):
+                new.append(row[j] if c == d else 1 + min(row[j + 1], new[j]))
+            row = new
+        common = any(x[i : i + 5] in y for i in range(len(x) - 4))
+        return 0.0 if min(len(x), len(y)) >= 10 and not common else 1 - row[-1] / max(len(x) + len(y), 1)
+
+    return max((alike(x, y) for x, y in pairs), default=0.0)
+
+
+def test_fingerprints_against_plain_python():
+    rng = random.Random(8)
+    texts = [b"", b"a", b"abcdefg", *(rng.randbytes(n) for n in (10, 300, 2000)), ("the quick fox " * 90).encode(), " ".join(f"w{rng.randrange(500)}" for _ in range(900)).encode()]
+    texts += [texts[-1][:2000] + b"other" + texts[-1][2000:], texts[-1][:3000], texts[-1] + texts[-1][::-1]]
+    marks = [fuzzy.fingerprint(t) for t in texts]
+    assert marks == [naive_fingerprint(t) for t in texts]
+    pairs = [(a, b) for a in marks for b in marks]
+    assert fuzzy.likeness([a for a, _ in pairs], [b for _, b in pairs]) == pytest.approx([naive_likeness(a, b) for a, b in pairs])
+    assert naive_likeness(marks[7], marks[8]) > 0.8
+
+
+def test_quality_against_a_plain_ridge(spark):
+    real, labels = (queries.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    model = quality.learnt(real, labels)
+    rows = real.join(labels, "doc_id").where("quality in (0, 1)").select("doc_id", "text", "quality").toPandas()
+    import pyarrow as pa
+
+    crc = rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)
+    rows = rows[~crc]
+    x = quality.statistics(pa.array(rows.text)).astype(np.float32).astype(float)
+    # pick: those whose hash leaves a remainder of 0 are for the calibration
+    part = {r.doc_id: r.fit for r in spark.createDataFrame([(int(i),) for i in rows.doc_id], "doc_id long").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0).alias("fit")).collect()}
+    fit = np.array([part[i] for i in rows.doc_id])
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[~(scale > 1e-9)] = 1
+    z = np.cos(np.clip((x - mean) / scale, -8, 8) @ model.directions + model.phases) * np.sqrt(2 / quality.FEATURES)
+    z = np.c_[z, np.ones(len(z))]
+    want = np.linalg.solve(z[fit].T @ z[fit] + quality.RIDGE * fit.sum() / quality.FEATURES * np.eye(z.shape[1]), z[fit].T @ rows.quality.to_numpy(float)[fit])
+    assert model.weights == pytest.approx(want, abs=1e-5)
+    assert (np.diff(model.calibrated) >= 0).all()
+    some = "Ab, c!\n x9  " + "é" * 3
+    s = quality.statistics(pa.array([some, ""]))
+    n = len(some.encode())
+    assert s[0][:4] == pytest.approx([3 / n, 1 / n, 1 / n, 1 / n]) and not s[1].any()
+    few = quality.learnt(real, labels, max_rows=100)
+    assert np.isfinite(few.weights).all() and few.weights.any()
+
+
+def test_quality_judges_rows_by_their_own_text(spark):
+    real, labels = (queries.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    scores = quality.quality(real, labels).toPandas()
+    low, high = int(scores.sort_values("score").doc_id.iloc[0]), int(scores.sort_values("score").doc_id.iloc[-1])
+    bad, good = (real.where(F.col("doc_id") == i).first().text for i in (low, high))
+    more = real.unionByName(real.where(F.col("doc_id") == high).withColumn("doc_id", F.lit(low).cast("long")))
+    kept = [(r.doc_id, r.text) for r in quality.accepted(more, labels).collect()]
+    assert (low, good) in kept and (high, good) in kept and (low, bad) not in kept
+    assert {r.doc_id for r in quality.accepted(real, labels).collect()} == set(scores[scores.score >= 0.3].doc_id)
+
+
+def test_stages_on_repeated_rows_and_clashing_columns(spark):
+    text = " ".join(f"v{i}" for i in range(50))
+    rows = [(1, text, "n", "r", "k", 9), (1, text, "n", "r", "k", 9), (2, text + " end", "n", "r", "k", 9), (None, "some text", "n", "r", "k", 9), (3, None, "n", "r", "k", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string, n_removed string, kept_text string, n_chars int")
+    once = minhash.deduplicated(docs)
+    assert Counter(r.doc_id for r in once.collect()) == {1: 1, None: 1, 3: 1} and once.columns == docs.columns
+    out = {r.doc_id: r for r in substring.deduplicated(once).collect()}
+    assert out[1].text == text and out[1].n_words == "n" and out[3].text is None
+    assert len(substring.deduplicated(docs).collect()) == 5 and {r.text for r in substring.deduplicated(docs).collect() if r.doc_id == 1} == {""}
+
+
+def test_secrets_in_linear_time():
+    import time
+
+    for text in ("token " * 1_700_000, "token" * 400_000, "token=abcdefghijklm1 " * 50_000, "é token abcdefghij1k2lm3 " * 20_000):
+        began = time.process_time()
+        secrets.spans_of(text)
+        assert time.process_time() - began < 4
+    once = secrets.masked("Bearer q8Zk2LmP0xVt7RwYc4Bn and more words here")
+    assert once == "Bearer [secret] and more words here" and secrets.masked(once) == once
+
+
+def test_shards_keep_equal_texts_together(spark):
+    real = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    copies = real.unionByName(real.limit(1).withColumn("doc_id", F.explode(F.sequence(F.lit(100_000), F.lit(100_400)).cast("array<long>"))))
+    rows = copies.select("doc_id", "text").join(shards.shards(copies, 16), "doc_id").toPandas()
+    load = rows.groupby("shard")["size"].sum()
+    leaf = load.sum() / 16
+    assert len(load) == 16 and load.between(0.97 * leaf, 1.03 * leaf).all()
+    group = rows.groupby(rows.text.fillna("")).agg(n=("shard", "nunique"), w=("size", "sum"))
+    assert (group.n[group.w <= 0.9 * leaf] == 1).all() and group.w.max() > leaf
+    assert shards._placed([(1, 5.0), (2, 5.0), (3, 4.0), (4, 11.0)], 2, 10.0) == ({1: 0, 2: 1, 3: 0}, [4], [1.0, 5.0])
+
+
+def test_merged_components(spark):
+    rng = random.Random(6)
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    labels = None
+    for k in range(0, 45, 15):
+        labels = components.merged(labels, frame(edges[k : k + 15]))
+    want = {r.node: r.component for r in components.components(frame(edges)).collect()}
+    assert {r.node: r.component for r in labels.collect()} == want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
