@@ -11,16 +11,13 @@ from veldra.functions import domain, text
 from veldra.operators import beliefs, games, monitor, snapshots, splits
 from veldra.sources import jsonl
 
-ACTIONS = ("point_as_wolf", "check_as_wolf", "vote_intent")
-
-
 def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())] or [(1,)], list(values) or ["x"]).select(column.alias("r")).first()["r"]
 
 
 def targets(spark, suspected, known, cleared):
     rows = spark.createDataFrame([(1, known, cleared, suspected)], "report_id int, known array<int>, cleared array<int>, suspected array<int>")
-    return {(r.a, r.b): r.p for r in beliefs.projected(beliefs.legal_pairs(rows), ["report_id"]).collect()}
+    return {(r.a, r.b): r.p for r in beliefs.targets(rows).collect()}
 
 
 def test_projection_goldens(spark):
@@ -64,7 +61,8 @@ def test_running_totals_follow_a_loop(spark):
 
 def test_call_audit(spark):
     calls = spark.createDataFrame([(1, "gameplay", "ok", 1.0), (2, "gameplay", "error", 9.0)], "call_id long, category string, dispatch string, latency_ms double")
-    r = monitor.call_audit(calls).first()
+    r, total = monitor.call_audit(calls).orderBy(F.col("category").desc()).collect()
+    assert r.category == "gameplay" and total.category is None and tuple(r)[1:] == tuple(total)[1:]
     assert (r.mean_ms, r.median_ms, r.p95_ms, r.max_ms, r.errors) == (5, 5, 9, 9, 1)
 
 
@@ -85,13 +83,49 @@ def test_decision_and_rotation(spark):
     assert one(spark, domain.learning_rate(F.col("s"), 10, 110, 1.0), s=5) == 0.5
 
 
+def triples(acts):
+    return [tuple(x) for x in acts]
+
+
 def test_text_actions(spark):
-    said = "```\n- Player 1 | point_as_wolf | 4\nplayer1｜CHECK_AS_WOLF｜ player_4\n2 | fly | 3\nnone\n```"
-    found = one(spark, text.triplets(F.col("t"), ACTIONS), t=said)
-    assert [(x.subject, x.action, x.object) for x in found] == [("player1", "point_as_wolf", "player4"), ("player1", "check_as_wolf", "player4")]
-    assert [x.action for x in one(spark, text.without_superseded(text.triplets(F.col("t"), ACTIONS)), t=said)] == ["check_as_wolf"]
-    assert one(spark, F.size(text.rejected_lines(F.col("t"), ACTIONS)), t=said) == 1
-    assert one(spark, text.references(F.col("t")), t="Player 3 and #3, #5; player 77") == [3, 5]
+    said = "```\n- Player 1 | point_as_werewolf | 4\nplayer1｜CHECK_AS_WEREWOLF｜ player 4\n2 | fly | 3\n\"3 | support | 3\",\nplayer_2 | save | 1\nnone\n```"
+    raw = one(spark, text.triplets(F.col("t")), t=said)
+    assert triples(raw) == [("Player 1", "point_as_werewolf", "4"), ("player1", "CHECK_AS_WEREWOLF", "player 4"), ("2", "fly", "3"), ("3", "support", "3")]
+    acts = text.normalised(text.triplets(F.col("t")), F.lit(5))
+    assert triples(one(spark, acts, t=said)) == [("player5", "point_as_werewolf", "player4"), ("player5", "check_as_werewolf", "player4"), ("player5", "support", "player3")]
+    assert [x.action for x in one(spark, text.without_superseded(acts), t=said)] == ["check_as_werewolf", "support"]
+    assert one(spark, text.rejected_lines(F.col("t")), t="1 | save | 2\nNONE\nx") == ["NONE", "x"] and one(spark, text.rejected_lines(F.col("t")), t="a\nb") == []
+    for marker, want in [("None.", True), (" `NO  ACTION`! ", True), ("[]", True), ("没有动作。", True), ("n/a", False), ("-", False), ("", False)]:
+        assert one(spark, text.is_empty_marker(F.col("t")), t=marker) == want
+    merged_ = one(spark, text.merged(text.normalised(text.triplets(F.col("t")), F.lit(1)), text.normalised(text.triplets(F.col("u")), F.lit(1))), t="1|save|2\n1|guard|3", u="1|guard|3\n1|save|4")
+    assert [(x.action, x.object) for x in merged_] == [("save", "player2"), ("guard", "player3"), ("save", "player4")]
+
+
+def test_claims_and_references(spark):
+    claims = lambda t, k=4: [x.action for x in one(spark, text.role_claims(F.col("t"), F.col("k")), t=t, k=k)]
+    assert claims("我是 3号玩家，身份是预言家。我的身份：一名女巫；我是女巫") == ["point_as_seer", "point_as_witch"]
+    assert claims("他说我是狼人") == [] and claims("我不是狼人") == [] and claims("我是好人") == [] and claims("我是狼人", 9) == []
+    refs = lambda t, k=0: one(spark, text.references(F.col("t"), F.col("k")), t=t, k=k)
+    assert refs("player 3 和 1、二，5号玩家, 玩家六, 第7号, 12号") == [1, 2, 3, 5, 6, 12]
+    assert refs("我自己", 2) == [2] and refs("他自己", 2) == [] and refs("nobody", 2) == []
+
+
+def test_speech_and_plan_faults(spark):
+    fault = lambda t, why="stop", who=1, plan=None: spark.createDataFrame([(t, why, who, plan)], "t string, w string, k int, p array<int>").select(text.speech_fault(F.col("t"), F.col("w"), F.col("k"), F.col("p"))).first()[0]
+    assert fault(" \n") == "empty" and fault("x", "length") == "truncated" and fault("9号") == "bad_reference" and fault(" {1}") == "structured" and fault("the game_log") == "control_text"
+    assert fault("我投2号", plan=[2]) is None and fault("3号", plan=[2]) == "unplanned" and fault("hm", plan=[2]) == "missing" and fault(None) == "empty"
+    plan = lambda acts, role="Seer": spark.createDataFrame([(acts, [2, 3], 1, role)], "p array<struct<action:string,target:int>>, s array<int>, k int, r string").select(text.plan_fault(F.col("p"), F.col("s"), F.col("k"), F.col("r"))).first()[0]
+    assert plan([("save", 2)]) is None and plan(None) == "no_plan" and plan([("fly", 2)]) == "action" and plan([("save", 8)]) == "target" and plan([("vote_intent", 4)]) == "not_suggestible"
+    assert plan([("oppose", 1)]) == "opposes_itself" and plan([("point_as_werewolf", 1)], "Werewolf") == "discloses_itself" and plan([("point_as_werewolf", 1)]) is None
+
+
+def test_votes_and_choices(spark):
+    cases = {"{'投票': '3'}": 3, '{"投票玩家": 5}': 5, "- {'投票': '否'}": 0, "投票：4号。": 4, "投票: abstain": 0, "none": None, '{"投票": -1}': None, None: None, "```json\n{\"投票\": \"player 6\"}\n```": 6}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.vote_target(F.col("t")).alias("r")).collect()
+    assert {r.t: r.r for r in rows} == cases
+    picks = {'{"action_index": 1}': "b", "{'action_index': 0}": "a", '{"action_index": 2}': None, '{"action_index": true}': None, '{"action_index": 0, "x": 1}': None, "[0]": None, '{"action_index": -1}': None}
+    rows = spark.createDataFrame([(k,) for k in picks], "t string").select("t", text.chosen_action(F.col("t"), F.array(F.lit("a"), F.lit("b"))).alias("r")).collect()
+    assert {r.t: r.r for r in rows} == picks
 
 
 def test_night(spark):
@@ -207,7 +241,7 @@ def test_hard_knowledge_cases(spark):
 
 def test_json_in_free_text(spark):
     cases = {
-        " [1, 2] ": "[1,2]", '{"a": [1]}': "[1]", "x ```json\n[3]\n``` [4]": "[3]", "```\n{}\n``` then [bad] [5, [6]] [7]": "[5,[6]]", "none": None, "": None, "[" * 5000: None, '["é"]': '["é"]',
+        '["\\ud800"]': None, "[NaN]": None,         " [1, 2] ": "[1,2]", '{"a": [1]}': "[1]", "x ```json\n[3]\n``` [4]": "[3]", "```\n{}\n``` then [bad] [5, [6]] [7]": "[5,[6]]", "none": None, "": None, "[" * 5000: None, '["é"]': '["é"]',
     }
     rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", text.first_json_array("t").alias("r")).collect()
     assert {r.t: r.r for r in rows} == cases | {None: None}
@@ -256,7 +290,7 @@ def test_frozen_snapshot(spark):
 
 def test_tampered_projection(spark):
     reports = spark.createDataFrame([(1, [], [1], [2]), (2, [2, 3], [1, 4, 5, 6, 7], [2, 3])], "k int, known array<int>, cleared array<int>, suspected array<int>")
-    true = beliefs.projected(beliefs.legal_pairs(reports), ["k"]).select("k", "a", "b", "p")
+    true = beliefs.targets(reports).select("k", "a", "b", "p")
     assert not beliefs.tampered(true, reports, ["k"]).collect()
     extra = spark.createDataFrame([(1, 1, 2, 0.0), (1, 1, 3, 0.5), (2, 2, 3, 1.0)], "k int, a int, b int, p double")
     found = beliefs.tampered(true.where("not (k = 1 and a = 6)").unionByName(extra), reports, ["k"]).collect()
@@ -264,8 +298,38 @@ def test_tampered_projection(spark):
 
 
 def test_reparsed(spark):
-    a, b = ("player1", "point_as_wolf", "player2"), ("player1", "check_as_wolf", "player2")
-    rows = [(None, [a]), ("N/A", [a]), ("what?", [a]), ("1 | check_as_wolf | 2\n\n", [a]), ("1 | point_as_wolf | 2", [a]), ("1 | check_as_wolf | 2", None)]
-    df = spark.createDataFrame(rows, "t string, old array<struct<subject:string,action:string,object:string>>").select(text.reparsed(F.col("t"), F.col("old"), ACTIONS).alias("r"))
-    got = [(r.r.status, [tuple(x) for x in r.r.actions], [tuple(x) for x in r.r.added], [tuple(x) for x in r.r.removed]) for r in df.collect()]
+    a, b = ("player1", "point_as_werewolf", "player2"), ("player1", "check_as_werewolf", "player2")
+    rows = [(None, [a]), ("None", [a]), ("what?", [a]), ("1 | check_as_werewolf | 2\n\n", [a]), ("1 | point_as_werewolf | 2", [a]), ("1 | check_as_werewolf | 2", None)]
+    df = spark.createDataFrame(rows, "t string, old array<struct<subject:string,action:string,object:string>>").select(text.reparsed(F.col("t"), F.col("old"), F.lit(1)).alias("r"))
+    got = [(r.r.status, triples(r.r.actions), triples(r.r.added), triples(r.r.removed)) for r in df.collect()]
     assert got == [("missing", [a], [], []), ("empty", [], [], [a]), ("failed", [a], [], []), ("parsed", [b], [b], [a]), ("parsed", [a], [], []), ("parsed", [b], [b], [])]
+
+
+def test_blocks_follow_a_loop(spark):
+    """Streaks and rates by blocks against one pass in order, nulls included."""
+    rng = random.Random(2)
+    rows = [(i, 1, rng.randint(1, 3), rng.choice(["ok", "ok", "parse_error", "parse_error", "semantic_error", None])) for i in range(400)]
+    rows += [(None, 1, 1, "ok")]
+    df = spark.createDataFrame(rows, "seq long, game long, observer long, status string")
+    for blocks in (1, 7, 60):
+        got = {r.seq: (r.streak, r.seen, r.invalid_rate) for r in monitor.observer_rates(monitor.streaks(df, blocks), blocks).collect()}
+        runs, seen, bad = {}, {}, {}
+        for seq, _, o, status in rows[:-1]:
+            last, n = runs.get(o, ("ok", 0))
+            n = 0 if status == "ok" else n + 1 if status == last else 1
+            runs[o] = (status, n)
+            seen[o], bad[o] = seen.get(o, 0) + 1, bad.get(o, 0) + (status != "ok")
+            assert got[seq] == (n, seen[o], bad[o] / seen[o])
+        assert len(got) == 400
+
+
+def test_budgets_and_stops(spark):
+    calls = spark.createDataFrame([(i, 1, "gameplay" if i % 2 else "belief", "ok", 1.0) for i in range(10)] + [(20, 2, "belief", "error", 1.0)], "seq long, game long, category string, dispatch string, latency_ms double")
+    assert [tuple(r) for r in monitor.refused(calls, {"gameplay": 3, "total": 9}).collect()] == [(1, 7, "gameplay")] and not monitor.refused(calls).collect()
+    assert [tuple(r) for r in monitor.over_total(calls, 9, 3).collect()] == [(1, 9, 10)]
+    assert sorted(map(tuple, monitor.run_summaries(calls, calls.where("game = 2")).collect())) == [(1, 5, 5, 10, 0, "partial"), (2, 0, 1, 1, 1, "completed")]
+    bad = calls.withColumn("category", F.when(F.col("seq") == 0, "x").otherwise(F.col("category"))).withColumn("latency_ms", F.when(F.col("seq") != 1, F.col("latency_ms")))
+    assert {r.seq: r.violations for r in monitor.call_violations(bad).where("size(violations) > 0 and seq < 2").collect()} == {0: ["call_category"], 1: ["latency_ms"]}
+    p = "parse_error"
+    rows = spark.createDataFrame([(i, 1, 1, s, i // 2) for i, s in enumerate([p, p, p, "ok", "ok"])], "seq long, game long, observer long, status string, sample long")
+    assert [r.seq for r in monitor.until_stop(rows).orderBy("seq").collect()] == [0, 1, 2, 3] and monitor.until_stop(rows.where("seq > 2")).count() == 2

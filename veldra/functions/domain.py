@@ -12,6 +12,9 @@ PLAYERS = [f"player{i}" for i in range(1, N_PLAYERS + 1)]
 PAIRS = list(combinations(range(1, N_PLAYERS + 1), 2))
 #: Statuses of a report, in the order of the cascade that finds them.
 STATUSES = ("reporter_error", "parse_error", "semantic_error", "ok")
+#: Actions that a speech may hold, in the order of their numbers from 1, and the roles that an observer may know itself to have.
+ACTIONS = ("point_as_werewolf", "point_as_villager", "point_as_seer", "point_as_witch", "point_as_guard", "support", "oppose", "check_as_good", "check_as_werewolf", "save", "poison", "guard", "vote_intent")
+ROLES = ("werewolf", "villager", "seer", "witch", "guard", "unknown")
 #: Forms of a phase.
 PHASE = r"^(\d+)_(day|night)_(skill_wolf|speech_pk|speech|vote_pk|vote)$"
 
@@ -76,3 +79,65 @@ def learning_rate(step: Column, warm_up: int, total: int, top: float) -> Column:
     """Linear warm-up, then a cosine to zero."""
     after = (step - warm_up) / F.lit(float(max(1, total - warm_up)))
     return F.when(step < warm_up, top * step / float(max(1, warm_up))).otherwise(top * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * F.least(after, F.lit(1.0)))))
+
+
+def action(text: Column) -> Column:
+    """The action's name in lower case; null for anything else."""
+    name = F.lower(F.trim(text))
+    return F.when(name.isin(*ACTIONS), name)
+
+
+def guessed_role(text: Column) -> Column:
+    """The role's name in lower case, ``unknown`` for null; null for anything else."""
+    name = F.lower(F.trim(F.coalesce(text, F.lit("unknown"))))
+    return F.when(name.isin(*ROLES), name)
+
+
+def player_set(names: Column) -> Column:
+    """The sorted names of an array of distinct canonical players; null if it is none."""
+    fine = F.forall(names, lambda x: F.coalesce(x.isin(*PLAYERS), F.lit(False))) & (F.size(F.array_distinct(names)) == F.size(names))
+    return F.when(fine, F.array_sort(names))
+
+
+def number_of(name: Column, names: tuple[str, ...] | list[str], otherwise: int = 0) -> Column:
+    """Place of a name in a fixed list, from 1; ``otherwise`` for anything else."""
+    place = F.array_position(F.array(*map(F.lit, names)), name)
+    return F.when(place > 0, place).otherwise(F.lit(otherwise)).cast("long")
+
+
+def name_of(number: Column, names: tuple[str, ...] | list[str], otherwise: str = "unknown") -> Column:
+    """The name at a place of a fixed list, from 1; ``otherwise`` outside."""
+    return F.coalesce(F.get(F.array(*map(F.lit, names)), (number - 1).cast("int")), F.lit(otherwise))
+
+
+def lineage(contracts: dict[str, tuple[str, ...]], *fields: Column) -> Column:
+    """Name of the contract whose values all fields have; null if there is none."""
+    out = F.lit(None).cast("string")
+    for name, values in contracts.items():
+        same = F.lit(True)
+        for f, v in zip(fields, values, strict=True):
+            same = same & F.coalesce(f == v, F.lit(False))
+        out = F.when(same, name).otherwise(out)
+    return out
+
+
+def log_time(text: Column) -> Column:
+    """day and is_night of a log's time such as ``第2天夜晚``; null for other forms."""
+    day = F.regexp_extract(text, r"第(\d+)天(白天|夜晚)", 1)
+    return F.when(day != "", F.struct(day.cast("long").alias("day"), (F.regexp_extract(text, r"第(\d+)天(白天|夜晚)", 2) == "夜晚").alias("is_night")))
+
+
+def one_based(numbers: Column) -> Column:
+    """Player numbers counted from 1 instead of 0, in an array."""
+    return F.transform(numbers, lambda x: x + 1)
+
+
+def token_usage(usage: Column) -> Column:
+    """input_tokens, output_tokens and total_tokens of a JSON text, under their older names too; only integers count."""
+    value = F.try_parse_json(usage)
+
+    def of(*names: str) -> Column:
+        found = [F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{n}", "variant")) == "BIGINT", F.try_variant_get(value, f"$.{n}", "bigint")) for n in names]
+        return F.coalesce(*found)
+
+    return F.struct(of("prompt_tokens", "input_tokens").alias("input_tokens"), of("completion_tokens", "output_tokens").alias("output_tokens"), of("total_tokens").alias("total_tokens"))

@@ -1,37 +1,60 @@
-"""Suspicions as distributions over the 21 pairs: knowledge closure, projection, marginals, metrics."""
+"""Suspicions as distributions over the 21 pairs: projection, marginals, metrics, audits.
+
+Everything about one report is computed inside its row; only statistics over
+many reports are shuffled.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from veldra.functions.domain import N_PLAYERS, pairs
+from veldra.functions.domain import N_PLAYERS, PAIRS
+from veldra.operators.snapshots import compatible
+
+_UNIFORM = 1 / len(PAIRS)
+
 
+def distribution(known: Column, cleared: Column, suspected: Column) -> Column:
+    """Array of (a, b, p): each pair that the knowledge allows with 2 to the number of its soft suspects, normalised."""
+    none = F.array().cast("array<int>")
+    soft = F.array_except(F.coalesce(suspected, none), F.coalesce(known, none))
+    weighed = F.transform(compatible(known, cleared), lambda p: F.struct(p[0].alias("a"), p[1].alias("b"), F.pow(F.lit(2.0), F.size(F.array_intersect(p, soft))).alias("w")))
+    total = lambda d: F.aggregate(d, F.lit(0.0), lambda s, x: s + x["w"])
+    return F.transform(F.array(weighed), lambda d: F.transform(F.array(total(d)), lambda t: F.transform(d, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), (x["w"] / t).alias("p"))))[0])[0]
 
-def legal_pairs(reports: DataFrame) -> DataFrame:
-    """Each report (arrays ``known``, ``cleared``, ``suspected``) with every pair that its knowledge allows: 21 rows at most for each."""
-    p = F.broadcast(pairs(reports.sparkSession))  # 21 rows
-    pair = F.array("a", "b")
-    fits = (F.size(F.array_except("known", pair)) == 0) & ~F.arrays_overlap(pair, F.col("cleared"))
-    return reports.crossJoin(p).where(fits)
 
+def targets(reports: DataFrame) -> DataFrame:
+    """Each report (arrays ``known``, ``cleared``, ``suspected``) with every pair that its knowledge allows (a, b) and its probability p: 21 rows at most for each."""
+    each = reports.withColumn("__d", F.explode(distribution(F.col("known"), F.col("cleared"), F.col("suspected"))))
+    return each.select(*reports.columns, "__d.a", "__d.b", "__d.p")
 
-def closed(legal: DataFrame, keys: list[str]) -> DataFrame:
-    """Closure of hard knowledge: players in all legal pairs, and in none."""
-    players = F.sequence(F.lit(1), F.lit(N_PLAYERS))
-    grouped = legal.groupBy(*keys).agg(F.collect_list(F.array("a", "b")).alias("all"))
-    return grouped.select(*keys, F.filter(players, lambda x: F.forall("all", lambda p: F.array_contains(p, x))).alias("known"), F.filter(players, lambda x: ~F.exists("all", lambda p: F.array_contains(p, x))).alias("cleared"), F.size("all").alias("n_legal"))
 
+def vector(dist: Column) -> Column:
+    """The 21 probabilities in the order of all pairs, 0 for those that are not allowed."""
+    at = lambda a, b: F.coalesce(F.get(F.filter(dist, lambda x: (x["a"] == a) & (x["b"] == b)), 0)["p"], F.lit(0.0))
+    return F.array(*[at(a, b) for a, b in PAIRS])
 
-def projected(legal: DataFrame, keys: list[str]) -> DataFrame:
-    """Probability of each legal pair: 2 to the number of soft suspects in it, normalised."""
-    soft = F.array_except("suspected", "known")
-    weight = F.pow(F.lit(2.0), F.size(F.array_intersect(F.array("a", "b"), soft)))
-    return legal.withColumn("w", weight).withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy(*keys))).drop("w")
 
+def player_marginals(p: Column) -> Column:
+    """Probability that each of the seven players is in the pair, from the 21 of the pairs (they sum up to 2)."""
+    return F.array(*[reduce(lambda x, y: x + y, [p[i] for i, pair in enumerate(PAIRS) if k in pair]) for k in range(1, N_PLAYERS + 1)])
 
-def marginals(targets: DataFrame, keys: list[str]) -> DataFrame:
-    """Probability that each player is in the pair (seven sums to 2)."""
-    return targets.select(*keys, F.explode(F.array("a", "b")).alias("player"), "p").groupBy(*keys, "player").agg(F.sum("p").alias("marginal"))
+
+def marginals(reports: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, player and marginal, for the players that some allowed pair holds."""
+    numbers = F.sequence(F.lit(1), F.lit(N_PLAYERS))
+    of = lambda k: F.aggregate(F.filter("__d", lambda x: (x["a"] == k) | (x["b"] == k)), F.lit(0.0), lambda s, x: s + x["p"])
+    rows = reports.withColumn("__d", distribution(F.col("known"), F.col("cleared"), F.col("suspected")))
+    each = rows.select(*keys, F.explode(F.transform(numbers, lambda k: F.struct(k.alias("player"), of(k).alias("marginal")))).alias("m"))
+    return each.select(*keys, "m.player", "m.marginal").where("marginal > 0")
+
+
+def most_suspected(reports: DataFrame) -> DataFrame:
+    """Reports with each player whose marginal is as good as the largest (relative 1e-5, absolute 1e-8)."""
+    m = F.transform(F.array(player_marginals(vector(distribution(F.col("known"), F.col("cleared"), F.col("suspected"))))), lambda m: F.transform(m, lambda x, i: F.when(F.abs(x - F.array_max(m)) <= 1e-8 + 1e-5 * F.array_max(m), i + 1)))[0]
+    return reports.withColumn("player", F.explode(F.array_compact(m)))
 
 
 def log_softmax(logits: Column) -> Column:
@@ -45,13 +68,122 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
 
 
-def row_metrics(rows: DataFrame) -> DataFrame:
-    """Adds cross_entropy, kl, tv, entropy and margin of arrays ``logits`` and ``target`` (both of 21)."""
-    rows = rows.withColumn("lp", log_softmax(F.col("logits"))).withColumn("q", F.transform("lp", F.exp))
-    ce = -_sum(F.zip_with("target", "lp", lambda t, l: t * l))
-    h = -_sum(F.transform("target", lambda t: F.when(t > 0, t * F.log(t)).otherwise(0.0)))
-    top = F.sort_array("q", asc=False)
-    return rows.select("*", ce.alias("cross_entropy"), (ce - h).alias("kl"), (0.5 * _sum(F.zip_with("target", "q", lambda t, q: F.abs(t - q)))).alias("tv"), (-_sum(F.zip_with("q", "lp", lambda q, l: q * l))).alias("entropy"), (top[0] - top[1]).alias("margin")).drop("lp")
+def entropy(p: Column) -> Column:
+    """Entropy of an array of probabilities, in natural units."""
+    return -_sum(F.transform(p, lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)))
+
+
+def margin(p: Column) -> Column:
+    """What the largest value is ahead of the second."""
+    top = F.sort_array(p, asc=False)
+    return top[0] - top[1]
+
+
+def spread(values: Column) -> Column:
+    return F.array_max(values) - F.array_min(values)
+
+
+def row_metrics(rows: DataFrame, observer: str | None = None) -> DataFrame:
+    """Adds what arrays ``logits`` and ``target`` (both of 21) have in common and apart.
+
+    q, cross_entropy, kl, tv, entropy, margin, marginal_mae, row_sum_error,
+    predicted_spread, target_spread, target_entropy, target_margin and, with an
+    ``observer`` (a player's number), the marginals of the observer itself.
+    """
+    rows = rows.withColumn("__lp", log_softmax(F.col("logits"))).withColumn("q", F.transform("__lp", F.exp))
+    rows = rows.withColumn("__qm", player_marginals(F.col("q"))).withColumn("__tm", player_marginals(F.col("target")))
+    ce = -_sum(F.zip_with("target", "__lp", lambda t, l: t * l))
+    new = {
+        "cross_entropy": ce, "kl": ce - entropy(F.col("target")), "tv": 0.5 * _sum(F.zip_with("target", "q", lambda t, q: F.abs(t - q))), "entropy": -_sum(F.zip_with("q", "__lp", lambda q, l: q * l)),
+        "margin": margin(F.col("q")), "marginal_mae": _sum(F.zip_with("__qm", "__tm", lambda x, y: F.abs(x - y))) / N_PLAYERS, "row_sum_error": F.abs(_sum(F.col("__qm")) - 2),
+        "predicted_spread": spread(F.col("__qm")), "target_spread": spread(F.col("__tm")), "target_entropy": entropy(F.col("target")), "target_margin": margin(F.col("target")),
+    }
+    if observer:
+        new |= {f"{name}_diagonal": F.get(F.col(c), (F.col(observer) - 1).cast("int")) for name, c in (("predicted", "__qm"), ("target", "__tm"))}
+    return rows.withColumns(new).drop("__lp", "__qm", "__tm")
+
+
+def target_fault(target: Column, valid: Column) -> Column:
+    """What makes a target (21 probabilities) unfit for a loss: null, size, not_finite, negative, sum; of a row that is not ``valid``: not_zero. Null if nothing does."""
+    finite = F.forall(target, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
+    fault = F.when(target.isNull(), "null").when(F.size(target) != len(PAIRS), "size").when(~finite, "not_finite").when(F.exists(target, lambda x: x < 0), "negative")
+    return fault.when(~F.coalesce(valid, F.lit(False)) & F.exists(target, lambda x: x != 0), "not_zero").when(F.coalesce(valid, F.lit(False)) & (F.abs(_sum(target) - 1) > 1e-6 + 1e-5), "sum")
+
+
+def target_rows(decided: DataFrame, keys: list[str]) -> DataFrame:
+    """Seven rows for each snapshot: observer 1 to 7, ``valid`` and ``target`` (all zero where there is no available decision)."""
+    rows = decided.where("kind <> 'unavailable'").withColumn("target", vector(distribution(F.col("known"), F.col("cleared"), F.col("target"))))
+    seats = decided.select(*keys).distinct().withColumn("observer", F.explode(F.sequence(F.lit(1), F.lit(N_PLAYERS))))
+    out = seats.join(rows.select(*keys, "observer", "target"), [*keys, "observer"], "left")
+    return out.withColumn("valid", F.col("target").isNotNull()).withColumn("target", F.coalesce("target", F.array_repeat(F.lit(0.0), len(PAIRS))))
+
+
+def effective(valid: Column, observer: Column, speaker: Column) -> Column:
+    """Valid rows of observers other than the one who speaks next."""
+    return F.coalesce(valid & (observer != speaker), F.lit(False))
+
+
+def eligible(rows: DataFrame, snapshot: str) -> DataFrame:
+    """Snapshots at a speech boundary with an effective row (columns boundary, valid, observer, speaker)."""
+    fit = F.col("boundary") & effective(F.col("valid"), F.col("observer"), F.col("speaker"))
+    return rows.where(fit).select(snapshot).distinct()
+
+
+def summary(value: Column) -> list[Column]:
+    """count, min, mean, median and max, 0 where there are no values."""
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    return [F.count(value).alias("count"), zero(F.min(value)).alias("min"), zero(F.avg(value)).alias("mean"), zero(F.percentile(value, 0.5)).alias("median"), zero(F.max(value)).alias("max")]
+
+
+def audit_values(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """Distribution of each statistic of the targets, over all rows and by ``groups``, for all valid rows and the supervised ones.
+
+    ``rows``: snapshot, groups, observer, speaker, boundary, valid, target (21).
+    Pairwise differences are means of each snapshot with two such rows or more.
+    Groups of the summary over all are null.
+    """
+    valid = rows.where("valid").withColumn("supervised", F.coalesce("boundary", F.lit(False)) & effective(F.col("valid"), F.col("observer"), F.col("speaker")))
+    t = F.col("target")
+    stats = {
+        "pair_entropy": entropy(t), "max_probability": F.array_max(t), "top1_top2_margin": margin(t), "tv_from_uniform": 0.5 * _sum(F.transform(t, lambda x: F.abs(x - _UNIFORM))),
+        "entropy_gap_from_uniform": F.log(F.lit(float(len(PAIRS)))) - entropy(t), "marginal_spread": spread(player_marginals(t)),
+    }
+    long = valid.select("snapshot", *groups, "supervised", F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), v.alias("value")) for n, v in stats.items()])).alias("s")).select(*groups, "supervised", "s.*")
+    # seven observers at most in each snapshot
+    seats = valid.groupBy("snapshot", *groups).agg(F.collect_list(F.struct("supervised", "target")).alias("all"))
+    both = seats.select(*groups, F.explode(F.array(*[F.struct(F.lit(s).alias("supervised"), (F.filter("all", lambda x: x["supervised"]) if s else F.col("all")).alias("seats")) for s in (False, True)])).alias("x")).select(*groups, "x.*").where("size(seats) > 1")
+    tv = lambda x, y: 0.5 * _sum(F.zip_with(x["target"], y["target"], lambda p, q: F.abs(p - q)))
+    pairs = F.flatten(F.transform("seats", lambda x, i: F.transform(F.slice("seats", i + 2, F.size("seats")), lambda y: tv(x, y))))
+    pairwise = both.select(*groups, "supervised", F.lit("observer_pairwise_tv").alias("statistic"), F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x, lambda a: a / F.size(pairs)).alias("value"))
+    scope = F.explode(F.when(F.col("supervised"), F.array(F.lit("all"), F.lit("supervised"))).otherwise(F.array(F.lit("all"))))
+    values = long.withColumn("scope", scope).drop("supervised").unionByName(pairwise.withColumn("scope", F.when(F.col("supervised"), "supervised").otherwise("all")).drop("supervised"))
+    sets = [[F.col("scope"), F.col("statistic")], [F.col("scope"), F.col("statistic"), *map(F.col, groups)]]
+    return values.groupingSets(sets, "scope", "statistic", *groups).agg(*summary(F.col("value")))
+
+
+def audit_counts(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """Numbers of snapshots and rows, over all and by ``groups``: snapshots, boundaries, supervised ones and their share, valid and supervised rows, how many of these each snapshot has."""
+    sup = F.coalesce("boundary", F.lit(False)) & effective(F.col("valid"), F.col("observer"), F.col("speaker"))
+    per = rows.groupBy("snapshot", *groups).agg(F.count_if("valid").alias("v"), F.count_if(sup).alias("s"), F.bool_or(F.coalesce("boundary", F.lit(False))).alias("boundary"))
+    out = per.groupingSets([[], [F.col(g) for g in groups]], *groups).agg(
+        F.count("*").alias("snapshots"), F.count_if("boundary").alias("boundaries"), F.count_if(F.col("s") > 0).alias("supervised_snapshots"), F.sum("v").alias("valid_rows"), F.sum("s").alias("supervised_rows"),
+        *[F.count_if(F.col("s") == k).alias(f"with_{k}") for k in range(N_PLAYERS + 1)],
+    )
+    return out.withColumn("supervised_fraction", F.col("supervised_snapshots") / F.col("snapshots"))
+
+
+def require_coverage(counts: DataFrame, least: float = 0.05) -> None:
+    """Fail if fewer snapshots than ``least`` are supervised, over all; ``counts`` as ``audit_counts`` gives them."""
+    low = counts.where(F.col("supervised_fraction") < least).agg(F.min("supervised_fraction")).first()[0]
+    if low is not None:
+        raise ValueError(f"only {low:.6f} of the snapshots are supervised")
+
+
+def weighted_means(rows: DataFrame, keys: list[str], values: list[str], weight: str) -> DataFrame:
+    """Mean of each value by weight; rows of weight 0 and null values do not count; 0 where nothing does."""
+    w = F.when(F.col(weight) > 0, F.col(weight))
+    mean = lambda c: F.coalesce(F.sum(F.col(c) * w) / F.sum(F.when(F.col(c).isNotNull(), w)), F.lit(0.0))
+    return rows.groupBy(*keys).agg(*[mean(c).alias(c) for c in values])
 
 
 def masked_mean(value: Column, mask: Column) -> Column:
@@ -67,19 +199,13 @@ def observer_tv(rows: DataFrame, snapshot: str, observer: str, q: str = "q") ->
     return a.join(b, snapshot).where("o1 < o2").groupBy(snapshot).agg(F.avg(tv).alias("pairwise_tv"))
 
 
-def argmax_ties(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows whose value is as good as the largest of its group (relative 1e-5, absolute 1e-8)."""
-    top = F.max(value).over(Window.partitionBy(*keys))
-    return rows.withColumn("top", top).where(F.abs(F.col(value) - F.col("top")) <= 1e-8 + 1e-5 * F.abs("top")).drop("top")
-
-
 def tampered(stored: DataFrame, reports: DataFrame, keys: list[str], tolerance: float = 1e-12) -> DataFrame:
     """Pairs whose ``stored`` probability (keys, a, b, p) is not what the report gives: missing, of no legal pair, null, or off by more than ``tolerance``.
 
     Probability 0 may be stored or left out for a pair that is not legal. Rows
     stored twice are counted in ``n_stored`` and are wrong even if equal.
     """
-    due = projected(legal_pairs(reports), keys).select(*keys, "a", "b", F.col("p").alias("due"))
+    due = targets(reports).select(*keys, "a", "b", F.col("p").alias("due"))
     have = stored.groupBy(*keys, "a", "b").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.count("*").alias("n_stored"), F.count("p").alias("n_known"))
     zero = F.coalesce("due", F.lit(0.0))
     right = (F.col("n_stored") == 1) & (F.col("n_known") == 1) & (F.abs(F.col("low") - zero) <= tolerance)

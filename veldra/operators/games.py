@@ -68,3 +68,66 @@ def newest_groups(groups: DataFrame, limit: int) -> DataFrame:
     rows = groups.withColumn("up_to", F.sum("n_tokens").over(back.rowsBetween(Window.unboundedPreceding, 0))).withColumn("age", F.row_number().over(back))
     kept = F.when(F.col("up_to") <= limit, F.col("n_tokens")).when(F.col("age") == 1, F.lit(limit).cast("long"))
     return rows.withColumn("kept_tokens", kept).where("kept_tokens is not null").select("game", "event_idx", "kept_tokens")
+
+
+#: Kinds of log rows that hold a public speech.
+SPEECHES = ("speech", "speech_pk")
+
+
+def visible(log: DataFrame, observer: Column) -> DataFrame:
+    """Log rows whose ``viewer`` array has the observer."""
+    return log.where(F.array_contains("viewer", observer))
+
+
+def speeches(log: DataFrame) -> DataFrame:
+    return log.where(F.col("event").isin(*SPEECHES))
+
+
+def public_votes(ballots: DataFrame) -> DataFrame:
+    """For each round the votes (voter, target) in the order of voters; target 0 is null."""
+    vote = F.struct("voter", F.when(F.col("target") != 0, F.col("target")).alias("target"))
+    return ballots.groupBy("round").agg(F.array_sort(F.collect_list(vote)).alias("votes"))  # seven voters
+
+
+def public_state(log: DataFrame) -> DataFrame:
+    """What everybody knows of each game (game, day, event, players): exiles so far with their day, the dead of the last night, and who is alive.
+
+    ``players`` are those that a row of event ``end_vote`` or ``end_night`` takes out; a game has seven at most.
+    """
+    day = F.max("day").over(Window.partitionBy("game"))
+    rows = log.withColumn("__now", day)
+    exiles = F.array_sort(F.collect_list(F.when((F.col("event") == "end_vote") & (F.size("players") > 0), F.struct("day", F.col("players")[0].alias("player")))))
+    night = F.max_by(F.when((F.col("event") == "end_night") & (F.col("day") == F.col("__now") - 1), F.col("players")), F.when((F.col("event") == "end_night") & (F.col("day") == F.col("__now") - 1), F.col("log_idx")))
+    out = F.array_distinct(F.flatten(F.collect_set(F.when(F.col("event").isin("end_vote", "end_night"), F.col("players")))))
+    everyone = F.sequence(F.lit(1), F.lit(7))
+    return rows.groupBy("game").agg(exiles.alias("prior_exiles"), night.alias("last_night_dead"), F.array_except(everyone, out).alias("alive"))
+
+
+def legal_actions(state: DataFrame) -> DataFrame:
+    """``legal``: what the actor of each row may do, as (action, target) with target 0 for nothing.
+
+    Columns: phase, actor, alive, wolves, checked (by the seer), last_guard, poison_used, heal_used, victim (0 or null: none), suggestible, pk_pool.
+    """
+    alive = F.col("alive")
+    none = F.lit(0)
+
+    def acts(name: str, targets: Column) -> Column:
+        return F.transform(F.concat(F.array(none), targets.cast("array<int>")), lambda t: F.struct(F.lit(name).alias("action"), t.alias("target")))
+
+    one = lambda name, target: F.array(F.struct(F.lit(name).alias("action"), target.cast("int").alias("target")))
+    no = F.array().cast("array<struct<action:string,target:int>>")
+    poison = F.when(F.coalesce("poison_used", F.lit(False)), no).otherwise(F.transform(alive, lambda t: F.struct(F.lit("witch_poison").alias("action"), t.cast("int").alias("target"))))
+    heal = F.when(F.coalesce("heal_used", F.lit(False)) | (F.coalesce("victim", F.lit(0)) == 0), no).otherwise(one("witch_heal", F.col("victim")))
+    legal = (
+        F.when(F.col("phase") == "skill_wolf", acts("kill", F.array_except(alive, F.col("wolves")))).when(F.col("phase") == "skill_seer", acts("check", F.array_except(alive, F.col("checked"))))
+        .when(F.col("phase") == "skill_guard", F.filter(acts("guard", alive), lambda a: (a["target"] == 0) & F.col("last_guard").isNull() | ~F.coalesce(a["target"] == F.col("last_guard"), F.lit(False))))
+        .when(F.col("phase") == "skill_witch", F.concat(one("witch_pass", none), poison, heal)).when(F.col("phase") == "vote", acts("vote", F.col("suggestible")))
+        .when(F.col("phase") == "vote_pk", acts("vote_pk", F.filter("pk_pool", lambda p: p != F.col("actor")))).when(F.col("phase").isin(*SPEECHES), F.array(F.struct(F.col("phase").alias("action"), none.alias("target"))))
+    )
+    return state.withColumn("legal", F.coalesce(legal.cast("array<struct<action:string,target:int>>"), no))
+
+
+def rendered(log: DataFrame) -> DataFrame:
+    """The log of each game as text, a line for each row in order: ``day 1 night | event | players``; one game's log is short by nature."""
+    line = F.format_string("day %d %s | %s | %s", F.col("day").cast("int"), F.when(F.col("is_night"), "night").otherwise("day"), F.col("event"), F.coalesce(F.array_join(F.col("players").cast("array<string>"), ","), F.lit("-")))
+    return log.groupBy("game").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("log_idx", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))

@@ -1,57 +1,92 @@
-"""Report quality: counters, streaks, running rates, the first stop, call audits and budgets."""
+"""Report quality: counters, streaks, running rates, the first stop, call audits and budgets.
+
+A null status is a failure of its own kind (``missing``); reports without a
+``seq`` have no place in the order and are left out. Runs and totals are
+computed by block of ``seq`` and carried over from block to block, so neither
+one observer nor the whole batch is ever in one task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Limits of the monitor.
 STREAK, OBSERVER_LEAST, OBSERVER_RATE, TOTAL_LEAST, TOTAL_RATE, PARSE_RATE = 3, 10, 0.20, 100, 0.05, 0.01
+#: Calls of a game that its budget allows.
+BUDGET = {"gameplay": 192, "belief": 448, "total": 640}
+#: Rows of a block.
+BLOCK_ROWS = 200_000
 
 
-def counters(reports: DataFrame) -> DataFrame:
-    """Counts overall, by status, by observer and status, and by game and status, in one pass."""
-    sets = [[], ["status"], ["observer", "status"], ["game", "status"]]
-    return reports.groupingSets(sets, "game", "observer", "status").agg(F.count("*").alias("n"), F.grouping_id("game", "observer", "status").alias("level"))
+def _failed() -> Column:
+    return F.col("status") != "ok"
 
 
-def streaks(reports: DataFrame) -> DataFrame:
-    """Length so far of each observer's run of one error (0 for ok), by gaps and islands; runs go on across games."""
-    by = Window.partitionBy("observer").orderBy("seq")
-    of = Window.partitionBy("observer", "status").orderBy("seq")
-    island = F.row_number().over(by) - F.row_number().over(of)
-    rows = reports.withColumn("island", island)
-    run = F.row_number().over(Window.partitionBy("observer", "status", "island").orderBy("seq"))
-    return rows.withColumn("streak", F.when(F.col("status") == "ok", 0).otherwise(run)).drop("island")
+def _blocked(reports: DataFrame, blocks: int | None) -> DataFrame:
+    """Reports with a place, their ``block`` by even shares of all rows in order of ``seq``, and no null status."""
+    rows = reports.where("seq is not null").withColumn("status", F.coalesce("status", F.lit("missing")))
+    blocks = blocks or max(1, -(-rows.count() // BLOCK_ROWS))
+    if blocks == 1:
+        return rows.withColumn("block", F.lit(0))
+    cuts = rows.agg(F.percentile_approx("seq", [k / blocks for k in range(1, blocks)], 100 * blocks).alias("__cuts"))  # one row of ``blocks`` numbers
+    return rows.crossJoin(F.broadcast(cuts)).withColumn("block", F.size(F.filter("__cuts", lambda c: c < F.col("seq")))).drop("__cuts")
 
 
-def observer_rates(reports: DataFrame) -> DataFrame:
+def counters(reports: DataFrame) -> DataFrame:
+    """Counts overall, by status, observer, observer and status, game and phase, and these and status, in one pass, with the shares of failures and parse errors of each."""
+    names = ("game", "phase", "observer", "status")
+    sets = [[], ["status"], ["observer"], ["observer", "status"], ["game", "phase"], ["game", "phase", "status"]]
+    rows = reports.withColumn("status", F.coalesce("status", F.lit("missing"))).select(*names, _failed().alias("__bad"), (F.col("status") == "parse_error").alias("__parse"))
+    n = F.count("*")
+    return rows.groupingSets(sets, *names).agg(n.alias("n"), (F.count_if("__bad") / n).alias("invalid_rate"), (F.count_if("__parse") / n).alias("parse_error_rate"), F.grouping_id(*names).alias("level"))
+
+
+def streaks(reports: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Length so far of each observer's run of one error (0 for ok); runs go on across games and blocks."""
+    rows = _blocked(reports, blocks)
+    by = Window.partitionBy("observer", "block").orderBy("seq")
+    of = Window.partitionBy("observer", "block", "status").orderBy("seq")
+    rows = rows.withColumn("__island", F.row_number().over(by) - F.row_number().over(of))
+    rows = rows.withColumn("__run", F.row_number().over(Window.partitionBy("observer", "block", "status", "__island").orderBy("seq")))
+    # one row for each observer and block: its last run, and whether it is all of it
+    ends = rows.groupBy("observer", "block").agg(F.count("*").alias("n"), F.max_by(F.struct("status", F.col("__run").cast("long").alias("run")), "seq").alias("end"))
+    order = Window.partitionBy("observer").orderBy("block")
+    ends = ends.withColumn("new", F.when((F.col("end.run") == F.col("n")) & (F.col("end.status") == F.lag("end.status").over(order)), 0).otherwise(1))
+    ends = ends.withColumn("chain", F.sum("new").over(order))
+    ends = ends.withColumn("out", F.sum("end.run").over(Window.partitionBy("observer", "chain").orderBy("block")))
+    carried = ends.select("observer", "block", F.lag("end.status").over(order).alias("__status"), F.lag("out").over(order).alias("__carry"))
+    rows = rows.join(carried, ["observer", "block"])
+    # the first run of a block goes on with the last one before it
+    more = F.when((F.col("__island") == 0) & (F.col("status") == F.col("__status")), F.col("__carry")).otherwise(0)
+    return rows.withColumn("streak", F.when(~_failed(), 0).otherwise(F.col("__run") + more)).drop("block", "__island", "__run", "__status", "__carry")
+
+
+def _running(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Adds running sums of ``values`` in order of ``seq`` within ``keys``; ``rows`` have a block."""
+    sums = rows.groupBy(*keys, "block").agg(*[F.sum(v).alias(n) for n, v in values.items()])
+    ahead = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, "block", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"__{n}") for n in values])
+    here = Window.partitionBy(*keys, "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(before, [*keys, "block"])
+    return rows.withColumns({n: F.sum(v).over(here) + F.col(f"__{n}") for n, v in values.items()}).drop(*[f"__{n}" for n in values])
+
+
+def observer_rates(reports: DataFrame, blocks: int | None = None) -> DataFrame:
     """Running number of reports and share of failures of each observer."""
-    so_far = Window.partitionBy("observer").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return reports.withColumn("seen", F.count("*").over(so_far)).withColumn("invalid_rate", F.sum(F.when(F.col("status") != "ok", 1).otherwise(0)).over(so_far) / F.col("seen"))
-
-
-def total_rates(reports: DataFrame, blocks: int = 64) -> DataFrame:
-    """Running totals over all reports in order of ``seq``, without one task that sees them all.
-
-    Blocks of ``seq`` are counted apart; each row adds the totals of the blocks before its own.
-    """
-    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / blocks), F.lit(1))
-    span = reports.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))  # one row
-    rows = reports.crossJoin(F.broadcast(span)).withColumn("block", F.floor((F.col("seq") - F.col("lo")) / width)).drop("lo", "hi")
-    bad, parse = F.when(F.col("status") != "ok", 1).otherwise(0), F.when(F.col("status") == "parse_error", 1).otherwise(0)
-    sums = rows.groupBy("block").agg(F.count("*").alias("n"), F.sum(bad).alias("bad"), F.sum(parse).alias("parse"))  # ``blocks`` rows
-    ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("block", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in ("n", "bad", "parse")])
-    here = Window.partitionBy("block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(F.broadcast(before), "block")
-    rows = rows.withColumn("total", F.count("*").over(here) + F.col("n_before"))
-    rows = rows.withColumn("total_invalid_rate", (F.sum(bad).over(here) + F.col("bad_before")) / F.col("total")).withColumn("total_parse_rate", (F.sum(parse).over(here) + F.col("parse_before")) / F.col("total"))
-    return rows.drop("block", "n_before", "bad_before", "parse_before")
-
-
-def first_stop(reports: DataFrame) -> DataFrame:
+    rows = _running(_blocked(reports, blocks), ["observer"], {"seen": F.lit(1), "__bad": _failed().cast("int")})
+    return rows.withColumn("invalid_rate", F.col("__bad") / F.col("seen")).drop("__bad", "block")
+
+
+def total_rates(reports: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Running totals and shares over all reports in order of ``seq``."""
+    rows = _running(_blocked(reports, blocks), [], {"total": F.lit(1), "__bad": _failed().cast("int"), "__parse": (F.col("status") == "parse_error").cast("int")})
+    rows = rows.withColumn("total_invalid_rate", F.col("__bad") / F.col("total")).withColumn("total_parse_rate", F.col("__parse") / F.col("total"))
+    return rows.drop("__bad", "__parse", "block")
+
+
+def first_stop(reports: DataFrame, blocks: int | None = None) -> DataFrame:
     """seq and rule of the first report at which a rule fires; the first rule of the list wins."""
-    rows = total_rates(observer_rates(streaks(reports)))
+    rows = total_rates(observer_rates(streaks(reports, blocks), blocks), blocks)
     rule = (
         F.when(F.col("streak") >= STREAK, "1_streak")
         .when((F.col("seen") >= OBSERVER_LEAST) & (F.col("invalid_rate") > OBSERVER_RATE), "2_observer_rate")
@@ -62,15 +97,51 @@ def first_stop(reports: DataFrame) -> DataFrame:
     return hit.select("x.seq", "x.rule").where("seq is not null")
 
 
+def until_stop(reports: DataFrame, sample: str = "sample", blocks: int | None = None) -> DataFrame:
+    """Reports up to the first stop; the sample in which it falls is completed, later ones are cut off."""
+    stop = first_stop(reports, blocks)
+    last = reports.join(stop.select("seq"), "seq", "left_semi").select(sample)
+    end = reports.join(last, sample, "left_semi").agg(F.max("seq").alias("__end"))  # one row
+    return reports.crossJoin(F.broadcast(end)).where(F.col("__end").isNull() | (F.col("seq") <= F.col("__end"))).drop("__end")
+
+
+def call_violations(calls: DataFrame) -> DataFrame:
+    """Audit records with the names of the rules that they break: call_category, dispatch_status, latency_ms."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    rules = {"call_category": no(F.col("category").isin("gameplay", "belief")), "dispatch_status": no(F.col("dispatch").isin("ok", "error")), "latency_ms": F.col("latency_ms").isNull() | F.isnan(F.col("latency_ms").cast("double"))}
+    return calls.withColumn("violations", F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules.items()])))
+
+
 def call_audit(calls: DataFrame) -> DataFrame:
-    """Counts, token sums and latency statistics by category: interpolated median, nearest-rank 95th percentile."""
-    order = Window.partitionBy("category").orderBy("latency_ms", "call_id")
-    ranked = calls.withColumn("rank", F.row_number().over(order)).withColumn("of", F.count("*").over(Window.partitionBy("category")))
-    p95 = F.max(F.when(F.col("rank") == F.ceil(F.lit(0.95) * F.col("of")), F.col("latency_ms")))
-    return ranked.groupBy("category").agg(F.count("*").alias("calls"), F.count_if(F.col("dispatch") == "error").alias("errors"), F.avg("latency_ms").alias("mean_ms"), F.expr("percentile(latency_ms, 0.5)").alias("median_ms"), p95.alias("p95_ms"), F.max("latency_ms").alias("max_ms"))
+    """Counts, token sums and latency statistics by category and (category null) over all calls: interpolated median, nearest-rank 95th percentile, both exact."""
+    tokens = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens") if c in calls.columns]
+    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)")
+    usage = [F.count_if("usage_available").alias("usage_available")] if "usage_available" in calls.columns else []
+    return calls.groupingSets([[], ["category"]], "category").agg(
+        F.count("*").alias("calls"), F.count_if(F.col("dispatch") == "error").alias("errors"), *usage, *tokens, F.avg("latency_ms").alias("mean_ms"), F.percentile("latency_ms", 0.5).alias("median_ms"), p95.alias("p95_ms"), F.max("latency_ms").alias("max_ms"))
 
 
-def refused(calls: DataFrame, limit: int) -> DataFrame:
-    """The first call of each game that exceeds its budget."""
+def refused(calls: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """game, seq and budget of the first call of each game that one of its budgets (by category, and ``total``) does not allow; the earliest one stops the game."""
     order = Window.partitionBy("game").orderBy("seq")
-    return calls.withColumn("n", F.row_number().over(order)).where(F.col("n") == limit + 1).select("game", "seq", "n")
+    of = Window.partitionBy("game", "category").orderBy("seq")
+    rows = calls.withColumn("__total", F.row_number().over(order)).withColumn("__n", F.row_number().over(of))
+    over = F.lit(None).cast("string")
+    for name, most in (limits or BUDGET).items():
+        over = F.when(F.col("__total") > most if name == "total" else (F.col("category") == name) & (F.col("__n") > most), name).otherwise(over)
+    hit = rows.withColumn("budget", over).where("budget is not null").groupBy("game").agg(F.min(F.struct("seq", "budget")).alias("x"))
+    return hit.select("game", "x.seq", "x.budget")
+
+
+def over_total(calls: DataFrame, most: int, blocks: int | None = None) -> DataFrame:
+    """The first call of all games together that is beyond ``most``."""
+    rows = _running(_blocked(calls.withColumn("status", F.lit("ok")), blocks), [], {"__total": F.lit(1)})
+    return rows.where(F.col("__total") == most + 1).select("game", "seq", F.col("__total").alias("n"))
+
+
+def run_summaries(calls: DataFrame, finished: DataFrame) -> DataFrame:
+    """Each game's calls by category, in all and failed, and its state: completed (in ``finished``), else partial."""
+    n = lambda c: F.count_if(F.col("category") == c).alias(c)
+    out = calls.groupBy("game").agg(n("gameplay"), n("belief"), F.count("*").alias("total"), F.count_if(F.col("dispatch") == "error").alias("failed"))
+    done = finished.select("game").distinct().withColumn("__done", F.lit(True))
+    return out.join(done, "game", "left").withColumn("state", F.when(F.col("__done"), "completed").otherwise("partial")).drop("__done")

@@ -12,16 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, game, observer, status from events."""
+    """seq, game, observer, phase, sample, status from events."""
     status = F.when(F.col("event_type") == "error", "parse_error").when(F.col("event_type") == "signup", "semantic_error").otherwise("ok")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 50).alias("game"), (F.col("user_id") % 7 + 1).alias("observer"), status.alias("status"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 50).alias("game"), (F.col("user_id") % 7 + 1).alias("observer"), F.concat((F.col("event_id") % 3 + 1).cast("string"), F.lit("_day_speech")).alias("phase"), F.floor(F.col("event_id") / 7).alias("sample"), status.alias("status"))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """call_id, seq, game, category, dispatch, latency_ms from events."""
+    """call_id, seq, game, category, dispatch, latency_ms, usage_available, input_tokens from events."""
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("call_id"), F.col("event_id").alias("seq"), (F.col("user_id") % 50).alias("game"), F.when(F.col("event_type").isin("click", "view"), "gameplay").otherwise("belief").alias("category"),
         F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("dispatch"), F.col("value").alias("latency_ms"),
+        (F.col("event_id") % 3 == 0).alias("usage_available"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 100).alias("input_tokens"),
     )
 
 

@@ -35,27 +35,26 @@ _BELIEFS = """b AS (
 
 @query(f"WITH {_BELIEFS}, m AS (SELECT report_id, unnest([a, b]) AS player, p FROM t) SELECT report_id, CAST(player AS INT) AS player, round(sum(p), 9) AS marginal FROM m GROUP BY 1, 2")
 def pair_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = B.projected(B.legal_pairs(A.beliefs(spark, sf_dir)), ["report_id"])
-    return B.marginals(targets, ["report_id"]).withColumn("marginal", F.round("marginal", 9))
+    return B.marginals(A.beliefs(spark, sf_dir), ["report_id"]).withColumn("marginal", F.round("marginal", 9))
 
 
 @query(f"WITH {_BELIEFS} SELECT report_id, CAST(a AS INT) AS a, CAST(b AS INT) AS b, round(p, 9) AS p FROM t")
 def pair_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.projected(B.legal_pairs(A.beliefs(spark, sf_dir)), ["report_id"]).select("report_id", "a", "b", F.round("p", 9).alias("p"))
+    return B.targets(A.beliefs(spark, sf_dir)).select("report_id", "a", "b", F.round("p", 9).alias("p"))
 
 
 @query(f"""WITH {_BELIEFS}, n AS (SELECT report_id, any_value(wolf) AS wolf, any_value(observer) AS observer, count(*) AS n_legal FROM t GROUP BY 1)
 SELECT report_id, coalesce(CAST(wolf AS VARCHAR), '') AS known, CAST(observer AS VARCHAR) AS cleared, CAST(n_legal AS INT) AS n_legal FROM n""")
 def knowledge_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = B.closed(B.legal_pairs(A.beliefs(spark, sf_dir)), ["report_id"])
-    return out.select("report_id", F.array_join(F.col("known").cast("array<string>"), ",").alias("known"), F.array_join(F.col("cleared").cast("array<string>"), ",").alias("cleared"), "n_legal")
+    pairs = N.compatible(F.col("known"), F.col("cleared"))
+    out = A.beliefs(spark, sf_dir).select("report_id", N.closure(pairs).alias("shut"), F.size(pairs).alias("n_legal"))
+    return out.select("report_id", F.array_join(F.col("shut.known").cast("array<string>"), ",").alias("known"), F.array_join(F.col("shut.cleared").cast("array<string>"), ",").alias("cleared"), "n_legal")
 
 
 @query(f"""WITH {_BELIEFS}, m AS (SELECT report_id, unnest([a, b]) AS player, p FROM t), g AS (SELECT report_id, player, sum(p) AS marginal FROM m GROUP BY 1, 2
 ), x AS (SELECT *, max(marginal) OVER (PARTITION BY report_id) AS top FROM g) SELECT CAST(player AS INT) AS player, count(*) AS n FROM x WHERE abs(marginal - top) <= 1e-8 + 1e-5 * abs(top) GROUP BY 1""")
 def most_suspected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = B.marginals(B.projected(B.legal_pairs(A.beliefs(spark, sf_dir)), ["report_id"]), ["report_id"])
-    return B.argmax_ties(m, ["report_id"], "marginal").groupBy("player").agg(F.count("*").alias("n"))
+    return B.most_suspected(A.beliefs(spark, sf_dir)).groupBy("player").agg(F.count("*").alias("n"))
 
 
 _P = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
@@ -64,6 +63,18 @@ _P = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBL
 ), t AS (SELECT *, w / sum(w) OVER (PARTITION BY vec_id) AS t, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS q FROM l)"""
 
 
+_M = """, pl AS (SELECT row_number() OVER (ORDER BY a, b) AS i, a, b FROM range(1, 8) x(a), range(1, 8) y(b) WHERE a < b
+), mm AS (SELECT vec_id, any_value(t.observer) AS observer, pl.player, sum(q) AS qm, sum(t) AS tm FROM t JOIN (SELECT i, unnest([a, b]) AS player FROM pl) pl USING (i) GROUP BY vec_id, pl.player
+), ms AS (SELECT vec_id, round(sum(abs(qm - tm)) / 7, 6) AS marginal_mae, round(abs(sum(qm) - 2), 6) AS row_sum_error, round(max(qm) - min(qm), 6) AS predicted_spread, round(max(tm) - min(tm), 6) AS target_spread,
+  round(max(qm) FILTER (player = observer), 6) AS predicted_diagonal, round(max(tm) FILTER (player = observer), 6) AS target_diagonal FROM mm GROUP BY 1)"""
+
+
+@query(f"WITH {_P}{_M} SELECT * FROM ms")
+def marginal_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.row_metrics(A.predictions(spark, sf_dir), "observer")
+    return rows.select("vec_id", *[F.round(c, 6).alias(c) for c in ("marginal_mae", "row_sum_error", "predicted_spread", "target_spread", "predicted_diagonal", "target_diagonal")])
+
+
 @query(f"""WITH {_P}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY q DESC) AS k FROM t)
 SELECT vec_id, round(-sum(t * ln(q)), 6) AS cross_entropy, round(sum(CASE WHEN t > 0 THEN t * ln(t / q) ELSE 0 END), 6) AS kl, round(0.5 * sum(abs(t - q)), 6) AS tv,
   round(-sum(q * ln(q)), 6) AS entropy, round(max(q) FILTER (k = 1) - max(q) FILTER (k = 2), 6) AS margin FROM r GROUP BY 1""")
@@ -85,13 +96,15 @@ def masked_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.round(B.masked_mean(F.col("kl"), effective), 6).alias("effective_kl"), F.round(B.masked_mean(F.col("kl"), F.col("observer") > 9), 6).alias("empty_kl"), F.count_if(effective).alias("effective_rows"))
 
 
-_R = """r AS (SELECT event_id AS seq, user_id % 50 AS game, user_id % 7 + 1 AS observer,
+_R = """r AS (SELECT event_id AS seq, user_id % 50 AS game, user_id % 7 + 1 AS observer, (event_id % 3 + 1) || '_day_speech' AS phase, event_id // 7 AS sample,
   CASE event_type WHEN 'error' THEN 'parse_error' WHEN 'signup' THEN 'semantic_error' ELSE 'ok' END AS status FROM events)"""
 
 
-@query(f"WITH {_R} SELECT game, observer, status, count(*) AS n, CAST(grouping(game, observer, status) AS BIGINT) AS level FROM r GROUP BY GROUPING SETS ((), (status), (observer, status), (game, status))")
+@query(f"""WITH {_R} SELECT game, phase, observer, status, count(*) AS n, round(count_if(status <> 'ok') / count(*), 9) AS invalid_rate, round(count_if(status = 'parse_error') / count(*), 9) AS parse_error_rate,
+  CAST(grouping(game, phase, observer, status) AS BIGINT) AS level FROM r GROUP BY GROUPING SETS ((), (status), (observer), (observer, status), (game, phase), (game, phase, status))""")
 def report_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.counters(A.reports(spark, sf_dir))
+    out = M.counters(A.reports(spark, sf_dir))
+    return out.withColumn("invalid_rate", F.round("invalid_rate", 9)).withColumn("parse_error_rate", F.round("parse_error_rate", 9))
 
 
 _STREAK = """i AS (SELECT *, row_number() OVER (PARTITION BY observer ORDER BY seq) - row_number() OVER (PARTITION BY observer, status ORDER BY seq) AS island FROM r
@@ -100,7 +113,7 @@ _STREAK = """i AS (SELECT *, row_number() OVER (PARTITION BY observer ORDER BY s
 
 @query(f"WITH {_R}, {_STREAK} SELECT seq, observer, status, CAST(streak AS INT) AS streak FROM k")
 def error_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.streaks(A.reports(spark, sf_dir)).select("seq", "observer", "status", F.col("streak").cast("int").alias("streak"))
+    return M.streaks(A.reports(spark, sf_dir), 9).select("seq", "observer", "status", F.col("streak").cast("int").alias("streak"))
 
 
 _RATES = """o AS (SELECT seq, count(*) OVER w AS seen, sum(CASE WHEN status <> 'ok' THEN 1 ELSE 0 END) OVER w / count(*) OVER w AS invalid_rate FROM r WINDOW w AS (PARTITION BY observer ORDER BY seq)
@@ -109,7 +122,7 @@ _RATES = """o AS (SELECT seq, count(*) OVER w AS seen, sum(CASE WHEN status <> '
 
 @query(f"WITH {_R}, {_RATES} SELECT seq, seen, round(invalid_rate, 9) AS invalid_rate, total, round(tir, 9) AS total_invalid_rate, round(tpr, 9) AS total_parse_rate FROM o JOIN g USING (seq)")
 def running_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.total_rates(M.observer_rates(A.reports(spark, sf_dir)))
+    rows = M.total_rates(M.observer_rates(A.reports(spark, sf_dir), 9), 9)
     return rows.select("seq", "seen", F.round("invalid_rate", 9).alias("invalid_rate"), "total", F.round("total_invalid_rate", 9).alias("total_invalid_rate"), F.round("total_parse_rate", 9).alias("total_parse_rate"))
 
 
@@ -117,21 +130,43 @@ def running_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHEN total >= 100 AND tir > 0.05 THEN '3_total_rate' WHEN total >= 100 AND tpr > 0.01 THEN '4_parse_rate' END AS rule FROM k JOIN o USING (seq) JOIN g USING (seq))
 SELECT seq, rule FROM x WHERE rule IS NOT NULL ORDER BY seq LIMIT 1""")
 def first_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.first_stop(A.reports(spark, sf_dir))
+    return M.first_stop(A.reports(spark, sf_dir), 9)
 
 
-_C = """c AS (SELECT event_id AS call_id, user_id % 50 AS game, CASE WHEN event_type IN ('click', 'view') THEN 'gameplay' ELSE 'belief' END AS category, event_type = 'error' AS failed, value AS latency_ms FROM events)"""
+@query(f"""WITH {_R}, {_STREAK}, {_RATES}, x AS (SELECT seq, sample FROM k JOIN o USING (seq) JOIN g USING (seq) JOIN r USING (seq)
+  WHERE streak >= 3 OR seen >= 10 AND invalid_rate > 0.2 OR total >= 100 AND (tir > 0.05 OR tpr > 0.01) ORDER BY seq LIMIT 1)
+SELECT game, count(*) AS n, max(seq) AS last FROM r WHERE seq <= (SELECT max(r.seq) FROM r JOIN x ON r.sample = x.sample) GROUP BY 1""")
+def reports_until_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.until_stop(A.reports(spark, sf_dir), "sample", 9).groupBy("game").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 
-@query(f"""WITH {_C}, k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY latency_ms, call_id) AS k, count(*) OVER (PARTITION BY category) AS n FROM c)
-SELECT category, count(*) AS calls, count_if(failed) AS errors, round(avg(latency_ms), 6) AS mean_ms, round(median(latency_ms), 6) AS median_ms, max(CASE WHEN k = ceil(0.95 * n) THEN latency_ms END) AS p95_ms, max(latency_ms) AS max_ms FROM k GROUP BY 1""")
+_C = """c AS (SELECT event_id AS call_id, user_id % 50 AS game, CASE WHEN event_type IN ('click', 'view') THEN 'gameplay' ELSE 'belief' END AS category, event_type = 'error' AS failed, value AS latency_ms,
+  event_id % 3 = 0 AS usage, CASE WHEN event_id % 3 = 0 THEN event_id % 100 END AS tokens FROM events)"""
+
+
+@query(f"""WITH {_C}, k AS (SELECT *, category AS cat FROM c UNION ALL SELECT *, NULL FROM c), s AS (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY latency_ms, call_id) AS k, count(*) OVER (PARTITION BY cat) AS n FROM k)
+SELECT cat AS category, count(*) AS calls, count_if(failed) AS errors, count_if(usage) AS usage_available, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS input_tokens, round(avg(latency_ms), 6) AS mean_ms, round(median(latency_ms), 6) AS median_ms,
+  max(CASE WHEN k = ceil(0.95 * n) THEN latency_ms END) AS p95_ms, max(latency_ms) AS max_ms FROM s GROUP BY 1""")
 def call_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.call_audit(A.calls(spark, sf_dir)).withColumn("mean_ms", F.round("mean_ms", 6)).withColumn("median_ms", F.round("median_ms", 6))
 
 
-@query(f"WITH {_C}, k AS (SELECT game, call_id AS seq, row_number() OVER (PARTITION BY game ORDER BY call_id) AS n FROM c) SELECT game, seq, CAST(n AS INT) AS n FROM k WHERE n = 193")
+@query(f"""WITH {_C}, k AS (SELECT game, category, call_id AS seq, row_number() OVER (PARTITION BY game ORDER BY call_id) AS n, row_number() OVER (PARTITION BY game, category ORDER BY call_id) AS m FROM c
+), h AS (SELECT game, seq, CASE WHEN n > 150 THEN 'total' WHEN category = 'belief' AND m > 90 THEN 'belief' WHEN category = 'gameplay' AND m > 70 THEN 'gameplay' END AS budget FROM k
+), f AS (SELECT game, min(seq) AS seq FROM h WHERE budget IS NOT NULL GROUP BY 1) SELECT h.* FROM h JOIN f USING (game, seq)""")
 def refused_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.refused(A.calls(spark, sf_dir), 192)
+    return M.refused(A.calls(spark, sf_dir), {"gameplay": 70, "belief": 90, "total": 150})
+
+
+@query("SELECT user_id % 50 AS game, event_id AS seq, CAST(501 AS BIGINT) AS n FROM events ORDER BY event_id LIMIT 1 OFFSET 500")
+def total_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.over_total(A.calls(spark, sf_dir), 500, 7)
+
+
+@query(f"""WITH {_C} SELECT game, count_if(category = 'gameplay') AS gameplay, count_if(category = 'belief') AS belief, count(*) AS total, count_if(failed) AS failed, CASE WHEN game % 3 = 0 THEN 'completed' ELSE 'partial' END AS state FROM c GROUP BY 1""")
+def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = A.calls(spark, sf_dir)
+    return M.run_summaries(calls, calls.where("game % 3 = 0"))
 
 
 @query("""WITH v AS (SELECT l_orderkey AS round, l_partkey % 8 AS target, count(*) AS n FROM lineitem GROUP BY 1, 2
@@ -178,9 +213,9 @@ def win_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _E = "e AS (SELECT conv_id AS game, turn AS event_idx, CASE WHEN turn % 3 = 0 THEN (turn + 1) || '_day_speech' END AS phase, length(text) AS n_tokens FROM conversations)"
 
 
-@query(f"WITH {_E}, p AS (SELECT game, event_idx, row_number() OVER (PARTITION BY game ORDER BY event_idx) - 1 AS place FROM e) SELECT game, event_idx, CAST(place AS INT) AS place FROM p WHERE place <> event_idx")
+@query(f"WITH {_E}, p AS (SELECT game, event_idx, row_number() OVER (PARTITION BY game ORDER BY event_idx) - 1 AS place FROM e WHERE event_idx <> game % 8) SELECT game, event_idx, CAST(place AS INT) AS place FROM p WHERE place <> event_idx")
 def event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.discontinuities(A.events(spark, sf_dir))
+    return G.discontinuities(A.events(spark, sf_dir).where("event_idx <> game % 8"))
 
 
 @query(f"WITH {_E} SELECT game, event_idx, last_value(phase IGNORE NULLS) OVER (PARTITION BY game ORDER BY event_idx ROWS UNBOUNDED PRECEDING) AS current_phase FROM e")
@@ -203,10 +238,11 @@ def broken_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.broken_prefixes(rows)
 
 
-@query("""WITH e AS (SELECT event_id, props FROM events) SELECT event_id, sha256(props) = sha256(props) AS stable, length(sha256(props)) AS digest_length FROM e WHERE json_valid(props)""")
+@query("""SELECT event_id, sha256('{"event_type":"' || event_type || '","k":' || CAST(props->>'k' AS BIGINT) || '}') AS digest FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 5 = 0""")
 def event_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = domain.digest(F.col("props"))
-    return A.table(spark, sf_dir, "events").where(F.try_parse_json("props").isNotNull()).select("event_id", (d == domain.digest(domain.canonical_json(F.col("props")))).alias("stable"), F.length(d).cast("long").alias("digest_length"))
+    mixed = F.concat(F.substring("props", 1, 1), F.lit(' "k" :'), F.regexp_extract("props", r":\s*(\d+)", 1), F.lit(' , "event_type":"'), F.col("event_type"), F.lit('"} '))
+    text_ = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("no json "), mixed)).otherwise(mixed)
+    return A.table(spark, sf_dir, "events").select("event_id", domain.digest(text_).alias("digest"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 7 THEN 'player' || p_size END AS from_number, CASE WHEN p_size BETWEEN 1 AND 7 THEN 'player' || p_size END AS from_text,
@@ -240,9 +276,9 @@ def misaligned_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.misaligned(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type"])
 
 
-@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000 AND o_custkey IS NOT NULL)")
 def unused_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.unused(A.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), A.table(spark, sf_dir, "customer"), "c_custkey")
+    return S.unused(A.table(spark, sf_dir, "orders").where("o_totalprice > 400000").withColumnRenamed("o_custkey", "c_custkey"), A.table(spark, sf_dir, "customer"), "c_custkey")
 
 
 @query("SELECT user_id AS game_id, count(DISTINCT event_type) AS n_splits FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
@@ -250,22 +286,72 @@ def leaking_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.leaking(A.table(spark, sf_dir, "events").select(F.col("user_id").alias("game_id"), F.col("event_type").alias("split")))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'reporter_error' WHEN turn % 5 = 1 THEN 'parse_error' WHEN turn % 5 = 2 THEN 'semantic_error' ELSE 'ok' END AS status,
-  CASE WHEN turn % 5 > 2 THEN 'player2,player4' END AS suspected FROM conversations""")
+@query("""WITH c AS (SELECT conv_id, turn, (conv_id + length(text)) % 8 AS k, length(text) % 7 + 1 AS a, (length(text) + 3) % 7 + 1 AS b FROM conversations), r AS (
+  SELECT conv_id, turn, CASE WHEN k = 0 THEN 'reporter_error' WHEN k < 5 THEN 'parse_error' WHEN a = 1 OR b = 1 OR a <> 2 AND b <> 2 THEN 'semantic_error' ELSE 'ok' END AS status, least(a, b) AS lo, greatest(a, b) AS hi FROM c)
+SELECT conv_id, turn, status, CASE WHEN status = 'ok' THEN 'player' || lo || ',player' || hi END AS suspected FROM r""")
 def report_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("turn") % 5
-    response = F.when(k == 1, '{"suspected": ["4"], "more": 1}').when(k == 2, '{"suspected": ["player 1"]}').otherwise('{"suspected": ["4", "Player_2"]}')
+    n = F.length("text")
+    k, a, b = (F.col("conv_id") + n) % 8, (n % 7 + 1).cast("string"), ((n + 3) % 7 + 1).cast("string")
+    pair = F.concat(F.lit('["player'), a, F.lit('", "player'), b, F.lit('"]'))
+    key = F.lit('{"suspected_werewolves": ')
+    response = (
+        F.when(k == 1, F.concat(key, pair, F.lit(', "more": 1}'))).when(k == 2, F.concat(key, F.lit('["'), a, F.lit('"]}'))).when(k == 3, F.concat(key, F.lit('["player'), a, F.lit('", "player'), a, F.lit('"]}')))
+        .when(k == 4, F.col("text")).otherwise(F.concat(F.lit(" "), key, pair, F.lit("}\n")))
+    )
     r = text.report(response, k == 0, F.array(F.lit("player2")), F.array(F.lit("player1")))
     return A.table(spark, sf_dir, "conversations").withColumn("r", r).select("conv_id", "turn", "r.status", F.array_join("r.suspected", ",").alias("suspected"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 7 THEN 'player1:check_as_wolf:player' || p_size ELSE '' END AS acts, CAST(CASE WHEN p_size BETWEEN 1 AND 7 THEN 0 ELSE 2 END AS INT) AS rejected FROM part""")
+def _acts(c) -> Column:
+    return F.array_join(F.transform(c, lambda t: F.concat_ws(":", t["subject"], t["action"], t["object"])), ",")
+
+
+#: Ten shapes of a parser's response ({n} and {o} are digits of players), with the actions in them, and their tolerant and strict status.
+_SHAPES = {
+    0: ("{n} | point_as_werewolf | {o}", "point_as_werewolf:{o}", "parsed", "parsed"),
+    1: ("```\n- Player {n} ｜ CHECK_AS_GOOD ｜ player {o},\n2) 1|support|{o}。\n```", "check_as_good:{o} support:{o}", "parsed", "failed"),
+    2: ("NONE.", "", "empty", "empty"),
+    3: ("无动作", "", "empty", "empty"),
+    4: ('so: [[1, "oppose", {o}], [9], {"action": "Save", "object": "player{n}"}] end', "oppose:{o} save:{n}", "parsed", "failed"),
+    5: ('[[1, "oppose", {o}]]', "oppose:{o}", "parsed", "parsed"),
+    6: ("words\nno action!", "", "empty", "failed"),
+    7: ("{n} | fly | {o}\n{n} | guard | {o}", "guard:{o}", "parsed", "failed"),
+    8: ("{n} | check_as_werewolf | {o}\n{n} | point_as_werewolf | {o}\n{n} | check_as_werewolf | {o}", "check_as_werewolf:{o}", "parsed", "parsed"),
+    9: ("words only", "", "failed", "failed"),
+}
+_SAID = """c AS (SELECT conv_id, turn, text, (conv_id + turn) % 10 AS k, length(text) % 7 + 1 AS n, conv_id % 7 + 1 AS o, length(text) % 3 = 0 AS claims FROM conversations)"""
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, k, n, o, claims, speech and response, as in ``_SAID``."""
+    n = F.length("text")
+    rows = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.col("conv_id") + F.col("turn")) % 10).alias("k"), (n % 7 + 1).alias("n"), (F.col("conv_id") % 7 + 1).alias("o"), (n % 3 == 0).alias("claims"), "text")
+    shape = F.lit(None).cast("string")
+    for k, (said, *_) in _SHAPES.items():
+        filled = F.replace(F.replace(F.lit(said), F.lit("{n}"), F.col("n").cast("string")), F.lit("{o}"), F.col("o").cast("string"))
+        shape = F.when(F.col("k") == k, filled).otherwise(shape)
+    speech = F.concat(F.col("text"), F.when(F.col("claims"), F.lit("。我是3号玩家，身份是预言家。")).otherwise(F.lit("。他是女巫。")))
+    return rows.withColumn("response", shape).withColumn("speech", speech)
+
+
+def _expected(column: int) -> str:
+    """SQL for what a shape gives: 1 its actions as ``who:action:object`` in order, 2 and 3 its tolerant and strict status."""
+    cases = []
+    for k, row in _SHAPES.items():
+        if column == 1:
+            acts = " || ',' || ".join(f"'player' || n || ':{a.split(':')[0]}:player' || {a.split(':')[1][1]}" for a in row[1].split())
+            cases.append(f"WHEN {k} THEN {acts or chr(39) * 2}")
+        else:
+            cases.append(f"WHEN {k} THEN '{row[column]}'")
+    return f"CASE k {' '.join(cases)} END"
+
+
+@query(f"""WITH {_SAID}, e AS (SELECT *, {_expected(1)} AS acts, {_expected(2)} AS status, {_expected(3)} AS strict_status, 'player' || n || ':point_as_seer:player' || n AS claim FROM c)
+SELECT conv_id, turn, status, strict_status, CASE WHEN NOT claims OR acts LIKE claim || '%' THEN acts WHEN acts = '' THEN claim ELSE claim || ',' || acts END AS acts, CASE WHEN claims THEN claim ELSE '' END AS claims FROM e""")
 def parsed_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_size").cast("string")
-    said = F.concat(F.lit("```\n- Player 1 | point_as_wolf | "), size, F.lit("\nplayer1｜CHECK_AS_WOLF｜ player_"), size, F.lit("\n```"))
-    actions = ("point_as_wolf", "check_as_wolf")
-    kept = text.without_superseded(text.triplets(said, actions))
-    return A.table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(kept, lambda t: F.concat_ws(":", t["subject"], t["action"], t["object"])), ",").alias("acts"), F.size(text.rejected_lines(said, actions)).alias("rejected"))
+    rows = _said(spark, sf_dir)
+    tolerant, strict = text.response_actions(F.col("response"), F.col("n")), text.response_actions(F.col("response"), F.col("n"), strict=True)
+    return rows.select("conv_id", "turn", tolerant["status"].alias("status"), strict["status"].alias("strict_status"), _acts(text.spoken(F.col("speech"), F.col("response"), F.col("n"))).alias("acts"), _acts(text.role_claims(F.col("speech"), F.col("n"))).alias("claims"))
 
 
 _SNAPSHOTS = """c AS (SELECT c_custkey AS k, c_custkey // 7 AS snapshot, c_custkey % 7 + 1 AS observer, (c_custkey // 7) % 7 + 1 AS speaker, (c_custkey // 7) % 5 = 0 AS public_only,
@@ -314,13 +400,22 @@ def rotated_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_BELIEFS}, m AS (SELECT unnest([a, b]) AS player, p FROM t), n AS (SELECT count(DISTINCT report_id) AS n FROM t)
 SELECT CAST((player - 1 + shift) % 7 + 1 AS INT) AS player, round(sum(p) / any_value(n) / 7, 9) AS mean_marginal FROM m, n, (SELECT unnest(range(7)) AS shift) GROUP BY 1""")
 def orbit_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = B.projected(B.legal_pairs(A.beliefs(spark, sf_dir)), ["report_id"])
-    return N.orbit_marginals(B.marginals(targets, ["report_id"]), "report_id").withColumn("mean_marginal", F.round("mean_marginal", 9))
+    return N.orbit_marginals(B.marginals(A.beliefs(spark, sf_dir), ["report_id"]), "report_id").withColumn("mean_marginal", F.round("mean_marginal", 9))
 
 
-@query(f"""WITH {_SNAPSHOTS} SELECT snapshot, CAST(observer AS INT) AS observer, CASE WHEN sure THEN 'not_closed' ELSE '' END AS violations FROM w""")
+@query("""WITH c AS (SELECT c_custkey AS id, c_custkey % 7 + 1 AS o, c_nationkey % 8 AS k FROM customer)
+SELECT id, CASE k WHEN 1 THEN 'unknown_status,error_against_status' WHEN 2 THEN 'contradiction' WHEN 3 THEN 'not_closed' WHEN 4 THEN 'suspicion_against_status' WHEN 5 THEN 'error_against_status'
+  WHEN 6 THEN 'known_not_suspected' WHEN 7 THEN 'cleared_suspected' ELSE '' END AS violations FROM c""")
 def report_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.report_violations(A.snapshots(spark, sf_dir)).select("snapshot", "observer", F.array_join("violations", ",").alias("violations"))
+    k, o = F.col("c_nationkey") % 8, (F.col("c_custkey") % 7 + 1).cast("int")
+    seat = lambda i: ((o - 1 + i) % 7 + 1).cast("int")
+    none = F.array().cast("array<int>")
+    rows = A.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.when(k == 1, "lost").when((k == 2) | (k == 4), "parse_error").otherwise("ok").alias("status"),
+        F.when(k == 2, F.array(seat(1), seat(2), seat(3))).when(k == 3, F.array(seat(1), seat(2))).when(k == 6, F.array(seat(1))).otherwise(none).alias("known"), F.array(o).alias("cleared"),
+        F.when((k == 1) | (k == 2), F.lit(None)).when(k == 3, F.array(seat(1), seat(2))).when(k == 7, F.array(o, seat(1))).otherwise(F.array(seat(3))).alias("suspected"), F.when(k.isin(2, 4, 5), "wrong").alias("error"),
+    )
+    return N.report_violations(rows).select("id", F.array_join("violations", ",").alias("violations"))
 
 
 @query("""WITH e AS (
@@ -341,10 +436,17 @@ def hard_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("game", F.array_join(F.col("known").cast("array<string>"), ",").alias("known"), F.array_join(F.col("cleared").cast("array<string>"), ",").alias("cleared"), "n_compatible")
 
 
-@query("""SELECT conv_id, turn, '[' || conv_id || ',' || turn || ']' AS found, '{"turn":' || turn || '}' AS literal FROM conversations""")
+@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '[' || conv_id || ',' || turn || ']' WHEN 1 THEN '[' || CAST(to_json(text) AS VARCHAR) || ']' WHEN 2 THEN '["x"]' END AS found,
+  CASE turn % 4 WHEN 0 THEN '{"turn":' || turn || '}' WHEN 1 THEN CAST(to_json(text) AS VARCHAR) WHEN 2 THEN '{"a":[' || turn || ',null],"b":true}' END AS literal FROM conversations""")
 def extracted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    id_, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
-    return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.first_json_array(F.concat(F.lit("So [sic] it is [ "), id_, F.lit(" , "), turn, F.lit("], not [0]."))).alias("found"), text.json_like(F.concat(F.lit("```json\n{'turn': "), turn, F.lit("}\n```"))).alias("literal"))
+    id_, turn, k = F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col("turn") % 4
+    quoted = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("x"))), r'^\{"x":([\s\S]*)\}$', 1)
+    free = (
+        F.when(k == 0, F.concat(F.lit("So [sic] it is [ "), id_, F.lit(" , "), turn, F.lit("], not [0]."))).when(k == 1, F.concat(F.lit("words ["), quoted, F.lit("\n]")))
+        .when(k == 2, F.concat(F.lit('{"a": [1]} ```json\n["x"]\n``` ["y"]'))).otherwise(F.concat(F.lit("[NaN] "), F.regexp_replace("text", r"\[", "(")))
+    )
+    like = F.when(k == 0, F.concat(F.lit("```json\n{'turn': "), turn, F.lit("}\n```"))).when(k == 1, quoted).when(k == 2, F.concat(F.lit("- {'b': True, 'a': ("), turn, F.lit(", None)}"))).otherwise(F.lit('["\\ud800"]'))
+    return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.first_json_array(free).alias("found"), text.json_like(like).alias("literal"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, (turn + 1) || '_day_speech' AS phase, 'player' || (turn % 7 + 1) AS who FROM conversations)
@@ -376,16 +478,16 @@ SELECT report_id, a, b, round(p, 9) AS due, CASE report_id % 10 WHEN 0 THEN roun
 def tampered_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = A.beliefs(spark, sf_dir)
     last = (F.col("a") == 6) & (F.col("b") == 7)
-    true = B.projected(B.legal_pairs(reports), ["report_id"]).select("report_id", "a", "b", "p")
+    true = B.targets(reports).select("report_id", "a", "b", "p")
     stored = true.where(~(last & (F.col("report_id") % 10 == 1))).withColumn("p", F.when(last & (F.col("report_id") % 10 == 0), F.col("p") + 0.25).otherwise(F.col("p")))
     return B.tampered(stored, reports, ["report_id"]).select("report_id", "a", "b", F.round("due", 9).alias("due"), F.round("low", 9).alias("low"), "n_stored")
 
 
-@query("""WITH p AS (SELECT CASE WHEN p_size % 4 = 0 THEN 'empty' WHEN p_size BETWEEN 1 AND 7 THEN 'parsed' ELSE 'failed' END AS status, p_size <> 2 AS differs FROM part)
-SELECT status, count(*) AS n, CAST(sum(CASE WHEN status = 'parsed' AND differs THEN 1 ELSE 0 END) AS BIGINT) AS n_added, CAST(sum(CASE WHEN status = 'empty' OR (status = 'parsed' AND differs) THEN 1 ELSE 0 END) AS BIGINT) AS n_removed FROM p GROUP BY 1""")
+@query(f"""WITH {_SAID}, e AS (SELECT *, {_expected(1)} AS acts, {_expected(3)} AS status, ['player' || n || ':support:player' || o] AS old FROM c
+), d AS (SELECT status, list_filter(string_split(CASE WHEN status IN ('parsed', 'empty') THEN acts ELSE old[1] END, ','), lambda x: x <> '') AS new, old FROM e)
+SELECT status, count(*) AS n, CAST(sum(len(list_filter(new, lambda x: NOT list_contains(old, x)))) AS BIGINT) AS n_added, CAST(sum(len(list_filter(old, lambda x: NOT list_contains(new, x)))) AS BIGINT) AS n_removed FROM d GROUP BY 1""")
 def reparse_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_size")
-    response = F.when(size % 4 == 0, "NONE").otherwise(F.concat(F.lit("* player1 | point_as_wolf | player"), size.cast("string")))
-    old = F.array(F.struct(F.lit("player1").alias("subject"), F.lit("point_as_wolf").alias("action"), F.lit("player2").alias("object")))
-    r = A.table(spark, sf_dir, "part").select(text.reparsed(response, old, ("point_as_wolf",)).alias("r")).select("r.*")
+    who = lambda c: F.concat(F.lit("player"), F.col(c).cast("string"))
+    old = F.array(F.struct(who("n").alias("subject"), F.lit("support").alias("action"), who("o").alias("object")))
+    r = _said(spark, sf_dir).select(text.reparsed(F.col("response"), old, F.col("n")).alias("r")).select("r.*")
     return r.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.size("added")).alias("n_added"), F.sum(F.size("removed")).alias("n_removed"))
