@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
     add = rng.integers(0, 1 << 63, n_hashes, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(batches, limit=1_000_000):
             found = Words(*flat(b.column(1)), lower=True, hashes=2)
             first, owner = _places(found.counts, found.bounds, words)
             hashes = _hashed(found.hashes, first, found.counts[owner], words)

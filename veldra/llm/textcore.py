@@ -74,9 +74,17 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _runs_of_bytes(values: np.ndarray, lengths: np.ndarray, family: int) -> np.ndarray:
     """A hash of each of the byte strings that stand one after the other in ``values`` (none is empty)."""
     first = np.cumsum(lengths) - lengths
-    place = np.arange(len(values)) - np.repeat(first, lengths)
-    terms = coefficients(family, int(lengths.max()))[place] * values
-    return mix(np.add.reduceat(terms, first))
+    numbers = coefficients(family, int(lengths.max()))
+    out = np.empty(len(lengths), U64)
+    at = 0
+    while at < len(lengths):  # some strings at a time, so that what is in between stays small
+        to = max(at + 1, int(np.searchsorted(first, first[at] + 250_000)))
+        begin, end = int(first[at]), int(first[to - 1] + lengths[to - 1])
+        starts = first[at:to] - begin
+        place = np.arange(end - begin) - np.repeat(starts, lengths[at:to])
+        out[at:to] = np.add.reduceat(numbers[place] * (values[begin:end].astype(U64) + U64(1)), starts)
+        at = to
+    return mix(out)
 
 
 class Words:
@@ -97,7 +105,7 @@ class Words:
         self.counts = np.diff(self.bounds)
         if hashes:
             empty = np.empty(0, U64)
-            values = (LOWER[buf] if lower else buf)[word].astype(U64) + U64(1)
+            values = (LOWER[buf] if lower else buf)[word]
             self.hashes, self.others = (_runs_of_bytes(values, self.ends - self.starts, k) if k <= hashes and len(values) else empty for k in (1, 2))
 
 
