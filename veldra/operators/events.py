@@ -12,7 +12,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from veldra.functions.domain import ACTIONS, PLAYERS, STATUSES, action, number_of, phase_parts, player
+from veldra.functions.domain import ACTIONS, PLAYERS, STATUSES, action, lineage, number_of, phase_parts, player
 from veldra.operators.snapshots import closure, compatible
 
 #: Fields of each kind of event, besides its place and kind.
@@ -113,7 +113,7 @@ def event_digest(events: Column) -> Column:
 
 def _event_json(e: Column) -> Column:
     def quoted(c: Column) -> Column:
-        return F.expr("x") if c is None else F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'^\{"x":([\s\S]*)\}$', 1)
+        return F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'^\{"x":([\s\S]*)\}$', 1)
 
     acts = F.transform(e["sp_actions"], lambda a: F.array(player(a[0]), action(a[1]), player(a[2])))
     votes = F.to_json(F.transform(e["votes"], lambda v: F.struct(v["target"].alias("target"), v["voter"].alias("voter"))), {"ignoreNullFields": "false"})
@@ -243,8 +243,6 @@ def _knows_nothing() -> Column:
 
 def raw_violations(rows: DataFrame) -> DataFrame:
     """Raw rows (``events`` as JSON text) with the names of the rules that they break."""
-    from veldra.functions.domain import lineage
-
     rows = rows.withColumn("parsed", parsed(F.col("events"))).withColumn("__scope", lineage(SOURCES, F.col("schema_version"), F.col("label_prompt_version"), F.col("label_provenance")))
     rules = {"lineage": F.col("__scope").isNull(), "public_only_knows": (F.col("__scope") == "public_events_only") & ~_knows_nothing()}
     return _checked(rows, rules | _shared_rules(MAPS))
@@ -252,8 +250,6 @@ def raw_violations(rows: DataFrame) -> DataFrame:
 
 def formal_violations(rows: DataFrame, order: int) -> DataFrame:
     """Formal rows of an order (1 or 2; ``events`` as JSON text) with the names of the rules that they break."""
-    from veldra.functions.domain import lineage
-
     scope = F.col("__scope")
     rows = rows.withColumn("parsed", parsed(F.col("events"))).withColumn("__scope", lineage(SOURCES, F.col("schema_version"), F.col("label_prompt_version"), F.col("source_label_provenance")))
     by = lambda values: functools.reduce(lambda c, s: c.when(scope == s, values(s)), SOURCES, F.when(F.lit(False), ""))
@@ -269,6 +265,7 @@ def formal_violations(rows: DataFrame, order: int) -> DataFrame:
     rules |= {"public_only_knows": (scope == "public_events_only") & ~_knows_nothing()}
     if order == 1:
         rules["first_order_observer"] = _no(F.col("observer_ids") == F.array("speaker_id"))
-    rules |= {m: F.exists(names, lambda w, m=m: ~_filled(F.col(m)[w])) for m in ("observer_annotation_confidence", "observer_label_provenance")}
+    blank = lambda m: F.exists(names, lambda w: ~_filled(F.col(m)[w]))
+    rules |= {m: blank(m) for m in ("observer_annotation_confidence", "observer_label_provenance")}
     rules["source_belief_status"] = F.exists(names, lambda w: _no(F.col("source_belief_status")[w].isin(*STATUSES)))
     return _checked(rows, rules | _shared_rules(FORMAL_MAPS))

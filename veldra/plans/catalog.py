@@ -6,21 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veldra.functions import domain, text
 from veldra.operators import beliefs as B, games as G, monitor as M, snapshots as N, splits as S
-from veldra.plans import adapters as A
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
+from veldra.plans import adapters as A, contracts  # noqa: F401  (registers its queries)
+from veldra.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 _BELIEFS = """b AS (
   SELECT c_custkey AS report_id, c_custkey % 7 + 1 AS observer, CASE WHEN c_custkey % 5 = 0 THEN (c_custkey + 2) % 7 + 1 END AS wolf, c_nationkey AS bits FROM customer
