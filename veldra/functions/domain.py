@@ -141,3 +141,8 @@ def token_usage(usage: Column) -> Column:
         return F.coalesce(*found)
 
     return F.struct(of("prompt_tokens", "input_tokens").alias("input_tokens"), of("completion_tokens", "output_tokens").alias("output_tokens"), of("total_tokens").alias("total_tokens"))
+
+
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
-from veldra.functions.domain import ACTIONS, action, player, player_set
+from veldra.functions.domain import ACTIONS, action, let, player, player_set
 
 #: Markers that say "no actions".
 EMPTY_MARKERS = ("none", "no action", "no actions", "null", "[]", "无", "无动作", "没有动作")
@@ -124,16 +124,11 @@ def response_actions(response: Column, speaker: Column, strict: bool = False) ->
     """
     array = first_json_array(response)
     found = F.struct(lines_of(response).alias("lines"), triplets(response, strict).alias("raw"), array.alias("array"), _of_json(array).alias("from_json"), (rejected_lines(response) if strict else F.array().cast("array<string>")).alias("bad_lines"))
-    return _with(found, lambda f: _with(_judged(f, response, strict), lambda j: F.struct(
+    return let(found, lambda f: let(_judged(f, response, strict), lambda j: F.struct(
         j["status"].alias("status"), F.when(j["status"] == "parsed", normalised(F.filter(j["chosen"], lambda t: t.isNotNull()), speaker)).otherwise(_none()).alias("actions"),
         F.when(j["status"] == "failed", j["bad"]).otherwise(F.array().cast("array<string>")).alias("failures"))))
 
 
-def _with(value: Column, then) -> Column:
-    """``then`` of a value that is computed once, however often ``then`` names it."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _judged(found: Column, response: Column, strict: bool) -> Column:
     """status, chosen raw actions and what is bad about them."""
     lines, raw, array = found["lines"], found["raw"], found["array"]
@@ -158,7 +153,7 @@ def spoken(speech: Column, response: Column, speaker: Column) -> Column:
     """Actions of a speech: the speaker's own claims and those of the parser's response; the claims alone if that has failed."""
     claims = role_claims(speech, speaker)
     both = F.struct(claims.alias("claims"), response_actions(response, speaker).alias("parsed"))
-    return _with(both, lambda x: F.when(x["parsed"]["status"] == "failed", x["claims"]).otherwise(_with(merged(x["claims"], x["parsed"]["actions"]), without_superseded)))
+    return let(both, lambda x: F.when(x["parsed"]["status"] == "failed", x["claims"]).otherwise(let(merged(x["claims"], x["parsed"]["actions"]), without_superseded)))
 
 
 #: Numerals, and the forms in which players are named: single, grouped, and the speaker as such.
@@ -185,7 +180,7 @@ CONTROL_TEXT = ("【权威公共状态】", "【你合法知道的私有信息
 
 def speech_fault(text: Column, finish_reason: Column, speaker: Column, planned: Column | None = None) -> Column:
     """The first thing that is wrong with a final speech: empty, truncated, bad_reference, structured, control_text, unplanned, missing; null if nothing is."""
-    return _with(references(text, speaker), lambda named: _speech_fault(text, finish_reason, speaker, planned, named))
+    return let(references(text, speaker), lambda named: _speech_fault(text, finish_reason, speaker, planned, named))
 
 
 def _speech_fault(text: Column, finish_reason: Column, speaker: Column, planned: Column | None, named: Column) -> Column:
@@ -318,6 +313,6 @@ def reparsed(response: Column, old: Column, speaker: Column) -> Column:
     def of(x: Column) -> Column:
         status = F.when(response.isNull(), "missing").otherwise(x["new"]["status"])
         now = F.when(status.isin("empty", "parsed"), without_superseded(x["new"]["actions"])).otherwise(x["before"])
-        return _with(now, lambda n: F.struct(status.alias("status"), n.alias("actions"), F.array_sort(F.array_except(n, x["before"])).alias("added"), F.array_sort(F.array_except(x["before"], n)).alias("removed")))
+        return let(now, lambda n: F.struct(status.alias("status"), n.alias("actions"), F.array_sort(F.array_except(n, x["before"])).alias("added"), F.array_sort(F.array_except(x["before"], n)).alias("removed")))
 
-    return _with(both, of)
+    return let(both, of)

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from veldra.functions.domain import N_PLAYERS, PAIRS
+from veldra.functions.domain import N_PLAYERS, PAIRS, let
 from veldra.operators.snapshots import compatible
 
 _UNIFORM = 1 / len(PAIRS)
@@ -22,7 +22,7 @@ def distribution(known: Column, cleared: Column, suspected: Column) -> Column:
     soft = F.array_except(F.coalesce(suspected, none), F.coalesce(known, none))
     weighed = F.transform(compatible(known, cleared), lambda p: F.struct(p[0].alias("a"), p[1].alias("b"), F.pow(F.lit(2.0), F.size(F.array_intersect(p, soft))).alias("w")))
     total = lambda d: F.aggregate(d, F.lit(0.0), lambda s, x: s + x["w"])
-    return F.transform(F.array(weighed), lambda d: F.transform(F.array(total(d)), lambda t: F.transform(d, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), (x["w"] / t).alias("p"))))[0])[0]
+    return let(weighed, lambda d: let(total(d), lambda t: F.transform(d, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), (x["w"] / t).alias("p")))))
 
 
 def targets(reports: DataFrame) -> DataFrame:
@@ -33,13 +33,13 @@ def targets(reports: DataFrame) -> DataFrame:
 
 def vector(dist: Column) -> Column:
     """The 21 probabilities in the order of all pairs, 0 for those that are not allowed."""
-    at = lambda a, b: F.coalesce(F.get(F.filter(dist, lambda x: (x["a"] == a) & (x["b"] == b)), 0)["p"], F.lit(0.0))
-    return F.array(*[at(a, b) for a, b in PAIRS])
+    at = lambda d, a, b: F.coalesce(F.get(F.filter(d, lambda x: (x["a"] == a) & (x["b"] == b)), 0)["p"], F.lit(0.0))
+    return let(dist, lambda d: F.array(*[at(d, a, b) for a, b in PAIRS]))
 
 
 def player_marginals(p: Column) -> Column:
     """Probability that each of the seven players is in the pair, from the 21 of the pairs (they sum up to 2)."""
-    return F.array(*[reduce(lambda x, y: x + y, [p[i] for i, pair in enumerate(PAIRS) if k in pair]) for k in range(1, N_PLAYERS + 1)])
+    return let(p, lambda q: F.array(*[reduce(lambda x, y: x + y, [q[i] for i, pair in enumerate(PAIRS) if k in pair]) for k in range(1, N_PLAYERS + 1)]))
 
 
 def marginals(reports: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,7 +53,7 @@ def marginals(reports: DataFrame, keys: list[str]) -> DataFrame:
 
 def most_suspected(reports: DataFrame) -> DataFrame:
     """Reports with each player whose marginal is as good as the largest (relative 1e-5, absolute 1e-8)."""
-    m = F.transform(F.array(player_marginals(vector(distribution(F.col("known"), F.col("cleared"), F.col("suspected"))))), lambda m: F.transform(m, lambda x, i: F.when(F.abs(x - F.array_max(m)) <= 1e-8 + 1e-5 * F.array_max(m), i + 1)))[0]
+    m = let(player_marginals(vector(distribution(F.col("known"), F.col("cleared"), F.col("suspected")))), lambda m: let(F.array_max(m), lambda top: F.transform(m, lambda x, i: F.when(F.abs(x - top) <= 1e-8 + 1e-5 * top, i + 1))))
     return reports.withColumn("player", F.explode(F.array_compact(m)))
 
 
@@ -75,12 +75,11 @@ def entropy(p: Column) -> Column:
 
 def margin(p: Column) -> Column:
     """What the largest value is ahead of the second."""
-    top = F.sort_array(p, asc=False)
-    return top[0] - top[1]
+    return let(F.sort_array(p, asc=False), lambda top: top[0] - top[1])
 
 
 def spread(values: Column) -> Column:
-    return F.array_max(values) - F.array_min(values)
+    return let(values, lambda v: F.array_max(v) - F.array_min(v))
 
 
 def row_metrics(rows: DataFrame, observer: str | None = None) -> DataFrame:
@@ -143,12 +142,11 @@ def audit_values(rows: DataFrame, groups: list[str]) -> DataFrame:
     Groups of the summary over all are null.
     """
     valid = rows.where("valid").withColumn("supervised", F.coalesce("boundary", F.lit(False)) & effective(F.col("valid"), F.col("observer"), F.col("speaker")))
-    t = F.col("target")
-    stats = {
+    stats = lambda t: {
         "pair_entropy": entropy(t), "max_probability": F.array_max(t), "top1_top2_margin": margin(t), "tv_from_uniform": 0.5 * _sum(F.transform(t, lambda x: F.abs(x - _UNIFORM))),
         "entropy_gap_from_uniform": F.log(F.lit(float(len(PAIRS)))) - entropy(t), "marginal_spread": spread(player_marginals(t)),
     }
-    long = valid.select("snapshot", *groups, "supervised", F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), v.alias("value")) for n, v in stats.items()])).alias("s")).select(*groups, "supervised", "s.*")
+    long = valid.select("snapshot", *groups, "supervised", F.explode(let(F.col("target"), lambda t: F.array(*[F.struct(F.lit(n).alias("statistic"), v.alias("value")) for n, v in stats(t).items()]))).alias("s")).select(*groups, "supervised", "s.*")
     # seven observers at most in each snapshot
     seats = valid.groupBy("snapshot", *groups).agg(F.collect_list(F.struct("supervised", "target")).alias("all"))
     both = seats.select(*groups, F.explode(F.array(*[F.struct(F.lit(s).alias("supervised"), (F.filter("all", lambda x: x["supervised"]) if s else F.col("all")).alias("seats")) for s in (False, True)])).alias("x")).select(*groups, "x.*").where("size(seats) > 1")

@@ -12,7 +12,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from veldra.functions.domain import ACTIONS, PLAYERS, STATUSES, action, lineage, number_of, phase_parts, player
+from veldra.functions.domain import ACTIONS, PLAYERS, STATUSES, action, let, lineage, number_of, phase_parts, player
 from veldra.operators.snapshots import closure, compatible
 
 #: Fields of each kind of event, besides its place and kind.
@@ -46,12 +46,14 @@ def event_violations(events: Column) -> Column:
     raws = F.from_json(events, "array<string>")
 
     def of(raw: Column, i: Column) -> Column:
-        e = F.from_json(raw, EVENT)
+        read = F.struct(F.from_json(raw, EVENT).alias("e"), F.array_sort(F.json_object_keys(raw)).alias("keys"), F.try_parse_json(raw).alias("v"))
+        return let(read, lambda x: judged(raw, i, x["e"], x["keys"], x["v"]))
+
+    def judged(raw: Column, i: Column, e: Column, keys: Column, value: Column) -> Column:
         kind = e["event_type"]
-        keys = F.array_sort(F.json_object_keys(raw))
         expected = functools.reduce(lambda c, k: c.when(kind == k, F.array(*map(F.lit, sorted((*FIELDS[k], "event_idx", "event_type"))))), FIELDS, F.when(F.lit(False), F.array().cast("array<string>")))
-        is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), "$.raw_text", "variant")) == "STRING"
-        is_number = F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), "$.event_idx", "variant")) == "BIGINT"
+        is_text = F.schema_of_variant(F.try_variant_get(value, "$.raw_text", "variant")) == "STRING"
+        is_number = F.schema_of_variant(F.try_variant_get(value, "$.event_idx", "variant")) == "BIGINT"
         acts_fit = F.forall(e["sp_actions"], lambda a: (F.size(a) == 3) & F.coalesce(player(a[0]).isNotNull() & action(a[1]).isNotNull() & player(a[2]).isNotNull(), F.lit(False)))
         voters = F.transform(e["votes"], lambda v: v["voter"])
         vote_keys = F.forall(F.from_json(F.get_json_object(raw, "$.votes"), "array<string>"), lambda v: F.coalesce(F.array_sort(F.json_object_keys(v)) == F.array(F.lit("target"), F.lit("voter")), F.lit(False)))
