@@ -188,6 +188,38 @@ def test_vectors(spark):
     assert not caps.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect()
 
 
+def test_caps_grow_with_the_table():
+    """Filters of a vector and the vectors of a bundle stay about level from 5,000 to 1,000,000 vectors, and close vectors go on meeting."""
+    rng = np.random.default_rng(9)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    for dim in (3, 16, 64):
+        u = unit(rng.normal(size=(300, dim)))
+        z = rng.normal(size=u.shape)
+        v = 0.95 * u + np.sqrt(1 - 0.95**2) * unit(z - (z * u).sum(axis=1, keepdims=True) * u)
+        for n in (5_000, 50_000, 1_000_000):
+            words, bound, run = caps.sizes(n, dim, 0.95)
+            assert np.mean([len(f) for f in caps.decoded(u, words, bound)]) < 100
+            a, b = caps.bundles(u, n, 0.95), caps.bundles(v, n, 0.95)
+            assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(a, b)]) > 0.92
+            assert n * np.mean([len(x) for x in a]) / (words * -(-words // run)) < 2 * caps.BUNDLE
+    words, bound, _ = caps.sizes(5_000, 16, 0.95)
+    rotation, code, parts = caps._code(16, words)
+    for x, f in zip(u := unit(rng.normal(size=(20, 16))), caps.decoded(u, words, bound)):
+        t = x @ rotation
+        plain = [i * words + j for i in range(words) for j in range(words) if t[parts[0]] @ code[0][i] + t[parts[1]] @ code[1][j] >= bound]
+        assert sorted(f.tolist()) == plain or not plain and len(f) == 1
+
+
+def test_vectors_in_crowded_bundles(spark, monkeypatch):
+    monkeypatch.setattr(caps, "BLOCK", 20)
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=8) + 0.12 * rng.normal(size=(120, 8))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = (m @ m.T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in caps.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")).collect()}
+    assert near.sum() > 1000 and sum(got.values()) >= 0.97 * near.sum() and all(got[i] <= near[i] for i in got)
+
+
 def test_quality(spark, docs, empty):
     real, labels = (queries.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     out = quality.quality(real, labels).toPandas().merge(labels.toPandas(), on="doc_id")
