@@ -43,7 +43,10 @@ def counters(reports: DataFrame) -> DataFrame:
 
 def streaks(reports: DataFrame, blocks: int | None = None) -> DataFrame:
     """Length so far of each observer's run of one error (0 for ok); runs go on across games and blocks."""
-    rows = _blocked(reports, blocks)
+    return _streaks(_blocked(reports, blocks)).drop("block")
+
+
+def _streaks(rows: DataFrame) -> DataFrame:
     by = Window.partitionBy("observer", "block").orderBy("seq")
     of = Window.partitionBy("observer", "block", "status").orderBy("seq")
     rows = rows.withColumn("__island", F.row_number().over(by) - F.row_number().over(of))
@@ -58,7 +61,7 @@ def streaks(reports: DataFrame, blocks: int | None = None) -> DataFrame:
     rows = rows.join(carried, ["observer", "block"])
     # the first run of a block goes on with the last one before it
     more = F.when((F.col("__island") == 0) & (F.col("status") == F.col("__status")), F.col("__carry")).otherwise(0)
-    return rows.withColumn("streak", F.when(~_failed(), 0).otherwise(F.col("__run") + more)).drop("block", "__island", "__run", "__status", "__carry")
+    return rows.withColumn("streak", F.when(~_failed(), 0).otherwise(F.col("__run") + more)).drop("__island", "__run", "__status", "__carry")
 
 
 def _running(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
@@ -73,20 +76,28 @@ def _running(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> Dat
 
 def observer_rates(reports: DataFrame, blocks: int | None = None) -> DataFrame:
     """Running number of reports and share of failures of each observer."""
-    rows = _running(_blocked(reports, blocks), ["observer"], {"seen": F.lit(1), "__bad": _failed().cast("int")})
-    return rows.withColumn("invalid_rate", F.col("__bad") / F.col("seen")).drop("__bad", "block")
+    return _observer_rates(_blocked(reports, blocks)).drop("block")
+
+
+def _observer_rates(rows: DataFrame) -> DataFrame:
+    rows = _running(rows, ["observer"], {"seen": F.lit(1), "__bad": _failed().cast("int")})
+    return rows.withColumn("invalid_rate", F.col("__bad") / F.col("seen")).drop("__bad")
 
 
 def total_rates(reports: DataFrame, blocks: int | None = None) -> DataFrame:
     """Running totals and shares over all reports in order of ``seq``."""
-    rows = _running(_blocked(reports, blocks), [], {"total": F.lit(1), "__bad": _failed().cast("int"), "__parse": (F.col("status") == "parse_error").cast("int")})
+    return _total_rates(_blocked(reports, blocks)).drop("block")
+
+
+def _total_rates(rows: DataFrame) -> DataFrame:
+    rows = _running(rows, [], {"total": F.lit(1), "__bad": _failed().cast("int"), "__parse": (F.col("status") == "parse_error").cast("int")})
     rows = rows.withColumn("total_invalid_rate", F.col("__bad") / F.col("total")).withColumn("total_parse_rate", F.col("__parse") / F.col("total"))
-    return rows.drop("__bad", "__parse", "block")
+    return rows.drop("__bad", "__parse")
 
 
 def first_stop(reports: DataFrame, blocks: int | None = None) -> DataFrame:
     """seq and rule of the first report at which a rule fires; the first rule of the list wins."""
-    rows = total_rates(observer_rates(streaks(reports, blocks), blocks), blocks)
+    rows = _total_rates(_observer_rates(_streaks(_blocked(reports, blocks))))
     rule = (
         F.when(F.col("streak") >= STREAK, "1_streak")
         .when((F.col("seen") >= OBSERVER_LEAST) & (F.col("invalid_rate") > OBSERVER_RATE), "2_observer_rate")
