@@ -308,6 +308,16 @@ def test_chat(spark):
     assert got[1, "a"].line == json.dumps(line, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def test_every_turn_is_in_a_line(spark):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "ho"), (1, 3, "user", None), (1, 3, None, "lost"), (2, 5, "assistant", "alone"), (None, 0, "user", "nowhere")]
+    got = {(r.conv_id, r.call_id): r for r in chat.link(*chat.from_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")), chat.TURN_SCHEMAS).collect()}
+    assert {k: (r.depth, r.status, r.faults, r.repeats) for k, r in got.items()} == {
+        (1, "call-0"): (0, "open", ["no_schema:context"], 1), (1, "call-1"): (0, "linked", [], 2), (1, "call-3"): (1, "open", ["no_schema:context"], 2), (2, "call-4"): (None, "orphan", [], 1),
+    }
+    lone = chat.link(*chat.from_turns(spark.createDataFrame([(1, 3, "user", None)], "conv_id long, turn long, role string, text string")), chat.TURN_SCHEMAS).first()
+    assert lone.faults == ["missing:prompt"] and json.loads(lone.line)["arguments"] == {"turn": 3}
+
+
 def brute_kept(texts, window):
     words = [WORD.findall(t or "") for t in texts]
     seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
@@ -555,21 +565,59 @@ def test_merged_components(spark):
     assert {r.node: r.component for r in labels.collect()} == want
 
 
+def plain_scores(spark, docs, labels):
+    """Scores of all documents, from the learnt weights by plain numpy (the fit has a test of its own)."""
+    import pyarrow as pa
+
+    m = quality.learnt(docs, labels)
+    rows = docs.select("doc_id", "text").toPandas()
+    x = quality.statistics(pa.array(rows.text)).astype(np.float32).astype(float)
+    z = np.cos(np.clip((x - m.mean) / m.scale, -8, 8) @ m.directions + m.phases) * np.sqrt(2 / quality.FEATURES)
+    return dict(zip(rows.doc_id, np.interp(np.c_[z, np.ones(len(z))] @ m.weights, m.raw, m.calibrated)))
+
+
 def test_pipeline_stages(spark):
+    """Every stage on all that the one before it kept, each held against plain Python on the same rows."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     sf = "/root/testdata/sf0.001"
-    docs = queries.table(spark, sf, "documents")
+    docs, labels = (queries.table(spark, sf, t) for t in ("documents", "labels"))
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, stage(spark, docs, sf).cache()
-        if name != "packing":
-            assert docs.columns == before.columns and 0 < docs.count() <= before.count()
+        old = {r.doc_id: r for r in before.collect()}
+        assert len(old) == before.count()
+        if name == "packing":
+            continue
+        new = {r.doc_id: r for r in docs.collect()}
+        assert docs.columns == before.columns and 0 < len(new) == docs.count() and set(new) <= set(old)
+        same = lambda i: new[i] == old[i]
+        ids = sorted(old)
+        texts = [old[i].text for i in ids]
+        if name == "quality classifier":
+            scores = plain_scores(spark, before, labels)
+            assert set(new) == {i for i in ids if scores[i] >= 0.3} and all(map(same, new))
         if name == "near dedup":
-            texts = [r.text for r in before.orderBy("doc_id").collect()]
-            assert docs.count() == len(set(brute_groups(texts, 5, 80)[1]))
+            groups = brute_groups(texts, 5, 80)[1]
+            assert set(new) == {ids[g] for g in groups} and all(map(same, new))
+        if name == "substring dedup":
+            words, kept = brute_kept(texts, 35)
+            assert set(new) == set(ids)
+            for i, w, k in zip(ids, words, kept):
+                assert new[i].text == (" ".join(k) if len(k) < len(w) else old[i].text)
         if name == "secret scan":
-            assert all(not secrets.spans_of(r.text) for r in docs.collect())
-    assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect()}
+            plain = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{12,}|AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}")
+            assert set(new) == set(ids)
+            for i in ids:
+                if not secrets.spans_of(old[i].text):
+                    assert same(i) and not plain.search(old[i].text or "")
+                else:
+                    assert not plain.search(new[i].text) and not secrets.spans_of(new[i].text)
+    t = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
+    pieces = {}
+    for p in sorted(docs.collect(), key=lambda p: p.start):
+        pieces.setdefault(p.doc_id, []).extend(p.ids)
+    assert pieces == {r.doc_id: [*t.encode(r.text or "", add_special_tokens=False).ids, 1] for r in before.collect()}
 
 
 def test_bpe_of_random_strings():

@@ -99,15 +99,23 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     return both.select("conv_id", "call_id", "turn", "result_turn", "depth", "status", "faults", repeats.alias("repeats"), line.alias("line"))
 
 
-#: The schema that ``from_turns`` gives each call.
+#: The schema of the calls of ``from_turns``; ``context`` has none, so those calls carry that fault.
 TURN_SCHEMAS: Schemas = {"reply": {"prompt": ("string", True), "turn": ("integer", True), "hint": ("string", False)}}
 
 
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Conversation turns as calls and results: every user turn calls for a reply and waits for the user turn two before it; an assistant turn answers the turn before it."""
+    """Conversation turns as calls and results; every row is in one of them.
+
+    A turn of any role but assistant calls (``reply`` for a user's, ``context``
+    for all others) and waits for the turn two before it; an assistant turn
+    answers the turn before it. A null text is a missing prompt, a null role is
+    one of the others.
+    """
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text"))
     name = lambda t: F.concat(F.lit("call-"), t.cast("string"))
+    answers = F.coalesce(F.col("role") == "assistant", F.lit(False))
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")))
-    calls = turns.where("role = 'user'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, name(F.col("turn") - 2)).alias("after"))
-    results = turns.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    tool = F.when(F.col("role") == "user", "reply").otherwise("context")
+    calls = turns.where(~answers).select("conv_id", "turn", name(F.col("turn")).alias("call_id"), tool.alias("name"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, name(F.col("turn") - 2)).alias("after"))
+    results = turns.where(answers).select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results

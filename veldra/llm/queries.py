@@ -104,7 +104,7 @@ WITH RECURSIVE v AS (
 SELECT t.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, t.vec_id = c.component_id AS kept FROM embeddings t JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
     "op9_tool_calls": """
 WITH RECURSIVE c AS (
-  SELECT conv_id, turn, min(text) AS text, count(*) AS k, 'call-' || turn AS call_id FROM conversations WHERE role = 'user' GROUP BY conv_id, turn
+  SELECT conv_id, turn, min(text) AS text, count(*) AS k, 'call-' || turn AS call_id, min(CASE role WHEN 'user' THEN 'reply' ELSE 'context' END) AS name FROM conversations WHERE role IS DISTINCT FROM 'assistant' GROUP BY conv_id, turn
 ), a AS (
   SELECT conv_id, turn, min(text) AS text, count(*) AS k, 'call-' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
 ), d AS (
@@ -113,12 +113,12 @@ WITH RECURSIVE c AS (
 ), j AS (
   SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, c.turn AS turn, a.turn AS result_turn, d.depth AS depth,
          CASE WHEN c.turn IS NULL THEN 'orphan' WHEN a.turn IS NULL THEN 'open' ELSE 'linked' END AS status,
-         CASE WHEN c.turn >= 2 THEN 'call-' || (c.turn - 2) END AS after, c.text AS prompt, a.text AS result, coalesce(c.k, 0) + coalesce(a.k, 0) AS repeats
+         CASE WHEN c.turn >= 2 THEN 'call-' || (c.turn - 2) END AS after, c.text AS prompt, c.name AS name, a.text AS result, coalesce(c.k, 0) + coalesce(a.k, 0) AS repeats
   FROM c FULL JOIN a ON c.conv_id = a.conv_id AND c.call_id = a.call_id LEFT JOIN d ON d.conv_id = c.conv_id AND d.turn = c.turn
 )
-SELECT conv_id, call_id, turn, result_turn, CAST(depth AS BIGINT) AS depth, status, '' AS faults, CAST(repeats AS BIGINT) AS repeats,
-  '{"after":' || coalesce(CAST(to_json(after) AS VARCHAR), 'null') || ',"arguments":' || CASE WHEN turn IS NULL THEN 'null' ELSE '{"prompt":' || CAST(to_json(prompt) AS VARCHAR) || ',"turn":' || turn || '}' END
-  || ',"conv_id":' || conv_id || ',"depth":' || coalesce(CAST(depth AS VARCHAR), 'null') || ',"id":"' || call_id || '","name":' || CASE WHEN turn IS NULL THEN 'null' ELSE '"reply"' END
+SELECT conv_id, call_id, turn, result_turn, CAST(depth AS BIGINT) AS depth, status, CASE WHEN name = 'context' THEN 'no_schema:context' WHEN turn IS NOT NULL AND prompt IS NULL THEN 'missing:prompt' ELSE '' END AS faults, CAST(repeats AS BIGINT) AS repeats,
+  '{"after":' || coalesce(CAST(to_json(after) AS VARCHAR), 'null') || ',"arguments":' || CASE WHEN turn IS NULL THEN 'null' ELSE '{' || coalesce('"prompt":' || CAST(to_json(prompt) AS VARCHAR) || ',', '') || '"turn":' || turn || '}' END
+  || ',"conv_id":' || conv_id || ',"depth":' || coalesce(CAST(depth AS VARCHAR), 'null') || ',"id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null')
   || ',"result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || ',"status":"' || status || '"}' AS line
 FROM j""",
     "op10_substrings": f"""
