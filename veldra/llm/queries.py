@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veldra.llm import bpe, caps, chat, fuzzy, minhash, packing, quality, secrets, shards, substring
+from veldra.llm import bpe, caps, chat, fuzzy, minhash, negatives, packing, quality, secrets, shards, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +71,13 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_packing, op4_minhash, op5_vectors, op6_quality, op7_secrets, op8_shards, op9_tool_calls, op10_substrings)}
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_packing, op4_minhash, op5_vectors, op6_quality, op7_secrets, op8_shards, op9_tool_calls, op10_substrings, op13_negatives)}
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -131,4 +137,16 @@ WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(text="coales
 ), o AS (SELECT k.r, count(x.p) AS n_removed, string_agg(k.word, ' ' ORDER BY k.p) FILTER (WHERE x.p IS NULL) AS kept FROM k LEFT JOIN x ON x.r = k.r AND x.p = k.p GROUP BY k.r)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(o.n_removed, 0) AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256
 FROM w LEFT JOIN o USING (r)""",
+    "op13_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE same
+), n AS (
+  SELECT p.a, p.b, p.k, p.score AS ps, s.b AS nb, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.b) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score WHERE p.k <= 5
+)
+SELECT a AS anchor_id, b AS positive_id, CAST(rank AS INT) AS rank, nb AS negative_id, ps AS positive_score, ns AS negative_score, CAST(k AS INT) AS positive_rank FROM n WHERE rank <= 10""",
 }
