@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veldra.llm import bpe, caps, chat, fuzzy, minhash, negatives, packing, quality, secrets, shards, substring
+from veldra.llm import bpe, caps, chat, fuzzy, minhash, negatives, packing, quality, secrets, shards, substring, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,13 +71,17 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_packing, op4_minhash, op5_vectors, op6_quality, op7_secrets, op8_shards, op9_tool_calls, op10_substrings, op13_negatives)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_packing, op4_minhash, op5_vectors, op6_quality, op7_secrets, op8_shards, op9_tool_calls, op10_substrings, op12_variants, op13_negatives)}
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -137,6 +141,33 @@ WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(text="coales
 ), o AS (SELECT k.r, count(x.p) AS n_removed, string_agg(k.word, ' ' ORDER BY k.p) FILTER (WHERE x.p IS NULL) AS kept FROM k LEFT JOIN x ON x.r = k.r AND x.p = k.p GROUP BY k.r)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(o.n_removed, 0) AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256
 FROM w LEFT JOIN o USING (r)""",
+    "op12_variants": r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents
+), c AS (SELECT id, w, count(*) AS k FROM r WHERE length(w) >= 7 GROUP BY 1, 2
+), u AS (
+  SELECT w, k, list_transform(string_split(id || ':' || w, ''), lambda x: unicode(x)) AS u FROM c
+), b AS (
+  SELECT w, k, flatten(list_transform(u, lambda x: CASE WHEN x < 128 THEN [CAST(x AS BIGINT)] ELSE [CAST(192 | (x >> 6) AS BIGINT), CAST(128 | (x & 63) AS BIGINT)] END)) AS b FROM u
+), h AS (
+  SELECT w, k, xor(list_reduce(list_prepend(4294967295, b), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) AS h FROM b, t
+), m AS (SELECT CASE WHEN h % 31 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, k FROM h
+), n AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM m WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2
+), i AS (SELECT word, i, word[:i] AS head, word[i + 2:] AS tail FROM (SELECT word, unnest(range(0, length(word))) AS i FROM n)
+), p AS (
+  SELECT x.word AS a, y.word AS b FROM i x JOIN i y ON x.i = y.i AND x.head = y.head AND x.tail = y.tail AND x.word <> y.word AND length(x.word) = length(y.word)
+  UNION SELECT i.word, n.word FROM i JOIN n ON n.word = i.head || i.tail
+  UNION SELECT n.word, i.word FROM i JOIN n ON n.word = i.head || i.tail
+), q AS (
+  SELECT p.a, p.b, y.n, count(*) OVER (PARTITION BY p.a) AS n_near, row_number() OVER (PARTITION BY p.a ORDER BY y.n DESC, p.b) AS k FROM p JOIN n y ON y.word = p.b
+), f AS (
+  SELECT n.word, n.n, coalesce(q.n_near, 0) AS n_near, CASE WHEN q.n >= 10 * n.n THEN q.b END AS form, CASE WHEN q.n >= 10 * n.n THEN q.n END AS form_n FROM n LEFT JOIN q ON q.a = n.word AND q.k = 1
+), g AS (
+  SELECT word, word AS at, form AS upward FROM f UNION ALL SELECT g.word, f.word, f.form FROM g JOIN f ON f.word = g.upward
+)
+SELECT f.word, f.n, f.form, g.at AS root, f.n_near, f.form_n FROM f JOIN g ON g.word = f.word AND g.upward IS NULL""",
     "op13_negatives": """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
