@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veldra.llm import bpe, caps, chat, fuzzy, minhash, negatives, packing, quality, secrets, shards, substring, variants
+from veldra.llm import bpe, caps, chat, fuzzy, minhash, negatives, packing, pii, quality, secrets, shards, substring, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def _hex(column: str) -> Column:
     return F.lower(F.hex(column))
 
 
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return out.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), _hex("ids_csv_sha256").alias("ids_sha256"), _hex("decoded_sha256").alias("decoded_sha256"))
@@ -51,9 +55,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.secrets(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    base = joined(F.filter("spans", lambda s: s["kind"] != "novel"))
-    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    base = _joined(F.filter("spans", lambda s: s["kind"] != "novel"))
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +74,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.personal(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[: pii.BASE]]
+    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
 
@@ -81,7 +90,7 @@ def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_packing, op4_minhash, op5_vectors, op6_quality, op7_secrets, op8_shards, op9_tool_calls, op10_substrings, op12_variants, op13_negatives)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_packing, op4_minhash, op5_vectors, op6_quality, op7_secrets, op8_shards, op9_tool_calls, op10_substrings, op11_pii, op12_variants, op13_negatives)}
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
