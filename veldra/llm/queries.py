@@ -76,8 +76,8 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.personal(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[: pii.BASE]]
-    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *map(count, pii.KINDS[: pii.BASE]), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
