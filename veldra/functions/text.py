@@ -194,13 +194,17 @@ def _speech_fault(text: Column, finish_reason: Column, speaker: Column, planned:
     return fault
 
 
+#: Roles whose players make speeches.
+SPEAKER_ROLES = ("Werewolf", "Seer", "Witch", "Guard", "Villager")
+
+
 def plan_fault(plan: Column, suggestible: Column, speaker: Column, role: Column) -> Column:
-    """The first thing that is wrong with a plan (array of action and target, a number): action, target, not_suggestible, opposes_itself, discloses_itself."""
+    """The first thing that is wrong with a plan (array of action and target, a number): role (of no speaker), no_plan, action, target, not_suggestible, opposes_itself, discloses_itself."""
     known = F.transform(plan, lambda p: p["action"])
     some = lambda test: F.exists(plan, lambda p: F.coalesce(test(p), F.lit(True)))
     own = lambda *names: F.exists(plan, lambda p: p["action"].isin(*names) & (p["target"] == speaker))
     return (
-        F.when(plan.isNull(), "no_plan").when(F.exists(known, lambda a: ~F.coalesce(a.isin(*ACTIONS), F.lit(False))), "action").when(some(lambda p: ~p["target"].between(1, 7)), "target")
+        F.when(~F.coalesce(role.isin(*SPEAKER_ROLES), F.lit(False)), "role").when(plan.isNull(), "no_plan").when(F.exists(known, lambda a: ~F.coalesce(a.isin(*ACTIONS), F.lit(False))), "action").when(some(lambda p: ~p["target"].between(1, 7)), "target")
         .when(F.exists(plan, lambda p: (p["action"] == "vote_intent") & ~F.array_contains(suggestible, p["target"])), "not_suggestible").when(own("oppose"), "opposes_itself")
         .when((role == "Werewolf") & own("point_as_werewolf", "check_as_werewolf"), "discloses_itself")
     )

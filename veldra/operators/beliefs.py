@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veldra.functions.domain import N_PLAYERS, PAIRS, let
+from veldra.operators.quantiles import quantiles, with_quantiles
 from veldra.operators.snapshots import compatible
 
 _UNIFORM = 1 / len(PAIRS)
@@ -128,10 +129,12 @@ def eligible(rows: DataFrame, snapshot: str) -> DataFrame:
     return rows.where(fit).select(snapshot).distinct()
 
 
-def summary(value: Column) -> list[Column]:
-    """count, min, mean, median and max, 0 where there are no values."""
+def summaries(values: DataFrame, keys: list[str]) -> DataFrame:
+    """count, min, mean, median (exact) and max of ``value`` by ``keys``, 0 where a group has none."""
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    return [F.count(value).alias("count"), zero(F.min(value)).alias("min"), zero(F.avg(value)).alias("mean"), zero(F.percentile(value, 0.5)).alias("median"), zero(F.max(value)).alias("max")]
+    v = F.col("value")
+    out = values.groupBy(*keys).agg(F.count(v).alias("count"), zero(F.min(v)).alias("min"), zero(F.avg(v)).alias("mean"), zero(F.max(v)).alias("max"))
+    return with_quantiles(out, quantiles(values, keys, "value", {"median": 0.5}), keys).withColumn("median", zero(F.col("median")))
 
 
 def audit_values(rows: DataFrame, groups: list[str]) -> DataFrame:
@@ -155,8 +158,9 @@ def audit_values(rows: DataFrame, groups: list[str]) -> DataFrame:
     pairwise = both.select(*groups, "supervised", F.lit("observer_pairwise_tv").alias("statistic"), F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x, lambda a: a / F.size(pairs)).alias("value"))
     scope = F.explode(F.when(F.col("supervised"), F.array(F.lit("all"), F.lit("supervised"))).otherwise(F.array(F.lit("all"))))
     values = long.withColumn("scope", scope).drop("supervised").unionByName(pairwise.withColumn("scope", F.when(F.col("supervised"), "supervised").otherwise("all")).drop("supervised"))
-    sets = [[F.col("scope"), F.col("statistic")], [F.col("scope"), F.col("statistic"), *map(F.col, groups)]]
-    return values.groupingSets(sets, "scope", "statistic", *groups).agg(*summary(F.col("value")))
+    # each value counts for its group and for all
+    values = values.withColumn("__all", F.explode(F.array(F.lit(False), F.lit(True)))).withColumns({g: F.when(~F.col("__all"), F.col(g)) for g in groups})
+    return summaries(values, ["__all", "scope", "statistic", *groups]).drop("__all")
 
 
 def audit_counts(rows: DataFrame, groups: list[str]) -> DataFrame:

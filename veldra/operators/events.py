@@ -108,9 +108,14 @@ def structured_digest(events: Column) -> Column:
 
 
 def event_digest(events: Column) -> Column:
-    """SHA-256 of the canonical JSON of the events; actions in canonical names, vote targets even if null, absent fields left out."""
-    canonical = F.transform(events, lambda e: _event_json(e))
-    return F.sha2(F.concat(F.lit("["), F.array_join(canonical, ","), F.lit("]")), 256)
+    """SHA-256 of the canonical JSON of the events; actions in canonical names, vote targets even if null, absent fields left out. Null as soon as one event lacks a field of its kind or is of no known kind."""
+    return F.sha2(canonical_events(events), 256)
+
+
+def canonical_events(events: Column) -> Column:
+    """Canonical JSON of the events; null as soon as one of them has none."""
+    each = F.transform(events, _event_json)
+    return F.when(~F.exists(each, lambda x: x.isNull()), F.concat(F.lit("["), F.array_join(each, ","), F.lit("]")))
 
 
 def _event_json(e: Column) -> Column:

@@ -15,6 +15,32 @@ def exile(ballots: DataFrame) -> DataFrame:
     return out.select("round", F.when(F.size("leaders") == 1, F.col("leaders")[0]).alias("exiled"), F.size("leaders").alias("n_leaders"), "abstained")
 
 
+def runoff(ballots: DataFrame, alive: DataFrame) -> DataFrame:
+    """The exile vote with its second round: round, outcome, exiled, candidates and voters of the second round, abstentions of the first.
+
+    ``ballots``: round, stage (``vote`` or ``vote_pk``), voter, target (0 abstains); ``alive``: round and the array ``alive``.
+    A tie sends its leaders into a second round in which all others that are
+    alive vote (the leaders themselves if there are no others); a second tie, or
+    no vote, exiles nobody. Ballots of a second round that is not due, for
+    players who do not stand in it, or by others than its voters do not count.
+    """
+    first = exile(ballots.where("stage = 'vote'"))
+    top = ballots.where("stage = 'vote' and target <> 0").groupBy("round", "target").agg(F.count("*").alias("n"))
+    top = top.withColumn("rank", F.rank().over(Window.partitionBy("round").orderBy(F.desc("n")))).where("rank = 1").groupBy("round").agg(F.array_sort(F.collect_list("target")).alias("leaders"))  # seven at most
+    rows = alive.join(first, "round", "left").join(top.where("size(leaders) > 1"), "round", "left").withColumnRenamed("leaders", "candidates")
+    others = F.array_sort(F.array_except("alive", "candidates"))
+    rows = rows.withColumn("voters", F.when(F.col("candidates").isNotNull(), F.when(F.size(others) > 0, others).otherwise(F.col("candidates"))))
+    second = ballots.where("stage = 'vote_pk'").join(rows.where("candidates is not null").select("round", "candidates", "voters"), "round")
+    second = second.where(F.array_contains("voters", F.col("voter")) & ((F.col("target") == 0) | F.array_contains("candidates", F.col("target"))))
+    second = exile(second).select("round", F.col("exiled").alias("__exiled"), F.col("n_leaders").alias("__leaders"))
+    rows = rows.join(second, "round", "left")
+    outcome_ = (
+        F.when(F.coalesce("n_leaders", F.lit(0)) == 0, "all abstention").when(F.col("n_leaders") == 1, "exiled").when(F.coalesce("__leaders", F.lit(0)) == 0, "all abstention in pk")
+        .when(F.col("__leaders") == 1, "exiled in pk").otherwise("draw in pk")
+    )
+    return rows.select("round", outcome_.alias("outcome"), F.coalesce("exiled", "__exiled").alias("exiled"), "candidates", "voters", F.coalesce("abstained", F.lit(0)).alias("abstained"))
+
+
 def kill(ballots: DataFrame) -> DataFrame:
     """Plurality of the night's votes without passes (target 0); a tie goes to the last voter's choice."""
     rows = ballots.where("target <> 0")
@@ -48,12 +74,29 @@ def discontinuities(events: DataFrame) -> DataFrame:
     return events.withColumn("place", place).where("place <> event_idx").select("game", "event_idx", "place")
 
 
+def prefix_chain(events: Column) -> Column:
+    """For each prefix of an array two hashes (h, g), each made from the one before and the next element; null elements and fields count."""
+    each = F.transform(events, lambda e: F.to_json(F.struct(e.alias("e")), {"ignoreNullFields": "false"}))
+    link = "struct<h:bigint,g:bigint>"
+    start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g"), F.array().cast(f"array<{link}>").alias("chain"))
+
+    def step(s: Column, e: Column) -> Column:
+        h, g = F.xxhash64(s["h"], e), F.xxhash64(F.lit(7), s["g"], e)
+        return F.struct(h.alias("h"), g.alias("g"), F.array_append(s["chain"], F.struct(h.alias("h"), g.alias("g"))).alias("chain"))
+
+    return F.aggregate(F.coalesce(each, F.array().cast("array<string>")), start, step, lambda s: s["chain"])
+
+
 def broken_prefixes(snapshots: DataFrame) -> DataFrame:
-    """Snapshots that do not extend the one before: not longer, or the former is no exact prefix."""
+    """Snapshots that do not extend the one before: not longer, or the former is no exact prefix. Null events are none.
+
+    What is shuffled is 16 bytes for each prefix, not the events.
+    """
+    rows = snapshots.select("game", "row_idx", prefix_chain(F.col("events")).alias("chain"))
     w = Window.partitionBy("game").orderBy("row_idx")
-    rows = snapshots.withColumn("former", F.lag("events").over(w)).where("former is not null")
-    fine = (F.size("events") > F.size("former")) & (F.slice("events", 1, F.size("former")) == F.col("former"))
-    return rows.where(~fine).select("game", "row_idx")
+    rows = rows.withColumn("n", F.lag(F.size("chain")).over(w)).withColumn("end", F.lag(F.try_element_at("chain", F.lit(-1))).over(w)).where("n is not null")
+    fine = (F.size("chain") > F.col("n")) & ((F.col("n") == 0) | (F.get("chain", F.col("n") - 1) == F.col("end")))
+    return rows.where(~F.coalesce(fine, F.lit(False))).select("game", "row_idx")
 
 
 def latest_phase(events: DataFrame) -> DataFrame:
@@ -90,17 +133,18 @@ def public_votes(ballots: DataFrame) -> DataFrame:
 
 
 def public_state(log: DataFrame) -> DataFrame:
-    """What everybody knows of each game (game, day, event, players): exiles so far with their day, the dead of the last night, and who is alive.
+    """What everybody knows of each game (game, day, event, players): the present day, exiles so far with their day, the last night with its day and its dead (null if there was none), and who is alive.
 
     ``players`` are those that a row of event ``end_vote`` or ``end_night`` takes out; a game has seven at most.
     """
     day = F.max("day").over(Window.partitionBy("game"))
     rows = log.withColumn("__now", day)
-    exiles = F.array_sort(F.collect_list(F.when((F.col("event") == "end_vote") & (F.size("players") > 0), F.struct("day", F.col("players")[0].alias("player")))))
-    night = F.max_by(F.when((F.col("event") == "end_night") & (F.col("day") == F.col("__now") - 1), F.col("players")), F.when((F.col("event") == "end_night") & (F.col("day") == F.col("__now") - 1), F.col("log_idx")))
+    exiles = F.array_sort(F.flatten(F.collect_list(F.when(F.col("event") == "end_vote", F.transform("players", lambda p: F.struct(F.col("day"), p.alias("player")))))))
+    last = (F.col("event") == "end_night") & (F.col("day") == F.col("__now") - 1) & F.col("players").isNotNull()
+    night = F.max_by(F.when(last, F.struct("day", F.col("players").alias("dead"))), F.when(last, F.col("log_idx")))
     out = F.array_distinct(F.flatten(F.collect_set(F.when(F.col("event").isin("end_vote", "end_night"), F.col("players")))))
     everyone = F.sequence(F.lit(1), F.lit(7))
-    return rows.groupBy("game").agg(exiles.alias("prior_exiles"), night.alias("last_night_dead"), F.array_except(everyone, out).alias("alive"))
+    return rows.groupBy("game").agg(F.max("day").alias("__day"), exiles.alias("prior_exiles"), night.alias("last_night"), F.array_except(everyone, out).alias("alive")).withColumnRenamed("__day", "day")
 
 
 def legal_actions(state: DataFrame) -> DataFrame:

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from veldra.operators.quantiles import quantiles, with_quantiles
+
 #: Limits of the monitor.
 STREAK, OBSERVER_LEAST, OBSERVER_RATE, TOTAL_LEAST, TOTAL_RATE, PARSE_RATE = 3, 10, 0.20, 100, 0.05, 0.01
 #: Calls of a game that its budget allows.
 BUDGET = {"gameplay": 192, "belief": 448, "total": 640}
-#: Rows of a block.
-BLOCK_ROWS = 200_000
+#: Rows of a block, and most blocks (beyond, blocks grow).
+BLOCK_ROWS, MAX_BLOCKS = 200_000, 10_000
 
 
 def _failed() -> Column:
@@ -23,13 +25,21 @@ def _failed() -> Column:
 
 
 def _blocked(reports: DataFrame, blocks: int | None) -> DataFrame:
-    """Reports with a place, their ``block`` by even shares of all rows in order of ``seq``, and no null status."""
+    """Reports with a place, their ``block`` by even shares of all rows in order of ``seq``, and no null status.
+
+    The cuts between blocks, ``MAX_BLOCKS`` at most, are a constant of the plan
+    that every use of it shares; a row finds its block by halving.
+    """
     rows = reports.where("seq is not null").withColumn("status", F.coalesce("status", F.lit("missing")))
     blocks = blocks or max(1, -(-rows.count() // BLOCK_ROWS))
     if blocks == 1:
         return rows.withColumn("block", F.lit(0))
-    cuts = rows.agg(F.percentile_approx("seq", [k / blocks for k in range(1, blocks)], 100 * blocks).alias("__cuts"))  # one row of ``blocks`` numbers
-    return rows.crossJoin(F.broadcast(cuts)).withColumn("block", F.size(F.filter("__cuts", lambda c: c < F.col("seq")))).drop("__cuts")
+    blocks = min(blocks, MAX_BLOCKS)
+    cuts = rows.agg(F.percentile_approx("seq", [k / blocks for k in range(1, blocks)], 20 * blocks)).first()[0] or []
+    constant = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    below = lambda at, step: F.coalesce(F.get(constant, at + step - 1) < F.col("seq"), F.lit(False))
+    return rows.withColumn("block", F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at, step), at + step).otherwise(at)))
 
 
 def counters(reports: DataFrame) -> DataFrame:
@@ -126,10 +136,11 @@ def call_violations(calls: DataFrame) -> DataFrame:
 def call_audit(calls: DataFrame) -> DataFrame:
     """Counts, token sums and latency statistics by category and (category null) over all calls: interpolated median, nearest-rank 95th percentile, both exact."""
     tokens = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens") if c in calls.columns]
-    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)")
     usage = [F.count_if("usage_available").alias("usage_available")] if "usage_available" in calls.columns else []
-    return calls.groupingSets([[], ["category"]], "category").agg(
-        F.count("*").alias("calls"), F.count_if(F.col("dispatch") == "error").alias("errors"), *usage, *tokens, F.avg("latency_ms").alias("mean_ms"), F.percentile("latency_ms", 0.5).alias("median_ms"), p95.alias("p95_ms"), F.max("latency_ms").alias("max_ms"))
+    # each call counts for its category and for all
+    rows = calls.withColumn("__all", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("category", F.when(~F.col("__all"), F.col("category")))
+    out = rows.groupBy("__all", "category").agg(F.count("*").alias("calls"), F.count_if(F.col("dispatch") == "error").alias("errors"), *usage, *tokens, F.avg("latency_ms").alias("mean_ms"), F.max("latency_ms").alias("max_ms"))
+    return with_quantiles(out, quantiles(rows, ["__all", "category"], "latency_ms", {"median_ms": 0.5}, {"p95_ms": 0.95}), ["__all", "category"]).drop("__all")
 
 
 def refused(calls: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:

@@ -98,6 +98,25 @@ def legal_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.legal_actions(state).select("id", F.array_join(acts, ",").alias("legal"))
 
 
+@query("""WITH b AS (SELECT l_orderkey AS round, CASE WHEN l_linenumber <= 4 THEN 'vote' ELSE 'vote_pk' END AS stage, l_linenumber AS voter, l_suppkey % 4 AS target FROM lineitem
+), g AS (SELECT round, [1, 2, 3] || CASE WHEN round % 3 > 0 THEN [5, 6, 7] ELSE [] END AS alive FROM b GROUP BY 1
+), c AS (SELECT round, target, count(*) AS n FROM b WHERE stage = 'vote' AND target > 0 GROUP BY 1, 2
+), l AS (SELECT round, list_sort(list(target)) AS leaders FROM (SELECT *, rank() OVER (PARTITION BY round ORDER BY n DESC) AS k FROM c) WHERE k = 1 GROUP BY 1
+), s AS (SELECT g.round, leaders, CASE WHEN len(list_filter(alive, lambda x: NOT list_contains(leaders, x))) > 0 THEN list_sort(list_filter(alive, lambda x: NOT list_contains(leaders, x))) ELSE leaders END AS voters FROM g JOIN l USING (round) WHERE len(leaders) > 1
+), d AS (SELECT b.round, b.target, count(*) AS n FROM b JOIN s USING (round) WHERE stage = 'vote_pk' AND target > 0 AND list_contains(voters, voter) AND list_contains(leaders, target) GROUP BY 1, 2
+), m AS (SELECT round, list(target) AS winners FROM (SELECT *, rank() OVER (PARTITION BY round ORDER BY n DESC) AS k FROM d) WHERE k = 1 GROUP BY 1
+), a AS (SELECT round, count(*) AS abstained FROM b WHERE stage = 'vote' AND target = 0 GROUP BY 1)
+SELECT g.round, CASE WHEN l.leaders IS NULL THEN 'all abstention' WHEN len(l.leaders) = 1 THEN 'exiled' WHEN m.winners IS NULL THEN 'all abstention in pk' WHEN len(m.winners) = 1 THEN 'exiled in pk' ELSE 'draw in pk' END AS outcome,
+  CAST(CASE WHEN len(l.leaders) = 1 THEN l.leaders[1] WHEN len(m.winners) = 1 THEN m.winners[1] END AS INT) AS exiled, array_to_string(s.leaders, ',') AS candidates, array_to_string(s.voters, ',') AS voters, coalesce(abstained, 0) AS abstained
+FROM g LEFT JOIN l USING (round) LEFT JOIN s USING (round) LEFT JOIN m USING (round) LEFT JOIN a USING (round)""")
+def runoff_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("round"), F.when(F.col("l_linenumber") <= 4, "vote").otherwise("vote_pk").alias("stage"), F.col("l_linenumber").cast("int").alias("voter"), (F.col("l_suppkey") % 4).cast("int").alias("target"))
+    three = F.array(F.lit(1), F.lit(2), F.lit(3))
+    alive = b.select("round").distinct().withColumn("alive", F.when(F.col("round") % 3 > 0, F.concat(three, F.array(F.lit(5), F.lit(6), F.lit(7)))).otherwise(three))
+    names = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return G.runoff(b, alive).select("round", "outcome", "exiled", names("candidates"), names("voters"), "abstained")
+
+
 @query("""SELECT l_orderkey AS round, string_agg(l_linenumber || '=' || CASE l_partkey % 8 WHEN 0 THEN '-' ELSE CAST(l_partkey % 8 AS VARCHAR) END, ',' ORDER BY l_linenumber, CASE l_partkey % 8 WHEN 0 THEN -1 ELSE l_partkey % 8 END) AS votes FROM lineitem GROUP BY 1""")
 def public_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = F.transform("votes", lambda v: F.concat_ws("=", v["voter"].cast("string"), F.coalesce(v["target"].cast("string"), F.lit("-"))))
@@ -116,12 +135,13 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_LOG}, m AS (SELECT *, max(day) OVER (PARTITION BY game) AS now FROM l)
-SELECT game, coalesce(string_agg(day || ':' || p, ',' ORDER BY day, p) FILTER (event = 'end_vote'), '') AS exiles, CAST(max(p) FILTER (event = 'end_night' AND day = now - 1) AS VARCHAR) AS night,
+SELECT game, max(now) AS day, coalesce(string_agg(day || ':' || p, ',' ORDER BY day, p) FILTER (event = 'end_vote'), '') AS exiles, max(day || ':' || p) FILTER (event = 'end_night' AND day = now - 1) AS night,
   array_to_string(list_filter(range(1, 8), lambda i: NOT list_contains(coalesce(list(p) FILTER (event <> 'speech'), []), i)), ',') AS alive FROM m GROUP BY 1""")
 def public_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = G.public_state(_log(spark, sf_dir))
     exiles = F.array_join(F.transform("prior_exiles", lambda x: F.concat_ws(":", x["day"].cast("string"), x["player"].cast("string"))), ",")
-    return out.select("game", exiles.alias("exiles"), F.array_join(F.col("last_night_dead").cast("array<string>"), ",").alias("night"), F.array_join(F.col("alive").cast("array<string>"), ",").alias("alive"))
+    night = F.concat_ws(":", F.col("last_night.day").cast("string"), F.array_join(F.col("last_night.dead").cast("array<string>"), ","))
+    return out.select("game", F.col("day").cast("long").alias("day"), exiles.alias("exiles"), F.when(F.col("last_night").isNotNull(), night).alias("night"), F.array_join(F.col("alive").cast("array<string>"), ",").alias("alive"))
 
 
 @query(f"""WITH {_LOG} SELECT count(*) AS visible, count_if(event = 'speech') AS speeches FROM l WHERE event = 'speech' OR p = 3""")
