@@ -180,3 +180,27 @@ def field_names(json: Column) -> Column:
 def private_fields(json: Column, names: tuple[str, ...]) -> Column:
     """The private ``names`` (lower case) that stand as a field anywhere in a JSON text."""
     return F.array_intersect(field_names(json), F.array(*map(F.lit, names)))
+
+
+def key_paths(rows: DataFrame, json: str, names: tuple[str, ...]) -> DataFrame:
+    """Columns of ``rows`` with ``path`` (``root.field[0].field``) and ``kind`` of every field of a JSON text that is called one of ``names``.
+
+    Texts are walked down level by level, to any depth, by a recursive query;
+    only those that have such a name anywhere are. No JSON, null and texts
+    without such fields give no rows; repeated rows give their fields each.
+    """
+    spark = rows.sparkSession
+    for limit in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
+        spark.conf.set(limit, "-1")  # depth and size are those of the texts
+    wanted = F.array(*map(F.lit, sorted({n.lower() for n in names})))
+    rows = rows.where(F.arrays_overlap(field_names(F.col(json)), wanted))
+    columns = ", ".join(f"`{c}`" for c in rows.columns)
+    found = ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names)
+    return spark.sql(
+        f"""WITH RECURSIVE walk AS (
+          SELECT {columns}, 'root' AS path, CAST(NULL AS STRING) AS __name, try_parse_json(`{json}`) AS __value FROM {{rows}}
+          UNION ALL
+          SELECT {columns}, CASE WHEN e.key IS NULL THEN concat(path, '[', e.pos, ']') ELSE concat(path, '.', e.key) END, e.key, e.value FROM walk, LATERAL variant_explode(walk.__value) e
+        ) SELECT {columns}, path, regexp_extract(schema_of_variant(__value), '^[A-Z]+', 0) AS kind FROM walk WHERE __name IN ({found})""",
+        rows=rows,
+    )
