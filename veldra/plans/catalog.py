@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veldra.functions import domain, text
 from veldra.operators import beliefs as B, games as G, monitor as M, snapshots as N, splits as S
-from veldra.plans import adapters as A, contracts  # noqa: F401  (registers its queries)
+from veldra.plans import adapters as A, contracts, rows  # noqa: F401  (they register their queries)
 from veldra.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 _BELIEFS = """b AS (
