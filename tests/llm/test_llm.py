@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -551,7 +552,68 @@ def test_shards_keep_equal_texts_together(spark):
     assert len(load) == 16 and load.between(0.97 * leaf, 1.03 * leaf).all()
     group = rows.groupby(rows.text.fillna("")).agg(n=("shard", "nunique"), w=("size", "sum"))
     assert (group.n[group.w <= 0.9 * leaf] == 1).all() and group.w.max() > leaf
-    assert shards._placed([(1, 5.0), (2, 5.0), (3, 4.0), (4, 11.0)], 2, 10.0) == ({1: 0, 2: 1, 3: 0}, [4], [1.0, 5.0])
+
+
+def plain_cut(units, target):
+    """The key below which about the target's weight lies, None if there is less; as shares of 16 bits of the key at a time see it."""
+    total, by_key = 0, Counter()
+    for key, w in units:
+        by_key[key] += w
+    for key in sorted(by_key):
+        before, total = total, total + by_key[key]
+        if total >= target:
+            return key if target - before <= total - target else key + 1
+    return None
+
+
+def plain_tree(units, first, k, out):
+    """Shards of units (name, part, w, three places, tie, heavy) by the same rules, one node after the other."""
+    if k > 1:
+        widest = max(range(3), key=lambda i: (max(u[3 + i] for u in units) - min(u[3 + i] for u in units), -i))
+        key = lambda u: u[3 + widest] << 16 | u[6]
+        target = sum(u[2] for u in units) * (k // 2) / k
+        cut = plain_cut([(key(u), u[2]) for u in units], target)
+        low = [u for u in units if u[7] and key(u) < cut]
+        light = [u for u in units if not u[7]]
+        cut2 = plain_cut([(key(u), u[2]) for u in light], max(target - sum(u[2] for u in low), 0.0))
+        low += [u for u in light if cut2 is None or key(u) < cut2]
+        high = [u for u in units if u not in low]
+        if low and high:
+            worth = math.floor(k * sum(u[2] for u in low) / sum(u[2] for u in units) + 0.5)
+            k0 = min(max(min(worth, len(low), k - 1), 1, k - len(high)), k - 1)
+            plain_tree(low, first, k0, out)
+            plain_tree(high, first + k0, k - k0, out)
+            return
+    out.update({u[:2]: first for u in units})
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_shards_follow_the_tree(spark, sf):
+    real = queries.table(spark, f"/root/testdata/{sf}", "documents")
+    rows = shards.shards(real, 16).toPandas()
+    load = rows.groupby("shard")["size"].sum()
+    leaf = load.sum() / 16
+    assert len(load) == 16 and load.between(0.95 * leaf, 1.05 * leaf).all()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = real.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(text, F.octet_length(text)).alias("name"), F.lit(0).cast("long").alias("part"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"))
+    units = [tuple(r)[:8] for r in shards._units(base, leaf).collect()]
+    assert max(u[2] for u in units) <= leaf  # nothing is dealt out here
+    want: dict = {}
+    plain_tree(units, 0, 16, want)
+    name = {r.doc_id: r.name for r in base.collect()}
+    assert {d: s for d, s in zip(rows.doc_id, rows.shard)} == {d: want[n, 0] for d, n in name.items()}
+
+
+def test_shards_of_repeated_rows(spark):
+    same = spark.createDataFrame([(5, "x" * 100, "a", "b"), (None, "x" * 100, "a", "b")] * 32, "doc_id long, text string, source string, lang string").repartition(8)
+    rows = shards.shards(same, 4).collect()
+    assert len(rows) == 64 and all(15 <= n <= 17 for n in Counter(r.shard for r in rows).values()) and len({(r.shard, r.slot) for r in rows}) == 64
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), (F.col("id") % 90 + 10).cast("int")).alias("t"), (F.col("id") % 7).cast("string").alias("source"), F.lit("en").alias("lang"))
+    many = many.withColumn("text", F.concat("t", F.col("doc_id").cast("string")))
+    rows = shards.shards(many, None, target_bytes=600).toPandas()
+    load = rows.groupby("shard")["size"].sum()
+    count = round(load.sum() / 600)
+    assert len(load) == count > 250 and load.max() < 1.35 * 600
 
 
 def test_merged_components(spark):

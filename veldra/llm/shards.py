@@ -2,115 +2,112 @@
 
 Documents are points in three metadata dimensions: logarithm of size, source
 and language. A node of the tree is split at the weighted median along its
-widest dimension until every leaf is one shard. Medians are exact to a small
-share of a shard and distributed: rounds of histograms, each one aggregation,
-narrow a 48-bit key (dimension, then a hash that orders ties), so neither a hot
-source nor equal metadata unbalances a split.
-
-Equal texts are one unit. Units that weigh a notable part of a shard are given
-shards first, heaviest first to the emptiest shard, and the tree over all
-others is split in proportion to what is left of each shard, so that equal
-texts stay together as long as any shard has room for them. Only a group that
-no shard can hold is dealt into smaller units. All steps are DataFrame
-functions; what the driver holds is a few numbers for each shard and the heavy
-units, whose number ``HEAVY`` bounds for each shard.
+widest dimension until every leaf is one shard. Medians are distributed: rounds
+of histograms, each one aggregation, narrow a 32-bit key (dimension, then a
+hash that orders ties), so neither a hot source nor equal metadata unbalances a
+split.
+
+Equal texts are one unit, so they stay together. Every unit goes down the tree.
+A unit that weighs a notable part of a shard goes to the side of the median on
+which it lies; what it brings too much there is made up for by the light units,
+whose own cut along the same dimension is moved until both sides have their
+shares. A side gets as many shards as its bytes are worth, but no more than it
+has units. Only a group that no shard can hold is dealt into smaller units.
+
+All steps are DataFrame functions, and the nodes of the tree are a table: the
+driver holds a few numbers, however many shards there are.
 
 Defined results: a null text has size 1 and the checksum of the empty text;
 null metadata is a value of its own; rows that repeat an id are rows of their
-own, each with its slot; an empty table gives no rows; other columns are
-ignored.
+own, each with its slot; with fewer units than shards some shards are empty; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veldra.llm.store import staged
 
-#: Bits of a round's histogram; a key has four rounds.
-DIGIT = 12
-ROUNDS = 4
-#: Units heavier than this share of a shard are placed before the tree is built: fewer than 1 / HEAVY of them for each shard.
-HEAVY = 1 / 64
+#: Bits of a round's histogram, rounds, and bits of a key.
+DIGIT, ROUNDS = 16, 2
+WIDTH = DIGIT * ROUNDS
+#: Units heavier than this share of a shard keep to the side of the median; lighter ones even out the sides.
+HEAVY = 1 / 8
 #: A group that no shard can hold is dealt into units of about this share of a shard.
 DEALT = 1 / 512
-#: A median is exact to this share of a shard.
-PRECISION = 1 / 1000
-#: Heavy units are broadcast up to this many rows and joined by shuffle beyond.
+#: Tables of nodes are broadcast up to this many rows and joined by shuffle beyond.
 BROADCAST_ROWS = 100_000
 DIMS = ("d_size", "d_source", "d_lang")
 
 
 def _spread(column: Column) -> Column:
-    """24 bits from a hash."""
-    return F.shiftrightunsigned(F.xxhash64(column), 40)
-
-
-def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
-    text = json.dumps([dict(zip(names, r)) for r in rows])
-    table = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(c.replace(' ', ': ') for c in schema.split(', '))}>>")))
-    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
-
-
-def _by_node(values: dict[int, float], count: int, kind: str) -> Column:
-    """The value of a row's ``node``, null for nodes without one: an array that is looked up by place."""
-    return F.get(F.from_json(F.lit(json.dumps([values.get(n) for n in range(count)])), f"array<{kind}>"), F.col("node"))
-
-
-def _placed(weights: list[tuple[int, float]], count: int, room: float) -> tuple[dict[int, int], list[int], list[float]]:
-    """Shard of each heavy unit, heaviest first into the emptiest shard; those that no shard can hold; and what is left of each shard."""
-    load = [(0.0, k) for k in range(count)]
-    shard, rest = {}, []
-    for name, w in sorted(weights, key=lambda x: (-x[1], x[0])):
-        if load[0][0] + w <= room:
-            least, k = load[0]
-            heapq.heapreplace(load, (least + w, k))
-            shard[name] = k
-        else:
-            rest.append(name)
-    left = [0.0] * count
-    for w, k in load:
-        left[k] = room - w
-    return shard, rest, left
+    """16 bits from a hash."""
+    return F.shiftrightunsigned(F.xxhash64(column), 48)
 
 
-def _units(rows: DataFrame) -> DataFrame:
-    """Units (name, part) with weight, dimensions and tie hash."""
+def _units(rows: DataFrame, leaf: float) -> DataFrame:
+    """Units (name, part) with weight, dimensions, tie hash and whether they are heavy."""
     units = rows.groupBy("name", "part").agg(F.sum("size").alias("w"), F.min("source").alias("source"), F.min("lang").alias("lang"), F.max("size").alias("one"))
-    d_size = F.least(F.log2(F.col("one").cast("double")) / 48 * (1 << 24), F.lit((1 << 24) - 1)).cast("long")
-    tie = F.shiftrightunsigned(F.xxhash64("name", "part", F.lit(11)), 40)
-    return units.select("name", "part", "w", d_size.alias("d_size"), _spread(F.col("source")).alias("d_source"), _spread(F.col("lang")).alias("d_lang"), tie.alias("tie"))
-
-
-def _cuts(keyed: DataFrame, targets: dict[int, float], close: float, count: int) -> dict[int, int]:
-    """For each node the key below which about the target's weight lies; ``keyed`` has node, key and w."""
-    open_ = {n: (0, 0.0) for n in targets}  # digits so far, and the weight below them
-    done: dict[int, int] = {}
-    width = DIGIT * ROUNDS
-    for r in range(1, ROUNDS + 1):
-        shift = width - DIGIT * r
-        inside = keyed.where(F.shiftright("key", shift + DIGIT) == _by_node({n: p for n, (p, _) in open_.items()}, count, "long"))
-        hist = inside.groupBy("node", F.shiftright("key", shift).bitwiseAND((1 << DIGIT) - 1).alias("digit")).agg(F.sum("w").alias("w"))
-        up_to = F.sum("w").over(Window.partitionBy("node").orderBy("digit"))  # 4096 rows a node at most
-        need = _by_node({n: float(targets[n] - below) for n, (_, below) in open_.items()}, count, "double")
-        crossing = hist.withColumn("up_to", up_to).where(F.col("up_to") >= need).groupBy("node").agg(F.min(F.struct("digit", "up_to", "w")).alias("c"))
-        for row in crossing.collect():  # one row a node
-            (prefix, below), c = open_[row["node"]], row["c"]
-            prefix = (prefix << DIGIT) | c["digit"]
-            before = below + c["up_to"] - c["w"]
-            if c["w"] <= close or r == ROUNDS:
-                nearer = targets[row["node"]] - before <= before + c["w"] - targets[row["node"]]
-                done[row["node"]] = (prefix + (0 if nearer else 1)) << shift
-                del open_[row["node"]]
-            else:
-                open_[row["node"]] = (prefix, before)
-        if not open_:
-            break
-    return done | {n: 1 << width for n in open_}
+    d_size = F.least(F.log2(F.col("one").cast("double")) / 48 * (1 << DIGIT), F.lit((1 << DIGIT) - 1)).cast("long")
+    tie = F.shiftrightunsigned(F.xxhash64("name", "part", F.lit(11)), 48)
+    heavy = F.col("w") > leaf * HEAVY
+    return units.select("name", "part", "w", d_size.alias("d_size"), _spread(F.col("source")).alias("d_source"), _spread(F.col("lang")).alias("d_lang"), tie.alias("tie"), heavy.alias("heavy"), F.lit(0).alias("node"))
+
+
+def _cuts(keyed: DataFrame, small) -> DataFrame:
+    """node and cut: the key below which about the node's ``target`` lies; ``keyed`` has node, target, key and w. Nodes that have less are left out."""
+    state = None
+    for r in range(ROUNDS):
+        shift = WIDTH - DIGIT * (r + 1)
+        inside = keyed.withColumn("prefix", F.shiftright("key", shift))
+        if state is None:
+            inside = inside.withColumn("below", F.lit(0.0))
+        else:  # what lies under the prefix that was found
+            inside = inside.withColumn("above", F.shiftright("key", shift + DIGIT)).join(small(state), ["node", "above"])
+        hist = inside.groupBy("node", "target", "below", "prefix").agg(F.sum("w").alias("w"))  # 65,536 rows a node at most
+        upto = F.sum("w").over(Window.partitionBy("node").orderBy("prefix")) + F.col("below")
+        first = hist.withColumn("upto", upto).where("upto >= target").groupBy("node").agg(F.min_by(F.struct("prefix", "upto", "w", "target"), "prefix").alias("c"))
+        before = F.col("c.upto") - F.col("c.w")
+        state = first.select("node", F.col("c.prefix").alias("above"), before.alias("below"), F.when(F.col("c.target") - before <= F.col("c.upto") - F.col("c.target"), F.lit(0)).otherwise(1).alias("more"))
+        last, state = state, state.drop("more")
+    return last.select("node", (F.col("above") + F.col("more")).alias("cut"))
+
+
+def _halved(units: DataFrame, nodes: DataFrame, small) -> DataFrame:
+    """Units of all open nodes with ``side`` (0 or 1), of closed ones with null."""
+    open_ = nodes.where("k > 1")
+    seen = units.join(small(open_), "node").groupBy("node", "k").agg(F.sum("w").alias("all"), *[(F.max(d) - F.min(d)).alias(f"r_{d}") for d in DIMS])
+    ranges = F.array(*[F.col(f"r_{d}") for d in DIMS])
+    plan = seen.select("node", F.array_position(ranges, F.array_max(ranges)).alias("widest"), (F.col("all") * F.floor(F.col("k") / 2) / F.col("k")).alias("target"))
+    key = F.shiftleft(F.element_at(F.array(*DIMS), F.col("widest").cast("int")), DIGIT).bitwiseOR(F.col("tie"))
+    keyed = units.join(small(plan), "node").withColumn("key", key)
+    own = _cuts(keyed.select("node", "target", "key", "w"), small)
+    # what heavy units have brought to the lower side is no longer due from light ones
+    brought = keyed.where("heavy").join(small(own), "node").where("key < cut").groupBy("node").agg(F.sum("w").alias("brought"))
+    light = keyed.where("not heavy").join(small(brought), "node", "left")
+    light = light.withColumn("target", F.greatest(F.col("target") - F.coalesce("brought", F.lit(0)), F.lit(0.0))).select("node", "target", "key", "w")
+    moved = _cuts(light, small).withColumnRenamed("cut", "light_cut")
+    full = F.lit(1 << WIDTH)  # fewer light units than are due: all of them
+    cut = F.when(F.col("heavy"), F.coalesce("cut", full)).otherwise(F.coalesce("light_cut", full))
+    out = units.join(small(plan), "node", "left").join(small(own), "node", "left").join(small(moved), "node", "left")
+    return out.withColumn("side", F.when(F.col("widest").isNotNull(), (key >= cut).cast("int"))).select("name", "part", "w", *DIMS, "tie", "heavy", "node", "side")
+
+
+def _children(halved: DataFrame, nodes: DataFrame, small) -> DataFrame:
+    """node, side, child and k of the nodes below: closed nodes (side null) are their own; k 0 repeats a child."""
+    n = lambda side: F.count_if(F.col("side") == side)
+    seen = halved.where("side is not null").groupBy("node").agg(F.sum("w").alias("all"), F.sum(F.when(F.col("side") == 0, F.col("w")).otherwise(0)).alias("low"), n(0).alias("n0"), n(1).alias("n1"))
+    worth = F.round(F.col("k") * F.col("low") / F.col("all"))
+    k0 = F.greatest(F.least(worth, F.col("n0"), F.col("k") - 1), F.lit(1), F.col("k") - F.col("n1"))
+    k0 = F.when((F.col("n0") == 0) | (F.col("n1") == 0), F.when(F.col("n0") == 0, 0).otherwise(F.col("k"))).otherwise(F.least(k0, F.col("k") - 1)).cast("int")
+    split = seen.join(small(nodes.where("k > 1")), "node").withColumn("k0", k0)
+    # a side that holds everything cannot be split any further: what its key has in common is one unit
+    stuck = (F.col("n0") == 0) | (F.col("n1") == 0)
+    low = F.struct(F.lit(0).alias("side"), F.col("node").alias("child"), F.when(stuck, 1).otherwise(F.col("k0")).alias("k"))
+    high = F.struct(F.lit(1).alias("side"), (F.col("node") + F.when(stuck, 0).otherwise(F.col("k0"))).alias("child"), F.when(stuck, 0).otherwise(F.col("k") - F.col("k0")).alias("k"))
+    below = split.withColumn("c", F.explode(F.array(low, high))).select("node", "c.side", "c.child", "c.k")
+    return below.unionByName(nodes.where("k <= 1").select("node", F.lit(None).cast("int").alias("side"), F.col("node").alias("child"), "k"))
 
 
 def shards(docs: DataFrame, count: int | None = 16, target_bytes: int | None = None) -> DataFrame:
@@ -120,40 +117,25 @@ def shards(docs: DataFrame, count: int | None = 16, target_bytes: int | None = N
     base = staged(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.xxhash64(text, F.octet_length(text)).alias("name"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-    ), "sizes")
+    ).withColumn("at", F.monotonically_increasing_id()), "sizes")
     total = base.agg(F.sum("size")).first()[0] or 0
     if count is None:
         count = max(1, round(total / target_bytes))
     leaf = max(total / count, 1)
-    groups = base.groupBy("name").agg(F.sum("size").alias("w"))
-    heavy = [tuple(r) for r in groups.where(F.col("w") > leaf * HEAVY).collect()]  # fewer than count / HEAVY rows
-    first, dealt, left = _placed(heavy, count, leaf)
-    weight = dict(heavy)
-    parts = _small(spark, [(n, int(-(-weight[n] // (leaf * DEALT)))) for n in dealt], "name long, parts long")
-    fixed = _small(spark, list(first.items()), "name long, fixed int")
-    rows = base.join(parts, "name", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(F.lit(0)))
-    rows = rows.join(fixed, "name", "left").select("name", "part", "doc_id", "size", "text_crc32", "source", "lang", "fixed")
-    units = staged(_units(rows.where("fixed is null")).withColumn("node", F.lit(0)), "units")
-    leaves = {0: count}  # first shard of a node: its shards
-    while max(leaves.values()) > 1:
-        split = [n for n, k in leaves.items() if k > 1]
-        seen = units.where(_by_node(dict.fromkeys(split, 1), count, "int").isNotNull()).groupBy("node").agg(F.sum("w").alias("w"), *[(F.max(d) - F.min(d)).alias(d) for d in DIMS])
-        widest, targets = {}, {}
-        for row in seen.collect():  # one row a node
-            n, half = row["node"], leaves[row["node"]] // 2
-            widest[n] = max(range(len(DIMS)), key=lambda i: row[DIMS[i]])  # noqa: B023
-            room = sum(left[n : n + leaves[n]])
-            targets[n] = row["w"] * (sum(left[n : n + half]) / room if room > 0 else half / leaves[n])
-        key = F.shiftleft(F.get(F.array(*DIMS), _by_node(widest, count, "int")), 24).bitwiseOR(F.col("tie"))
-        cuts = _cuts(units.select("node", key.alias("key"), "w").where("key is not null"), targets, leaf * PRECISION, count)
-        upper = {n: n + leaves[n] // 2 for n in cuts}
-        moved = F.when(key >= _by_node(cuts, count, "long"), _by_node(upper, count, "int")).otherwise(F.col("node"))
-        units = staged(units.withColumn("node", moved), "tree", instead_of=units)
-        for n in split:
-            half = leaves[n] // 2
-            leaves[n + half], leaves[n] = leaves[n] - half, half
-    placed = rows.join(units.select("name", "part", "node"), ["name", "part"], "left")
-    return _slots(placed.select("doc_id", "size", "text_crc32", F.coalesce("fixed", "node").alias("shard")))
+    small = F.broadcast if count <= BROADCAST_ROWS else lambda t: t  # a table of nodes has ``count`` rows at most
+    groups = base.groupBy("name").agg(F.sum("size").alias("w")).where(F.col("w") > leaf)  # fewer than ``count``
+    dealt = groups.select("name", F.ceil(F.col("w") / (leaf * DEALT)).alias("parts"))
+    rows = base.join(small(dealt), "name", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("at"), "parts")).otherwise(F.lit(0)))
+    rows = rows.select("name", "part", "doc_id", "size", "text_crc32", "source", "lang")
+    units = staged(_units(rows, leaf), "units")
+    nodes = spark.range(1).select(F.lit(0).alias("node"), F.lit(count).alias("k"))
+    while nodes.where("k > 1").limit(1).count():
+        halved = staged(_halved(units, nodes, small), "halved")
+        below = staged(_children(halved, nodes, small), "nodes")
+        units = halved.join(small(below.withColumnRenamed("side", "s").withColumnRenamed("node", "n")), (F.col("node") == F.col("n")) & F.col("side").eqNullSafe(F.col("s"))).select("name", "part", "w", *DIMS, "tie", "heavy", F.col("child").alias("node"))
+        nodes = below.where("k > 0").select(F.col("child").alias("node"), "k")
+    placed = rows.join(units.select("name", "part", "node"), ["name", "part"])
+    return _slots(placed.select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard")))
 
 
 def _slots(rows: DataFrame) -> DataFrame:
