@@ -76,22 +76,22 @@ def _cuts(keyed: DataFrame, small) -> DataFrame:
 
 def _halved(units: DataFrame, nodes: DataFrame, small) -> DataFrame:
     """Units of all open nodes with ``side`` (0 or 1), of closed ones with null."""
-    open_ = nodes.where("k > 1")
-    seen = units.join(small(open_), "node").groupBy("node", "k").agg(F.sum("w").alias("all"), *[(F.max(d) - F.min(d)).alias(f"r_{d}") for d in DIMS])
+    seen = units.join(small(nodes.where("k > 1")), "node").groupBy("node", "k").agg(F.sum("w").alias("all"), *[(F.max(d) - F.min(d)).alias(f"r_{d}") for d in DIMS])
     ranges = F.array(*[F.col(f"r_{d}") for d in DIMS])
-    plan = seen.select("node", F.array_position(ranges, F.array_max(ranges)).alias("widest"), (F.col("all") * F.floor(F.col("k") / 2) / F.col("k")).alias("target"))
-    key = F.shiftleft(F.element_at(F.array(*DIMS), F.col("widest").cast("int")), DIGIT).bitwiseOR(F.col("tie"))
-    keyed = units.join(small(plan), "node").withColumn("key", key)
-    own = _cuts(keyed.select("node", "target", "key", "w"), small)
+    plan = seen.select("node", F.array_position(ranges, F.array_max(ranges)).cast("int").alias("widest"), (F.col("all") * F.floor(F.col("k") / 2) / F.col("k")).alias("target"))
+    key = F.shiftleft(F.element_at(F.array(*DIMS), F.coalesce("widest", F.lit(1))), DIGIT).bitwiseOR(F.col("tie"))
+    # each step is written, so that no plan holds another one many times
+    keyed = staged(units.join(small(plan), "node", "left").withColumn("key", key).drop("widest"), "keyed")
+    own = staged(_cuts(keyed.where("target is not null").select("node", "target", "key", "w"), small), "cuts")
     # what heavy units have brought to the lower side is no longer due from light ones
-    brought = keyed.where("heavy").join(small(own), "node").where("key < cut").groupBy("node").agg(F.sum("w").alias("brought"))
-    light = keyed.where("not heavy").join(small(brought), "node", "left")
+    brought = staged(keyed.where("heavy").join(small(own), "node").where("key < cut").groupBy("node").agg(F.sum("w").alias("brought")), "brought")
+    light = keyed.where("not heavy and target is not null").join(small(brought), "node", "left")
     light = light.withColumn("target", F.greatest(F.col("target") - F.coalesce("brought", F.lit(0)), F.lit(0.0))).select("node", "target", "key", "w")
-    moved = _cuts(light, small).withColumnRenamed("cut", "light_cut")
+    moved = staged(_cuts(light, small).withColumnRenamed("cut", "light_cut"), "light_cuts")
     full = F.lit(1 << WIDTH)  # fewer light units than are due: all of them
     cut = F.when(F.col("heavy"), F.coalesce("cut", full)).otherwise(F.coalesce("light_cut", full))
-    out = units.join(small(plan), "node", "left").join(small(own), "node", "left").join(small(moved), "node", "left")
-    return out.withColumn("side", F.when(F.col("widest").isNotNull(), (key >= cut).cast("int"))).select("name", "part", "w", *DIMS, "tie", "heavy", "node", "side")
+    out = keyed.join(small(own), "node", "left").join(small(moved), "node", "left")
+    return out.withColumn("side", F.when(F.col("target").isNotNull(), (F.col("key") >= cut).cast("int"))).select("name", "part", "w", *DIMS, "tie", "heavy", "node", "side")
 
 
 def _children(halved: DataFrame, nodes: DataFrame, small) -> DataFrame:
@@ -130,7 +130,7 @@ def shards(docs: DataFrame, count: int | None = 16, target_bytes: int | None = N
     units = staged(_units(rows, leaf), "units")
     nodes = spark.range(1).select(F.lit(0).alias("node"), F.lit(count).alias("k"))
     while nodes.where("k > 1").limit(1).count():
-        halved = staged(_halved(units, nodes, small), "halved")
+        halved = _halved(units, nodes, small)
         below = staged(_children(halved, nodes, small), "nodes")
         units = halved.join(small(below.withColumnRenamed("side", "s").withColumnRenamed("node", "n")), (F.col("node") == F.col("n")) & F.col("side").eqNullSafe(F.col("s"))).select("name", "part", "w", *DIMS, "tie", "heavy", F.col("child").alias("node"))
         nodes = below.where("k > 0").select(F.col("child").alias("node"), "k")
