@@ -6,6 +6,8 @@ import json
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -345,7 +347,7 @@ def test_substring_index_runs_and_compaction(docs):
     index = substring.FingerprintIndex(docs.sparkSession, 35, fan_in=2)
     for k in range(4):
         index.append(docs.where(F.pmod("doc_id", F.lit(4)) == k))
-    assert len(index.runs) <= 2
+    assert [r["level"] for r in index.runs] == [2] and not index.window_runs == []
     got = by_id(substring.without_repeats(docs, 35, index=index))
     _, kept = brute_kept(TEXTS, 35)
     assert [got[i].kept_text for i in range(len(TEXTS))] == [" ".join(k) for k in kept]
@@ -364,7 +366,47 @@ def test_substrings_of_a_batch_against_history(docs, empty):
         assert {i: r.kept_text for i, r in by_id(substring.without_repeats(batch, index=index)).items()} == {i: " ".join(kept[i]) for i in ids}
     first = by_id(substring.without_repeats(docs.where(F.col("doc_id").isin(split[0])), index=index))
     assert {i: r.kept_text for i, r in first.items()} == {i: " ".join(kept[i]) for i in split[0]}
-    assert len(index.window_runs) <= 2 and not substring.without_repeats(empty, index=index).collect()
+    assert sorted(r["level"] for r in index.window_runs) == [0, 1] and not substring.without_repeats(empty, index=index).collect()
+
+
+def test_an_index_outlives_its_application(docs, spark, tmp_path):
+    """One application indexes two batches; another one finds the index, cleans a third batch against it, and appends it."""
+    path, source = f"file://{tmp_path}/index", f"file://{tmp_path}/docs"
+    docs.select("doc_id", "text").write.parquet(source)
+    script = (
+        "from pyspark.sql import SparkSession\nfrom veldra.llm import substring\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        f"docs = spark.read.parquet({source!r})\nindex = substring.FingerprintIndex(spark, 35, path={path!r}, buckets=4)\n"
+        "index.append(docs.where('doc_id % 3 = 0'))\nindex.append(docs.where('doc_id % 3 = 1'))\n"
+    )
+    subprocess.run([sys.executable, "-c", script], check=True, timeout=300, capture_output=True)
+    index = substring.FingerprintIndex.open(spark, path)
+    assert len(index.runs) == len(index.window_runs) == 2 and index.buckets == 4
+    batch = docs.where("doc_id % 3 = 2")
+    _, kept = brute_kept(TEXTS, 35)
+    want = {i: " ".join(kept[i]) for i in range(2, len(TEXTS), 3)}
+    assert {i: r.kept_text for i, r in by_id(substring.without_repeats(batch, index=index)).items()} == want
+    # neither a merge of two runs nor a look into history shuffles what is stored
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        merge = index.shared(*index.runs)._jdf.queryExecution().executedPlan().toString()
+        own = index._windows(substring._keyed(batch).select("__key", "__more", "__text")).select("h", "g").distinct()
+        past = index._past(own)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" in merge and "Exchange" not in merge
+    stored = re.findall(r"SortMergeJoin.*?FileScan parquet [^\n]*", past, re.S)  # the first child of each join is a stored run
+    assert len(stored) == 2 and all("Exchange" not in x and "Bucketed: true" in x for x in stored)
+    index.append(batch)
+    assert {i: r.kept_text for i, r in by_id(substring.without_repeats(docs.where("doc_id % 3 = 0"), index=substring.FingerprintIndex.open(spark, path))).items()} == {i: " ".join(kept[i]) for i in range(0, len(TEXTS), 3)}
+    with pytest.raises(FileExistsError):
+        substring.FingerprintIndex(spark, path=path)
+    with pytest.raises(FileNotFoundError):
+        substring.FingerprintIndex.open(spark, f"file://{tmp_path}/none")
 
 
 def thue_morse(n, a="a", b="b"):
