@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veldra.functions.domain import N_PLAYERS, PAIRS, let
 from veldra.operators.quantiles import quantiles, with_quantiles
-from veldra.operators.snapshots import compatible
+from veldra.operators.snapshots import compatible, turned
 
 _UNIFORM = 1 / len(PAIRS)
 
@@ -171,7 +171,42 @@ def audit_counts(rows: DataFrame, groups: list[str]) -> DataFrame:
         F.count("*").alias("snapshots"), F.count_if("boundary").alias("boundaries"), F.count_if(F.col("s") > 0).alias("supervised_snapshots"), F.sum("v").alias("valid_rows"), F.sum("s").alias("supervised_rows"),
         *[F.count_if(F.col("s") == k).alias(f"with_{k}") for k in range(N_PLAYERS + 1)],
     )
-    return out.withColumn("supervised_fraction", F.col("supervised_snapshots") / F.col("snapshots"))
+    out = out.withColumn("non_boundaries", F.col("snapshots") - F.col("boundaries")).withColumn("filtered_snapshots", F.col("snapshots") - F.col("supervised_snapshots"))
+    return out.withColumn("boundary_fraction", F.col("boundaries") / F.col("snapshots")).withColumn("supervised_fraction", F.col("supervised_snapshots") / F.col("snapshots"))
+
+
+def audit_players(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """By player, over all and by ``groups``: supervised rows of the player as observer, mean target marginal, how often it is among the most suspected (ties count for each), and the ``gap`` between the largest and least mean of its group.
+
+    Columns as in ``audit_values``; groups of the summary over all are null. A
+    group without a valid row has means 0.
+    """
+    valid = F.coalesce(F.col("valid"), F.lit(False))
+    sup = F.coalesce("boundary", F.lit(False)) & effective(F.col("valid"), F.col("observer"), F.col("speaker"))
+    m = F.when(valid, player_marginals(F.col("target")))
+    top = let(F.array_max(F.col("__m")), lambda t: F.transform("__m", lambda x: F.abs(x - t) <= 1e-8 + 1e-5 * F.abs(t)))
+    seats = F.transform(F.sequence(F.lit(1), F.lit(N_PLAYERS)), lambda k: F.struct(k.alias("player"), F.get("__m", k - 1).alias("marginal"), F.coalesce(F.get("__top", k - 1), F.lit(False)).alias("top"), (F.col("__sup") & (F.col("observer") == k)).alias("sup")))
+    each = rows.withColumn("__m", m).withColumn("__top", F.when(F.col("__m").isNotNull(), top)).withColumn("__sup", sup).select(*groups, F.explode(seats).alias("s")).select(*groups, "s.*")
+    each = each.withColumn("__all", F.explode(F.array(F.lit(False), F.lit(True)) if groups else F.array(F.lit(True)))).withColumns({g: F.when(~F.col("__all"), F.col(g)) for g in groups})
+    out = each.groupBy("__all", *groups, "player").agg(F.count_if("sup").alias("supervised_rows"), F.coalesce(F.avg("marginal"), F.lit(0.0)).alias("mean_marginal"), F.count_if("top").alias("top_count"))
+    by = Window.partitionBy("__all", *groups)  # seven rows
+    return out.withColumn("gap", F.max("mean_marginal").over(by) - F.min("mean_marginal").over(by)).drop("__all")
+
+
+def turned_targets(rows: DataFrame, shift: Column) -> DataFrame:
+    """Rows of targets (observer, speaker, target of 21) with all players ``shift`` seats on."""
+    place = {pair: i for i, pair in enumerate(PAIRS)}
+    # for each shift, where the probability of each pair comes from
+    origin = [[place[tuple(sorted((x - 1 - s) % N_PLAYERS + 1 for x in pair))] for pair in PAIRS] for s in range(N_PLAYERS)]
+    table = F.array(*[F.array(*map(F.lit, o)) for o in origin])
+    of = F.get(table, F.pmod(shift, F.lit(N_PLAYERS)).cast("int"))
+    return rows.withColumns({"observer": turned(F.col("observer"), shift), "speaker": turned(F.col("speaker"), shift), "target": F.when(F.col("target").isNotNull(), F.transform(of, lambda i: F.get("target", i)))})
+
+
+def audit_orbit(rows: DataFrame) -> DataFrame:
+    """``audit_players`` over the seven turns of every row; each turn is a snapshot of its own."""
+    turns = rows.withColumn("__shift", F.explode(F.sequence(F.lit(0), F.lit(N_PLAYERS - 1))))
+    return audit_players(turned_targets(turns, F.col("__shift")), [])
 
 
 def require_coverage(counts: DataFrame, least: float = 0.05) -> None:

@@ -284,10 +284,10 @@ def target_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH b AS (SELECT c_custkey // 7 AS snapshot, c_custkey % 7 + 1 AS observer, (c_custkey // 7) % 3 AS day, (c_custkey // 7) % 4 <> 0 AS boundary, (c_custkey // 7) % 7 + 1 AS speaker, c_custkey % 6 <> 0 AS valid FROM customer
 ), s AS (SELECT snapshot, day, any_value(boundary) AS boundary, count_if(valid) AS v, count_if(valid AND boundary AND observer <> speaker) AS s FROM b GROUP BY 1, 2)
-SELECT day, count(*) AS snapshots, count_if(boundary) AS boundaries, count_if(s > 0) AS supervised_snapshots, CAST(sum(v) AS BIGINT) AS valid_rows, CAST(sum(s) AS BIGINT) AS supervised_rows, count_if(s = 5) AS with_5, round(count_if(s > 0) / count(*), 9) AS supervised_fraction FROM s GROUP BY GROUPING SETS ((), (day))""")
+SELECT day, count(*) AS snapshots, count_if(boundary) AS boundaries, count_if(s > 0) AS supervised_snapshots, CAST(sum(v) AS BIGINT) AS valid_rows, CAST(sum(s) AS BIGINT) AS supervised_rows, count_if(s = 5) AS with_5, round(count_if(s > 0) / count(*), 9) AS supervised_fraction, count_if(NOT boundary) AS non_boundaries, count_if(s = 0) AS filtered_snapshots, round(count_if(boundary) / count(*), 9) AS boundary_fraction FROM s GROUP BY GROUPING SETS ((), (day))""")
 def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = B.audit_counts(_targets(spark, sf_dir), ["day"])
-    return out.select("day", "snapshots", "boundaries", "supervised_snapshots", "valid_rows", "supervised_rows", "with_5", F.round("supervised_fraction", 9).alias("supervised_fraction"))
+    return out.select("day", "snapshots", "boundaries", "supervised_snapshots", "valid_rows", "supervised_rows", "with_5", "non_boundaries", "filtered_snapshots", *[F.round(c, 9).alias(c) for c in ("supervised_fraction", "boundary_fraction")])
 
 
 @query("""SELECT DISTINCT c_custkey // 7 AS snapshot FROM customer WHERE (c_custkey // 7) % 4 <> 0 AND c_custkey % 6 <> 0 AND c_custkey % 7 <> (c_custkey // 7) % 7""")
@@ -316,3 +316,20 @@ def weighted_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT s.snapshot, CAST(i AS INT) AS observer, a.o IS NOT NULL AS valid FROM s CROSS JOIN range(1, 8) r(i) LEFT JOIN a ON a.snapshot = s.snapshot AND a.o = i""")
 def target_seats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.target_rows(N.decisions(A.snapshots(spark, sf_dir)), ["snapshot"]).select("snapshot", "observer", "valid")
+
+
+_PLAYERS_SQL = """, m AS (SELECT id, any_value(day) AS day, any_value(sup) AS sup, player, sum(t) AS m FROM (SELECT id, day, sup, unnest([a, b]) AS player, t FROM t) GROUP BY id, player
+), x AS (SELECT m.*, max(m) OVER (PARTITION BY id) AS top, (SELECT any_value(observer) FROM b WHERE b.id = m.id) AS observer FROM m)"""
+
+
+@query(f"""WITH {_T}{_PLAYERS_SQL}, g AS (SELECT day, player, count_if(sup AND observer = player) AS supervised_rows, avg(m) AS mean, count_if(abs(m - top) <= 1e-8 + 1e-5 * top) AS top_count, grouping(day) AS a FROM x GROUP BY GROUPING SETS ((player), (day, player)))
+SELECT day, CAST(player AS INT) AS player, supervised_rows, round(mean, 9) AS mean_marginal, top_count, round(max(mean) OVER (PARTITION BY a, day) - min(mean) OVER (PARTITION BY a, day), 9) AS gap FROM g""")
+def target_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.audit_players(_targets(spark, sf_dir), ["day"]).withColumn("mean_marginal", F.round("mean_marginal", 9)).withColumn("gap", F.round("gap", 9))
+
+
+@query(f"""WITH {_T}{_PLAYERS_SQL}, o AS (SELECT (player - 1 + e) % 7 + 1 AS player, (observer - 1 + e) % 7 + 1 AS observer, m, top, sup FROM x, range(0, 7) r(e)
+), g AS (SELECT player, count_if(sup AND observer = player) AS supervised_rows, avg(m) AS mean, count_if(abs(m - top) <= 1e-8 + 1e-5 * top) AS top_count FROM o GROUP BY 1)
+SELECT CAST(player AS INT) AS player, supervised_rows, round(mean, 9) AS mean_marginal, top_count, round(max(mean) OVER () - min(mean) OVER (), 9) AS gap FROM g""")
+def orbit_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.audit_orbit(_targets(spark, sf_dir)).withColumn("mean_marginal", F.round("mean_marginal", 9)).withColumn("gap", F.round("gap", 9))
