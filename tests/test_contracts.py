@@ -143,11 +143,6 @@ def test_streams(spark, tmp_path):
         if r.seq >= 99:
             want |= {(r.seq, "total_rate")} if bad / (r.seq + 1) > 0.05 else {(r.seq, "parse_rate")} if parse / (r.seq + 1) > 0.01 else set()
     assert {(r.seq, r.rule) for r in spark.table("totals").collect()} == want and {r for _, r in want} == {"total_rate", "parse_rate"}
-    samples = spark.createDataFrame([("g", 1, "a"), ("g", 1, "a"), ("g", 2, "b")], "game_id string, step_idx long, x string")
-    samples.coalesce(1).write.json(str(tmp_path / "samples"))
-    query = stream.collected(spark.readStream.schema(samples.schema).json(str(tmp_path / "samples")), str(tmp_path / "kept"), str(tmp_path / "kept_state"))
-    query.awaitTermination(120)
-    assert spark.read.json(str(tmp_path / "kept")).count() == 2
 
 
 def test_small_checks(spark):

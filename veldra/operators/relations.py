@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from veldra.functions.domain import PLAYERS
+from veldra.functions.domain import ACTIONS, PLAYERS
 
 
 def assigned(rows: DataFrame, manifest: DataFrame, key: str = "game_id") -> DataFrame:
@@ -101,3 +101,33 @@ def request_label(request: Column) -> Column:
     """Kind of answer that a request (JSON text) asks for: its response format's type, ``json_schema:name`` for a named schema, ``text`` for none."""
     kind, name = F.get_json_object(request, "$.response_format.type"), F.get_json_object(request, "$.response_format.json_schema.name")
     return F.when((kind == "json_schema") & name.isNotNull(), F.concat(F.lit("json_schema:"), name)).otherwise(F.coalesce(kind, F.lit("text")))
+
+
+def reparse_summary(events: DataFrame) -> DataFrame:
+    """The counters of a reparse in one row, in one pass.
+
+    ``events``: one row for each speech with ``old`` and ``new`` (arrays of
+    subject, action, object; null is none), ``called`` (whether a parser was
+    asked) and ``failed``. An action is invalid if one of its parts is no
+    canonical name. Coverages are 0 without speeches.
+    """
+    none = F.array().cast("array<struct<subject:string,action:string,object:string>>")
+    old, new = (F.coalesce(F.col(c), none) for c in ("old", "new"))
+    names = lambda c, where: F.coalesce(c.isin(*where), F.lit(False))
+    invalid = lambda acts: F.size(F.filter(acts, lambda a: ~(names(a["subject"], PLAYERS) & names(a["action"], ACTIONS) & names(a["object"], PLAYERS))))
+    some_old, some_new, same = F.size(old) > 0, F.size(new) > 0, old == new
+    n = F.count("*")
+    share = lambda test: F.coalesce(F.count_if(test) / n, F.lit(0.0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return events.agg(
+        n.alias("speeches"), F.count_if(F.col("called")).alias("parser_calls"), F.count_if(F.col("failed")).alias("parser_errors"), F.count_if(some_old).alias("old_nonempty"), F.count_if(some_new).alias("new_nonempty"), share(some_old).alias("old_coverage"), share(some_new).alias("new_coverage"),
+        total(F.size(old)).alias("old_actions"), total(F.size(new)).alias("new_actions"), F.count_if(~same).alias("changed"), F.count_if(same).alias("identical"), F.count_if(~some_old & some_new).alias("gained"), F.count_if(some_old & ~some_new).alias("lost"), total(invalid(old)).alias("invalid_old"), total(invalid(new)).alias("invalid_new"),
+    )
+
+
+def action_counts(events: DataFrame) -> DataFrame:
+    """action, old and new: how often each action stands among the old and the new ones of a reparse."""
+    sides = []
+    for c in ("old", "new"):
+        sides.append(events.select(F.explode(c).alias("a")).select(F.col("a.action").alias("action"), F.lit(c).alias("side")))
+    return sides[0].unionByName(sides[1]).groupBy("action").agg(F.count_if(F.col("side") == "old").alias("old"), F.count_if(F.col("side") == "new").alias("new"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veldra.functions import domain, text
-from veldra.operators import beliefs as B, games as G, monitor as M, snapshots as N, splits as S
+from veldra.operators import beliefs as B, games as G, monitor as M, relations as R, snapshots as N, splits as S
 from veldra.plans import adapters as A, contracts, rows  # noqa: F401  (they register their queries)
 from veldra.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
@@ -478,3 +478,30 @@ def reparse_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.array(F.struct(who("n").alias("subject"), F.lit("support").alias("action"), who("o").alias("object")))
     r = _said(spark, sf_dir).select(text.reparsed(F.col("response"), old, F.col("n")).alias("r")).select("r.*")
     return r.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.size("added")).alias("n_added"), F.sum(F.size("removed")).alias("n_removed"))
+
+
+_REPARSED = f"""{_SAID}, e AS (SELECT *, {_expected(1)} AS acts, {_expected(3)} AS status FROM c
+), o AS (SELECT *, CASE WHEN k % 3 = 0 THEN [] WHEN k % 3 = 1 THEN ['player' || n || ':support:player' || o] ELSE ['player' || n || ':fly:player' || o, 'player9:support:player' || o] END AS old FROM e
+), d AS (SELECT *, CASE WHEN status IN ('parsed', 'empty') THEN list_filter(string_split(acts, ','), lambda x: x <> '') ELSE old END AS new FROM o)"""
+
+
+def _reparsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old and new actions of each speech: a third had none, a third two that are invalid."""
+    who = lambda c: F.concat(F.lit("player"), F.col(c).cast("string"))
+    act = lambda s, a: F.struct(s.alias("subject"), F.lit(a).alias("action"), who("o").alias("object"))
+    none = F.array().cast("array<struct<subject:string,action:string,object:string>>")
+    old = F.when(F.col("k") % 3 == 0, none).when(F.col("k") % 3 == 1, F.array(act(who("n"), "support"))).otherwise(F.array(act(who("n"), "fly"), act(F.lit("player9"), "support")))
+    out = _said(spark, sf_dir).withColumn("old", old).withColumn("r", text.reparsed(F.col("response"), F.col("old"), F.col("n")))
+    return out.select("old", F.col("r.actions").alias("new"), (F.col("r.status") != "missing").alias("called"), (F.col("r.status") == "failed").alias("failed"))
+
+
+@query(f"""WITH {_REPARSED}, v AS (SELECT *, len(list_filter(old, lambda a: a LIKE '%:fly:%' OR a LIKE 'player9%')) AS bad_old, len(list_filter(new, lambda a: a LIKE '%:fly:%' OR a LIKE 'player9%')) AS bad_new FROM d)
+SELECT count(*) AS speeches, count_if(status <> 'missing') AS parser_calls, count_if(status = 'failed') AS parser_errors, count_if(len(old) > 0) AS old_nonempty, count_if(len(new) > 0) AS new_nonempty, round(count_if(len(old) > 0) / count(*), 9) AS old_coverage, round(count_if(len(new) > 0) / count(*), 9) AS new_coverage,
+  CAST(sum(len(old)) AS BIGINT) AS old_actions, CAST(sum(len(new)) AS BIGINT) AS new_actions, count_if(old <> new) AS changed, count_if(old = new) AS identical, count_if(len(old) = 0 AND len(new) > 0) AS gained, count_if(len(old) > 0 AND len(new) = 0) AS lost, CAST(sum(bad_old) AS BIGINT) AS invalid_old, CAST(sum(bad_new) AS BIGINT) AS invalid_new FROM v""")
+def reparse_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.reparse_summary(_reparsed(spark, sf_dir)).withColumn("old_coverage", F.round("old_coverage", 9)).withColumn("new_coverage", F.round("new_coverage", 9))
+
+
+@query(f"""WITH {_REPARSED}, a AS (SELECT unnest(old) AS a, 'old' AS side FROM d UNION ALL SELECT unnest(new), 'new' FROM d) SELECT split_part(a, ':', 2) AS action, count_if(side = 'old') AS old, count_if(side = 'new') AS new FROM a GROUP BY 1""")
+def reparse_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.action_counts(_reparsed(spark, sf_dir))

@@ -57,8 +57,3 @@ def total_flags(reports: DataFrame) -> DataFrame:
     flags = reports.select(F.lit(0).alias("all"), "seq", (status != "ok").cast("int").alias("bad"), (status == "parse_error").cast("int").alias("parse"))
     return flags.groupBy("all").applyInPandasWithState(step, "seq long, rule string", "total long, bad long, parse long", "append", GroupStateTimeout.NoTimeout)
 
-
-def collected(samples: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Append the samples of a stream, one for each (game_id, step_idx), as JSON lines; returns the running query. Samples that repeat a key are dropped."""
-    once = samples.dropDuplicates(["game_id", "step_idx"])
-    return once.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
