@@ -738,3 +738,16 @@ def test_bpe_of_random_strings():
     ids = [x.tolist() for x in ours.encode_batch(texts)]
     assert ids == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
     assert [ours.decode(x) for x in ids] == texts
+
+
+def test_secrets_at_any_distance_in_a_statement():
+    r = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = elsewhere = 0
+    for i in range(200):
+        secret = "".join(r.choice(letters) for _ in range(32))
+        between = " ".join(r.choices("the account which our service keeps in this place under some name".split(), k=1 + i // 2))
+        text = f"One line.\nthe credential {between} {secret} and more.\nend"
+        found += ("novel", text.index(secret), text.index(secret) + 32) in secrets.spans_of(text)
+        elsewhere += bool(secrets.spans_of(f"a credential. {'plain words ' * 8}. {secret}"))
+    assert found >= 196 and elsewhere == 0

@@ -2,7 +2,8 @@
 
 Three patterns (assignments, access keys, long hexadecimal runs) are always
 reported. Besides, every string of 12 characters or more that follows a
-sensitive word closely (or what such a word inside of it is followed by) is a candidate: a zstandard compressor primed with a
+sensitive word in its statement, at any distance, or closely (or what such a
+word inside of it is followed by) is a candidate: a zstandard compressor primed with a
 dictionary of common identifiers compresses the surrounding code with and
 without it, a model of letter pairs and character classes spells it, and
 candidates that neither makes shorter than a random string of their length
@@ -41,8 +42,10 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 SENSITIVE = (b"passw", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"credential", b"bearer", b"authorization", b"private_key", b"private key", b"access_key", b"client_id", b"akia")
 #: What stands for a secret in a masked text.
 MASK = b"[secret]"
-#: Bytes after a sensitive word in which candidates begin, and bytes of code around a candidate.
+#: Bytes after a sensitive word in which candidates begin even beyond its statement, and bytes of code around a candidate.
 REACH, AROUND = 64, 160
+#: Ends of statements: lines, sentences, and marks that code ends them with.
+STATEMENT_END = re.compile(rb"[.!?;}](?=\s)|[\r\n]")
 TOKEN = re.compile(rb"[A-Za-z0-9+/_.=-]{12,}")
 #: A line of its own after a secret, and what may stand between the two.
 NEXT_LINE = re.compile(rb"[\"',;\\]{0,3}(?:\r?\n|\\n)[ \t>#*\"']{0,16}([A-Za-z0-9+/_=-]+)(?=[\"',;\\ \t\r\n]|$)")
@@ -174,6 +177,7 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
             novel.append((a, b))
 
     ends = _sensitive_ends(data.lower())
+    stops = [m.start() for m in STATEMENT_END.finditer(data)] if ends else []
     for m in TOKEN.finditer(data) if ends else ():
         a, b = m.span()
         while b > a and data[b - 1] == 46:  # the end of a sentence
@@ -182,7 +186,9 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
             continue
         # the string, if a sensitive word comes closely before it, else what follows the last such word inside of it
         k, last = bisect_right(ends, a) - 1, bisect_right(ends, b - LEAST["assign"]) - 1
-        for a in ([a] if k >= 0 and ends[k] >= a - REACH else []) + ([ends[last]] if last > k else []):
+        stop = bisect_right(stops, a) - 1
+        near = k >= 0 and (ends[k] >= a - REACH or stop < 0 or ends[k] > stops[stop])
+        for a in ([a] if near else []) + ([ends[last]] if last > k else []):
             if a in seen:
                 break
             seen.add(a)
