@@ -52,8 +52,8 @@ from veldra.llm.store import new_path, staged
 from veldra.llm.textcore import U64, Words, chunks, flat, mix, runs
 
 GRAM = 12
-#: Runs of a level that are merged into one of the next, and buckets of a run.
-FAN_IN, BUCKETS = 4, 32
+#: Runs of a level that are merged into one of the next.
+FAN_IN = 4
 #: Batches in which a whole table is indexed.
 BATCHES = 3
 #: Bits for each repeated fingerprint in the bit map, and its largest size in bits (8 MB).
@@ -143,7 +143,9 @@ def _in_map(hashes: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
 class FingerprintIndex:
     """Sorted immutable runs of window fingerprints and, with ``history``, of window digests, in a folder; ``append`` batches, then ask what repeats in any batch."""
 
-    def __init__(self, spark: SparkSession, window: int = 35, fan_in: int = FAN_IN, history: bool = True, path: str | None = None, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, window: int = 35, fan_in: int = FAN_IN, history: bool = True, path: str | None = None, buckets: int | None = None):
+        # as many buckets as a shuffle has partitions: what is summed up there is in its bucket already, and a run is one file a bucket
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.spark, self.window, self.fan_in, self.history, self.buckets = spark, window, fan_in, history, buckets
         self.path = path or new_path(spark, "index")
         self.runs: list[dict] = []
