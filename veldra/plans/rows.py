@@ -188,7 +188,6 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a game for each conversation: its first turn opens a speech phase, others are in turn a turn, a speech, a vote phase, an exile and a new phase of speeches."""
     t = F.col("turn")
     k, seat = t % 6, _name(t % 7 + 1)
-    kind = F.lit("event_type")
     event = (
         F.when(t == 0, _json(event_type=F.lit("phase_change"), phase=F.lit("1_day_speech"))).when(k == 1, _json(event_type=F.lit("turn_start"), speaker=seat)).when(k == 2, _json(event_type=F.lit("public_speech"), raw_text=F.col("text"), speaker=seat))
         .when(k == 3, _json(event_type=F.lit("turn_start"), speaker=seat)).when(k == 4, _json(event_type=F.lit("exile_result"), exiled_players=F.array(seat))).when(k == 5, _json(event_type=F.lit("phase_change"), phase=F.concat(t.cast("string"), F.when(t % 4 == 1, "_day_vote").otherwise("_day_speech_pk"))))
