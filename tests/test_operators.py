@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veldra.functions import domain, text
 from veldra.operators import beliefs, games, monitor, snapshots, splits
+from veldra.plans import adapters
 from veldra.sources import jsonl
 
 def one(spark, column, **values):
@@ -297,6 +298,32 @@ def test_tampered_projection(spark):
     assert sorted((r.k, r.a, r.b, r.n_stored) for r in found) == [(1, 1, 3, 1), (1, 6, 7, 0), (2, 2, 3, 2)]
 
 
+def test_tampered_odd_rows(spark):
+    # a row without a key is of no report, even if there is a report without one
+    bare = spark.createDataFrame([(None, [2, 3], [1], [2])], "k int, known array<int>, cleared array<int>, suspected array<int>")
+    stored = spark.createDataFrame([(None, 2, 3, 1.0), (None, 1, 2, 0.0)], "k int, a int, b int, p double")
+    assert sorted((r.due is None, r.n_stored) for r in beliefs.tampered(stored, bare, ["k"]).collect()) == [(False, 0), (True, 1)]
+    twice = spark.createDataFrame([(1, [2, 3], [1], [2]), (1, [2, 4], [1], [2])], "k int, known array<int>, cleared array<int>, suspected array<int>")
+    stored = spark.createDataFrame([(1, 2, 3, 1.0)], "k int, a int, b int, p double")
+    assert [(r.a, r.b, r.n_stored) for r in beliefs.tampered(stored, twice, ["k"]).collect()] == [(2, 4, 0)]
+
+
+def test_tampered_pairs_are_spread(spark, monkeypatch):
+    """No task holds more than its share of the reports, however few row groups they come from, and pairs are neither sorted nor joined."""
+    monkeypatch.setattr(beliefs, "REPORTS_PER_TASK", 10)
+    reports = spark.range(0, 400, 1, 1).select("id", *[F.array().cast("array<int>").alias(c) for c in ("known", "cleared", "suspected")])
+    found = beliefs.tampered(spark.createDataFrame([], "id long, a int, b int, p double"), reports, ["id"])
+    assert found.count() == 400 * 21
+    per_task = found.groupBy(F.spark_partition_id()).agg(F.countDistinct("id").alias("n")).collect()
+    assert len(per_task) > 30 and max(r.n for r in per_task) < 40
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+
+
+def test_narrow_rows_are_spread(spark):
+    few = adapters.spread(spark.range(0, 1000, 1, 1), "id", per_task=20)
+    assert few.rdd.getNumPartitions() == 50 and few.count() == 1000
+
+
 def test_reparsed(spark):
     a, b = ("player1", "point_as_werewolf", "player2"), ("player1", "check_as_werewolf", "player2")
     rows = [(None, [a]), ("None", [a]), ("what?", [a]), ("1 | check_as_werewolf | 2\n\n", [a]), ("1 | point_as_werewolf | 2", [a]), ("1 | check_as_werewolf | 2", None)]

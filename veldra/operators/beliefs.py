@@ -6,24 +6,30 @@ many reports are shuffled.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veldra.functions.domain import N_PLAYERS, PAIRS, let
 from veldra.operators.quantiles import quantiles, with_quantiles
-from veldra.operators.snapshots import compatible, turned
+from veldra.operators.snapshots import compatible, player_bits, turned
 
 _UNIFORM = 1 / len(PAIRS)
+#: Reports whose pairs are compared in one task (about).
+REPORTS_PER_TASK = 20_000
 
 
 def distribution(known: Column, cleared: Column, suspected: Column) -> Column:
     """Array of (a, b, p): each pair that the knowledge allows with 2 to the number of its soft suspects, normalised."""
-    none = F.array().cast("array<int>")
-    soft = F.array_except(F.coalesce(suspected, none), F.coalesce(known, none))
-    weighed = F.transform(compatible(known, cleared), lambda p: F.struct(p[0].alias("a"), p[1].alias("b"), F.pow(F.lit(2.0), F.size(F.array_intersect(p, soft))).alias("w")))
+    def weighed(x: Column) -> Column:
+        soft = lambda i: F.call_function("getbit", x["soft"], i - 1)
+        return F.transform(x["pairs"], lambda p: F.struct(p[0].alias("a"), p[1].alias("b"), F.pow(F.lit(2.0), soft(p[0]) + soft(p[1])).alias("w")))
+
+    # both once for a row, not once for a pair
+    given = F.struct(compatible(known, cleared).alias("pairs"), player_bits(suspected).bitwiseAND(F.bitwise_not(player_bits(known))).alias("soft"))
     total = lambda d: F.aggregate(d, F.lit(0.0), lambda s, x: s + x["w"])
-    return let(weighed, lambda d: let(total(d), lambda t: F.transform(d, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), (x["w"] / t).alias("p")))))
+    return let(let(given, weighed), lambda d: let(total(d), lambda t: F.transform(d, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), (x["w"] / t).alias("p")))))
 
 
 def targets(reports: DataFrame) -> DataFrame:
@@ -34,8 +40,9 @@ def targets(reports: DataFrame) -> DataFrame:
 
 def vector(dist: Column) -> Column:
     """The 21 probabilities in the order of all pairs, 0 for those that are not allowed."""
-    at = lambda d, a, b: F.coalesce(F.get(F.filter(d, lambda x: (x["a"] == a) & (x["b"] == b)), 0)["p"], F.lit(0.0))
-    return let(dist, lambda d: F.array(*[at(d, a, b) for a, b in PAIRS]))
+    sides = lambda d: F.struct(F.transform(d, lambda x: x["a"] * 8 + x["b"]).alias("pairs"), F.transform(d, lambda x: x["p"]).alias("p"))
+    at = lambda s, a, b: F.coalesce(F.get(s["p"], (F.array_position(s["pairs"], a * 8 + b) - 1).cast("int")), F.lit(0.0))
+    return let(let(dist, sides), lambda s: F.array(*[at(s, a, b) for a, b in PAIRS]))
 
 
 def player_marginals(p: Column) -> Column:
@@ -240,11 +247,18 @@ def tampered(stored: DataFrame, reports: DataFrame, keys: list[str], tolerance:
     """Pairs whose ``stored`` probability (keys, a, b, p) is not what the report gives: missing, of no legal pair, null, or off by more than ``tolerance``.
 
     Probability 0 may be stored or left out for a pair that is not legal. Rows
-    stored twice are counted in ``n_stored`` and are wrong even if equal.
+    stored twice are counted in ``n_stored`` and are wrong even if equal. A
+    report that is given twice is one; if its two forms differ, one is missed.
+    A row with a null key belongs to no report.
     """
-    due = targets(reports).select(*keys, "a", "b", F.col("p").alias("due"))
-    have = stored.groupBy(*keys, "a", "b").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.count("*").alias("n_stored"), F.count("p").alias("n_known"))
-    zero = F.coalesce("due", F.lit(0.0))
-    right = (F.col("n_stored") == 1) & (F.col("n_known") == 1) & (F.abs(F.col("low") - zero) <= tolerance)
-    wrong = have.join(due, [*keys, "a", "b"], "full_outer").where(~F.coalesce(right, F.lit(False)))
-    return wrong.select(*keys, "a", "b", "due", "low", "high", F.coalesce("n_stored", F.lit(0)).alias("n_stored"))
+    no = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    due = targets(reports).select(*keys, "a", "b", F.col("p").alias("due"), no("p", "double"), F.lit(0).cast("long").alias("stored"))
+    have = stored.select(*keys, "a", "b", no("due", "double"), F.col("p").cast("double").alias("p"), F.lit(1).cast("long").alias("stored"))
+    # one shuffle by report, over as many tasks as the reports ask for; what a task holds does not grow with the table
+    n = max(reports.sparkSession.sparkContext.defaultParallelism, math.ceil(reports.count() / REPORTS_PER_TASK))
+    nameless = F.when(reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys]), F.col("stored"))
+    both = have.unionByName(due).repartition(n, *keys).groupBy(*keys, "a", "b", nameless.alias("__nameless"))
+    out = both.agg(F.min("due").alias("__least"), F.max("due").alias("due"), F.min("p").alias("low"), F.max("p").alias("high"), F.sum("stored").alias("n_stored"), F.count("p").alias("n_known"))
+    near = lambda c: F.abs(F.col("low") - F.coalesce(c, F.lit(0.0))) <= tolerance
+    right = (F.col("n_stored") == 1) & (F.col("n_known") == 1) & near("__least") & near("due")
+    return out.where(~F.coalesce(right, F.lit(False))).select(*keys, "a", "b", F.when(near("due"), F.col("__least")).otherwise(F.col("due")).alias("due"), "low", "high", "n_stored")

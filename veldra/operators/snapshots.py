@@ -7,32 +7,68 @@ A report is one row for each snapshot and observer, with ``status``,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veldra.functions.domain import N_PLAYERS, PAIRS, STATUSES, canonical_json, digest, phase_parts
+from veldra.functions.domain import N_PLAYERS, PAIRS, STATUSES, canonical_json, digest, let, phase_parts
+
+#: Players of each set of bits (player i is bit i - 1), pairs by their bits, and the pairs that such a set leaves when its players are known, or cleared: one bit for each pair.
+_SETS = [[x + 1 for x in range(N_PLAYERS) if bits >> x & 1] for bits in range(1 << N_PLAYERS)]
+_PAIR_BITS = [1 << a - 1 | 1 << b - 1 for a, b in PAIRS]
+_HOLDING = [sum(1 << i for i, p in enumerate(_PAIR_BITS) if bits & ~p == 0) for bits in range(1 << N_PLAYERS)]
+_POWERS = [0] + [1 << x for x in range(N_PLAYERS)]
+_SPARING = [sum(1 << i for i, p in enumerate(_PAIR_BITS) if bits & p == 0) for bits in range(1 << N_PLAYERS)]
+
 
 def _empty() -> Column:
     return F.array().cast("array<int>")
 
 
+def _table(values: list) -> Column:
+    """A constant array, of numbers or of arrays of numbers."""
+    shown = lambda v: f"array({', '.join(map(shown, v))})" if isinstance(v, list) else str(v)
+    none = "CAST(array() AS array<int>)"
+    return F.expr(f"array({', '.join(shown(v) if v != [] else none for v in values)})")
+
+
+def player_bits(players: Column) -> Column:
+    """The set of the players 1 to 7 in an array, as bits; whatever else it holds does not count."""
+    return reduce(lambda x, y: x + y, [F.when(F.array_contains(players, i + 1), 1 << i).otherwise(0) for i in range(N_PLAYERS)])
+
+
 def compatible(known: Column, cleared: Column) -> Column:
     """Array of the pairs that hold all known players and none that is cleared."""
     everything = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in PAIRS])
-    k, c = F.coalesce(known, _empty()), F.coalesce(cleared, _empty())
-    return F.filter(everything, lambda p: (F.size(F.array_except(k, p)) == 0) & ~F.arrays_overlap(p, c))
+
+    def left(k: Column, c: Column) -> Column:
+        # what is no player is in no pair; a null may stand for any
+        strange = (F.size(F.array_except(k, F.array(*map(F.lit, range(1, N_PLAYERS + 1))))) > 0) | F.exists(c, lambda x: x.isNull())
+        return F.when(strange, 0).otherwise(F.get(_table(_HOLDING), player_bits(k)).bitwiseAND(F.get(_table(_SPARING), player_bits(c))))
+
+    sets = F.struct(F.coalesce(known, _empty()).alias("k"), F.coalesce(cleared, _empty()).alias("c"))
+    return let(let(sets, lambda x: left(x["k"], x["c"])), lambda bits: F.filter(everything, lambda _, i: F.call_function("getbit", bits, i) == 1))
 
 
 def closure(pairs: Column) -> Column:
     """known and cleared: players in all of the pairs, and in none; null if there is no pair (a contradiction)."""
-    players = F.sequence(F.lit(1), F.lit(N_PLAYERS))
-    known = F.filter(players, lambda x: F.forall(pairs, lambda p: F.array_contains(p, x)))
-    cleared = F.filter(players, lambda x: ~F.exists(pairs, lambda p: F.array_contains(p, x)))
-    return F.when(F.size(pairs) > 0, F.struct(known.alias("known"), cleared.alias("cleared")))
+    state = F.struct(F.lit((1 << N_PLAYERS) - 1).alias("all"), F.lit(0).alias("some"))
+
+    def step(s: Column, p: Column) -> Column:
+        pair = F.get(_table(_POWERS), p[0]) + F.get(_table(_POWERS), p[1])
+        return let(pair, lambda b: F.struct(s["all"].bitwiseAND(b).alias("all"), s["some"].bitwiseOR(b).alias("some")))
+
+    def end(s: Column) -> Column:
+        players = lambda bits: F.get(_table(_SETS), bits)
+        return F.when(s["some"] > 0, F.struct(players(s["all"]).alias("known"), players(F.lit((1 << N_PLAYERS) - 1) - s["some"]).alias("cleared")))
+
+    return F.aggregate(pairs, state, step, end)
 
 
 def report_violations(reports: DataFrame) -> DataFrame:
     """Reports with ``violations``, the names of the rules that they break, in this order."""
-    shut = closure(compatible(F.col("known"), F.col("cleared")))
+    reports = reports.withColumn("__shut", closure(compatible(F.col("known"), F.col("cleared"))))
+    shut = F.col("__shut")  # a column of its own, so that it is worked out once
     same = lambda name: F.sort_array(F.coalesce(F.col(name), _empty())) == shut[name]
     ok = F.coalesce(F.col("status") == "ok", F.lit(False))
     suspected = F.coalesce("suspected", _empty())
@@ -45,7 +81,7 @@ def report_violations(reports: DataFrame) -> DataFrame:
         "known_not_suspected": ok & (F.size(F.array_except(F.coalesce("known", _empty()), suspected)) > 0),
         "cleared_suspected": ok & F.arrays_overlap(suspected, F.coalesce("cleared", _empty())),
     }
-    return reports.withColumn("violations", F.filter(F.array(*[F.when(bad, name) for name, bad in rules.items()]), lambda x: x.isNotNull()))
+    return reports.withColumn("violations", F.filter(F.array(*[F.when(bad, name) for name, bad in rules.items()]), lambda x: x.isNotNull())).drop("__shut")
 
 
 def raw_samples(reports: DataFrame, keys: list[str]) -> DataFrame:

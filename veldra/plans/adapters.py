@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veldra.functions.domain import N_PLAYERS
@@ -11,6 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str, per_task: int = 20_000) -> DataFrame:
+    """``rows`` by ``keys`` over as many tasks as their number asks for. A file of narrow rows has few row groups, and a row group is read by one task, whatever is done with its rows."""
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / per_task))
+    return rows.repartition(n, *keys)
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, spread for work inside of each row."""
+    return spread(table(spark, sf_dir, "customer"), "c_custkey")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations, spread for work inside of each row that takes a millisecond or more."""
+    return spread(table(spark, sf_dir, "conversations"), "conv_id", "turn", per_task=2_000)
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, game, observer, phase, sample, status from events."""
     status = F.when(F.col("event_type") == "error", "parse_error").when(F.col("event_type") == "signup", "semantic_error").otherwise("ok")
@@ -38,7 +56,7 @@ def beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = F.sequence(F.lit(1), F.lit(N_PLAYERS))
     known = F.when(F.col("c_custkey") % 5 == 0, F.array(wolf)).otherwise(F.array().cast("array<int>"))
     marked = F.filter(numbers, lambda x: F.pmod(F.floor(F.col("c_nationkey") / F.pow(F.lit(2.0), x - 1)), F.lit(2)) == 1)
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("report_id"), observer.alias("observer"), known.alias("known"), F.array(observer).alias("cleared"), marked.alias("marked"))
+    rows = customers(spark, sf_dir).select(F.col("c_custkey").alias("report_id"), observer.alias("observer"), known.alias("known"), F.array(observer).alias("cleared"), marked.alias("marked"))
     return rows.withColumn("suspected", F.array_union(F.array_except("marked", "cleared"), "known")).drop("marked")
 
 
@@ -63,7 +81,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("c_nationkey") % 4 == 2, "semantic_error").when(F.col("c_nationkey") % 4 == 3, "parse_error").otherwise("ok")
     seat = lambda k: ((o + k) % N_PLAYERS + 1).cast("int")
     none = F.array().cast("array<int>")
-    rows = table(spark, sf_dir, "customer").select(snapshot.alias("snapshot"), o.alias("observer"), (snapshot % N_PLAYERS + 1).cast("int").alias("speaker"), (snapshot % 5 == 0).alias("public_only"), status.alias("status"), F.when(key % 3 == 0, F.array(seat(0), seat(2))).otherwise(none).alias("known"), F.array(o).alias("cleared"), seat(3).alias("soft"))
+    rows = customers(spark, sf_dir).select(snapshot.alias("snapshot"), o.alias("observer"), (snapshot % N_PLAYERS + 1).cast("int").alias("speaker"), (snapshot % 5 == 0).alias("public_only"), status.alias("status"), F.when(key % 3 == 0, F.array(seat(0), seat(2))).otherwise(none).alias("known"), F.array(o).alias("cleared"), seat(3).alias("soft"))
     suspected = F.when(F.size("known") > 0, F.col("known")).otherwise(F.array("soft"))
     return rows.withColumn("error", F.when(F.col("status") != "ok", F.col("status"))).withColumn("suspected", F.when(F.col("status") == "ok", suspected)).drop("soft")
 
