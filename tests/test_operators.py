@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veldra.functions import domain, text
 from veldra.operators import beliefs, games, monitor, snapshots, splits
-from veldra.plans import adapters
+from veldra.plans import adapters, catalog
 from veldra.sources import jsonl
 
 def one(spark, column, **values):
@@ -319,6 +319,34 @@ def test_tampered_pairs_are_spread(spark, monkeypatch):
     assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("name", ["knowledge_closure", "report_violations", "pair_targets"])
+def test_rows_of_one_file_are_many_tasks(spark, name):
+    """The table is one file of one row group; the work inside of its rows is not left to one task."""
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_orbit_turns_sums(spark):
+    """The seven turns of the audit are those of every row, but only seven rows are turned."""
+    r = random.Random(3)
+    rows = [(i, r.choice([0, 1, 2, 5, 7, 8, None]), r.choice([1, 4, 7, 9, None]), r.random() < 0.8, r.random() < 0.7, r.choice([None, [r.random() for _ in range(21)], [1.0] + [0.0] * 20])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, observer int, speaker int, boundary boolean, valid boolean, target array<double>")
+    turns = df.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    each = beliefs.audit_players(beliefs.turned_targets(turns, F.col("shift")), [])
+    shown = lambda x: sorted((y.player, y.supervised_rows, round(y.mean_marginal, 9), y.top_count, round(y.gap, 9)) for y in x.collect())
+    orbit = beliefs.audit_orbit(df)
+    assert shown(orbit) == shown(each)
+    plan = orbit._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    turned = next(i for i, x in enumerate(plan) if "Generate" in x)  # the last step that makes rows
+    assert any("Aggregate" in x for x in plan[turned:])
+
+
+def test_pairs_are_found_once_for_a_closure(spark):
+    """The pairs are an argument of the walk over them, not of each of its steps."""
+    rows = spark.createDataFrame([([2], [1])], "k array<int>, c array<int>")
+    plan = rows.select(snapshots.closure(snapshots.compatible(F.col("k"), F.col("c"))).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_except(") == 1
+
+
 def test_narrow_rows_are_spread(spark):
     few = adapters.spread(spark.range(0, 1000, 1, 1), "id", per_task=20)
     assert few.rdd.getNumPartitions() == 50 and few.count() == 1000

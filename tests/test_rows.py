@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldra.functions import responses
-from veldra.operators import events, games, materialize, quantiles, rotation, snapshots
+from veldra.operators import beliefs, events, games, materialize, quantiles, rotation, snapshots
 from veldra.sources import commit, jsonl
 
 
@@ -232,6 +232,15 @@ def test_quantiles(spark, n):
     assert "percentile" not in quantiles.quantiles(df, ["g"], "v", {"m": 0.5})._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_quantiles_read_their_rows_once(spark, tmp_path):
+    """All rounds, and a summary beside them, share one scan and one shuffle of the values."""
+    spark.createDataFrame([(i % 3, float(i % 50)) for i in range(1000)] + [(1, None), (7, None)], "g int, value double").write.parquet(str(tmp_path / "v"))
+    df = beliefs.summaries(spark.read.parquet(str(tmp_path / "v")), ["g"])
+    found = {r.g: (r["count"], r["min"], r["median"], r["max"]) for r in df.collect()}
+    assert found[7] == (0, 0.0, 0.0, 0.0) and found[1] == (333, 0.0, 25.0, 49.0)
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan") == 1
+
+
 ANSWERS = [
     None, "", "总结：\n**昨夜**： 平安 \n**发言**：1号\n好**昨夜**：死2号#投票原因： 他可疑。\n基于上述分析，可以预测玩家身份为： 1号玩家是狼人。２号玩家是村民。1号玩家是预言家。\n综上，投3号", "总结：前文\n综上，我弃票 5", "没有", "# 综上，投 7 号 8", "投票原因：根据上述观察，可以做出如下分析：x。\n基于上述", "主观身份判断： 1号狼 \r\n x", "弃票 3", "先 1 后 ２",
 ]

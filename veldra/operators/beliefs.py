@@ -12,14 +12,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veldra.functions.domain import N_PLAYERS, PAIRS, let
-from veldra.operators.quantiles import quantiles, with_quantiles
+from veldra.operators.quantiles import counted_values, quantiles, with_quantiles
 from veldra.operators.snapshots import compatible, player_bits, turned
 
 _UNIFORM = 1 / len(PAIRS)
-#: Reports whose pairs are compared in one task (about).
+#: Reports whose pairs are compared, or targets that are summed up, in one task (about).
 REPORTS_PER_TASK = 20_000
 
 
+def _tasks(reports: DataFrame) -> int:
+    """How many tasks the reports (or targets) ask for; a count of what a file holds reads no rows."""
+    return max(reports.sparkSession.sparkContext.defaultParallelism, math.ceil(reports.count() / REPORTS_PER_TASK))
+
+
 def distribution(known: Column, cleared: Column, suspected: Column) -> Column:
     """Array of (a, b, p): each pair that the knowledge allows with 2 to the number of its soft suspects, normalised."""
     def weighed(x: Column) -> Column:
@@ -139,9 +144,11 @@ def eligible(rows: DataFrame, snapshot: str) -> DataFrame:
 def summaries(values: DataFrame, keys: list[str]) -> DataFrame:
     """count, min, mean, median (exact) and max of ``value`` by ``keys``, 0 where a group has none."""
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    v = F.col("value")
-    out = values.groupBy(*keys).agg(F.count(v).alias("count"), zero(F.min(v)).alias("min"), zero(F.avg(v)).alias("mean"), zero(F.max(v)).alias("max"))
-    return with_quantiles(out, quantiles(values, keys, "value", {"median": 0.5}), keys).withColumn("median", zero(F.col("median")))
+    counted = counted_values(values, keys, "value")
+    v, n = F.col("value"), F.when(F.col("value").isNotNull(), F.col("__times"))
+    mean = F.try_divide(F.sum(v * F.col("__times")), F.sum(n))
+    out = counted.groupBy(*keys).agg(F.coalesce(F.sum(n), F.lit(0)).alias("count"), zero(F.min(v)).alias("min"), zero(mean).alias("mean"), zero(F.max(v)).alias("max"))
+    return with_quantiles(out, quantiles(counted, keys, "value", {"median": 0.5}, times="__times"), keys).withColumn("median", zero(F.col("median")))
 
 
 def audit_values(rows: DataFrame, groups: list[str]) -> DataFrame:
@@ -152,6 +159,8 @@ def audit_values(rows: DataFrame, groups: list[str]) -> DataFrame:
     Groups of the summary over all are null.
     """
     valid = rows.where("valid").withColumn("supervised", F.coalesce("boundary", F.lit(False)) & effective(F.col("valid"), F.col("observer"), F.col("speaker")))
+    # one shuffle by snapshot for all that follows, over as many tasks as the rows ask for
+    valid = valid.select("snapshot", *groups, "supervised", "target").repartition(_tasks(rows), "snapshot")
     stats = lambda t: {
         "pair_entropy": entropy(t), "max_probability": F.array_max(t), "top1_top2_margin": margin(t), "tv_from_uniform": 0.5 * _sum(F.transform(t, lambda x: F.abs(x - _UNIFORM))),
         "entropy_gap_from_uniform": F.log(F.lit(float(len(PAIRS)))) - entropy(t), "marginal_spread": spread(player_marginals(t)),
@@ -162,7 +171,7 @@ def audit_values(rows: DataFrame, groups: list[str]) -> DataFrame:
     both = seats.select(*groups, F.explode(F.array(*[F.struct(F.lit(s).alias("supervised"), (F.filter("all", lambda x: x["supervised"]) if s else F.col("all")).alias("seats")) for s in (False, True)])).alias("x")).select(*groups, "x.*").where("size(seats) > 1")
     tv = lambda x, y: 0.5 * _sum(F.zip_with(x["target"], y["target"], lambda p, q: F.abs(p - q)))
     pairs = F.flatten(F.transform("seats", lambda x, i: F.transform(F.slice("seats", i + 2, F.size("seats")), lambda y: tv(x, y))))
-    pairwise = both.select(*groups, "supervised", F.lit("observer_pairwise_tv").alias("statistic"), F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x, lambda a: a / F.size(pairs)).alias("value"))
+    pairwise = both.select(*groups, "supervised", F.lit("observer_pairwise_tv").alias("statistic"), let(pairs, lambda all: _sum(all) / F.size(all)).alias("value"))
     scope = F.explode(F.when(F.col("supervised"), F.array(F.lit("all"), F.lit("supervised"))).otherwise(F.array(F.lit("all"))))
     values = long.withColumn("scope", scope).drop("supervised").unionByName(pairwise.withColumn("scope", F.when(F.col("supervised"), "supervised").otherwise("all")).drop("supervised"))
     # each value counts for its group and for all
@@ -182,22 +191,33 @@ def audit_counts(rows: DataFrame, groups: list[str]) -> DataFrame:
     return out.withColumn("boundary_fraction", F.col("boundaries") / F.col("snapshots")).withColumn("supervised_fraction", F.col("supervised_snapshots") / F.col("snapshots"))
 
 
-def audit_players(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """By player, over all and by ``groups``: supervised rows of the player as observer, mean target marginal, how often it is among the most suspected (ties count for each), and the ``gap`` between the largest and least mean of its group.
-
-    Columns as in ``audit_values``; groups of the summary over all are null. A
-    group without a valid row has means 0.
-    """
+def _player_sums(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, player and what ``audit_players`` shows of it, as sums: supervised_rows, marginals, their number n, top_count."""
     valid = F.coalesce(F.col("valid"), F.lit(False))
     sup = F.coalesce("boundary", F.lit(False)) & effective(F.col("valid"), F.col("observer"), F.col("speaker"))
     m = F.when(valid, player_marginals(F.col("target")))
     top = let(F.array_max(F.col("__m")), lambda t: F.transform("__m", lambda x: F.abs(x - t) <= 1e-8 + 1e-5 * F.abs(t)))
     seats = F.transform(F.sequence(F.lit(1), F.lit(N_PLAYERS)), lambda k: F.struct(k.alias("player"), F.get("__m", k - 1).alias("marginal"), F.coalesce(F.get("__top", k - 1), F.lit(False)).alias("top"), (F.col("__sup") & (F.col("observer") == k)).alias("sup")))
     each = rows.withColumn("__m", m).withColumn("__top", F.when(F.col("__m").isNotNull(), top)).withColumn("__sup", sup).select(*groups, F.explode(seats).alias("s")).select(*groups, "s.*")
-    each = each.withColumn("__all", F.explode(F.array(F.lit(False), F.lit(True)) if groups else F.array(F.lit(True)))).withColumns({g: F.when(~F.col("__all"), F.col(g)) for g in groups})
-    out = each.groupBy("__all", *groups, "player").agg(F.count_if("sup").alias("supervised_rows"), F.coalesce(F.avg("marginal"), F.lit(0.0)).alias("mean_marginal"), F.count_if("top").alias("top_count"))
-    by = Window.partitionBy("__all", *groups)  # seven rows
-    return out.withColumn("gap", F.max("mean_marginal").over(by) - F.min("mean_marginal").over(by)).drop("__all")
+    return each.groupBy(*groups, "player").agg(F.count_if("sup").alias("supervised_rows"), F.sum("marginal").alias("marginals"), F.count("marginal").alias("n"), F.count_if("top").alias("top_count"))
+
+
+def _with_gap(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """The sums of the same ``keys`` and player together, their means and the gap between these."""
+    out = sums.groupBy(*keys, "player").agg(F.sum("supervised_rows").alias("supervised_rows"), F.coalesce(F.try_divide(F.sum("marginals"), F.sum("n")), F.lit(0.0)).alias("mean_marginal"), F.sum("top_count").alias("top_count"))
+    by = Window.partitionBy(*keys)  # seven rows
+    return out.withColumn("gap", F.max("mean_marginal").over(by) - F.min("mean_marginal").over(by))
+
+
+def audit_players(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """By player, over all and by ``groups``: supervised rows of the player as observer, mean target marginal, how often it is among the most suspected (ties count for each), and the ``gap`` between the largest and least mean of its group.
+
+    Columns as in ``audit_values``; groups of the summary over all are null. A
+    group without a valid row has means 0.
+    """
+    sums = _player_sums(rows, groups)  # seven for each group; these, not the rows, count for the group and for all
+    sums = sums.withColumn("__all", F.explode(F.array(F.lit(False), F.lit(True)) if groups else F.array(F.lit(True)))).withColumns({g: F.when(~F.col("__all"), F.col(g)) for g in groups})
+    return _with_gap(sums, ["__all", *groups]).drop("__all")
 
 
 def turned_targets(rows: DataFrame, shift: Column) -> DataFrame:
@@ -211,9 +231,13 @@ def turned_targets(rows: DataFrame, shift: Column) -> DataFrame:
 
 
 def audit_orbit(rows: DataFrame) -> DataFrame:
-    """``audit_players`` over the seven turns of every row; each turn is a snapshot of its own."""
-    turns = rows.withColumn("__shift", F.explode(F.sequence(F.lit(0), F.lit(N_PLAYERS - 1))))
-    return audit_players(turned_targets(turns, F.col("__shift")), [])
+    """``audit_players`` over the seven turns of every row; each turn is a snapshot of its own.
+
+    A turn moves what is found of a player to another one, so only the seven sums are turned.
+    """
+    sums = _player_sums(turned_targets(rows, F.lit(0)), [])
+    turns = sums.withColumn("__shift", F.explode(F.sequence(F.lit(0), F.lit(N_PLAYERS - 1)))).withColumn("player", turned(F.col("player"), F.col("__shift")))
+    return _with_gap(turns.withColumn("__all", F.lit(True)), ["__all"]).drop("__all")
 
 
 def require_coverage(counts: DataFrame, least: float = 0.05) -> None:
@@ -255,9 +279,8 @@ def tampered(stored: DataFrame, reports: DataFrame, keys: list[str], tolerance:
     due = targets(reports).select(*keys, "a", "b", F.col("p").alias("due"), no("p", "double"), F.lit(0).cast("long").alias("stored"))
     have = stored.select(*keys, "a", "b", no("due", "double"), F.col("p").cast("double").alias("p"), F.lit(1).cast("long").alias("stored"))
     # one shuffle by report, over as many tasks as the reports ask for; what a task holds does not grow with the table
-    n = max(reports.sparkSession.sparkContext.defaultParallelism, math.ceil(reports.count() / REPORTS_PER_TASK))
     nameless = F.when(reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys]), F.col("stored"))
-    both = have.unionByName(due).repartition(n, *keys).groupBy(*keys, "a", "b", nameless.alias("__nameless"))
+    both = have.unionByName(due).repartition(_tasks(reports), *keys).groupBy(*keys, "a", "b", nameless.alias("__nameless"))
     out = both.agg(F.min("due").alias("__least"), F.max("due").alias("due"), F.min("p").alias("low"), F.max("p").alias("high"), F.sum("stored").alias("n_stored"), F.count("p").alias("n_known"))
     near = lambda c: F.abs(F.col("low") - F.coalesce(c, F.lit(0.0))) <= tolerance
     right = (F.col("n_stored") == 1) & (F.col("n_known") == 1) & near("__least") & near("due")

@@ -397,7 +397,7 @@ def report_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, o = F.col("c_nationkey") % 8, (F.col("c_custkey") % 7 + 1).cast("int")
     seat = lambda i: ((o - 1 + i) % 7 + 1).cast("int")
     none = F.array().cast("array<int>")
-    rows = A.table(spark, sf_dir, "customer").select(
+    rows = A.customers(spark, sf_dir).select(
         F.col("c_custkey").alias("id"), F.when(k == 1, "lost").when((k == 2) | (k == 4), "parse_error").otherwise("ok").alias("status"),
         F.when(k == 2, F.array(seat(1), seat(2), seat(3))).when(k == 3, F.array(seat(1), seat(2))).when(k == 6, F.array(seat(1))).otherwise(none).alias("known"), F.array(o).alias("cleared"),
         F.when((k == 1) | (k == 2), F.lit(None)).when(k == 3, F.array(seat(1), seat(2))).when(k == 7, F.array(o, seat(1))).otherwise(F.array(seat(3))).alias("suspected"), F.when(k.isin(2, 4, 5), "wrong").alias("error"),

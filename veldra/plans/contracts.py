@@ -267,7 +267,7 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, s = (c % 7 + 1).cast("int"), F.floor(c / 7)
     marked = F.filter(F.sequence(F.lit(1), F.lit(7)), lambda x: (F.pmod(F.floor(F.col("c_nationkey") / F.pow(F.lit(2.0), x - 1)), F.lit(2)) == 1) & (x != o))
     target = B.vector(B.distribution(F.array().cast("array<int>"), F.array(o), marked))
-    return A.table(spark, sf_dir, "customer").select(c.alias("id"), s.alias("snapshot"), o.alias("observer"), (s % 3).alias("day"), (s % 4 != 0).alias("boundary"), (s % 7 + 1).alias("speaker"), (c % 6 != 0).alias("valid"), target.alias("target"))
+    return A.customers(spark, sf_dir).select(c.alias("id"), s.alias("snapshot"), o.alias("observer"), (s % 3).alias("day"), (s % 4 != 0).alias("boundary"), (s % 7 + 1).alias("speaker"), (c % 6 != 0).alias("valid"), target.alias("target"))
 
 
 @query(f"""WITH {_T}, m AS (SELECT id, player, sum(t) AS m FROM (SELECT id, unnest([a, b]) AS player, t FROM t) GROUP BY 1, 2), ms AS (SELECT id, max(m) - min(m) AS spread FROM m GROUP BY 1
