@@ -115,7 +115,7 @@ def event_digest(events: Column) -> Column:
 def canonical_events(events: Column) -> Column:
     """Canonical JSON of the events; null as soon as one of them has none."""
     each = F.transform(events, _event_json)
-    return F.when(~F.exists(each, lambda x: x.isNull()), F.concat(F.lit("["), F.array_join(each, ","), F.lit("]")))
+    return let(each, lambda all: F.when(~F.exists(all, lambda x: x.isNull()), F.concat(F.lit("["), F.array_join(all, ","), F.lit("]"))))
 
 
 def _event_json(e: Column) -> Column:
@@ -218,7 +218,7 @@ def _shared_rules(maps: tuple[str, ...]) -> dict[str, Column]:
     }
     rules |= {f"{m}:observers": _no(F.array_sort(F.map_keys(m)) == names) for m in maps}
     rules |= {
-        "hard_knowledge_not_closed": each(lambda w: (shut(w)["known"] == numbers("known_werewolves", w)) & (shut(w)["cleared"] == numbers("known_non_werewolves", w))),
+        "hard_knowledge_not_closed": each(lambda w: let(shut(w), lambda x: (x["known"] == numbers("known_werewolves", w)) & (x["cleared"] == numbers("known_non_werewolves", w)))),
         "belief_status": each(lambda w: F.col("belief_status")[w].isin(*STATUSES)),
         "error_against_status": each(lambda w: F.when(ok(w), F.col("belief_errors")[w].isNull()).otherwise(_filled(F.col("belief_errors")[w]))),
         "suspicion_against_status": each(lambda w: F.when(ok(w), F.col("suspected_werewolves")[w].isNotNull()).otherwise(F.col("suspected_werewolves")[w].isNull())),
@@ -255,23 +255,25 @@ def raw_violations(rows: DataFrame) -> DataFrame:
     return _checked(rows, rules | _shared_rules(MAPS))
 
 
-def formal_violations(rows: DataFrame, order: int) -> DataFrame:
-    """Formal rows of an order (1 or 2; ``events`` as JSON text) with the names of the rules that they break."""
+def formal_violations(rows: DataFrame, order: int | Column) -> DataFrame:
+    """Formal rows of an order (1 or 2, or a column with the order of each; ``events`` as JSON text) with the names of the rules that they break."""
+    order = order if isinstance(order, Column) else F.lit(order)
+    first = F.coalesce(order == 1, F.lit(False))
+    of = lambda values: F.when(first, values[1]).otherwise(values[2])
     scope = F.col("__scope")
     rows = rows.withColumn("parsed", parsed(F.col("events"))).withColumn("__scope", lineage(SOURCES, F.col("schema_version"), F.col("label_prompt_version"), F.col("source_label_provenance")))
     by = lambda values: functools.reduce(lambda c, s: c.when(scope == s, values(s)), SOURCES, F.when(F.lit(False), ""))
     private = lambda s: s == "private_conditioned"
     rules = {
         "lineage": scope.isNull(), "source_schema_version": _no(F.col("source_schema_version") == F.col("schema_version")), "tom_order": _no(F.col("tom_order") == order),
-        "model_input_scope": _no(F.col("model_input_scope") == by(lambda s: INPUT_SCOPES[order] if private(s) else "public_events_only")),
-        "private_fields_usage": _no(F.col("private_fields_usage") == by(lambda s: PRIVATE_USAGE[order] if private(s) else "none")),
+        "model_input_scope": _no(F.col("model_input_scope") == by(lambda s: of(INPUT_SCOPES) if private(s) else F.lit("public_events_only"))),
+        "private_fields_usage": _no(F.col("private_fields_usage") == by(lambda s: of(PRIVATE_USAGE) if private(s) else F.lit("none"))),
         "annotation_schema_version": _no(F.col("annotation_schema_version") == by(lambda s: ANNOTATIONS[s][0])), "label_provenance": _no(F.col("label_provenance") == by(lambda s: ANNOTATIONS[s][1])),
     }
     rules |= {c: _no(~F.col(c)) for c in ("current_action_used", "expert_labels_used_as_later_evidence", "future_information_used")}
     names = F.array_sort(F.transform("observer_ids", player))
     rules |= {"public_only_knows": (scope == "public_events_only") & ~_knows_nothing()}
-    if order == 1:
-        rules["first_order_observer"] = _no(F.col("observer_ids") == F.array("speaker_id"))
+    rules["first_order_observer"] = first & _no(F.col("observer_ids") == F.array("speaker_id"))
     blank = lambda m: F.exists(names, lambda w: ~_filled(F.col(m)[w]))
     rules |= {m: blank(m) for m in ("observer_annotation_confidence", "observer_label_provenance")}
     rules["source_belief_status"] = F.exists(names, lambda w: _no(F.col("source_belief_status")[w].isin(*STATUSES)))

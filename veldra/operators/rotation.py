@@ -75,5 +75,5 @@ def turned_samples(samples: DataFrame, shift: Column) -> DataFrame:
     fixed = {"events", "public_event_digest", "structured_input_digest", "__shift", "tom_order"}
     rows = turned_rows(rows, F.col("__shift"), [c for c in rows.columns if c not in fixed])
     parsed = F.col("__parsed")
-    digests = {"events": E.canonical_events(parsed), "public_event_digest": E.event_digest(parsed), "structured_input_digest": E.structured_digest(parsed)}
-    return rows.withColumns(digests).drop("__shift", "__parsed")
+    rows = rows.withColumns({"events": E.canonical_events(parsed), "structured_input_digest": E.structured_digest(parsed)})
+    return rows.withColumn("public_event_digest", F.sha2("events", 256)).drop("__shift", "__parsed")

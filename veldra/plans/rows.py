@@ -34,7 +34,7 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     knows = ~public & (t % 3 == 0)  # the observer knows both wolves, one and two seats on from itself
     wolves, rest = F.array_sort(F.array(seat(4), seat(5))), F.array_sort(F.array(seat(6), seat(0), seat(1), seat(2), seat(3)))
     scoped = lambda i: F.when(public, E.SOURCES["public_events_only"][i]).otherwise(E.SOURCES["private_conditioned"][i])
-    rows = A.table(spark, sf_dir, "conversations").select(
+    rows = A.turns(spark, sf_dir).select(
         "conv_id", "turn", scoped(0).alias("schema_version"), scoped(1).alias("label_prompt_version"), scoped(2).alias("label_provenance"), F.concat(F.lit("g"), c.cast("string")).alias("game_id"), t.alias("step_idx"), t.alias("label_cutoff_step_idx"), phase.alias("phase"), s.alias("speaker_id"),
         F.lit("pre_public_speech").alias("report_trigger"), F.array(s, o).alias("observer_ids"), F.lit(1).cast("long").alias("public_action_count"), F.concat(F.lit("["), said, F.lit("]")).alias("events"), maps(F.array(seat(1)), F.lit(None).cast("array<string>")).alias("suspected_werewolves"),
         maps(none, F.when(knows, wolves).otherwise(none)).alias("known_werewolves"), maps(F.when(public, none).otherwise(F.array(_name(s))), F.when(public, none).when(knows, rest).otherwise(F.array(_name(o)))).alias("known_non_werewolves"),
@@ -165,10 +165,12 @@ def materialized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = lambda m, show: F.array_join(F.transform("row.observer_ids", lambda i: F.concat(F.lit("s"), i.cast("string"), F.lit("="), show(F.col(f"row.{m}")[_name(i)]))), ",")
     seats = lambda names: F.array_join(F.transform(names, lambda n: F.substring(n, 7, 1)), "+")
     same = lambda v: v
-    key = [F.substring("game_id", 2, 20).cast("long").alias("conv_id"), F.col("step_idx").alias("turn")]
-    shown = parts.select(*key, "part", F.col("player").cast("long").alias("player"), F.array_join(ids(), ",").alias("observers"), each("suspected_werewolves", seats).alias("suspected"), each("observer_annotation_confidence", same).alias("confidence"), each("source_belief_status", same).alias("status"), F.col("row.private_fields_usage").alias("usage"))
-    broken = [E.formal_violations(parts.where(F.col("part") == f"tom{k}").select("row.*"), k).select(*key, F.lit(f"tom{k}").alias("part"), F.size("violations").alias("violations")) for k in (1, 2)]
-    return shown.join(broken[0].unionByName(broken[1]), ["conv_id", "turn", "part"], "left")
+    # both orders are checked where the rows are made: nothing is made again or joined
+    order = F.when(F.col("part") == "tom1", 1).when(F.col("part") == "tom2", 2)
+    checked = E.formal_violations(parts.select("part", "player", "row", F.col("game_id").alias("__game"), F.col("step_idx").alias("__step"), *[F.col(f"row.{c}").alias(c) for c in M.FORMAL]), order)
+    key = [F.substring("__game", 2, 20).cast("long").alias("conv_id"), F.col("__step").alias("turn")]
+    violations = F.when(order.isNotNull(), F.size("violations")).alias("violations")
+    return checked.select(*key, "part", F.col("player").cast("long").alias("player"), F.array_join(ids(), ",").alias("observers"), each("suspected_werewolves", seats).alias("suspected"), each("observer_annotation_confidence", same).alias("confidence"), each("source_belief_status", same).alias("status"), F.col("row.private_fields_usage").alias("usage"), violations)
 
 
 @query(f"""WITH {_SEATS}, r AS (SELECT k.*, e.e AS shift FROM k, range(0, 7) e(e)
