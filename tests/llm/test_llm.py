@@ -94,6 +94,26 @@ def test_packing(docs, empty):
     assert not packing.pack(empty, path).collect()
 
 
+def test_packing_looks_up_distinct_parts_once(monkeypatch):
+    """Ids are those of the library for parts in any place of a word, and Python sees what is distinct in a slice, not every word of it."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    signs = ["a", "B", "É", "É", "ß", "Ÿ", "×", "÷", "'", "'s", "'T", "1", "²", "\u0301", " ", "\n", "\x1c", "\xa0", "-", "!", "<|endoftext|>", "<|ENDOFTEXT|>", "中", "İ", "\x00", "À", "Þ", "Σ", "{", "\x7f", "\x80"]
+    rng = random.Random(5)
+    texts = ["", None, " "] + ["".join(rng.choices(signs, k=rng.randrange(14))) for _ in range(3000)]
+    library, ids_of = Tokenizer.from_file(path), packing.WordIds(path)
+    for some in (texts[:1500], texts[1500:]):
+        ids, n = ids_of.encode_flat(pa.array(some))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+    seen = []
+    look_up = packing._Ids.look_up
+    monkeypatch.setattr(packing._Ids, "look_up", lambda self, strings: seen.extend(strings) or look_up(self, strings))
+    packing.WordIds(path).encode_flat(pa.array(["One two, x1 don't one-two 日本 " * 500]))
+    assert sorted(seen) == sorted(x.encode() for x in ("one", "two", ",", "x", "1", "-", "don't", "日本"))
+
+
 @pytest.mark.parametrize("sources,grain", [(300, packing.GRAIN), (2000, packing.GRAIN), (40, 1)])
 def test_packing_of_many_sources(spark, sources, grain):
     """Every source keeps a queue of its own and gets its share all along, and every token is there once."""

@@ -20,6 +20,7 @@ source is a queue, however many there are; an empty table yields no pieces.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,13 +32,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from veldra.llm.store import staged
-from veldra.llm.textcore import chunks
+from veldra.llm.textcore import IS_SPACE, LOWER, chunks, flat
 
-#: Distinct words kept with their ids in each worker, and their bytes.
+#: Distinct parts (and words that have none) kept with their ids in each worker, and their bytes.
 CACHE_WORDS, CACHE_BYTES = 700_000, 32_000_000
 #: The suffix of ids that end a part of a word, and such parts: letters, single digits, runs of marks (no apostrophes, which may begin endings).
 WORD_END = "</w>"
 PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Kinds of bytes: of parts, and others, whose words go through the library whole.
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[IS_SPACE] = SPACE
+for _kind, _bytes in ((LETTER, rb"[A-Za-z]"), (DIGIT, rb"[0-9]"), (MARK, rb"[!-&(-/:-@\[-`{-~]")):
+    KIND[[m.start() for m in re.finditer(_bytes, bytes(range(256)))]] = _kind
+#: The steps of the vocabulary whose parts these are.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Offsets of (partition, queue) are broadcast up to this many rows and joined by shuffle beyond.
 BROADCAST_ROWS = 100_000
 #: Queues up to which tokens are dealt one by one, and tokens dealt at once beyond.
@@ -93,11 +105,14 @@ class WordIds:
     """Ids of texts by the tokenizers library, called once for each distinct part of a word.
 
     This vocabulary drops white space, so words (runs of anything else) are
-    encoded apart and looked up by their bytes. A word of Latin letters, digits
-    and marks falls into parts that the vocabulary never joins; the library
-    encodes many parts in one call, and the suffix of their last ids tells them
-    apart. All other words go through the library whole. What a slice of texts
-    needs is in the cache; between slices a full cache starts anew.
+    encoded apart. A word of Latin letters, digits and marks falls into parts
+    that the vocabulary never joins (runs of letters, single digits, runs of
+    marks): these are found for all bytes of a slice at once, and Arrow names
+    the distinct ones, so Python sees each of those once for a slice. The
+    library encodes many parts in one call, and the suffix of their last ids
+    tells them apart. All other words go through the library whole. What a
+    slice of texts needs is in the cache; between slices a full cache starts
+    anew.
     """
 
     _loaded: dict[str, WordIds] = {}
@@ -114,13 +129,28 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.names = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = self._plain(path)
+        self.names = [str(t.content).encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.is_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.is_end[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
         self._clear()
 
+    def _plain(self, path: str):
+        """The same model for parts that stand apart and in lower case already, without the steps that would change nothing; the tokenizer itself for a vocabulary with other steps."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        steps = json.loads(self.tokenizer.to_str())
+        if (steps["normalizer"], steps["pre_tokenizer"], steps["post_processor"]) != (NORMALIZER, PRE_TOKENIZER, None):
+            return self.tokenizer
+        plain = Tokenizer.from_file(path)
+        plain.no_padding()
+        plain.no_truncation()
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return plain
+
     def _clear(self) -> None:
-        self.words, self.parts, self.bytes = _Ids(), _Ids(), 0
+        self.known, self.bytes = _Ids(), 0
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -128,9 +158,9 @@ class WordIds:
     def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts, and how many each has."""
         found, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
-        for a in range(0, len(parts), 500):
-            some = parts[a : a + 500]
-            (encoded,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+        for a in range(0, len(parts), 2000):
+            some = parts[a : a + 2000]
+            (encoded,) = self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)
             ids = np.array(encoded.ids, np.uint32)
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) != len(some):  # a vocabulary of another kind
@@ -141,38 +171,65 @@ class WordIds:
         return np.concatenate(found), np.concatenate(sizes)
 
     def _learn(self, fresh: list[bytes]) -> None:
+        """Ids of new parts and of new words that go through the library whole."""
         self.bytes += sum(map(len, fresh))
-        texts = [w.decode() for w in fresh]
-        split = [PARTS.findall(t) for t in texts]
-        whole = [i for i, (t, p) in enumerate(zip(texts, split)) if "".join(p) != t or any(n in t for n in self.names)]
-        for i in whole:
-            split[i] = []
-        slots, missing = self.parts.look_up([x.lower() for p in split for x in p])
-        self.parts.add(*self._encode_parts(missing))
-        ids, size = self.parts.take(slots)
-        ends = np.r_[0, np.cumsum(size)][np.cumsum([0, *map(len, split)])]
-        if whole:
-            each = [self._encode(texts[i]) for i in whole]
-            ids = np.insert(ids, np.repeat(ends[whole], list(map(len, each))), np.concatenate(each))
-            size = np.diff(ends)
-            size[whole] = list(map(len, each))
-            self.words.add(ids, size)
-        else:
-            self.words.add(ids, np.diff(ends))
+        texts = [x.decode() for x in fresh]
+        is_part = np.fromiter((PARTS.fullmatch(t) is not None for t in texts), bool, len(texts))
+        ids, size = self._encode_parts([t for t, p in zip(texts, is_part) if p])
+        if not is_part.all():
+            each = [self._encode(t) for t, p in zip(texts, is_part) if not p]
+            lengths = np.array(list(map(len, each)), np.int64)
+            ends = np.r_[0, np.cumsum(size)][np.cumsum(is_part)[~is_part]]  # the ids of the parts before each word
+            ids = np.insert(ids, np.repeat(ends, lengths), np.concatenate(each))
+            all_sizes = np.empty(len(texts), np.int64)
+            all_sizes[is_part], all_sizes[~is_part] = size, lengths
+            size = all_sizes
+        self.known.add(ids, size)
+
+    def _units(self, buf: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """What is looked up, in order (parts in lower case; whole words where parts don't do), and where in the bytes each begins."""
+        kind, low = KIND[buf], LOWER[buf]
+        if len(lead := np.flatnonzero(buf[:-1] == 0xC3)):  # Latin letters of two bytes
+            after = buf[lead + 1]
+            lead, after = lead[(after != 0x97) & (after != 0xB7)], after[(after != 0x97) & (after != 0xB7)]
+            kind[lead] = kind[lead + 1] = LETTER
+            low[lead + 1] += np.where(after < 0x9F, np.uint8(0x20), np.uint8(0))
+        inside = kind != SPACE
+        first = np.zeros(len(buf) + 1, bool)
+        first[off] = True
+        first = first[:-1]
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1] | first[1:]
+        cut = begin | (inside & (kind == DIGIT))
+        cut[1:] |= inside[1:] & (kind[1:] != kind[:-1])
+        words = np.flatnonzero(begin)
+        odd = np.flatnonzero(kind == OTHER)
+        found = [m.start() for name in self.names for m in re.finditer(re.escape(name), buf)]
+        if len(odd) or found:
+            whole = np.zeros(len(words), bool)
+            whole[np.searchsorted(words, np.r_[odd, np.array(found, np.int64)].astype(np.int64), "right") - 1] = True
+            of_whole = whole[np.cumsum(begin) - 1] & inside
+            cut &= ~of_whole | begin
+            low = np.where(of_whole, buf, low)
+        starts = np.flatnonzero(cut)
+        # within a word, a unit ends where the next one begins; white space is left out
+        ends = np.r_[np.cumsum(inside, dtype=np.int64)[starts] - 1, np.count_nonzero(inside)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(low[inside])]), starts
 
     def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has."""
-        if len(self.words.slots) > CACHE_WORDS or self.bytes > CACHE_BYTES:
+        if len(self.known.slots) > CACHE_WORDS or self.bytes > CACHE_BYTES:
             self._clear()
-        counts, words = [0], []
-        for text in texts.to_pylist():
-            words += (text or "").encode().split()
-            counts.append(len(words))
-        slots, fresh = self.words.look_up(words)
+        buf, off = flat(texts)
+        if not len(buf):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        units, starts = self._units(buf, off)
+        named = units.dictionary_encode()
+        slots, fresh = self.known.look_up(named.dictionary.to_numpy(zero_copy_only=False).tolist())
         if fresh:
             self._learn(fresh)
-        ids, size = self.words.take(slots)
-        return ids, np.diff(np.r_[0, np.cumsum(size)][counts])
+        ids, size = self.known.take(slots[named.indices.to_numpy()])
+        return ids, np.diff(np.r_[0, np.cumsum(size)][np.searchsorted(starts, off)])
 
 
 def tokenised(docs: DataFrame, vocab: str, end_id: int, text: str = "text", source: str = "source", doc_id: str = "doc_id", narrow: bool = True) -> DataFrame:
