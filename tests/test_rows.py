@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldra.functions import responses
+from veldra.functions.domain import player
 from veldra.operators import beliefs, events, games, materialize, quantiles, rotation, snapshots
 from veldra.plans import catalog, rows as row_plans
 from veldra.sources import commit, jsonl
@@ -309,3 +310,22 @@ def test_answers(spark):
     assert [r.f for r in fenced] == ['{"a": 1}', None, None]
     prompt = "第1天总结：a\n第1天投票记录 # 我的投票： 3;昨晚发生：平安;"
     assert spark.createDataFrame([(prompt,)], "t string").select(responses.prompt_digest(t).alias("d")).first().d == "第1天总结：a\n\n我的投票：3\n昨晚发生：平安\n"
+
+
+def test_events_are_read_once_for_both_orders(spark):
+    """What the rules ask about events is found before a sample falls into rows of both orders, never after."""
+    old = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        plan = catalog.QUERIES["materialized_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", old)
+    after, before = plan.split("Generate explode", 1)
+    assert "from_json" in before and "violations" in after and "from_json" not in after
+
+
+def test_player_of_any_text(spark):
+    due = {"player3": "player3", "3": "player3", " 3\n": "player3", "player3\n": "player3", "Player_4": "player4", "player 7": "player7", "player-1": "player1", "player8": None, "0": None, "33": None, "xplayer3": None, "": None}
+    rows = spark.createDataFrame([(t,) for t in [*due, None]], "t string").select("t", player(F.col("t")).alias("p")).collect()
+    assert {r.t: r.p for r in rows} == due | {None: None}
+    assert [r.p for r in spark.range(9).select(player(F.col("id")).alias("p")).orderBy("id").collect()] == [None, *[f"player{i}" for i in range(1, 8)], None]

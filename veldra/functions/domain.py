@@ -26,9 +26,11 @@ def pairs(spark: SparkSession) -> DataFrame:
 
 def player(text: Column) -> Column:
     """player1 to player7 from 3, "3", "player3", "Player_3" or "player 3"; null for anything else."""
-    bare = F.regexp_replace(F.lower(text.cast("string")), r"(?U)[\s_-]+", "")
+    text = text.cast("string")
+    bare = F.regexp_replace(F.lower(text), r"(?U)[\s_-]+", "")
     number = F.regexp_extract(bare, "^(?:player)?([1-7])$", 1)
-    return F.when(number != "", F.concat(F.lit("player"), number))
+    # names and numbers as they should be need one look only
+    return F.when(text.rlike(r"^player[1-7]\z"), text).when(text.rlike(r"^[1-7]\z"), F.concat(F.lit("player"), text)).otherwise(F.when(number != "", F.concat(F.lit("player"), number)))
 
 
 def phase_parts(phase: Column) -> Column:

@@ -120,20 +120,20 @@ def canonical_events(events: Column) -> Column:
 
 def _event_json(e: Column) -> Column:
     def quoted(c: Column) -> Column:
-        return F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'^\{"x":([\s\S]*)\}$', 1)
+        return let(F.to_json(F.struct(c.alias("x"))), lambda j: F.substr(j, F.lit(6), F.length(j) - 6))  # what stands between {"x": and }
 
     acts = F.transform(e["sp_actions"], lambda a: F.array(player(a[0]), action(a[1]), player(a[2])))
     votes = F.to_json(F.transform(e["votes"], lambda v: F.struct(v["target"].alias("target"), v["voter"].alias("voter"))), {"ignoreNullFields": "false"})
     field = lambda name, json: F.concat(F.lit(f',"{name}":'), json)
-    head = F.concat(F.lit('"event_idx":'), e["event_idx"].cast("string"), F.lit(',"event_type":'), quoted(e["event_type"]))
     kind = e["event_type"]
-    body = (
-        F.when(kind == "phase_change", F.concat(head, field("phase", quoted(e["phase"])))).when(kind == "turn_start", F.concat(head, field("speaker", quoted(e["speaker"]))))
-        .when(kind == "public_speech", F.concat(head, field("raw_text", quoted(e["raw_text"])), field("sp_actions", F.to_json(acts)), field("speaker", quoted(e["speaker"]))))
-        .when(kind == "vote_result", F.concat(head, field("votes", votes)))
-        .when(kind == "exile_result", F.concat(head, field("exiled_players", F.to_json(e["exiled_players"]))))
-        .when(kind == "death_announcement", F.concat(F.lit('"dead_players":'), F.to_json(e["dead_players"]), F.lit(","), head))
-    )
+    head = lambda k: F.concat(F.lit('"event_idx":'), e["event_idx"].cast("string"), F.lit(f',"event_type":"{k}"'))
+    fields = {
+        "phase_change": lambda h: F.concat(h, field("phase", quoted(e["phase"]))), "turn_start": lambda h: F.concat(h, field("speaker", quoted(e["speaker"]))),
+        "public_speech": lambda h: F.concat(h, field("raw_text", quoted(e["raw_text"])), field("sp_actions", F.to_json(acts)), field("speaker", quoted(e["speaker"]))),
+        "vote_result": lambda h: F.concat(h, field("votes", votes)), "exile_result": lambda h: F.concat(h, field("exiled_players", F.to_json(e["exiled_players"]))),
+        "death_announcement": lambda h: F.concat(F.lit('"dead_players":'), F.to_json(e["dead_players"]), F.lit(","), h),
+    }
+    body = functools.reduce(lambda c, k: c.when(kind == k, fields[k](head(k))), fields, F.when(F.lit(False), F.lit("")))
     return F.concat(F.lit("{"), body, F.lit("}"))
 
 
@@ -196,12 +196,21 @@ def _filled(text: Column) -> Column:
     return F.coalesce(F.trim(text) != "", F.lit(False))
 
 
+def with_facts(rows: DataFrame) -> DataFrame:
+    """Adds ``event_facts``, what the rules ask about ``events`` (JSON text) whatever the rest of the row holds; of rows that are made of one another it is worked out once."""
+    parsed_ = F.col("__parsed")
+    end = F.try_element_at(parsed_, F.lit(-1))
+    facts = {
+        "broken": (F.size(event_violations(F.col("events"))) > 0) | _no(F.size(parsed_) > 0), "end_type": end["event_type"], "end_speaker": end["speaker"],
+        "phase": F.try_element_at(F.filter(parsed_, lambda e: e["event_type"] == "phase_change"), F.lit(-1))["phase"], "n_actions": F.size(speech_actions(parsed_)),
+        "event_digest": event_digest(parsed_), "structured_digest": structured_digest(parsed_),
+    }
+    return rows.withColumn("__parsed", parsed(F.col("events"))).withColumn("event_facts", F.struct(*[c.alias(n) for n, c in facts.items()])).drop("__parsed")
+
+
 def _shared_rules(maps: tuple[str, ...]) -> dict[str, Column]:
-    """Rules of raw and formal rows; maps are keyed by canonical names, lists hold such names, ``events`` is JSON text and ``parsed`` what it gives."""
-    names = F.array_sort(F.transform("observer_ids", player))
-    end = F.try_element_at("parsed", F.lit(-1))
-    latest = F.try_element_at(F.filter("parsed", lambda e: e["event_type"] == "phase_change"), F.lit(-1))["phase"]
-    ids = F.col("observer_ids")
+    """Rules of raw and formal rows; maps are keyed by canonical names, lists hold such names, ``__names`` those of the observers and ``event_facts`` what ``with_facts`` finds."""
+    names, facts, ids = F.col("__names"), F.col("event_facts"), F.col("observer_ids")
 
     def numbers(column: str, who: Column) -> Column:
         return F.transform(F.col(column)[who], lambda x: F.substring(x, 7, 1).cast("int"))
@@ -225,22 +234,28 @@ def _shared_rules(maps: tuple[str, ...]) -> dict[str, Column]:
         "suspicion_order": each(lambda w: ~ok(w) | _ordered(F.col("suspected_werewolves")[w])),
         "suspicion_against_knowledge": each(lambda w: ~ok(w) | (F.size(F.array_except(F.col("known_werewolves")[w], F.col("suspected_werewolves")[w])) == 0) & ~F.arrays_overlap(F.col("suspected_werewolves")[w], F.col("known_non_werewolves")[w])),
         "agent_backend_ids": each(lambda w: _filled(F.col("agent_backend_ids")[w])),
-        "public_events": (F.size(event_violations(F.col("events"))) > 0) | _no(F.size("parsed") > 0),
-        "not_at_turn_start": _no((end["event_type"] == "turn_start") & (end["speaker"] == player(F.col("speaker_id")))),
+        "public_events": facts["broken"],
+        "not_at_turn_start": _no((facts["end_type"] == "turn_start") & (facts["end_speaker"] == player(F.col("speaker_id")))),
         "step_idx": _no(F.col("step_idx") >= 0),
         "label_cutoff_step_idx": _no(F.col("label_cutoff_step_idx") == F.col("step_idx")),
-        "phase": phase_parts(F.col("phase")).isNull() | _no(latest == F.col("phase")),
+        "phase": phase_parts(F.col("phase")).isNull() | _no(facts["phase"] == F.col("phase")),
         "game_id": ~_filled(F.col("game_id")),
         "report_trigger": _no(F.col("report_trigger").isin(*TRIGGERS)),
-        "public_action_count": _no(F.col("public_action_count") == F.size(speech_actions(F.col("parsed")))),
-        "public_event_digest": _no(F.col("public_event_digest") == event_digest(F.col("parsed"))),
-        "structured_input_digest": _no(F.col("structured_input_digest") == structured_digest(F.col("parsed"))),
+        "public_action_count": _no(F.col("public_action_count") == facts["n_actions"]),
+        "public_event_digest": _no(F.col("public_event_digest") == facts["event_digest"]),
+        "structured_input_digest": _no(F.col("structured_input_digest") == facts["structured_digest"]),
     }
     return rules
 
 
+def _prepared(rows: DataFrame) -> DataFrame:
+    """Rows with what many rules ask, each as a column of its own."""
+    rows = rows if "event_facts" in rows.columns else with_facts(rows)
+    return rows.withColumn("__names", F.array_sort(F.transform("observer_ids", player)))
+
+
 def _checked(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    return rows.withColumn("violations", F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules.items()]))).drop("parsed", "__scope")
+    return rows.withColumn("violations", F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules.items()]))).drop("event_facts", "__names", "__scope")
 
 
 def _knows_nothing() -> Column:
@@ -250,18 +265,18 @@ def _knows_nothing() -> Column:
 
 def raw_violations(rows: DataFrame) -> DataFrame:
     """Raw rows (``events`` as JSON text) with the names of the rules that they break."""
-    rows = rows.withColumn("parsed", parsed(F.col("events"))).withColumn("__scope", lineage(SOURCES, F.col("schema_version"), F.col("label_prompt_version"), F.col("label_provenance")))
+    rows = _prepared(rows).withColumn("__scope", lineage(SOURCES, F.col("schema_version"), F.col("label_prompt_version"), F.col("label_provenance")))
     rules = {"lineage": F.col("__scope").isNull(), "public_only_knows": (F.col("__scope") == "public_events_only") & ~_knows_nothing()}
     return _checked(rows, rules | _shared_rules(MAPS))
 
 
 def formal_violations(rows: DataFrame, order: int | Column) -> DataFrame:
-    """Formal rows of an order (1 or 2, or a column with the order of each; ``events`` as JSON text) with the names of the rules that they break."""
+    """Formal rows of an order (1 or 2, or a column with the order of each; ``events`` as JSON text, ``event_facts`` from ``with_facts`` if they are known) with the names of the rules that they break."""
     order = order if isinstance(order, Column) else F.lit(order)
     first = F.coalesce(order == 1, F.lit(False))
     of = lambda values: F.when(first, values[1]).otherwise(values[2])
     scope = F.col("__scope")
-    rows = rows.withColumn("parsed", parsed(F.col("events"))).withColumn("__scope", lineage(SOURCES, F.col("schema_version"), F.col("label_prompt_version"), F.col("source_label_provenance")))
+    rows = _prepared(rows).withColumn("__scope", lineage(SOURCES, F.col("schema_version"), F.col("label_prompt_version"), F.col("source_label_provenance")))
     by = lambda values: functools.reduce(lambda c, s: c.when(scope == s, values(s)), SOURCES, F.when(F.lit(False), ""))
     private = lambda s: s == "private_conditioned"
     rules = {
@@ -271,7 +286,7 @@ def formal_violations(rows: DataFrame, order: int | Column) -> DataFrame:
         "annotation_schema_version": _no(F.col("annotation_schema_version") == by(lambda s: ANNOTATIONS[s][0])), "label_provenance": _no(F.col("label_provenance") == by(lambda s: ANNOTATIONS[s][1])),
     }
     rules |= {c: _no(~F.col(c)) for c in ("current_action_used", "expert_labels_used_as_later_evidence", "future_information_used")}
-    names = F.array_sort(F.transform("observer_ids", player))
+    names = F.col("__names")
     rules |= {"public_only_knows": (scope == "public_events_only") & ~_knows_nothing()}
     rules["first_order_observer"] = first & _no(F.col("observer_ids") == F.array("speaker_id"))
     blank = lambda m: F.exists(names, lambda w: ~_filled(F.col(m)[w]))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from veldra.functions.domain import lineage, player
+from veldra.functions.domain import let, lineage, player
 from veldra.operators import events as E
 from veldra.operators.snapshots import closure, compatible
 
@@ -40,12 +40,14 @@ def decided(raw: DataFrame) -> DataFrame:
     public = F.coalesce(F.col("scope") == "public_events_only", F.lit(False))
 
     def of(i: Column) -> Column:
-        who = player(i)
+        return let(player(i), lambda who: by_name(i, who))
+
+    def by_name(i: Column, who: Column) -> Column:
         status = F.col("belief_status")[who]
-        shut = closure(compatible(_numbers(F.col("known_werewolves")[who]), _numbers(F.col("known_non_werewolves")[who])))
-        one = ~public & (status == "semantic_error") & (F.size(compatible(_numbers(F.col("known_werewolves")[who]), _numbers(F.col("known_non_werewolves")[who]))) == 1)
+        pairs = compatible(_numbers(F.col("known_werewolves")[who]), _numbers(F.col("known_non_werewolves")[who]))
+        one = ~public & (status == "semantic_error") & (F.size(pairs) == 1)
         kind = F.when(status == "ok", "source").when(F.coalesce(one, F.lit(False)), "deterministic_hard_knowledge").otherwise("unavailable")
-        closed = F.transform(shut["known"], lambda n: F.concat(F.lit("player"), n.cast("string")))
+        closed = F.transform(closure(pairs)["known"], lambda n: F.concat(F.lit("player"), n.cast("string")))
         target = F.when(kind == "source", F.col("suspected_werewolves")[who]).when(kind == "deterministic_hard_knowledge", closed)
         return F.struct(who.alias("who"), i.alias("id"), status.alias("status"), kind.alias("kind"), target.alias("target"))
 
@@ -71,8 +73,8 @@ def _formal(order: int, kept: Column) -> Column:
     return F.struct(*[(own[c] if c in own else F.col(c)).cast(t).alias(c) for c, t in FORMAL.items()])
 
 
-def parts(raw: DataFrame) -> DataFrame:
-    """part (see ``PARTS``), row (a formal row of tom1 and tom2), and game_id, step_idx, phase, player (whom a removed snapshot or a filtered observer is about)."""
+def parts(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """part (see ``PARTS``), row (a formal row of tom1 and tom2), game_id, step_idx, phase, player (whom a removed snapshot or a filtered observer is about), and the columns of the sample to ``keep``."""
     fit = F.filter("decisions", lambda d: d["kind"] != "unavailable")
     out = F.filter("decisions", lambda d: d["kind"] == "unavailable")
     own = F.filter(fit, lambda d: d["id"] == F.col("speaker_id"))
@@ -84,7 +86,7 @@ def parts(raw: DataFrame) -> DataFrame:
         F.when(F.size(fit) > 0, F.array(each("tom2", _formal(2, fit), F.lit(None)))).otherwise(F.array().cast(f"array<struct<part:string,row:{row_type},player:int>>")),
         F.transform(out, lambda d: each("filtered_tom2", none, d["id"])),
     )
-    return decided(raw).select("game_id", "step_idx", "phase", F.explode(entries).alias("e")).select("e.part", "e.row", "game_id", "step_idx", "phase", "e.player")
+    return decided(raw).select("game_id", "step_idx", "phase", *keep, F.explode(entries).alias("e")).select("e.part", "e.row", "game_id", "step_idx", "phase", "e.player", *keep)
 
 
 def counted(raw: DataFrame) -> tuple[DataFrame, Observation]:

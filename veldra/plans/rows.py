@@ -160,14 +160,14 @@ UNION ALL SELECT conv_id, turn, 'tom2', NULL, 's' || s || CASE WHEN hard THEN ',
 UNION ALL SELECT conv_id, turn, 'filtered_tom2', o, NULL, NULL, NULL, NULL, NULL, NULL FROM k WHERE NOT hard""")
 def materialized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of each sample, with the number of rules that the rows of both orders break."""
-    parts = M.parts(_samples(spark, sf_dir))
+    parts = M.parts(E.with_facts(_samples(spark, sf_dir)), keep=("event_facts",))
     ids = lambda: F.transform("row.observer_ids", lambda i: F.concat(F.lit("s"), i.cast("string")))
     each = lambda m, show: F.array_join(F.transform("row.observer_ids", lambda i: F.concat(F.lit("s"), i.cast("string"), F.lit("="), show(F.col(f"row.{m}")[_name(i)]))), ",")
     seats = lambda names: F.array_join(F.transform(names, lambda n: F.substring(n, 7, 1)), "+")
     same = lambda v: v
-    # both orders are checked where the rows are made: nothing is made again or joined
+    # both orders are checked where the rows are made: nothing is made again or joined, and what the events hold is found once for both
     order = F.when(F.col("part") == "tom1", 1).when(F.col("part") == "tom2", 2)
-    checked = E.formal_violations(parts.select("part", "player", "row", F.col("game_id").alias("__game"), F.col("step_idx").alias("__step"), *[F.col(f"row.{c}").alias(c) for c in M.FORMAL]), order)
+    checked = E.formal_violations(parts.select("part", "player", "row", "event_facts", F.col("game_id").alias("__game"), F.col("step_idx").alias("__step"), *[F.col(f"row.{c}").alias(c) for c in M.FORMAL]), order)
     key = [F.substring("__game", 2, 20).cast("long").alias("conv_id"), F.col("__step").alias("turn")]
     violations = F.when(order.isNotNull(), F.size("violations")).alias("violations")
     return checked.select(*key, "part", F.col("player").cast("long").alias("player"), F.array_join(ids(), ",").alias("observers"), each("suspected_werewolves", seats).alias("suspected"), each("observer_annotation_confidence", same).alias("confidence"), each("source_belief_status", same).alias("status"), F.col("row.private_fields_usage").alias("usage"), violations)
