@@ -771,3 +771,29 @@ def test_secrets_at_any_distance_in_a_statement():
         found += ("novel", text.index(secret), text.index(secret) + 32) in secrets.spans_of(text)
         elsewhere += bool(secrets.spans_of(f"a credential. {'plain words ' * 8}. {secret}"))
     assert found >= 196 and elsewhere == 0
+
+
+def test_a_worker_gives_back_what_earlier_tasks_left():
+    """In a process of its own, as a worker is: first packing's cache, then 200 MB in pieces below one that stays."""
+    code = """
+import re
+import numpy as np
+import pyarrow as pa
+from veldra.llm import packing, textcore
+
+def used():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+batch = pa.RecordBatch.from_arrays([pa.array(["a b", None, "c"])], ["text"])
+packing.WordIds._loaded["path"] = object()
+assert [b.num_rows for b in textcore.chunks(iter([batch]), cached=True)] == [3] and packing.WordIds._loaded
+assert [b.num_rows for b in textcore.chunks(iter([batch]), limit=2)] == [1, 2] and not packing.WordIds._loaded
+pieces = [np.ones(8000) for _ in range(3200)]
+last = np.ones(8000)
+del pieces
+before = used()
+next(textcore.chunks(iter([batch])))
+print(round(before - used()))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    assert sys.platform != "linux" or int(out.split()[-1]) > 100

@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
     add = rng.integers(0, 1 << 63, n_hashes, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, limit=1_000_000):
+        for b in chunks(batches):
             found = Words(*flat(b.column(1)), lower=True, hashes=2)
             first, owner = _places(found.counts, found.bounds, words)
             hashes = _hashed(found.hashes, first, found.counts[owner], words)
@@ -240,8 +240,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text_a", 1_000_000):
-            for x in chunks(iter([part]), "text_b", 1_000_000):
+        for part in chunks(batches, "text_a"):
+            for x in chunks(iter([part]), "text_b"):
                 common, union = overlaps(x.column(2), x.column(3), words)
                 yield x.select([0, 1]).filter(pa.array((common > 0) & (100 * common >= percent * union)))
 

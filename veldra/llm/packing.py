@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from veldra.llm.store import staged
-from veldra.llm.textcore import IS_SPACE, LOWER, chunks, flat
+from veldra.llm.textcore import IS_SPACE, LOWER, caches, chunks, flat
 
 #: Distinct parts (and words that have none) kept with their ids in each worker, and their bytes.
 CACHE_WORDS, CACHE_BYTES = 700_000, 32_000_000
@@ -232,6 +232,9 @@ class WordIds:
         return ids, np.diff(np.r_[0, np.cumsum(size)][np.searchsorted(starts, off)])
 
 
+caches.append(WordIds._loaded.clear)
+
+
 def tokenised(docs: DataFrame, vocab: str, end_id: int, text: str = "text", source: str = "source", doc_id: str = "doc_id", narrow: bool = True) -> DataFrame:
     """doc_id, queue, part, start (in the queue's stream of this partition), n_tokens and ids (2 bytes each if ``narrow``, else 4)."""
 
@@ -239,7 +242,7 @@ def tokenised(docs: DataFrame, vocab: str, end_id: int, text: str = "text", sour
         ids_of = WordIds.load(vocab)
         part, at = TaskContext.get().partitionId(), {}
         kind = "<u2" if narrow else "<u4"
-        for b in chunks(batches, "text", 1_000_000):
+        for b in chunks(batches, "text", cached=True):
             ids, n = ids_of.encode_flat(b.column(2))
             ids = np.insert(ids, np.cumsum(n), end_id).astype(kind)
             n = n + 1

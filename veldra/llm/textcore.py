@@ -10,7 +10,9 @@ summed up, so patterns of words have no hash in common either.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,9 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 _coefficients: dict[int, np.ndarray] = {}
+#: What empties the caches that an operator's tasks keep in a worker for one another.
+caches: list[Callable[[], None]] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 #: Word separators: space and the control characters 9 to 13.
 IS_SPACE = np.zeros(256, bool)
@@ -45,8 +50,19 @@ def coefficients(family: int, n: int) -> np.ndarray:
     return have
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of at most about ``limit`` bytes of text, so that a task's memory has a bound; a longer text comes alone."""
+def give_back(cached: bool = True) -> None:
+    """Memory that this worker's tasks have freed goes back to the system, else it stays with the worker; with ``cached``, caches too."""
+    if cached:
+        for clear in caches:
+            clear()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1_000_000, cached: bool = False) -> Iterator[pa.RecordBatch]:
+    """Slices of at most about ``limit`` bytes of text, so that a task's memory has a bound; a longer text comes alone. First the worker gives back what earlier tasks left, caches too unless they are ``cached`` for this one."""
+    give_back(not cached)
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), np.int64)
